@@ -76,6 +76,173 @@ EFFECT_SPARSE_SRC = """
   FROM documents JOIN labels USING (doc_id)"""
 
 
+# ----------------------------------------------------------------- special functions in SQL
+
+def erfc_sql(x: str) -> str:
+    """erfc of a column reference: power series below 2.5, continued fraction above."""
+    ax = f"abs({x})"
+    series = (f"list_sum(list_transform(range(0, 60), lambda k: exp((2*k+1)*ln(greatest({ax}, 1e-300))"
+              f" + k*ln(4.0) + lgamma(k+1) - lgamma(2*k+2))))")
+    frac = f"list_reduce(range(80, 0, -1), lambda acc, m: {ax} + (m*0.5)/acc, {ax})"
+    pos = (f"(CASE WHEN {ax} < 2.5 THEN 1 - 2/sqrt(pi()) * exp(-{ax}*{ax}) * {series}"
+           f" ELSE exp(-{ax}*{ax}) / (sqrt(pi()) * {frac}) END)")
+    return f"(CASE WHEN {x} IS NULL THEN NULL WHEN {x} < 0 THEN 2 - {pos} ELSE {pos} END)"
+
+
+def binom_sf_sql(s: str, n: str, p: float = 0.5) -> str:
+    """Exact upper tail as the plain sum of probability terms k = s..n."""
+    q = 1.0 - p
+    terms = (f"list_transform(range(CAST({s} AS BIGINT), CAST({n} AS BIGINT) + 1), lambda k: "
+             f"exp(lgamma({n}+1) - lgamma(k+1) - lgamma({n}-k+1) + k*ln({p}) + ({n}-k)*ln({q})))")
+    return (f"(CASE WHEN {s} <= 0 THEN 1.0 WHEN {s} > {n} THEN 0.0 "
+            f"ELSE least(greatest(coalesce(list_sum({terms}), 0.0), 0.0), 1.0) END)")
+
+
+CONTINGENCY_SQL = """
+  SELECT CAST(user_id % 5 AS BIGINT) AS domain, event_type AS category,
+         CAST(count(*) FILTER (WHERE event_id % 2 = 1) AS BIGINT) AS liberal,
+         CAST(count(*) FILTER (WHERE event_id % 2 <> 1) AS BIGINT) AS conservative
+  FROM events WHERE event_type IS NOT NULL GROUP BY 1, 2"""
+
+
+def two_proportion_sql() -> str:
+    return f"""
+WITH c AS ({CONTINGENCY_SQL}),
+t AS (
+  SELECT r.domain, r.category || '_vs_' || l.category AS comparison,
+         r.liberal AS lib_right, r.conservative AS con_right, l.liberal AS lib_left, l.conservative AS con_left
+  FROM c r JOIN c l ON r.domain = l.domain AND l.category = 'view' AND r.category <> 'view'
+),
+s AS (
+  SELECT *, CAST(lib_right AS DOUBLE) / nullif(lib_right + con_right, 0) AS pr,
+            CAST(lib_left AS DOUBLE) / nullif(lib_left + con_left, 0) AS pl,
+            CAST(lib_right + lib_left AS DOUBLE) / nullif(lib_right + con_right + lib_left + con_left, 0) AS pooled
+  FROM t
+),
+z AS (
+  SELECT *, (pr - pl) / nullif(sqrt(pooled * (1 - pooled) * (1.0 / nullif(lib_right + con_right, 0)
+                                   + 1.0 / nullif(lib_left + con_left, 0))), 0) AS zz
+  FROM s
+),
+p AS (SELECT *, zz / sqrt(2.0) AS zs FROM z)
+SELECT domain, comparison, lib_right, con_right, lib_left, con_left,
+       {r6("pr")} AS p_right, {r6("pl")} AS p_left, {r6("pr - pl")} AS difference, {r6("zz")} AS z,
+       {r6("0.5 * " + erfc_sql("zs"))} AS p_value_greater
+FROM p"""
+
+
+def bar_counts_sql() -> str:
+    return f"""
+WITH tp AS ({two_proportion_sql()}),
+sides AS (
+  SELECT domain, comparison, 0 AS side, split_part(comparison, '_vs_', 1) AS category,
+         lib_right AS liberal, con_right AS conservative, p_value_greater FROM tp
+  UNION ALL
+  SELECT domain, comparison, 1, substr(comparison, strpos(comparison, '_vs_') + 4),
+         lib_left, con_left, CAST(NULL AS DOUBLE) FROM tp
+),
+firsts AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY domain, category ORDER BY comparison, side) AS rn
+                 FROM sides) WHERE rn = 1
+)
+SELECT domain, category, CAST(liberal AS BIGINT) AS liberal, CAST(conservative AS BIGINT) AS conservative,
+       CAST(liberal + conservative AS BIGINT) AS total,
+       {r6("coalesce(CAST(liberal AS DOUBLE) / nullif(liberal + conservative, 0), 0.0)")} AS liberal_share,
+       p_value_greater
+FROM firsts"""
+
+
+def bar_segments_sql() -> str:
+    return f"""
+WITH b AS ({bar_counts_sql()}),
+g AS (SELECT *, 'fig' || CAST(domain // 2 AS VARCHAR) AS figure_group FROM b),
+fm AS (SELECT figure_group, max(total) AS fig_max FROM g GROUP BY 1),
+dm AS (SELECT domain, max(total) AS dom_max FROM g GROUP BY 1)
+SELECT g.figure_group, g.domain, category, liberal, conservative, total,
+       {r6("liberal / 2.0")} AS liberal_label_y, {r6("liberal + conservative / 2.0")} AS conservative_label_y,
+       liberal_share, {r6("coalesce(CAST(conservative AS DOUBLE) / nullif(total, 0), 0.0)")} AS conservative_share,
+       coalesce(p_value_greater < 0.05, false) AS star,
+       {r6("total + dom_max * 0.035")} AS star_y, {r6("fig_max * 1.14")} AS y_limit
+FROM g JOIN fm USING (figure_group) JOIN dm USING (domain)"""
+
+
+BINOMIAL_COUNTS_SQL = """
+  SELECT lang, CAST(count(*) FILTER (WHERE quality = 1) AS BIGINT) AS correct, CAST(count(*) AS BIGINT) AS total
+  FROM documents JOIN labels USING (doc_id) WHERE lang IS NOT NULL GROUP BY lang"""
+
+
+def binomial_tail_sql() -> str:
+    return f"""
+SELECT lang, correct, total, {r6(binom_sf_sql("correct", "total"))} AS p_value_greater
+FROM ({BINOMIAL_COUNTS_SQL})"""
+
+
+# Fixed parameters of the forecast mapping on the driver tables (see queries.py).
+FORECAST_BANK_SQL = """
+  SELECT * FROM (VALUES ('ECONOMY', 0), ('LARGE', 1), ('MEDIUM', 0), ('PROMO', 1),
+                        ('SMALL', CAST(NULL AS INTEGER)), ('STANDARD', 0)) AS b(p_type, reverse_code)"""
+
+
+def forecast_verdict_sql() -> str:
+    eff = effect_sql(EFFECT_BY_WORDING_SRC, ["p_type", "p_brand"], "x", "y")
+    return f"""
+WITH e AS ({eff}),
+j AS (SELECT e.*, b.reverse_code FROM e LEFT JOIN ({FORECAST_BANK_SQL}) b USING (p_type)),
+x AS (
+  SELECT *, coalesce(CASE lower(p_brand) WHEN 'brand#7' THEN 'conservative' WHEN 'brand#13' THEN 'liberal' END,
+                     CASE WHEN reverse_code = 0 THEN 'liberal' WHEN reverse_code = 1 THEN 'conservative' END)
+            AS expected_direction
+  FROM j
+)
+SELECT p_type, p_brand, coef, direction, expected_direction,
+       CASE WHEN direction = 'no_effect' THEN 'no_effect'
+            WHEN direction IS NOT DISTINCT FROM expected_direction THEN 'correct' ELSE 'wrong' END
+         AS derived_forecast_result
+FROM x"""
+
+
+def forecast_counts_sql() -> str:
+    return f"""
+WITH f AS ({forecast_verdict_sql()}),
+cats AS (SELECT * FROM (VALUES (0, 'correct'), (1, 'wrong'), (2, 'no_effect')) AS c(verdict_no, verdict))
+SELECT verdict_no, verdict, CAST(count(f.derived_forecast_result) AS BIGINT) AS n
+FROM cats LEFT JOIN f ON f.derived_forecast_result = cats.verdict GROUP BY verdict_no, verdict"""
+
+
+def forecast_tests_sql() -> str:
+    return f"""
+WITH f AS ({forecast_verdict_sql()}),
+iss AS (
+  SELECT p_type, CASE WHEN c > w THEN 'correct' WHEN w > c THEN 'wrong' ELSE 'no_effect' END AS v
+  FROM (SELECT p_type, count(*) FILTER (WHERE derived_forecast_result = 'correct') AS c,
+               count(*) FILTER (WHERE derived_forecast_result = 'wrong') AS w FROM f GROUP BY p_type)
+),
+lv AS (
+  SELECT 'prompt' AS level, count(*) FILTER (WHERE derived_forecast_result = 'correct') AS c,
+         count(*) FILTER (WHERE derived_forecast_result = 'wrong') AS w, count(*) AS t FROM f
+  UNION ALL
+  SELECT 'issue', count(*) FILTER (WHERE v = 'correct'), count(*) FILTER (WHERE v = 'wrong'), count(*) FROM iss
+),
+rows AS (
+  SELECT level, 'count_null_as_wrong' AS null_handling, CAST(c AS BIGINT) AS correct, CAST(t AS BIGINT) AS total FROM lv
+  UNION ALL
+  SELECT level, 'exclude_null', CAST(c AS BIGINT), CAST(c + w AS BIGINT) FROM lv
+)
+SELECT level, null_handling, correct, total, {r6(binom_sf_sql("correct", "total"))} AS p_value_greater FROM rows"""
+
+
+def forecast_check_sql() -> str:
+    return f"""
+WITH c AS ({forecast_counts_sql()}),
+w AS (SELECT max(n) FILTER (WHERE verdict = 'correct') AS c, max(n) FILTER (WHERE verdict = 'wrong') AS w,
+             max(n) FILTER (WHERE verdict = 'no_effect') AS ne FROM c)
+SELECT 'forecast_counts' AS "check",
+       'correct=' || c || ', wrong=' || w || ', no_effect=' || ne AS observed,
+       'correct=112, wrong=9, no_effect=58' AS expected,
+       CASE WHEN c = 112 AND w = 9 AND ne = 58 THEN 'pass' ELSE 'review' END AS status
+FROM w"""
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["effect_by_wording"] = effect_sql(EFFECT_BY_WORDING_SRC, ["p_type", "p_brand"], "x", "y",
@@ -83,4 +250,13 @@ def oracle_sql() -> dict[str, str]:
                                         first_order="l_orderkey, l_linenumber")
     q["effect_sparse"] = effect_sql(EFFECT_SPARSE_SRC, ["lang", "source"], "x", "y",
                                     first={"first_doc_id": "CAST(doc_id AS BIGINT)"}, first_order="doc_id")
+    q["theme_contingency"] = CONTINGENCY_SQL
+    q["two_proportion"] = two_proportion_sql()
+    q["bar_counts"] = bar_counts_sql()
+    q["bar_segments"] = bar_segments_sql()
+    q["binomial_tail"] = binomial_tail_sql()
+    q["forecast_verdict"] = forecast_verdict_sql()
+    q["forecast_counts"] = forecast_counts_sql()
+    q["forecast_tests"] = forecast_tests_sql()
+    q["forecast_check"] = forecast_check_sql()
     return q

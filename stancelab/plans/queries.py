@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import r6
+from ..operators import forecast as fc
+from ..operators import significance as sig
 from ..operators.effects import EFFECT_COLUMNS, two_group_effect
 from ..sources.tables import read_table
 
@@ -59,8 +61,103 @@ def effect_sparse(spark: SparkSession, sf: str) -> DataFrame:
                           ["first_doc_id"])
 
 
+def rounded(df: DataFrame, cols: list[str]) -> DataFrame:
+    return df.select(*[r6(c).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+# ------------------------------------------------------ contingency and tests
+
+def _contingency(spark: SparkSession, sf: str) -> DataFrame:
+    """events: domain = user_id % 5, category = event_type, liberal prime = odd event_id."""
+    ev = read_table(spark, sf, "events", ["user_id", "event_type", "event_id"]).where(
+        F.col("event_type").isNotNull())
+    ev = ev.select((F.col("user_id") % 5).cast("long").alias("domain"),
+                   F.col("event_type").alias("category"), (F.col("event_id") % 2).alias("prime"))
+    return sig.contingency(ev, ["domain", "category"], "prime")
+
+
+def theme_contingency(spark: SparkSession, sf: str) -> DataFrame:
+    return _contingency(spark, sf)
+
+
+def _two_proportion(spark: SparkSession, sf: str) -> DataFrame:
+    counts = _contingency(spark, sf)
+    comps = sig.comparisons_vs_reference(counts, "domain", "category", F.lit("view"))
+    return sig.two_proportion_tests(counts, comps)
+
+
+def two_proportion(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_two_proportion(spark, sf), list(sig.TEST_COLUMNS))
+
+
+def _bar_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return sig.tests_to_bars(_two_proportion(spark, sf), order=["comparison"])
+
+
+def bar_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_bar_counts(spark, sf), ["liberal_share", "p_value_greater"])
+
+
+def bar_segments(spark: SparkSession, sf: str) -> DataFrame:
+    group = F.concat(F.lit("fig"), (F.col("domain") / 2).cast("long").cast("string"))
+    seg = sig.bar_segments(_bar_counts(spark, sf), group)
+    return rounded(seg, ["liberal_label_y", "conservative_label_y", "liberal_share", "conservative_share",
+                         "star_y", "y_limit", "p_value_greater"])
+
+
+def binomial_tail(spark: SparkSession, sf: str) -> DataFrame:
+    """Per language: exact P(X >= #quality docs) under a fair coin over labelled docs."""
+    docs = read_table(spark, sf, "documents", ["doc_id", "lang"]).where(F.col("lang").isNotNull())
+    labels = read_table(spark, sf, "labels", ["doc_id", "quality"])
+    counts = docs.join(labels, "doc_id").groupBy("lang").agg(
+        F.count_if(F.col("quality") == 1).cast("long").alias("correct"),
+        F.count(F.lit(1)).cast("long").alias("total"))
+    return rounded(sig.binomial_test(counts), ["p_value_greater"])
+
+
+# ------------------------------------------------------------- forecasts
+
+# Fixed parameters of the driver-table mapping: part type plays the issue (with its
+# reverse code), brand plays the keyword, and two brands carry keyword overrides.
+FORECAST_BANK = [("ECONOMY", 0), ("LARGE", 1), ("MEDIUM", 0), ("PROMO", 1), ("SMALL", None), ("STANDARD", 0)]
+FORECAST_OVERRIDES = {"brand#7": "conservative", "brand#13": "liberal"}
+
+
+def _forecast(spark: SparkSession, sf: str) -> DataFrame:
+    bank = spark.createDataFrame(FORECAST_BANK, "p_type string, reverse_code int")
+    coefs = effect_by_wording_raw(spark, sf)
+    return fc.forecast_table(coefs, bank, issue="p_type", keyword="p_brand", overrides=FORECAST_OVERRIDES)
+
+
+def forecast_verdict(spark: SparkSession, sf: str) -> DataFrame:
+    f = _forecast(spark, sf)
+    return f.select("p_type", "p_brand", r6("coef").alias("coef"), "direction",
+                    "expected_direction", "derived_forecast_result")
+
+
+def forecast_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return fc.verdict_counts(_forecast(spark, sf))
+
+
+def forecast_tests(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(fc.forecast_tests(_forecast(spark, sf), ["p_type"]), ["p_value_greater"])
+
+
+def forecast_check(spark: SparkSession, sf: str) -> DataFrame:
+    return fc.count_check(fc.verdict_counts(_forecast(spark, sf)))
+
+
 def queries() -> dict[str, Query]:
     return {
         "effect_by_wording": effect_by_wording,
         "effect_sparse": effect_sparse,
+        "theme_contingency": theme_contingency,
+        "two_proportion": two_proportion,
+        "bar_counts": bar_counts,
+        "bar_segments": bar_segments,
+        "binomial_tail": binomial_tail,
+        "forecast_verdict": forecast_verdict,
+        "forecast_counts": forecast_counts,
+        "forecast_tests": forecast_tests,
+        "forecast_check": forecast_check,
     }
