@@ -243,6 +243,170 @@ SELECT 'forecast_counts' AS "check",
 FROM w"""
 
 
+# ------------------------------------------------------------------ banks and grid
+
+REGION_BANK_SQL = """
+  SELECT r_regionkey AS issue_no, 'What do you think about ' || r_name || '?' AS prompt,
+         CASE WHEN r_regionkey = 4 THEN 'None' ELSE coalesce(kw, '') || ' , ,' END AS keywords,
+         array_to_string(list_transform(range(0, r_regionkey + 4, 2), lambda x: CAST(x AS VARCHAR)), ' , ') AS endings,
+         (['', 'good', ' good , bad ', 'good,bad, safe ,dangerous'])[r_regionkey % 4 + 1] AS labels
+  FROM region LEFT JOIN (SELECT n_regionkey, string_agg(n_name, ' , ' ORDER BY n_name) AS kw
+                         FROM nation GROUP BY n_regionkey) ON r_regionkey = n_regionkey"""
+
+
+def clean_list_sql(c: str) -> str:
+    return f"list_filter(list_transform(string_split({c}, ','), lambda s: trim(s)), lambda s: s <> '')"
+
+
+def nulled_sql(c: str) -> str:
+    return f"CASE WHEN trim({c}) IN ('None', '') THEN NULL ELSE {c} END"
+
+
+def list_normalise_sql() -> str:
+    cols = []
+    for c in ("keywords", "endings", "labels"):
+        lst = f"coalesce({clean_list_sql(nulled_sql(c))}, [])"
+        cols.append(f"array_to_string({lst}, ',') AS {c}")
+        cols.append(f"CAST(len({lst}) AS BIGINT) AS n_{c}")
+    return f"SELECT issue_no, {', '.join(cols)} FROM ({REGION_BANK_SQL})"
+
+
+TEMPLATES_SQL = """(VALUES (0, ' My stance on {} is that it is a'), (1, ' In my opinion, {} is a'),
+  (2, ' I think {} is a'), (3, ' I believe that {} is a'), (4, ' My personal opinion on {} is that it is a'),
+  (5, ' I personally believe {} is a')) AS t(template_no, template)"""
+
+
+def _intros_sql() -> str:
+    from ..operators.prompts import COVID_INTROS
+    vals = ", ".join(f"({i}, '{t}')" for i, t in enumerate(COVID_INTROS))
+    return f"(VALUES {vals}) AS p(partisanship, intro)"
+
+
+GRID_LISTS_SQL = f"""
+  SELECT issue_no, prompt, labels,
+         list_transform({clean_list_sql("endings")}, lambda s: CAST(s AS INTEGER)) AS el,
+         coalesce({clean_list_sql(nulled_sql("keywords"))}, []) AS kl
+  FROM ({REGION_BANK_SQL})"""
+
+
+def prompt_grid_sql() -> str:
+    return f"""
+WITH l AS ({GRID_LISTS_SQL}),
+e AS (SELECT *, unnest(range(len(el))) AS ending_pos FROM l),
+e2 AS (SELECT *, el[ending_pos + 1] AS ending_id FROM e),
+k AS (SELECT *, unnest(CASE WHEN len(kl) = 0 THEN [CAST(NULL AS BIGINT)] ELSE range(len(kl)) END) AS keyword_pos FROM e2),
+k2 AS (SELECT *, CASE WHEN keyword_pos IS NULL THEN NULL ELSE kl[keyword_pos + 1] END AS keyword FROM k),
+w AS (
+  SELECT k2.*, replace(template, '{{}}', coalesce(keyword, '')) AS ending,
+         row_number() OVER (ORDER BY issue_no, ending_pos, keyword_pos NULLS FIRST) - 1 AS question_no
+  FROM k2 JOIN {TEMPLATES_SQL} ON ending_id = template_no
+)
+SELECT intro || ' ' || prompt || ending AS prompt, prompt AS issue, partisanship, ending, keyword,
+       CAST(question_no AS BIGINT) AS question_no, CAST(question_no * 2 + partisanship AS BIGINT) AS prompt_no,
+       issue_no, labels
+FROM w CROSS JOIN {_intros_sql()}"""
+
+
+def grid_unknown_templates_sql() -> str:
+    return f"""
+WITH l AS ({GRID_LISTS_SQL}),
+u AS (SELECT DISTINCT issue_no, unnest(el) AS ending_id FROM l)
+SELECT issue_no, ending_id FROM u WHERE ending_id NOT IN (SELECT template_no FROM {TEMPLATES_SQL})"""
+
+
+def axis_plan_sql() -> str:
+    lst = f"coalesce({clean_list_sql('labels')}, [])"
+    return f"""
+SELECT issue_no, array_to_string({lst}, ',') AS labels, coalesce({lst}[1], '') AS positive_anchor,
+       coalesce({lst}[2], '') AS negative_anchor,
+       'cosine(response, positive_anchor) - cosine(response, negative_anchor)' AS scoring_rule
+FROM ({REGION_BANK_SQL})"""
+
+
+# ------------------------------------------------------------------------------ text
+
+def ending_class_sql() -> str:
+    from ..functions.text import STRIP_PATTERN
+    from .queries import DOC_RULES
+    cases = " ".join(f"WHEN strpos(t, '{n}') > 0 THEN '{lab}'" for n, lab in DOC_RULES)
+    return f"""
+SELECT doc_id, CASE {cases} ELSE regexp_replace(t, '{STRIP_PATTERN}', '', 'g') END AS end_type
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)"""
+
+
+def _patterns_sql() -> str:
+    from ..operators.text import EXTRA_PATTERNS, STUDY_PATTERNS
+    vals = ", ".join("('{}', '{}')".format(n, rx.replace("'", "''")) for n, rx in STUDY_PATTERNS + EXTRA_PATTERNS)
+    return f"(VALUES {vals}) AS p(pattern, rx)"
+
+
+def secret_hits_sql() -> str:
+    return f"""
+SELECT doc_id, pattern, hits FROM (
+  SELECT doc_id, pattern, CAST(len(regexp_extract_all(coalesce(text, ''), rx)) AS BIGINT) AS hits
+  FROM documents CROSS JOIN {_patterns_sql()}) WHERE hits > 0"""
+
+
+def secret_scan_sql() -> str:
+    return f"""
+WITH h AS ({secret_hits_sql()})
+SELECT p.pattern, CAST(count(h.doc_id) AS BIGINT) AS n_texts, CAST(coalesce(sum(h.hits), 0) AS BIGINT) AS n_hits
+FROM {_patterns_sql()} LEFT JOIN h ON h.pattern = p.pattern GROUP BY p.pattern"""
+
+
+def labelling_prompts_sql() -> str:
+    from ..operators.text import LABEL_PROMPT_TEMPLATE
+    tpl = LABEL_PROMPT_TEMPLATE.replace("'", "''")
+    return f"""
+WITH r AS (
+  SELECT lang, doc_id, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn
+  FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL
+),
+ex AS (SELECT lang, string_agg('- ' || text, chr(10) ORDER BY doc_id) AS examples FROM r WHERE rn <= 5 GROUP BY lang)
+SELECT lang, replace(replace('{tpl}', '{{cluster}}', lang), '{{examples}}', examples) AS labeling_prompt FROM ex"""
+
+
+JUSTIFICATION_PROMPTS_SQL = """
+SELECT u.conv_id, u.turn,
+       coalesce(u.text, 'nan') || ' ' || coalesce(a.text, 'nan') || '. This is because' AS justification_prompt
+FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+WHERE u.role = 'user' AND a.role = 'assistant'"""
+
+
+# --------------------------------------------------------------------- ranks and checks
+
+FIRST_SEEN_RANK_SQL = """
+SELECT event_id, event_type, CAST(dense_rank() OVER (ORDER BY first_id) AS BIGINT) AS first_seen_rank
+FROM (SELECT event_id, event_type, min(event_id) OVER (PARTITION BY coalesce(event_type, '')) AS first_id FROM events)"""
+
+SUMMARY_COUNTS_SQL = """
+SELECT 'conversations' AS dataset, CAST(count(*) AS BIGINT) AS rows, CAST(count(DISTINCT conv_id) AS BIGINT) AS prompts,
+       CAST(count(DISTINCT turn) AS BIGINT) AS questions, CAST(count(DISTINCT role) AS BIGINT) AS issues
+FROM conversations
+UNION ALL
+SELECT 'events', count(*), count(DISTINCT user_id), count(DISTINCT event_type), count(DISTINCT CAST(ts AS DATE))
+FROM events"""
+
+SHAPE_CHECKS_SQL = """
+WITH pc AS (SELECT conv_id, count(*) AS c, max(turn) AS m FROM conversations GROUP BY conv_id),
+cc AS (SELECT sum(c) AS r, count(*) AS p, sum(m + 1) AS er, max(conv_id) + 1 AS ep FROM pc),
+ec AS (SELECT count(*) AS r, count(DISTINCT user_id) AS p, count(DISTINCT event_type) AS q,
+              count(DISTINCT event_id) AS er, max(user_id) + 1 AS ep FROM events)
+SELECT 'conversations_response_shape' AS "check",
+       r || ' rows, ' || p || ' prompts, ' || r || ' questions' AS observed,
+       er || ' rows, ' || ep || ' prompts, ' || er || ' questions' AS expected,
+       CASE WHEN r = er AND p = ep THEN 'pass' ELSE 'review' END AS status
+FROM cc
+UNION ALL
+SELECT 'events_response_shape', r || ' rows, ' || p || ' prompts, ' || q || ' questions',
+       er || ' rows, ' || ep || ' prompts, ' || q || ' questions',
+       CASE WHEN r = er AND p = ep THEN 'pass' ELSE 'review' END
+FROM ec"""
+
+LABEL_COVERAGE_SQL = """
+SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)"""
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["effect_by_wording"] = effect_sql(EFFECT_BY_WORDING_SRC, ["p_type", "p_brand"], "x", "y",
@@ -259,4 +423,17 @@ def oracle_sql() -> dict[str, str]:
     q["forecast_counts"] = forecast_counts_sql()
     q["forecast_tests"] = forecast_tests_sql()
     q["forecast_check"] = forecast_check_sql()
+    q["list_normalise"] = list_normalise_sql()
+    q["prompt_grid"] = prompt_grid_sql()
+    q["grid_unknown_templates"] = grid_unknown_templates_sql()
+    q["axis_plan"] = axis_plan_sql()
+    q["ending_class"] = ending_class_sql()
+    q["secret_hits"] = secret_hits_sql()
+    q["secret_scan"] = secret_scan_sql()
+    q["labelling_prompts"] = labelling_prompts_sql()
+    q["justification_prompts"] = JUSTIFICATION_PROMPTS_SQL
+    q["first_seen_rank"] = FIRST_SEEN_RANK_SQL
+    q["summary_counts"] = SUMMARY_COUNTS_SQL
+    q["shape_checks"] = SHAPE_CHECKS_SQL
+    q["label_coverage"] = LABEL_COVERAGE_SQL
     return q

@@ -13,7 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import r6
+from ..functions.lists import split_list
+from ..functions.text import first_phrase_label
+from ..operators import checks as ck
 from ..operators import forecast as fc
+from ..operators import ordering as od
+from ..operators import prompts as pr
+from ..operators import text as tx
 from ..operators import significance as sig
 from ..operators.effects import EFFECT_COLUMNS, two_group_effect
 from ..sources.tables import read_table
@@ -147,6 +153,131 @@ def forecast_check(spark: SparkSession, sf: str) -> DataFrame:
     return fc.count_check(fc.verdict_counts(_forecast(spark, sf)))
 
 
+# ------------------------------------------------- prompt banks and grid
+
+def region_bank(spark: SparkSession, sf: str) -> DataFrame:
+    """A raw prompt bank derived from region/nation: one issue per region, its nations as a
+    ragged keyword list (region 4 spells a missing list ``None``), ending ids 0,2,4,... (6 has
+    no template) and 0, 1, 2 or 4 axis labels."""
+    nation = read_table(spark, sf, "nation", ["n_regionkey", "n_name"])
+    region = read_table(spark, sf, "region", ["r_regionkey", "r_name"])
+    kw = nation.groupBy("n_regionkey").agg(
+        F.array_join(F.sort_array(F.collect_list("n_name")), " , ").alias("kw"))
+    labels = F.array(F.lit(""), F.lit("good"), F.lit(" good , bad "), F.lit("good,bad, safe ,dangerous"))
+    return region.join(kw, region.r_regionkey == kw.n_regionkey, "left").select(
+        F.col("r_regionkey").alias("issue_no"),
+        F.concat(F.lit("What do you think about "), F.col("r_name"), F.lit("?")).alias("prompt"),
+        F.when(F.col("r_regionkey") == 4, F.lit("None"))
+         .otherwise(F.concat(F.coalesce("kw", F.lit("")), F.lit(" , ,"))).alias("keywords"),
+        F.array_join(F.transform(F.sequence(F.lit(0), F.col("r_regionkey") + 3, F.lit(2)),
+                                 lambda x: x.cast("string")), " , ").alias("endings"),
+        F.element_at(labels, (F.col("r_regionkey") % 4 + 1).cast("int")).alias("labels"),
+    )
+
+
+def list_normalise(spark: SparkSession, sf: str) -> DataFrame:
+    bank = pr.normalise_bank(region_bank(spark, sf), "region")
+    return bank.select("issue_no", "keywords", "endings", "labels",
+                       *[F.size(split_list(c)).cast("long").alias(f"n_{c}") for c in pr.LIST_COLUMNS])
+
+
+def prompt_grid(spark: SparkSession, sf: str) -> DataFrame:
+    return pr.prompt_grid(region_bank(spark, sf), pr.templates_frame(spark), pr.COVID_INTROS)
+
+
+def grid_unknown_templates(spark: SparkSession, sf: str) -> DataFrame:
+    return pr.unknown_templates(region_bank(spark, sf), pr.templates_frame(spark))
+
+
+def axis_plan(spark: SparkSession, sf: str) -> DataFrame:
+    return pr.axis_plan(region_bank(spark, sf))
+
+
+# ------------------------------------------------------------------ text
+
+# Fixed parameters of the driver mapping: ordered phrase rules that overlap on purpose.
+DOC_RULES = (("token =", "token assignment"), ("License", "license line"), ("@", "e-mail"),
+             ("license", "license line (lower case)"))
+
+
+def ending_class(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents", ["doc_id", "text"])
+    return docs.select("doc_id", first_phrase_label("text", DOC_RULES).alias("end_type"))
+
+
+def secret_hits(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents", ["doc_id", "text"])
+    return tx.pattern_hits(docs, "text", ["doc_id"])
+
+
+def secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return tx.pattern_summary(secret_hits(spark, sf))
+
+
+def labelling_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents", ["doc_id", "lang", "text"]).where(F.col("lang").isNotNull())
+    return tx.labelling_prompts(docs, "lang", "text", ["doc_id"], k=5)
+
+
+def justification_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """Each user turn followed by the next assistant turn: prompt ' ' completion '. This is because'."""
+    conv = read_table(spark, sf, "conversations", ["conv_id", "turn", "role", "text"])
+    user = conv.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("full_prompt"))
+    reply = conv.where(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("completion"))
+    return user.join(reply, ["conv_id", "turn"]).select(
+        "conv_id", "turn", pr.justification_prompt("full_prompt", "completion").alias("justification_prompt"))
+
+
+# ----------------------------------------------------------- ranks and checks
+
+def first_seen_rank(spark: SparkSession, sf: str) -> DataFrame:
+    ev = read_table(spark, sf, "events", ["event_id", "event_type"])
+    return od.first_seen_rank(ev, "event_type", "event_id").select(
+        "event_id", "event_type", F.col("first_seen_rank").cast("long").alias("first_seen_rank"))
+
+
+def _summaries(spark: SparkSession, sf: str) -> DataFrame:
+    conv = read_table(spark, sf, "conversations", ["conv_id", "turn", "role"])
+    ev = read_table(spark, sf, "events", ["user_id", "event_type", "ts"])
+    a = ck.summary_counts(conv, "conversations", {"prompts": "conv_id", "questions": "turn", "issues": "role"})
+    b = ck.summary_counts(ev.withColumn("day", F.to_date("ts")), "events",
+                          {"prompts": "user_id", "questions": "event_type", "issues": "day"})
+    return a.unionByName(b)
+
+
+def summary_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return _summaries(spark, sf)
+
+
+def shape_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Data-derived shape checks: conversation turns are contiguous from 0 and ids are
+    dense; every event id is unique."""
+    conv = read_table(spark, sf, "conversations", ["conv_id", "turn"])
+    per_conv = conv.groupBy("conv_id").agg(F.count(F.lit(1)).alias("c"), F.max("turn").alias("m"))
+    cc = per_conv.agg(F.sum("c").cast("long").alias("rows"), F.count(F.lit(1)).cast("long").alias("prompts"),
+                      F.sum("c").cast("long").alias("questions"),
+                      F.sum(F.col("m") + 1).cast("long").alias("e_rows"),
+                      (F.max("conv_id") + 1).cast("long").alias("e_prompts")).withColumn("dataset", F.lit("conversations"))
+    c_check = ck.shape_check(cc, {"rows": F.col("e_rows"), "prompts": F.col("e_prompts"),
+                                  "questions": F.col("e_rows")})
+    ev = read_table(spark, sf, "events", ["event_id", "user_id", "event_type"])
+    ec = ev.agg(F.count(F.lit(1)).cast("long").alias("rows"),
+                F.count_distinct("user_id").cast("long").alias("prompts"),
+                F.count_distinct("event_type").cast("long").alias("questions"),
+                F.count_distinct("event_id").cast("long").alias("e_rows"),
+                (F.max("user_id") + 1).cast("long").alias("e_prompts")).withColumn("dataset", F.lit("events"))
+    e_check = ck.shape_check(ec, {"rows": F.col("e_rows"), "prompts": F.col("e_prompts"),
+                                  "questions": F.col("questions")})
+    return c_check.unionByName(e_check)
+
+
+def label_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents", ["doc_id", "lang"])
+    labels = read_table(spark, sf, "labels", ["doc_id"])
+    return docs.join(labels, "doc_id", "left_anti").select("doc_id", "lang")
+
+
 def queries() -> dict[str, Query]:
     return {
         "effect_by_wording": effect_by_wording,
@@ -160,4 +291,17 @@ def queries() -> dict[str, Query]:
         "forecast_counts": forecast_counts,
         "forecast_tests": forecast_tests,
         "forecast_check": forecast_check,
+        "list_normalise": list_normalise,
+        "prompt_grid": prompt_grid,
+        "grid_unknown_templates": grid_unknown_templates,
+        "axis_plan": axis_plan,
+        "ending_class": ending_class,
+        "secret_hits": secret_hits,
+        "secret_scan": secret_scan,
+        "labelling_prompts": labelling_prompts,
+        "justification_prompts": justification_prompts,
+        "first_seen_rank": first_seen_rank,
+        "summary_counts": summary_counts,
+        "shape_checks": shape_checks,
+        "label_coverage": label_coverage,
     }
