@@ -407,6 +407,146 @@ LABEL_COVERAGE_SQL = """
 SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)"""
 
 
+# --------------------------------------------------------------------------- vectors
+
+def sqdist_sql(a: str, b: str) -> str:
+    return f"list_sum(list_transform(range(1, len({a}) + 1), lambda i: ({a}[i] - {b}[i]) * ({a}[i] - {b}[i])))"
+
+
+def _cos(a: str, b: str) -> str:
+    dot = f"list_sum(list_transform(range(1, len({a}) + 1), lambda i: {a}[i] * {b}[i]))"
+    na = f"sqrt(list_sum(list_transform({a}, lambda x: x * x)))"
+    nb = f"sqrt(list_sum(list_transform({b}, lambda x: x * x)))"
+    return f"({dot} / nullif({na} * {nb}, 0))"
+
+
+EMB_SQL = "SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings"
+
+
+def _proj_sql(pos: str, neg: str) -> str:
+    return f"""
+WITH e AS ({EMB_SQL}),
+an AS (SELECT ({pos}) AS pv, ({neg}) AS nv),
+p AS (SELECT vec_id, label, {_cos("v", "pv")} - {_cos("v", "nv")} AS proj FROM e, an)"""
+
+
+PROJ_SQL = _proj_sql("SELECT v FROM e WHERE vec_id = 0", "SELECT v FROM e WHERE vec_id = 1")
+
+
+def _mean_vec(label: int) -> str:
+    return (f"SELECT list(av ORDER BY i) FROM (SELECT i, avg(v[i]) AS av FROM "
+            f"(SELECT v, unnest(range(1, len(v) + 1)) AS i FROM e WHERE label = {label}) GROUP BY i)")
+
+
+def axis_projection_sql(proj: str = PROJ_SQL) -> str:
+    return f"""{proj}
+SELECT vec_id, label, {r6("proj")} AS proj, CASE WHEN proj IS NULL THEN NULL ELSE CAST(proj > 0 AS INTEGER) END AS proj_b
+FROM p"""
+
+
+PROJECTION_SIGN_SQL = f"""{PROJ_SQL}
+SELECT label, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE proj > 0) AS BIGINT) AS n_positive,
+       {r6("avg(proj)")} AS mean_proj
+FROM p GROUP BY label"""
+
+
+def effect_on_projection_sql() -> str:
+    src = f"{PROJ_SQL} SELECT label, vec_id % 2 AS x, proj AS y FROM p"
+    return effect_sql(src, ["label"], "x", "y")
+
+
+ARCHIVE_SQL = """
+  SELECT *, row_number() OVER (PARTITION BY archive_file ORDER BY prompt_no, sentiment, vec_id) - 1 AS row_no
+  FROM (SELECT label AS prompt_no, 1 AS connector, CASE WHEN vec_id % 2 = 0 THEN 'pos' ELSE 'neg' END AS sentiment,
+               'part' || CAST(label % 2 + 1 AS VARCHAR) AS archive_file, vec_id, embedding FROM embeddings)"""
+
+MANIFEST_SQL = f"""
+  SELECT *, CAST(coalesce(sum(n) OVER (ORDER BY archive_file, archive_offset
+                                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS global_offset
+  FROM (SELECT prompt_no, connector, sentiment, archive_file, CAST(min(row_no) AS BIGINT) AS archive_offset,
+               CAST(count(*) AS BIGINT) AS n, CAST(max(len(embedding)) AS INTEGER) AS dimensions
+        FROM ({ARCHIVE_SQL}) GROUP BY prompt_no, connector, sentiment, archive_file)"""
+
+TEXTS_SQL = """
+  SELECT CAST(doc_id % 10 AS INTEGER) AS prompt_no, 1 AS connector,
+         CASE WHEN (doc_id // 10) % 2 = 0 THEN 'pos' ELSE 'neg' END AS sentiment, doc_id, text
+  FROM documents"""
+
+SLICE_READ_SQL = f"""
+WITH v AS (SELECT prompt_no, connector, sentiment, vec_id,
+                  row_number() OVER (PARTITION BY prompt_no, connector, sentiment ORDER BY row_no) - 1 AS position
+           FROM ({ARCHIVE_SQL})),
+t AS (SELECT prompt_no, connector, sentiment, doc_id,
+             row_number() OVER (PARTITION BY prompt_no, connector, sentiment ORDER BY doc_id) - 1 AS position
+      FROM ({TEXTS_SQL}))
+SELECT prompt_no, connector, sentiment, CAST(position AS BIGINT) AS position, vec_id, doc_id
+FROM v JOIN t USING (prompt_no, connector, sentiment, position)"""
+
+MANIFEST_INTEGRITY_SQL = f"""
+WITH m AS ({MANIFEST_SQL}),
+tc AS (SELECT prompt_no, connector, sentiment, count(*) AS n_texts FROM ({TEXTS_SQL}) GROUP BY ALL),
+fe AS (SELECT archive_file, max(archive_offset + n) AS file_end FROM m GROUP BY archive_file),
+x AS (
+  SELECT m.*, CAST(coalesce(tc.n_texts, 0) AS BIGINT) AS nt,
+         (EXISTS (SELECT 1 FROM m m2 WHERE m2.archive_file = m.archive_file AND m2.archive_offset = m.archive_offset + m.n)
+          OR m.archive_offset + m.n = fe.file_end) AS contiguous,
+         count(*) OVER (PARTITION BY m.prompt_no, m.connector, m.sentiment) AS copies
+  FROM m JOIN fe USING (archive_file) LEFT JOIN tc USING (prompt_no, connector, sentiment)
+)
+SELECT prompt_no, connector, sentiment, archive_file, archive_offset, n AS n_vectors, nt AS n_texts, contiguous,
+       CASE WHEN copies > 1 THEN 'duplicate_slice' WHEN NOT contiguous THEN 'gap_after'
+            WHEN nt < n THEN 'fewer_texts' WHEN nt > n THEN 'more_texts' ELSE 'ok' END AS status
+FROM x"""
+
+ASSIGN_STEP_SQL = f"""
+  WITH e AS (SELECT label % 3 AS slice, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+  c AS (SELECT slice, v AS cv, row_number() OVER (PARTITION BY slice ORDER BY vec_id) - 1 AS cluster FROM e),
+  d AS (SELECT e.slice, e.vec_id, e.v, c.cluster, {sqdist_sql("e.v", "c.cv")} AS sq_dist
+        FROM e JOIN c ON e.slice = c.slice AND c.cluster < 4)
+  SELECT slice, vec_id, v, cluster, sq_dist FROM (
+    SELECT *, row_number() OVER (PARTITION BY slice, vec_id ORDER BY sq_dist, cluster) AS rn FROM d) WHERE rn = 1"""
+
+KMEANS_ASSIGN_STEP_SQL = f"""
+SELECT slice, vec_id, CAST(cluster AS INTEGER) AS cluster, {r6("sq_dist")} AS sq_dist FROM ({ASSIGN_STEP_SQL})"""
+
+CLUSTER_QUALITY_SQL = f"""
+WITH a AS ({ASSIGN_STEP_SQL}),
+pairs AS (SELECT x.slice, x.vec_id, x.cluster AS own, y.cluster AS oc, {sqdist_sql("x.v", "y.v")} AS d
+          FROM a x JOIN a y ON x.slice = y.slice AND x.vec_id <> y.vec_id),
+md AS (SELECT slice, vec_id, own, oc, avg(d) AS m FROM pairs GROUP BY ALL),
+sz AS (SELECT slice, cluster, count(*) AS n_c FROM a GROUP BY ALL),
+pt AS (
+  SELECT a.slice, a.vec_id, sz.n_c,
+         (SELECT m FROM md WHERE md.slice = a.slice AND md.vec_id = a.vec_id AND md.oc = a.cluster) AS ai,
+         (SELECT min(m) FROM md WHERE md.slice = a.slice AND md.vec_id = a.vec_id AND md.oc <> a.cluster) AS bi
+  FROM a JOIN sz ON sz.slice = a.slice AND sz.cluster = a.cluster
+),
+sil AS (SELECT slice, avg(CASE WHEN n_c <= 1 THEN 0.0 ELSE coalesce((bi - ai) / nullif(greatest(ai, bi), 0), 0.0) END) AS s
+        FROM pt GROUP BY slice),
+cen AS (SELECT slice, cluster, list(av ORDER BY i) AS mu FROM (
+          SELECT slice, cluster, i, avg(v[i]) AS av FROM (SELECT slice, cluster, v, unnest(range(1, len(v) + 1)) AS i FROM a)
+          GROUP BY ALL) GROUP BY ALL),
+gm AS (SELECT slice, list(av ORDER BY i) AS g FROM (
+          SELECT slice, i, avg(v[i]) AS av FROM (SELECT slice, v, unnest(range(1, len(v) + 1)) AS i FROM a) GROUP BY ALL)
+       GROUP BY slice),
+w AS (SELECT a.slice, a.cluster, {sqdist_sql("a.v", "cen.mu")} AS w2, sqrt({sqdist_sql("a.v", "cen.mu")}) AS dd
+      FROM a JOIN cen USING (slice, cluster)),
+cs AS (SELECT slice, cluster, count(*) AS n_c, sum(w2) AS w_c, avg(dd) AS spread FROM w GROUP BY ALL),
+bt AS (SELECT cen.slice, sum(cs.n_c * {sqdist_sql("cen.mu", "gm.g")}) AS b FROM cen JOIN gm USING (slice)
+       JOIN cs USING (slice, cluster) GROUP BY cen.slice),
+dbr AS (SELECT c1.slice, c1.cluster, max((s1.spread + s2.spread) / nullif(sqrt({sqdist_sql("c1.mu", "c2.mu")}), 0)) AS r
+        FROM cen c1 JOIN cen c2 ON c1.slice = c2.slice AND c1.cluster <> c2.cluster
+        JOIN cs s1 ON s1.slice = c1.slice AND s1.cluster = c1.cluster
+        JOIN cs s2 ON s2.slice = c2.slice AND s2.cluster = c2.cluster GROUP BY ALL),
+tot AS (SELECT slice, sum(n_c) AS n, count(*) AS k, sum(w_c) AS wsum FROM cs GROUP BY slice),
+db AS (SELECT slice, sum(coalesce(r, 0.0)) AS rs FROM dbr GROUP BY slice)
+SELECT tot.slice, CAST(n AS BIGINT) AS n, CAST(k AS BIGINT) AS k, {r6("wsum")} AS inertia,
+       CASE WHEN k > 1 AND n > k THEN {r6("sil.s")} END AS silhouette_sqeuclidean,
+       CASE WHEN k > 1 AND n > k THEN {r6("(bt.b / (k - 1)) / nullif(wsum / (n - k), 0)")} END AS calinski_harabasz,
+       CASE WHEN k > 1 AND n > k THEN {r6("coalesce(db.rs, 0.0) / k")} END AS davies_bouldin
+FROM tot JOIN sil USING (slice) JOIN bt USING (slice) LEFT JOIN db USING (slice)"""
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["effect_by_wording"] = effect_sql(EFFECT_BY_WORDING_SRC, ["p_type", "p_brand"], "x", "y",
@@ -436,4 +576,13 @@ def oracle_sql() -> dict[str, str]:
     q["summary_counts"] = SUMMARY_COUNTS_SQL
     q["shape_checks"] = SHAPE_CHECKS_SQL
     q["label_coverage"] = LABEL_COVERAGE_SQL
+    q["axis_projection"] = axis_projection_sql()
+    q["projection_sign"] = PROJECTION_SIGN_SQL
+    q["axis_projection_means"] = axis_projection_sql(_proj_sql(_mean_vec(0), _mean_vec(1)))
+    q["effect_on_projection"] = effect_on_projection_sql()
+    q["slice_manifest"] = MANIFEST_SQL
+    q["slice_read"] = SLICE_READ_SQL
+    q["manifest_integrity"] = MANIFEST_INTEGRITY_SQL
+    q["kmeans_assign_step"] = KMEANS_ASSIGN_STEP_SQL
+    q["cluster_quality"] = CLUSTER_QUALITY_SQL
     return q

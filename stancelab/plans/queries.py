@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 from ..functions.columns import r6
 from ..functions.lists import split_list
 from ..functions.text import first_phrase_label
+from ..operators import axis as ax
 from ..operators import checks as ck
+from ..operators import kmeans as km
+from ..operators import slices as sl
 from ..operators import forecast as fc
 from ..operators import ordering as od
 from ..operators import prompts as pr
@@ -278,6 +281,133 @@ def label_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return docs.join(labels, "doc_id", "left_anti").select("doc_id", "lang")
 
 
+# ------------------------------------------------------------ vectors (P12 P13 P14, Entry 1)
+
+def _embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    return read_table(spark, sf, "embeddings", ["vec_id", "embedding", "label"])
+
+
+def _projected(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector scored on the axis from vector 0 (positive) to vector 1 (negative)."""
+    emb = _embeddings(spark, sf)
+    pos = ax.single_vector(emb.where(F.col("vec_id") == 0), "embedding")
+    neg = ax.single_vector(emb.where(F.col("vec_id") == 1), "embedding")
+    return ax.project(emb, "embedding", pos, neg)
+
+
+def axis_projection(spark: SparkSession, sf: str) -> DataFrame:
+    return _projected(spark, sf).select("vec_id", "label", r6("proj").alias("proj"), "proj_b")
+
+
+def projection_sign(spark: SparkSession, sf: str) -> DataFrame:
+    return _projected(spark, sf).groupBy("label").agg(
+        F.count(F.lit(1)).cast("long").alias("n"),
+        F.count_if(F.col("proj_b") == 1).cast("long").alias("n_positive"),
+        r6(F.avg("proj")).alias("mean_proj"))
+
+
+def axis_projection_means(spark: SparkSession, sf: str) -> DataFrame:
+    """Variant: anchors are the mean vectors of label 0 (positive) and label 1 (negative)."""
+    emb = _embeddings(spark, sf)
+    means = ax.mean_vector_by(emb.where(F.col("label").isin(0, 1)), ["label"], "embedding")
+    pos = means.where(F.col("label") == 0).select("mean_vec").scalar()
+    neg = means.where(F.col("label") == 1).select("mean_vec").scalar()
+    return ax.project(emb, "embedding", pos, neg).select("vec_id", "label", r6("proj").alias("proj"), "proj_b")
+
+
+def effect_on_projection(spark: SparkSession, sf: str) -> DataFrame:
+    """Entry 1 end to end: projection as the outcome, odd vec_id as the prime, label as wording."""
+    proj = _projected(spark, sf).withColumn("x", F.col("vec_id") % 2)
+    eff = two_group_effect(proj, ["label"], "x", "proj")
+    return rounded_effect(eff, ["label"])
+
+
+# ------------------------------------------------ slices
+
+def _archive(spark: SparkSession, sf: str) -> DataFrame:
+    """Embeddings laid out as two archives of contiguous slices: slice = (label, 1, pos|neg by
+    vec_id parity), archive = part1/part2 by label parity, rows sorted by (slice, vec_id)."""
+    emb = _embeddings(spark, sf).select(
+        F.col("label").alias("prompt_no"), F.lit(1).alias("connector"),
+        F.when(F.col("vec_id") % 2 == 0, "pos").otherwise("neg").alias("sentiment"),
+        F.concat(F.lit("part"), (F.col("label") % 2 + 1).cast("string")).alias("archive_file"),
+        "vec_id", "embedding")
+    block = F.struct("prompt_no", "sentiment", F.floor(F.col("vec_id") / 65536))
+    return od.row_index(emb, ["prompt_no", "sentiment", "vec_id"], "row_no", partition=["archive_file"], block=block)
+
+
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as justification texts: slice (doc_id % 10, 1, pos|neg by (doc_id div 10) parity)."""
+    docs = read_table(spark, sf, "documents", ["doc_id", "text"])
+    return docs.select(
+        (F.col("doc_id") % 10).cast("int").alias("prompt_no"), F.lit(1).alias("connector"),
+        F.when((F.floor(F.col("doc_id") / 10) % 2) == 0, "pos").otherwise("neg").alias("sentiment"),
+        F.col("doc_id").alias("justification_no"), F.col("text").alias("justification"))
+
+
+def slice_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    return sl.slice_manifest(_archive(spark, sf))
+
+
+def slice_read(spark: SparkSession, sf: str) -> DataFrame:
+    archive = _archive(spark, sf)
+    vectors = sl.read_slices(archive, sl.slice_manifest(archive))
+    texts = sl.texts_by_position(_texts(spark, sf))
+    return sl.pair_texts(vectors, texts).select(
+        *sl.SLICE_KEYS, F.col("position").cast("long").alias("position"), "vec_id",
+        F.col("justification_no").alias("doc_id"))
+
+
+def manifest_integrity(spark: SparkSession, sf: str) -> DataFrame:
+    archive = _archive(spark, sf)
+    return sl.manifest_integrity(sl.slice_manifest(archive), _texts(spark, sf))
+
+
+# ------------------------------------------------------------------- clustering
+
+def _points(spark: SparkSession, sf: str) -> DataFrame:
+    emb = _embeddings(spark, sf)
+    return emb.select((F.col("label") % 3).alias("slice"), F.col("vec_id").alias("point_id"),
+                      F.col("embedding").cast("array<double>").alias("vec"))
+
+
+def _assign_step(spark: SparkSession, sf: str) -> DataFrame:
+    """One assignment step from fixed starts: the 4 smallest point ids of each slice."""
+    pts = _points(spark, sf)
+    starts = od.first_k(pts, 4, ["point_id"], ["slice"], name="rank")
+    cents = starts.groupBy("slice").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("rank", "vec"))), lambda s: s.getField("vec"))
+        .alias("cents"))
+    return km.assign(pts, cents, ["slice"])
+
+
+def kmeans_assign_step(spark: SparkSession, sf: str) -> DataFrame:
+    return _assign_step(spark, sf).select("slice", F.col("point_id").alias("vec_id"), "cluster",
+                                          r6("sq_dist").alias("sq_dist"))
+
+
+def cluster_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality metrics of the one-step assignment (exact; checked against brute-force pairs)."""
+    m = km.quality_metrics(_assign_step(spark, sf), ["slice"])
+    return rounded(m, ["inertia", "silhouette_sqeuclidean", "calinski_harabasz", "davies_bouldin"])
+
+
+def _kmeans(spark: SparkSession, sf: str):
+    return km.kmeans(_points(spark, sf), ["slice"], k=4, restarts=10, seed=42)
+
+
+def kmeans_grouped(spark: SparkSession, sf: str) -> DataFrame:
+    assigned, _, _ = _kmeans(spark, sf)
+    return assigned.select("slice", F.col("point_id").alias("vec_id"), "cluster")
+
+
+def cluster_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    assigned, _, _ = _kmeans(spark, sf)
+    pts = _points(spark, sf)
+    m = km.quality_metrics(assigned.join(pts, ["slice", "point_id"]), ["slice"])
+    return rounded(m, ["inertia", "silhouette_sqeuclidean", "calinski_harabasz", "davies_bouldin"])
+
+
 def queries() -> dict[str, Query]:
     return {
         "effect_by_wording": effect_by_wording,
@@ -304,4 +434,15 @@ def queries() -> dict[str, Query]:
         "summary_counts": summary_counts,
         "shape_checks": shape_checks,
         "label_coverage": label_coverage,
+        "axis_projection": axis_projection,
+        "projection_sign": projection_sign,
+        "axis_projection_means": axis_projection_means,
+        "effect_on_projection": effect_on_projection,
+        "slice_manifest": slice_manifest,
+        "slice_read": slice_read,
+        "manifest_integrity": manifest_integrity,
+        "kmeans_assign_step": kmeans_assign_step,
+        "cluster_quality": cluster_quality,
+        "kmeans_grouped": kmeans_grouped,
+        "cluster_metrics": cluster_metrics,
     }
