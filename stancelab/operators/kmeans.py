@@ -107,7 +107,7 @@ def _update(points: DataFrame, cents: DataFrame, keys: Sequence[str], vec: str)
     old = cents.select(*keys, "restart", F.posexplode("cents").alias("cluster", "_old"))
     merged = old.join(means, [*keys, "restart", "cluster"], "left").select(
         *keys, "restart", "cluster", "_old",
-        F.coalesce(vector_to_array("_m"), F.col("_old")).alias("_new"))
+        F.when(F.col("_m").isNotNull(), vector_to_array("_m")).otherwise(F.col("_old")).alias("_new"))
     return merged.groupBy(*keys, "restart").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("cluster", "_new"))), lambda s: s.getField("_new"))
         .alias("cents"),

@@ -12,12 +12,13 @@ def r6(expr: str) -> str:
 
 
 def effect_sql(source: str, keys: list[str], x: str, y: str, first: dict[str, str] | None = None,
-               first_order: str = "", z: float = 1.98) -> str:
+               first_order: str = "", z: float = 1.98, raw: bool = False) -> str:
     """Two-group effect of ``x`` on ``y`` per ``keys`` over the CTE body ``source``.
 
     ``first`` maps output name -> source column taken from the first row in
     ``first_order`` order.
     """
+    rnd = (lambda e: e) if raw else r6
     k = ", ".join(keys)
     knn = " AND ".join(f"{c} IS NOT NULL" for c in keys) or "TRUE"
     first = first or {}
@@ -58,8 +59,8 @@ ef AS (
 ),
 bd AS (SELECT *, coef - {z} * se AS lo, coef + {z} * se AS hi FROM ef){first_cte}
 SELECT {", ".join("bd." + c for c in keys)}{first_cols},
-  {r6("coef")} AS coef, {r6("se")} AS se, CAST(n AS BIGINT) AS n,
-  {r6("lo")} AS ci_low, {r6("hi")} AS ci_high,
+  {rnd("coef")} AS coef, {rnd("se")} AS se, CAST(n AS BIGINT) AS n,
+  {rnd("lo")} AS ci_low, {rnd("hi")} AS ci_high,
   CASE WHEN lo > 0 THEN 'liberal' WHEN hi < 0 THEN 'conservative' ELSE 'no_effect' END AS direction
 FROM bd{first_join}
 """
@@ -547,6 +548,28 @@ SELECT tot.slice, CAST(n AS BIGINT) AS n, CAST(k AS BIGINT) AS k, {r6("wsum")} A
 FROM tot JOIN sil USING (slice) JOIN bt USING (slice) LEFT JOIN db USING (slice)"""
 
 
+def coef_panels_sql() -> str:
+    eff = effect_sql(EFFECT_BY_WORDING_SRC, ["p_type", "p_brand"], "x", "y", raw=True)
+    return f"""
+WITH e AS ({eff}),
+t AS (
+  SELECT e.*, CASE WHEN p_type IN ('ECONOMY', 'LARGE', 'MEDIUM', 'SMALL') THEN 'size'
+                   WHEN p_type IN ('PROMO', 'STANDARD') THEN 'line' END AS topic_group,
+         lower(split_part(p_type, ' ', 1)) || ' returned' AS label_1, 'kept' AS label_2
+  FROM e
+),
+tg AS (SELECT * FROM t WHERE topic_group IS NOT NULL),
+fig AS (SELECT topic_group, least(-0.08, min(ci_low) - 0.01) AS y_min, greatest(0.08, max(ci_high) + 0.01) AS y_max,
+               count(DISTINCT (label_1, label_2)) > 1 AS mixed_axes FROM tg GROUP BY topic_group)
+SELECT topic_group, CAST(dense_rank() OVER (PARTITION BY topic_group ORDER BY p_type) AS BIGINT) AS panel_no, p_type,
+       CAST(row_number() OVER (PARTITION BY topic_group, p_type ORDER BY p_brand) - 1 AS BIGINT) AS x_pos, p_brand,
+       {r6("coef")} AS coef, {r6("ci_low")} AS ci_low, {r6("ci_high")} AS ci_high, {r6("coef - ci_low")} AS err_low, {r6("ci_high - coef")} AS err_high, direction,
+       {r6("y_min")} AS y_min, {r6("y_max")} AS y_max, mixed_axes,
+       coalesce(CASE p_type WHEN 'ECONOMY' THEN 'Economy parts' WHEN 'LARGE' THEN 'Large parts' END,
+                upper(substr(lower(p_type), 1, 1)) || substr(lower(p_type), 2)) AS panel_label
+FROM tg JOIN fig USING (topic_group)"""
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["effect_by_wording"] = effect_sql(EFFECT_BY_WORDING_SRC, ["p_type", "p_brand"], "x", "y",
@@ -576,6 +599,7 @@ def oracle_sql() -> dict[str, str]:
     q["summary_counts"] = SUMMARY_COUNTS_SQL
     q["shape_checks"] = SHAPE_CHECKS_SQL
     q["label_coverage"] = LABEL_COVERAGE_SQL
+    q["coef_panels"] = coef_panels_sql()
     q["axis_projection"] = axis_projection_sql()
     q["projection_sign"] = PROJECTION_SIGN_SQL
     q["axis_projection_means"] = axis_projection_sql(_proj_sql(_mean_vec(0), _mean_vec(1)))

@@ -16,6 +16,7 @@ from ..functions.columns import r6
 from ..functions.lists import split_list
 from ..functions.text import first_phrase_label
 from ..operators import axis as ax
+from ..operators import charts as ch
 from ..operators import checks as ck
 from ..operators import kmeans as km
 from ..operators import slices as sl
@@ -24,7 +25,7 @@ from ..operators import ordering as od
 from ..operators import prompts as pr
 from ..operators import text as tx
 from ..operators import significance as sig
-from ..operators.effects import EFFECT_COLUMNS, two_group_effect
+from ..operators.effects import EFFECT_COLUMNS, assign_topic, two_group_effect
 from ..sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -156,6 +157,28 @@ def forecast_check(spark: SparkSession, sf: str) -> DataFrame:
     return fc.count_check(fc.verdict_counts(_forecast(spark, sf)))
 
 
+# ----------------------------------------------------------------- panels
+
+# Fixed parameters of the panel mapping: part types grouped into two figures, with
+# display labels for two of them (the rest fall back to the title-cased type).
+PANEL_TOPICS = {"size": ["ECONOMY", "LARGE", "MEDIUM", "SMALL"], "line": ["PROMO", "STANDARD"]}
+PANEL_LABELS = {"ECONOMY": "Economy parts", "LARGE": "Large parts"}
+
+
+def coef_panels(spark: SparkSession, sf: str) -> DataFrame:
+    """G1 on the flagship table: figure = topic of the part type, panel = type, x = brand."""
+    eff = effect_by_wording_raw(spark, sf)
+    eff = assign_topic(eff, PANEL_TOPICS, key="p_type", name="topic_group")
+    eff = eff.withColumn("label_1", F.concat(F.lower(F.split("p_type", " ").getItem(0)), F.lit(" returned"))) \
+             .withColumn("label_2", F.lit("kept"))
+    panels = ch.coefficient_panels(eff, "topic_group", ["p_type"], ["p_brand"],
+                                   ch.display_label("p_type", PANEL_LABELS))
+    out = panels.select("topic_group", F.col("panel_no").cast("long").alias("panel_no"), "p_type",
+                        F.col("x_pos").cast("long").alias("x_pos"), "p_brand", "coef", "ci_low", "ci_high",
+                        "err_low", "err_high", "direction", "y_min", "y_max", "mixed_axes", "panel_label")
+    return rounded(out, ["coef", "ci_low", "ci_high", "err_low", "err_high", "y_min", "y_max"])
+
+
 # ------------------------------------------------- prompt banks and grid
 
 def region_bank(spark: SparkSession, sf: str) -> DataFrame:
@@ -434,6 +457,7 @@ def queries() -> dict[str, Query]:
         "summary_counts": summary_counts,
         "shape_checks": shape_checks,
         "label_coverage": label_coverage,
+        "coef_panels": coef_panels,
         "axis_projection": axis_projection,
         "projection_sign": projection_sign,
         "axis_projection_means": axis_projection_means,
