@@ -15,8 +15,12 @@ STRIP_PATTERN = f"^[{PY_WHITESPACE}]+|[{PY_WHITESPACE}]+$"
 
 
 def py_strip(c: str | Column) -> Column:
-    """Strip leading/trailing whitespace like Python (Spark ``trim`` removes spaces only)."""
-    return F.regexp_replace(col(c), STRIP_PATTERN, "")
+    """Strip leading/trailing whitespace like Python (Spark ``trim`` removes spaces only).
+
+    ``btrim`` with the whitespace set only touches the two ends of the text, where a
+    regular expression would be tried at every position of a long document.
+    """
+    return F.btrim(col(c), F.lit(PY_WHITESPACE))
 
 
 # The ordered wording rules that label a prompt ending.

@@ -52,9 +52,14 @@ def _argmin(arr: Column) -> Column:
     return F.coalesce((F.array_position(arr, F.array_min(arr)) - 1).cast("int"), F.lit(-1))
 
 
-def assign(points: DataFrame, centroids: DataFrame, keys: Sequence[str], vec: str = "vec") -> DataFrame:
-    """Nearest centroid per point (and restart): adds ``cluster`` and ``sq_dist``."""
-    j = points.join(centroids, list(keys))
+def assign(points: DataFrame, centroids: DataFrame, keys: Sequence[str], vec: str = "vec",
+           broadcast_centroids: bool = False) -> DataFrame:
+    """Nearest centroid per point (and restart): adds ``cluster`` and ``sq_dist``.
+
+    ``broadcast_centroids`` is set by callers that have bounded the centroid table's
+    size; the points then stream through the join in their own partitions.
+    """
+    j = points.join(F.broadcast(centroids) if broadcast_centroids else centroids, list(keys))
     d = _sq_dists(F.col(vec), F.col("cents"))
     return (j.withColumn("_d", d)
             .withColumn("cluster", _argmin(F.col("_d")))
@@ -78,7 +83,7 @@ def _checkpoint(df: DataFrame) -> DataFrame:
 
 
 def init_centroids(points: DataFrame, keys: Sequence[str], k: int, restarts: int, seed: int,
-                   vec: str = "vec", point_id: str = "point_id") -> DataFrame:
+                   vec: str = "vec", point_id: str = "point_id", broadcast_centroids: bool = False) -> DataFrame:
     """Seeded k-means++ starts for every (slice, restart): (keys..., restart, cents)."""
     keys = list(keys)
     rs = F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))).alias("restart")
@@ -88,7 +93,7 @@ def init_centroids(points: DataFrame, keys: Sequence[str], k: int, restarts: int
                                       F.col(point_id))).alias("_c"))
     cents = _checkpoint(first.select(*keys, "restart", F.array("_c").alias("cents")))
     for step in range(1, k):
-        j = points.join(cents, keys)
+        j = points.join(F.broadcast(cents) if broadcast_centroids else cents, keys)
         dmin = F.array_min(_sq_dists(F.col(vec), F.col("cents")))
         u = _uniform(F.col(point_id), F.lit(seed), F.col("restart"), F.lit(step))
         race = F.when(dmin > 0, -F.log(u) / dmin).otherwise(F.lit(float("inf")))
@@ -99,9 +104,21 @@ def init_centroids(points: DataFrame, keys: Sequence[str], k: int, restarts: int
     return cents
 
 
-def _update(points: DataFrame, cents: DataFrame, keys: Sequence[str], vec: str) -> DataFrame:
+def centroid_table_fits(spark, n_slices: int, restarts: int, k: int, dim: int) -> bool:
+    """Exact size bound of the centroid table (slices x restarts x k x dim doubles)
+    against the session's broadcast threshold; above it the join is left to the planner."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    try:
+        limit_bytes = int(str(limit).lower().rstrip("b"))
+    except ValueError:
+        limit_bytes = 10 * 1024 * 1024
+    return limit_bytes > 0 and n_slices * restarts * k * dim * 8 <= limit_bytes
+
+
+def _update(points: DataFrame, cents: DataFrame, keys: Sequence[str], vec: str,
+            broadcast_centroids: bool = False) -> DataFrame:
     """One Lloyd step: assign, then mean per cluster; empty clusters keep their centre."""
-    a = assign(points, cents, keys, vec)
+    a = assign(points, cents, keys, vec, broadcast_centroids)
     means = (a.select(*keys, "restart", "cluster", array_to_vector(F.col(vec)).alias("_v"))
              .groupBy(*keys, "restart", "cluster").agg(Summarizer.mean(F.col("_v")).alias("_m")))
     old = cents.select(*keys, "restart", F.posexplode("cents").alias("cluster", "_old"))
@@ -129,16 +146,23 @@ def kmeans(points: DataFrame, keys: Sequence[str], k: int = 4, restarts: int = 1
     slice (lowest inertia, then lowest restart number).
     """
     keys = list(keys)
-    pts = points.select(*keys, point_id, F.col(vec).cast("array<double>").alias(vec)).persist()
+    spark = points.sparkSession
+    pts = points.select(*keys, point_id, F.col(vec).cast("array<double>").alias(vec))
+    parallelism = spark.sparkContext.defaultParallelism
+    if pts.rdd.getNumPartitions() < parallelism:
+        pts = pts.repartition(parallelism)   # spread the distance work once, before iterating
+    pts = pts.persist()
+    shape = pts.agg(F.count_distinct(F.struct(*keys)).alias("s"), F.max(F.size(vec)).alias("d")).first()
+    bcast = centroid_table_fits(spark, shape["s"] or 0, restarts, k, shape["d"] or 0)
     spread = (pts.select(*keys, array_to_vector(F.col(vec)).alias("_v")).groupBy(*keys)
               .agg(Summarizer.variance(F.col("_v")).alias("_var"))
               .select(*keys, (F.lit(tol) * F.aggregate(vector_to_array("_var"), F.lit(0.0), lambda a, x: a + x)
                               / F.size(vector_to_array("_var"))).alias("_tol")))
     spread = _checkpoint(spread)
-    cents = init_centroids(pts, keys, k, restarts, seed, vec, point_id)
+    cents = init_centroids(pts, keys, k, restarts, seed, vec, point_id, bcast)
     previous = None
     for step in range(max_iter):
-        upd = _update(pts, cents, keys, vec)
+        upd = _update(pts, cents, keys, vec, bcast)
         upd = _checkpoint(upd) if step % checkpoint_every == checkpoint_every - 1 else upd.persist()
         worst = upd.join(spread, keys).agg(F.max(F.col("_shift") - F.col("_tol"))).first()[0]
         if previous is not None:
@@ -147,7 +171,7 @@ def kmeans(points: DataFrame, keys: Sequence[str], k: int = 4, restarts: int = 1
         cents = upd.drop("_shift")
         if worst is None or worst <= 0:
             break
-    final = assign(pts, cents, keys, vec)
+    final = assign(pts, cents, keys, vec, bcast)
     inertia = final.groupBy(*keys, "restart").agg(F.sum("sq_dist").alias("inertia"))
     best = inertia.groupBy(*keys).agg(F.min_by("restart", F.struct("inertia", "restart")).alias("restart"))
     chosen = final.join(best, [*keys, "restart"])

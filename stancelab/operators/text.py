@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ordering import first_k
@@ -26,6 +26,10 @@ EXTRA_PATTERNS: tuple[tuple[str, str], ...] = (
     ("token_assignment", "token = \"[0-9a-f]+\""),
     ("email", "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}"),
 )
+# A literal every match of a pattern contains (keyed by the pattern itself): texts
+# without it skip the regular expression.
+PATTERN_HINTS = {rx: hint for (_, rx), hint in zip(STUDY_PATTERNS + EXTRA_PATTERNS,
+                                                   (":/", "sk-", "/home/", "token = ", "@"))}
 
 # Fixed value: the cluster-labelling prompt template.
 LABEL_PROMPT_TEMPLATE = (
@@ -42,7 +46,13 @@ def pattern_hits(df: DataFrame, text: str, id_cols: Sequence[str],
                  patterns: Sequence[tuple[str, str]] = STUDY_PATTERNS + EXTRA_PATTERNS) -> DataFrame:
     """(ids..., pattern, hits) for every text with at least one match of a pattern."""
     t = F.coalesce(F.col(text), F.lit(""))
-    cells = F.array(*[F.struct(F.lit(name).alias("pattern"), F.regexp_count(t, F.lit(rx)).alias("hits"))
+
+    def count(name: str, rx: str) -> Column:
+        hits = F.regexp_count(t, F.lit(rx))
+        hint = PATTERN_HINTS.get(rx)
+        return F.when(F.instr(t, hint) > 0, hits).otherwise(F.lit(0)) if hint else hits
+
+    cells = F.array(*[F.struct(F.lit(name).alias("pattern"), count(name, rx).alias("hits"))
                       for name, rx in patterns])
     return (df.select(*id_cols, F.explode(cells).alias("h"))
             .where(F.col("h.hits") > 0)

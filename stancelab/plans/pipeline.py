@@ -109,8 +109,23 @@ def clusters_flow(archive: DataFrame, manifest: DataFrame, texts: DataFrame, k:
     }
 
 
+# O1: coefficient rows are written in (issue, issue key, question) order.
+SINK_ORDER = {
+    "coefficients": ("issue_no", "issue_no_key", "question_no"),
+    "coefficients_by_topic": ("issue_no", "issue_no_key", "question_no"),
+    "forecast": ("issue_no", "issue_no_key", "question_no"),
+}
+
+
 def write_outputs(outputs: Mapping[str, DataFrame], out_dir: str, fmt: str = "parquet") -> None:
-    """Land every output; the per-topic coefficient table is partitioned by topic."""
+    """Land every output; the per-topic coefficient table is partitioned by topic.
+
+    Ordered outputs are range-partitioned and sorted (a distributed sort) or, when
+    split by topic, sorted inside each topic's files.
+    """
     for name, df in outputs.items():
         parts = ["topic_group"] if name == "coefficients_by_topic" else []
+        order = [c for c in SINK_ORDER.get(name, ()) if c in df.columns]
+        if order:
+            df = df.repartition(*parts).sortWithinPartitions(*parts, *order) if parts else df.orderBy(*order)
         write_table(df, os.path.join(out_dir, name), fmt=fmt, partition_by=parts)

@@ -115,3 +115,16 @@ def file_inventory(spark: SparkSession, vectors_path: str, texts_path: str | Non
              .withColumn("_stem", F.regexp_extract("text_file", r"^(.*?)\.[A-Za-z0-9.]+$", 1)))
     return (inv.join(texts, "_stem", "left")
             .withColumn("text_file", F.coalesce("text_file", F.lit(""))).drop("_stem"))
+
+
+def slice_points_from_files(spark: SparkSession, vectors_path: str, vector_col: str = "embedding") -> DataFrame:
+    """The per-slice vector files as clustering input - slice keys parsed from each
+    file name and ``position`` = the row's index inside its file (``_metadata.row_index``),
+    so the positional text join (J5) works without any driver-side file loop."""
+    df = spark.read.parquet(vectors_path).select(
+        F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("position"),
+        F.col(vector_col).alias("embedding"))
+    df = df.where(F.col("_file").rlike(VECTOR_FILE_PATTERN))
+    parts = [F.regexp_extract("_file", VECTOR_FILE_PATTERN, i) for i in (1, 2, 3)]
+    return df.select(parts[1].cast("int").alias("prompt_no"), parts[2].cast("int").alias("connector"),
+                     parts[0].alias("sentiment"), F.col("position").cast("long").alias("position"), "embedding")

@@ -127,3 +127,17 @@ def test_file_inventory_and_landing(spark):
     assert sorted((r.a, r.b) for r in landed.collect()) == [("1", "x, y"), ("2", "z")]
     fl.write_summary(fl.summary_row(spark, {"rows": 2, "files": 1}), os.path.join(d, "summary"))
     assert spark.read.json(os.path.join(d, "summary")).columns == ["files", "rows"]
+
+
+def test_points_from_files_and_limit(spark):
+    d = tempfile.mkdtemp(prefix="pts-")
+    pd.DataFrame({"embedding": [[float(i), 1.0] for i in range(5)]}).to_parquet(
+        os.path.join(d, "pos_embed_7_2_2_fin.parquet"))
+    pts = sorted((r.prompt_no, r.connector, r.sentiment, r.position, r.embedding[0])
+                 for r in fl.slice_points_from_files(spark, d).collect())
+    assert pts == [(7, 2, "pos", i, float(i)) for i in range(5)]
+    from stancelab.operators.prompts import justification_prompts
+    resp = spark.createDataFrame([(p, c, "fp", f"c{p}{c}") for p in range(3) for c in range(4)],
+                                 "prompt_no int, completion_no int, full_prompt string, completion string")
+    head = [r.justification_prompt for r in justification_prompts(resp, limit=5).collect()]
+    assert head == [f"fp c{p}{c}. This is because" for p, c in [(0, 0), (0, 1), (0, 2), (0, 3), (1, 0)]]
