@@ -82,25 +82,42 @@ def _checkpoint(df: DataFrame) -> DataFrame:
     return out
 
 
+def _pick(scored: DataFrame, keys: Sequence[str], point_id: str) -> DataFrame:
+    """Per (slice, restart): the point with the smallest ``_score``, ties to the smallest id.
+
+    Two hash aggregates over a narrow (keys, restart, id, score) table - no sort of
+    the vector-carrying rows, which a struct-ordered ``min_by`` would need.
+    """
+    best = scored.groupBy(*keys, "restart").agg(F.min("_score").alias("_best"))
+    ties = scored.join(best, [*keys, "restart"]).where(F.col("_score") == F.col("_best"))
+    return ties.groupBy(*keys, "restart").agg(F.min(point_id).alias(point_id))
+
+
 def init_centroids(points: DataFrame, keys: Sequence[str], k: int, restarts: int, seed: int,
                    vec: str = "vec", point_id: str = "point_id", broadcast_centroids: bool = False) -> DataFrame:
     """Seeded k-means++ starts for every (slice, restart): (keys..., restart, cents)."""
     keys = list(keys)
     rs = F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))).alias("restart")
-    base = points.select(*keys, point_id, vec, rs)
-    first = base.groupBy(*keys, "restart").agg(
-        F.min_by(F.col(vec), F.struct(_uniform(F.col(point_id), F.lit(seed), F.col("restart"), F.lit(0)),
-                                      F.col(point_id))).alias("_c"))
-    cents = _checkpoint(first.select(*keys, "restart", F.array("_c").alias("cents")))
-    for step in range(1, k):
-        j = points.join(F.broadcast(cents) if broadcast_centroids else cents, keys)
-        dmin = F.array_min(_sq_dists(F.col(vec), F.col("cents")))
-        u = _uniform(F.col(point_id), F.lit(seed), F.col("restart"), F.lit(step))
-        race = F.when(dmin > 0, -F.log(u) / dmin).otherwise(F.lit(float("inf")))
-        nxt = j.groupBy(*keys, "restart").agg(
-            F.first("cents").alias("_old"),
-            F.min_by(F.col(vec), F.struct(race, F.col(point_id))).alias("_c"))
-        cents = _checkpoint(nxt.select(*keys, "restart", F.concat("_old", F.array("_c")).alias("cents")))
+    vectors = points.select(*keys, point_id, vec)
+    cents = None
+    for step in range(k):
+        if cents is None:
+            base = points.select(*keys, point_id, rs)
+            score = _uniform(F.col(point_id), F.lit(seed), F.col("restart"), F.lit(0))
+        else:
+            base = points.join(F.broadcast(cents) if broadcast_centroids else cents, keys)
+            dmin = F.array_min(_sq_dists(F.col(vec), F.col("cents")))
+            u = _uniform(F.col(point_id), F.lit(seed), F.col("restart"), F.lit(step))
+            score = F.when(dmin > 0, -F.log(u) / dmin).otherwise(F.lit(float("inf")))
+        scored = base.select(*keys, "restart", point_id, score.alias("_score")).persist()
+        chosen = _pick(scored, keys, point_id).join(vectors, [*keys, point_id])
+        if cents is None:
+            nxt = chosen.select(*keys, "restart", F.array(vec).alias("cents"))
+        else:
+            nxt = cents.join(chosen, [*keys, "restart"]).select(
+                *keys, "restart", F.concat("cents", F.array(vec)).alias("cents"))
+        cents = _checkpoint(nxt)
+        scored.unpersist()
     return cents
 
 
@@ -115,32 +132,38 @@ def centroid_table_fits(spark, n_slices: int, restarts: int, k: int, dim: int) -
     return limit_bytes > 0 and n_slices * restarts * k * dim * 8 <= limit_bytes
 
 
-def _update(points: DataFrame, cents: DataFrame, keys: Sequence[str], vec: str,
+def _update(points: DataFrame, cents: DataFrame, keys: Sequence[str], vec: str, k: int,
             broadcast_centroids: bool = False) -> DataFrame:
-    """One Lloyd step: assign, then mean per cluster; empty clusters keep their centre."""
+    """One Lloyd step in one aggregation: for every (slice, restart) the k cluster means
+    are k weighted ``Summarizer.mean`` aggregates (weight 1 for the cluster's points),
+    so a step costs a single shuffle of partial aggregates; an empty cluster keeps its
+    centre.  The per-(slice, restart) result then joins the old centres."""
+    keys = list(keys)
     a = assign(points, cents, keys, vec, broadcast_centroids)
-    means = (a.select(*keys, "restart", "cluster", array_to_vector(F.col(vec)).alias("_v"))
-             .groupBy(*keys, "restart", "cluster").agg(Summarizer.mean(F.col("_v")).alias("_m")))
-    old = cents.select(*keys, "restart", F.posexplode("cents").alias("cluster", "_old"))
-    merged = old.join(means, [*keys, "restart", "cluster"], "left").select(
-        *keys, "restart", "cluster", "_old",
-        F.when(F.col("_m").isNotNull(), vector_to_array("_m")).otherwise(F.col("_old")).alias("_new"))
-    return merged.groupBy(*keys, "restart").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("cluster", "_new"))), lambda s: s.getField("_new"))
-        .alias("cents"),
-        F.sum(sq_dist("_old", "_new")).alias("_shift"))
+    a = a.select(*keys, "restart", "cluster", array_to_vector(F.col(vec)).alias("_v"))
+    aggs = []
+    for c in range(k):
+        hit = F.col("cluster") == c
+        aggs += [Summarizer.mean(F.col("_v"), F.when(hit, F.lit(1.0)).otherwise(F.lit(0.0))).alias(f"_m{c}"),
+                 F.count_if(hit).alias(f"_n{c}")]
+    g = a.groupBy(*keys, "restart").agg(*aggs)
+    j = cents.join(g, [*keys, "restart"], "left")
+    new = F.array(*[F.when(F.col(f"_n{c}") > 0, vector_to_array(F.col(f"_m{c}"))).otherwise(F.get("cents", c))
+                    for c in range(k)])
+    return j.select(*keys, "restart", new.alias("_new"), F.col("cents").alias("_old")).select(
+        *keys, "restart", F.col("_new").alias("cents"),
+        array_sum(F.zip_with("_old", "_new", lambda o, n: sq_dist(o, n))).alias("_shift"))
 
 
 def kmeans(points: DataFrame, keys: Sequence[str], k: int = 4, restarts: int = 10, seed: int = 42,
-           max_iter: int = 100, tol: float = 1e-4, vec: str = "vec", point_id: str = "point_id",
-           checkpoint_every: int = 4):
+           max_iter: int = 100, tol: float = 1e-4, vec: str = "vec", point_id: str = "point_id"):
     """Cluster every slice; returns (assignments, centroids, inertia per slice and restart).
 
     A (slice, restart) has converged when the summed squared centre shift of a step
     is at most ``tol`` x the slice's mean feature variance; the loop stops when all
     have converged or after ``max_iter`` steps.  Each step costs one job and one
-    one-number action; every ``checkpoint_every`` steps the centroids are written to
-    the checkpoint directory, so lineage never spans more than that many steps.
+    one-number action; every step's centroids are written to the checkpoint
+    directory, so lineage and plan size stay constant.
 
     ``assignments``: keys..., point_id, cluster, sq_dist for the best restart of each
     slice (lowest inertia, then lowest restart number).
@@ -159,16 +182,15 @@ def kmeans(points: DataFrame, keys: Sequence[str], k: int = 4, restarts: int = 1
               .select(*keys, (F.lit(tol) * F.aggregate(vector_to_array("_var"), F.lit(0.0), lambda a, x: a + x)
                               / F.size(vector_to_array("_var"))).alias("_tol")))
     spread = _checkpoint(spread)
+    checkpoint_dir(spark)
     cents = init_centroids(pts, keys, k, restarts, seed, vec, point_id, bcast)
-    previous = None
-    for step in range(max_iter):
-        upd = _update(pts, cents, keys, vec, bcast)
-        upd = _checkpoint(upd) if step % checkpoint_every == checkpoint_every - 1 else upd.persist()
-        worst = upd.join(spread, keys).agg(F.max(F.col("_shift") - F.col("_tol"))).first()[0]
-        if previous is not None:
-            previous.unpersist()
-        previous = upd
-        cents = upd.drop("_shift")
+    for _ in range(max_iter):
+        upd = _update(pts, cents, keys, vec, k, bcast).persist()
+        worst = upd.join(F.broadcast(spread), keys).agg(F.max(F.col("_shift") - F.col("_tol"))).first()[0]
+        # a step refers to the previous centres twice, so without a cut the plan doubles
+        # every step; the reliable checkpoint (written from the cache) keeps it constant
+        cents = upd.drop("_shift").checkpoint(eager=True)
+        upd.unpersist()
         if worst is None or worst <= 0:
             break
     final = assign(pts, cents, keys, vec, bcast)
@@ -216,15 +238,14 @@ def quality_metrics(assigned: DataFrame, keys: Sequence[str], vec: str = "vec")
         F.coalesce(F.try_divide(b_i - a_i, F.greatest(a_i, b_i)), F.lit(0.0)))
     own_c = F.get(F.filter("cl", lambda c: c.getField("cluster") == F.col("cluster")), 0).getField("centroid")
     per_point = pts.withColumn("_sums", sums).select(
-        *keys, "cluster", "n", "k", "cl", s_i.alias("_s"),
+        *keys, "cluster", s_i.alias("_s"),
         sq_dist(x, own_c).alias("_w"), F.sqrt(sq_dist(x, own_c)).alias("_dist"))
+    # numeric-only aggregates (hash-based); the small per-slice cluster table is joined back after
     by_cluster = per_point.groupBy(*keys, "cluster").agg(
-        F.first("n").alias("n"), F.first("k").alias("k"), F.first("cl").alias("cl"),
         F.sum("_s").alias("_s_sum"), F.sum("_w").alias("_w_sum"), F.avg("_dist").alias("_spread"))
     agg = by_cluster.groupBy(*keys).agg(
-        F.first("n").alias("n"), F.first("k").alias("k"), F.first("cl").alias("cl"),
         F.sum("_s_sum").alias("_s_tot"), F.sum("_w_sum").alias("W"),
-        F.sort_array(F.collect_list(F.struct("cluster", "_spread"))).alias("_sp"))
+        F.sort_array(F.collect_list(F.struct("cluster", "_spread"))).alias("_sp")).join(per_slice, keys)
     n = F.col("n").cast("double")
     k = F.col("k").cast("double")
     grand = F.transform(
