@@ -134,22 +134,20 @@ def centroid_table_fits(spark, n_slices: int, restarts: int, k: int, dim: int) -
 
 def _update(points: DataFrame, cents: DataFrame, keys: Sequence[str], vec: str, k: int,
             broadcast_centroids: bool = False) -> DataFrame:
-    """One Lloyd step in one aggregation: for every (slice, restart) the k cluster means
-    are k weighted ``Summarizer.mean`` aggregates (weight 1 for the cluster's points),
-    so a step costs a single shuffle of partial aggregates; an empty cluster keeps its
-    centre.  The per-(slice, restart) result then joins the old centres."""
+    """One Lloyd step: assign, mean per (slice, restart, cluster), new centre arrays; an
+    empty cluster keeps its centre.  Means are grouped by cluster (a weighted
+    ``Summarizer`` per cluster would fail on a cluster left empty), packed per
+    (slice, restart) and joined to the old centres."""
     keys = list(keys)
     a = assign(points, cents, keys, vec, broadcast_centroids)
-    a = a.select(*keys, "restart", "cluster", array_to_vector(F.col(vec)).alias("_v"))
-    aggs = []
-    for c in range(k):
-        hit = F.col("cluster") == c
-        aggs += [Summarizer.mean(F.col("_v"), F.when(hit, F.lit(1.0)).otherwise(F.lit(0.0))).alias(f"_m{c}"),
-                 F.count_if(hit).alias(f"_n{c}")]
-    g = a.groupBy(*keys, "restart").agg(*aggs)
-    j = cents.join(g, [*keys, "restart"], "left")
-    new = F.array(*[F.when(F.col(f"_n{c}") > 0, vector_to_array(F.col(f"_m{c}"))).otherwise(F.get("cents", c))
-                    for c in range(k)])
+    means = (a.select(*keys, "restart", "cluster", array_to_vector(F.col(vec)).alias("_v"))
+             .groupBy(*keys, "restart", "cluster").agg(Summarizer.mean(F.col("_v")).alias("_m")))
+    packed = means.groupBy(*keys, "restart").agg(
+        F.collect_list(F.struct("cluster", vector_to_array("_m").alias("m"))).alias("_ms"))
+    j = cents.join(packed, [*keys, "restart"], "left")
+    new = F.array(*[F.coalesce(
+        F.get(F.filter(F.coalesce("_ms", F.array()), lambda m: m.getField("cluster") == c), 0).getField("m"),
+        F.get("cents", c)) for c in range(k)])
     return j.select(*keys, "restart", new.alias("_new"), F.col("cents").alias("_old")).select(
         *keys, "restart", F.col("_new").alias("cents"),
         array_sum(F.zip_with("_old", "_new", lambda o, n: sq_dist(o, n))).alias("_shift"))
