@@ -139,11 +139,11 @@ def assign_topic(df: DataFrame, topics: dict[str, Sequence[int]] | DataFrame,
                  key: str = "issue_no", name: str = "topic_group") -> DataFrame:
     """Attach a topic group to each row whose ``key`` is listed (semi-join semantics).
 
-    ``topics`` is a small fixed mapping; it is turned into a literal map lookup, so
-    no join (and no shuffle) is planned at all.
+    A fixed mapping becomes a literal map lookup, so no join is planned at all; a
+    topics DataFrame is joined without a hint (AQE broadcasts it only if small).
     """
     if isinstance(topics, DataFrame):
-        return df.join(F.broadcast(topics), on=key, how="inner")
+        return df.join(topics, on=key, how="inner")
     pairs = [(k, g) for g, ks in topics.items() for k in ks]
     lookup = F.create_map(*[F.lit(v) for k, g in pairs for v in (k, g)])
     return df.withColumn(name, F.element_at(lookup, F.col(key)) if pairs else F.lit(None)) \

@@ -96,19 +96,29 @@ def issue_verdicts(forecast: DataFrame, issue_key: Sequence[str], verdict: str =
 def forecast_tests(forecast: DataFrame, issue_key: Sequence[str], p: float = 0.5,
                    verdict: str = "derived_forecast_result") -> DataFrame:
     """Exact binomial tests at prompt and issue level, counting no_effect as wrong
-    or excluding it.  Four rows: level, null_handling, correct, total, p_value_greater."""
-    levels = [("prompt", forecast.select(verdict)),
-              ("issue", issue_verdicts(forecast, issue_key, verdict).select(verdict))]
-    rows = None
-    for level, df in levels:
-        c = df.agg(F.count_if(F.col(verdict) == "correct").alias("c"),
-                   F.count_if(F.col(verdict) == "wrong").alias("w"),
-                   F.count(F.lit(1)).alias("t"))
-        two = c.select(F.explode(F.array(
-            F.struct(F.lit(level).alias("level"), F.lit("count_null_as_wrong").alias("null_handling"),
-                     F.col("c").cast("long").alias("correct"), F.col("t").cast("long").alias("total")),
-            F.struct(F.lit(level).alias("level"), F.lit("exclude_null").alias("null_handling"),
-                     F.col("c").cast("long").alias("correct"), (F.col("c") + F.col("w")).cast("long").alias("total")),
-        )).alias("r")).select("r.*")
-        rows = two if rows is None else rows.unionByName(two)
+    or excluding it.  Four rows: level, null_handling, correct, total, p_value_greater.
+
+    One per-issue aggregate feeds both levels: prompt-level counts are its sums and
+    the issue verdicts (see :func:`issue_verdicts`) are read off the same rows.
+    """
+    per_issue = forecast.groupBy(*issue_key).agg(
+        F.count_if(F.col(verdict) == "correct").alias("_c"),
+        F.count_if(F.col(verdict) == "wrong").alias("_w"),
+        F.count(F.lit(1)).alias("_t"))
+    t = per_issue.agg(
+        F.sum("_c").alias("pc"), F.sum("_w").alias("pw"), F.sum("_t").alias("pt"),
+        F.count_if(F.col("_c") > F.col("_w")).alias("ic"), F.count_if(F.col("_w") > F.col("_c")).alias("iw"),
+        F.count(F.lit(1)).alias("it"))
+
+    def row(level: str, handling: str, correct: str, total: Column) -> Column:
+        return F.struct(F.lit(level).alias("level"), F.lit(handling).alias("null_handling"),
+                        F.coalesce(F.col(correct), F.lit(0)).cast("long").alias("correct"),
+                        F.coalesce(total, F.lit(0)).cast("long").alias("total"))
+
+    rows = t.select(F.explode(F.array(
+        row("prompt", "count_null_as_wrong", "pc", F.col("pt")),
+        row("prompt", "exclude_null", "pc", F.col("pc") + F.col("pw")),
+        row("issue", "count_null_as_wrong", "ic", F.col("it")),
+        row("issue", "exclude_null", "ic", F.col("ic") + F.col("iw")),
+    )).alias("r")).select("r.*")
     return binomial_test(rows, "correct", "total", p)

@@ -184,7 +184,8 @@ def kmeans(points: DataFrame, keys: Sequence[str], k: int = 4, restarts: int = 1
     cents = init_centroids(pts, keys, k, restarts, seed, vec, point_id, bcast)
     for _ in range(max_iter):
         upd = _update(pts, cents, keys, vec, k, bcast).persist()
-        worst = upd.join(F.broadcast(spread), keys).agg(F.max(F.col("_shift") - F.col("_tol"))).first()[0]
+        tol_tab = F.broadcast(spread) if bcast else spread
+        worst = upd.join(tol_tab, keys).agg(F.max(F.col("_shift") - F.col("_tol"))).first()[0]
         # a step refers to the previous centres twice, so without a cut the plan doubles
         # every step; the reliable checkpoint (written from the cache) keeps it constant
         cents = upd.drop("_shift").checkpoint(eager=True)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, safe_div
@@ -120,10 +120,10 @@ def bar_segments(bars: DataFrame, group: Column | None = None, domain: str = "do
     the largest total of the bar's own domain.
     """
     g = group if group is not None else F.col(domain)
-    with_group = bars.withColumn("figure_group", g)
-    fig_max = with_group.groupBy("figure_group").agg(F.max("total").alias("_fig_max"))
-    dom_max = with_group.groupBy(domain).agg(F.max("total").alias("_dom_max"))
-    j = with_group.join(fig_max, "figure_group").join(dom_max, domain)
+    # bars are one row per (domain, category): windows over them sort only those rows
+    j = (bars.withColumn("figure_group", g)
+         .withColumn("_fig_max", F.max("total").over(Window.partitionBy("figure_group")))
+         .withColumn("_dom_max", F.max("total").over(Window.partitionBy(domain))))
     lib = F.col("liberal").cast("double")
     con = F.col("conservative").cast("double")
     return j.select(
