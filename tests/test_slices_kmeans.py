@@ -105,3 +105,39 @@ def test_quality_metrics_brute_force(spark):
     db = sum(max((spread[i] + spread[j]) / math.sqrt(d2(cents[i], cents[j])) for j in range(3) if j != i)
              for i in range(3)) / 3
     assert abs(got.davies_bouldin - db) < 1e-12
+
+
+def test_clusters_flow_end_to_end(spark):
+    from stancelab.plans.pipeline import clusters_flow
+    random.seed(5)
+    centres = [(0, 0), (10, 10)]
+    arch_rows, man_rows, text_rows = [], [], []
+    offset = 0
+    for prompt_no, sentiment, n in ((1, "pos", 12), (1, "neg", 10), (2, "pos", 8)):
+        for i in range(n):
+            c = centres[i % 2]
+            arch_rows.append(("part1", offset + i, [c[0] + random.gauss(0, 0.2), c[1] + random.gauss(0, 0.2)]))
+        man_rows.append((prompt_no, 1, sentiment, "part1", offset, n))
+        offset += n
+        if prompt_no == 1:   # slice 2 has no texts at all; slice (1, pos) gets two extra texts
+            extra = 2 if sentiment == "pos" else 0
+            text_rows += [(prompt_no, 1, sentiment, j, f"{sentiment}{j}") for j in range(n + extra)]
+    arch = spark.createDataFrame(arch_rows, ARCHIVE)
+    man = spark.createDataFrame(man_rows, MANIFEST)
+    texts = spark.createDataFrame(text_rows, TEXTS)
+    out = clusters_flow(arch, man, texts, k=2, restarts=2, seed=3, examples_per_cluster=3)
+    assigned = out["assignments"].collect()
+    assert len(assigned) == 22                 # texts pair with vectors; extra texts dropped
+    for s in ("pos", "neg"):
+        groups = {}
+        for r in assigned:
+            if r.sentiment == s:
+                groups.setdefault(r.cluster, set()).add(r.point_id % 2)
+        assert sorted(len(v) for v in groups.values()) == [1, 1]
+    metrics = {(r.prompt_no, r.sentiment): r for r in out["metrics"].collect()}
+    assert len(metrics) == 3 and metrics[(1, "pos")].silhouette_sqeuclidean > 0.9
+    integ = {(r.prompt_no, r.sentiment): r.status for r in out["integrity"].collect()}
+    assert integ == {(1, "pos"): "more_texts", (1, "neg"): "ok", (2, "pos"): "fewer_texts"}
+    prompts = out["labelling_prompts"].collect()
+    assert len(prompts) == 4 and all(p.labeling_prompt.count("\n- ") == 3 for p in prompts)
+    assert out["summary"].first().cache_files == 3
