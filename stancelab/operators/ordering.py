@@ -5,7 +5,8 @@ A window with ``orderBy`` and no ``partitionBy`` moves every row into one task.
 order, e.g. ``id div 65536``):
 
 1. block totals: one partial/final aggregate;
-2. block offsets: a running sum over the block table only (#rows / block width);
+2. block offsets: a running sum over the block table only (#rows / block width),
+   itself split into super-blocks when the block key is integral;
 3. within-block running sums: a window partitioned by block, so one task holds
    at most one block;
 4. offsets joined back on the block key.
@@ -30,9 +31,30 @@ def default_block(order_col: str | Column, width: int = DEFAULT_BLOCK_WIDTH) ->
     return F.floor(col(order_col).cast("double") / F.lit(float(width))).cast("long")
 
 
+def _block_offsets(totals: DataFrame, part: list[str], fanout: int) -> DataFrame:
+    """Exclusive running sum of ``_blk_total`` over ``_blk`` within ``part``.
+
+    An integral block key is grouped once more into super-blocks of ``fanout``
+    blocks, so no window ever sorts more than ``fanout`` blocks or the (N / width /
+    fanout)-row super-block table.
+    """
+    before = Window.unboundedPreceding
+    if dict(totals.dtypes)["_blk"] not in ("bigint", "int", "smallint", "tinyint"):
+        w = Window.partitionBy(*part).orderBy("_blk").rowsBetween(before, -1)
+        return totals.select(*part, "_blk", F.coalesce(F.sum("_blk_total").over(w), F.lit(0)).alias("_blk_off"))
+    t = totals.withColumn("_sup", F.floor(F.col("_blk") / F.lit(fanout)).cast("long"))
+    sup = t.groupBy(*part, "_sup").agg(F.sum("_blk_total").alias("_sup_total"))
+    w_sup = Window.partitionBy(*part).orderBy("_sup").rowsBetween(before, -1)
+    sup = sup.select(*part, "_sup", F.coalesce(F.sum("_sup_total").over(w_sup), F.lit(0)).alias("_sup_off"))
+    w_in = Window.partitionBy(*part, "_sup").orderBy("_blk").rowsBetween(before, -1)
+    inner = t.select(*part, "_sup", "_blk", F.coalesce(F.sum("_blk_total").over(w_in), F.lit(0)).alias("_in_sup"))
+    return inner.join(sup, [*part, "_sup"]).select(
+        *part, "_blk", (F.col("_sup_off") + F.col("_in_sup")).alias("_blk_off"))
+
+
 def prefix_sum(df: DataFrame, value: str | Column, order: Sequence[str], name: str,
                partition: Sequence[str] = (), block: Column | None = None,
-               inclusive: bool = False) -> DataFrame:
+               inclusive: bool = False, fanout: int = 4096) -> DataFrame:
     """Add ``name`` = sum of ``value`` over the rows before (or up to) each row in ``order``
     within ``partition``.  ``order`` must be a total order inside the partition."""
     part = list(partition)
@@ -41,9 +63,7 @@ def prefix_sum(df: DataFrame, value: str | Column, order: Sequence[str], name: s
     v = col(value).cast("long") if isinstance(value, str) else value
     staged = df.withColumn("_blk", blk).withColumn("_val", v)
     totals = staged.groupBy(*part, "_blk").agg(F.sum("_val").alias("_blk_total"))
-    w_blocks = Window.partitionBy(*part).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*part, "_blk",
-                            F.coalesce(F.sum("_blk_total").over(w_blocks), F.lit(0)).alias("_blk_off"))
+    offsets = _block_offsets(totals, part, fanout)
     upto = 0 if inclusive else -1
     w_rows = Window.partitionBy(*part, "_blk").orderBy(*order).rowsBetween(Window.unboundedPreceding, upto)
     inner = staged.withColumn("_in_blk", F.coalesce(F.sum("_val").over(w_rows), F.lit(0)))
@@ -53,9 +73,9 @@ def prefix_sum(df: DataFrame, value: str | Column, order: Sequence[str], name: s
 
 
 def row_index(df: DataFrame, order: Sequence[str], name: str = "row_no",
-              partition: Sequence[str] = (), block: Column | None = None) -> DataFrame:
+              partition: Sequence[str] = (), block: Column | None = None, fanout: int = 4096) -> DataFrame:
     """0-based position of each row in ``order`` within ``partition`` (row_number() - 1)."""
-    return prefix_sum(df, F.lit(1).cast("long"), order, name, partition, block)
+    return prefix_sum(df, F.lit(1).cast("long"), order, name, partition, block, fanout=fanout)
 
 
 def first_k(df: DataFrame, k: int, order: Sequence[str], partition: Sequence[str],
@@ -70,10 +90,7 @@ def first_k(df: DataFrame, k: int, order: Sequence[str], partition: Sequence[str
     blk = block if block is not None else default_block(order[0])
     staged = df.withColumn("_blk", blk)
     totals = staged.groupBy(*part, "_blk").agg(F.count(F.lit(1)).alias("_blk_total"))
-    w_blocks = Window.partitionBy(*part).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (totals.select(*part, "_blk", F.coalesce(F.sum("_blk_total").over(w_blocks), F.lit(0))
-                             .alias("_blk_off"))
-               .where(F.col("_blk_off") < k))
+    offsets = _block_offsets(totals, part, 4096).where(F.col("_blk_off") < k)
     head = staged.join(offsets, [*part, "_blk"])
     w_rows = Window.partitionBy(*part, "_blk").orderBy(*order)
     ranked = head.withColumn(name, F.col("_blk_off") + F.row_number().over(w_rows) - 1)

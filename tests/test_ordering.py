@@ -20,6 +20,10 @@ def test_row_index_and_prefix_sum_match_window(spark):
     a = sorted((r.id, r.pos, r.run) for r in got.select("id", "pos", "run").collect())
     b = sorted((r.id, r.pos, r.run) for r in want.collect())
     assert a == b
+    # many super-blocks: fanout 2 over blocks of width 8
+    got2 = row_index(df, ["id"], "pos", partition=["g"], block=default_block("id", 8), fanout=2)
+    c = sorted((r.id, r.pos) for r in got2.select("id", "pos").collect())
+    assert c == [(i, p) for i, p, _ in b]
 
 
 def test_first_k(spark):
