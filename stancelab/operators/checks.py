@@ -34,8 +34,8 @@ def summary_counts(df: DataFrame, dataset: str, units: Mapping[str, str]) -> Dat
     return df.agg(*aggs).select(F.lit(dataset).alias("dataset"), "*")
 
 
-def shape_check(counts: DataFrame, expected: Mapping[str, int | Column], names: Sequence[str] = ("rows", "prompts", "questions"),
-                check: str | None = None) -> DataFrame:
+def shape_check(counts: DataFrame, expected: Mapping[str, int | Column],
+                names: Sequence[str] = ("rows", "prompts", "questions"), check: str | None = None) -> DataFrame:
     """Q1: ``observed`` vs ``expected`` text for the named counts; pass only if all equal.
 
     ``expected`` values are ints or Columns over ``counts`` (checks derived from data).

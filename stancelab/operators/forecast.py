@@ -83,7 +83,8 @@ def count_check(counts: DataFrame, expected: Mapping[str, int] = EXPECTED_COUNTS
                       F.when(ok, "pass").otherwise("review").alias("status"))
 
 
-def issue_verdicts(forecast: DataFrame, issue_key: Sequence[str], verdict: str = "derived_forecast_result") -> DataFrame:
+def issue_verdicts(forecast: DataFrame, issue_key: Sequence[str],
+                   verdict: str = "derived_forecast_result") -> DataFrame:
     """Issue-level verdict (our rule; the study ships only its counts): majority of the
     non-null verdicts of the issue's wordings; a tie or no effect at all is no_effect."""
     g = forecast.groupBy(*issue_key).agg(

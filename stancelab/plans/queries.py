@@ -284,7 +284,8 @@ def shape_checks(spark: SparkSession, sf: str) -> DataFrame:
     cc = per_conv.agg(F.sum("c").cast("long").alias("rows"), F.count(F.lit(1)).cast("long").alias("prompts"),
                       F.sum("c").cast("long").alias("questions"),
                       F.sum(F.col("m") + 1).cast("long").alias("e_rows"),
-                      (F.max("conv_id") + 1).cast("long").alias("e_prompts")).withColumn("dataset", F.lit("conversations"))
+                      (F.max("conv_id") + 1).cast("long").alias("e_prompts"))
+    cc = cc.withColumn("dataset", F.lit("conversations"))
     c_check = ck.shape_check(cc, {"rows": F.col("e_rows"), "prompts": F.col("e_prompts"),
                                   "questions": F.col("e_rows")})
     ev = read_table(spark, sf, "events", ["event_id", "user_id", "event_type"])

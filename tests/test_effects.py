@@ -2,7 +2,6 @@
 
 import math
 
-from pyspark.sql import functions as F
 
 from stancelab.operators.effects import coefficient_table, two_group_effect
 

@@ -1,6 +1,5 @@
 """List cells, Python-compatible strip, ordered phrase rules, comparison split."""
 
-from pyspark.sql import functions as F
 
 from stancelab.functions.lists import list_item, none_to_null, normalise_list, split_comparison, split_list
 from stancelab.functions.text import ENDING_RULES, first_phrase_label, py_strip

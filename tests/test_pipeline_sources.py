@@ -5,7 +5,6 @@ import random
 import tempfile
 
 import pandas as pd
-from pyspark.sql import functions as F
 
 from stancelab.plans import pipeline as pl
 from stancelab.sources import files as fl

@@ -3,7 +3,6 @@
 import os
 import tempfile
 
-from pyspark.sql import functions as F
 
 from stancelab.operators import prompts as pr
 from stancelab.sources.files import read_prompt_bank

@@ -3,7 +3,6 @@
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from stancelab.functions.stats import binom_sf, erfc, lgamma, normal_sf
 
