@@ -31,12 +31,13 @@ def effect_stream(spark: SparkSession, source_dir: str, schema: str, keys: Seque
 
 
 def start_effect_stream(spark: SparkSession, source_dir: str, schema: str, keys: Sequence[str], x: str, y: str,
-                        checkpoint_location: str, sink_table: str, available_now: bool = False) -> StreamingQuery:
-    """Run :func:`effect_stream` into a table, replacing it with the latest full result each batch."""
+                        checkpoint_location: str, sink_path: str, available_now: bool = False) -> StreamingQuery:
+    """Run :func:`effect_stream` and publish the full coefficient table to ``sink_path``
+    (Parquet, replaced each micro-batch).  Both paths must be on shared storage."""
     frame = effect_stream(spark, source_dir, schema, keys, x, y)
 
     def publish(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").saveAsTable(sink_table)
+        batch.write.mode("overwrite").parquet(sink_path)
 
     writer = (frame.writeStream.outputMode("complete").option("checkpointLocation", checkpoint_location)
               .foreachBatch(publish))

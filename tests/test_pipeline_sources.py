@@ -5,11 +5,12 @@ import random
 import tempfile
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from stancelab.plans import pipeline as pl
 from stancelab.sources import files as fl
 from stancelab.sources.tables import require_columns
-from stancelab.streaming.effects_stream import effect_stream
+from stancelab.streaming.effects_stream import effect_stream, start_effect_stream
 
 RESP_SCHEMA = ("completion string, completion_no int, prompt_no int, question_no int, issue_no int, "
                "issue_no_key double, keyword string, ending string, end_type string, labels string, "
@@ -140,3 +141,19 @@ def test_points_from_files_and_limit(spark):
                                  "prompt_no int, completion_no int, full_prompt string, completion string")
     head = [r.justification_prompt for r in justification_prompts(resp, limit=5).collect()]
     assert head == [f"fp c{p}{c}. This is because" for p, c in [(0, 0), (0, 1), (0, 2), (0, 3), (1, 0)]]
+
+
+def test_stream_publishes_and_resumes(spark):
+    base = tempfile.mkdtemp(prefix="stream-run-")
+    src, sink, ckpt = (os.path.join(base, d) for d in ("src", "sink", "ckpt"))
+    resp = responses(spark)
+    first = resp.where(F.col("question_no") < 4)
+    first.write.mode("append").parquet(src)
+    args = (spark, src, RESP_SCHEMA, ["issue_no_key", "question_no"], "liberal", "proj", ckpt, sink)
+    start_effect_stream(*args, available_now=True).awaitTermination(120)
+    assert spark.read.parquet(sink).count() == 4
+    # a second file arrives; the restarted query continues from its checkpoint
+    resp.where(F.col("question_no") >= 4).write.mode("append").parquet(src)
+    start_effect_stream(*args, available_now=True).awaitTermination(120)
+    out = {(r.issue_no_key, r.question_no): r.n for r in spark.read.parquet(sink).collect()}
+    assert len(out) == 10 and out[(0.1, 0)] == 40   # 8 wordings + questions 97 and 99
