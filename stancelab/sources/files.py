@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,15 +93,21 @@ VECTOR_FILE_PATTERN = r"^(pos|neg)_embed_(\d+)_(\d+)_2_fin\.[A-Za-z0-9.]+$"
 
 
 def file_inventory(spark: SparkSession, vectors_path: str, texts_path: str | None = None,
-                   vector_col: str = "embedding") -> DataFrame:
+                   vector_col: str = "embedding", summary_path: str | None = None) -> DataFrame:
     """One row per vector file: slice keys parsed from the file name, vector count,
-    dimension and the matching text file name ('' when that file is absent).
+    dimension, the matching text file name ('' when that file is absent) and ``error``.
 
     File names come from the ``_metadata`` column, so no driver-side listing or
-    per-file loop is involved; counting is one aggregate over all files.
+    per-file loop is involved; counting is one aggregate over all files.  Files
+    that match the name pattern but cannot be read (listed through the
+    ``binaryFile`` source, content not loaded) come back as rows with only
+    ``embedding_file`` and ``error`` set.  When ``vectors_path`` does not exist and
+    a saved summary (Parquet) does, the summary is returned instead.
     """
-    vec = spark.read.parquet(vectors_path).select(F.col("_metadata.file_name").alias("embedding_file"),
-                                                  F.size(vector_col).alias("_dim"))
+    if not _exists(spark, vectors_path) and summary_path and _exists(spark, summary_path):
+        return spark.read.parquet(summary_path)
+    vec = (spark.read.option("ignoreCorruptFiles", "true").parquet(vectors_path)
+           .select(F.col("_metadata.file_name").alias("embedding_file"), F.size(vector_col).alias("_dim")))
     inv = (vec.where(F.col("embedding_file").rlike(VECTOR_FILE_PATTERN))
            .groupBy("embedding_file")
            .agg(F.count(F.lit(1)).cast("long").alias("n"), F.max("_dim").cast("int").alias("dimensions")))
@@ -110,11 +117,28 @@ def file_inventory(spark: SparkSession, vectors_path: str, texts_path: str | Non
     stem = F.concat(F.col("sentiment"), F.lit("_lst_"), F.col("prompt_no").cast("string"), F.lit("_1"))
     inv = inv.withColumn("_stem", stem)
     if texts_path is None:
-        return inv.withColumn("text_file", F.lit("")).drop("_stem")
-    texts = (spark.read.parquet(texts_path).select(F.col("_metadata.file_name").alias("text_file")).distinct()
-             .withColumn("_stem", F.regexp_extract("text_file", r"^(.*?)\.[A-Za-z0-9.]+$", 1)))
-    return (inv.join(texts, "_stem", "left")
-            .withColumn("text_file", F.coalesce("text_file", F.lit(""))).drop("_stem"))
+        inv = inv.withColumn("text_file", F.lit("")).drop("_stem")
+    else:
+        texts = (spark.read.parquet(texts_path).select(F.col("_metadata.file_name").alias("text_file")).distinct()
+                 .withColumn("_stem", F.regexp_extract("text_file", r"^(.*?)\.[A-Za-z0-9.]+$", 1)))
+        inv = (inv.join(texts, "_stem", "left")
+               .withColumn("text_file", F.coalesce("text_file", F.lit(""))).drop("_stem"))
+    inv = inv.withColumn("error", F.lit(None).cast("string"))
+    listed = (spark.read.format("binaryFile").load(vectors_path)
+              .select(F.regexp_extract("path", r"([^/]+)$", 1).alias("embedding_file"))
+              .where(F.col("embedding_file").rlike(VECTOR_FILE_PATTERN)))
+    bad = listed.join(inv.select("embedding_file"), "embedding_file", "left_anti").select(
+        "embedding_file", F.lit("unreadable or empty vector file").alias("error"))
+    return inv.unionByName(bad, allowMissingColumns=True)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists: the reader resolves paths when the DataFrame is created."""
+    try:
+        spark.read.format("binaryFile").load(path)
+    except AnalysisException:
+        return False
+    return True
 
 
 def slice_points_from_files(spark: SparkSession, vectors_path: str, vector_col: str = "embedding") -> DataFrame:

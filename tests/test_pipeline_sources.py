@@ -115,9 +115,19 @@ def test_file_inventory_and_landing(spark):
     for name, n, dim in (("pos_embed_3_1_2_fin", 4, 5), ("neg_embed_3_2_2_fin", 2, 5)):
         pd.DataFrame({"embedding": [[0.5] * dim] * n}).to_parquet(os.path.join(vec_dir, name + ".parquet"))
     pd.DataFrame({"text": ["t"]}).to_parquet(os.path.join(txt_dir, "pos_lst_3_1.parquet"))
-    inv = {(r.sentiment, r.connector): r for r in fl.file_inventory(spark, vec_dir, txt_dir).collect()}
+    with open(os.path.join(vec_dir, "pos_embed_4_1_2_fin.parquet"), "wb") as fh:   # unreadable file
+        fh.write(b"not a parquet file")
+    rows = fl.file_inventory(spark, vec_dir, txt_dir).collect()
+    errors = [r.embedding_file for r in rows if r.error]
+    assert errors == ["pos_embed_4_1_2_fin.parquet"]
+    inv = {(r.sentiment, r.connector): r for r in rows if not r.error}
     assert inv[("pos", 1)].n == 4 and inv[("pos", 1)].dimensions == 5 and inv[("pos", 1)].prompt_no == 3
     assert inv[("pos", 1)].text_file == "pos_lst_3_1.parquet" and inv[("neg", 2)].text_file == ""
+    # a saved summary stands in when the cache folder is gone
+    saved = os.path.join(d, "saved_summary")
+    spark.createDataFrame([(3, 1, "pos", 4)], "prompt_no int, connector int, sentiment string, n long") \
+        .write.parquet(saved)
+    assert fl.file_inventory(spark, os.path.join(d, "gone"), summary_path=saved).first().n == 4
     # gzip landing (S2) and the JSON summary sink
     import gzip
     gz = os.path.join(d, "r.csv.gz")
