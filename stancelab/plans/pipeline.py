@@ -129,3 +129,41 @@ def write_outputs(outputs: Mapping[str, DataFrame], out_dir: str, fmt: str = "pa
         if order:
             df = df.repartition(*parts).sortWithinPartitions(*parts, *order) if parts else df.orderBy(*order)
         write_table(df, os.path.join(out_dir, name), fmt=fmt, partition_by=parts)
+
+
+def run_study(spark, root: str, out_dir: str, fmt: str = "parquet",
+              datasets: Mapping[str, Mapping[str, Sequence[int]]] | None = None,
+              k: int = 4, restarts: int = 10, seed: int = 42) -> list[str]:
+    """The whole cached-data study as one function (the reference's script runner).
+
+    Reads the registered tables under ``root`` (see ``sources.tables.STUDY_TABLES``),
+    runs Entry 1 for every response dataset present, Entry 2 when the labelled
+    justifications and comparisons are present and Entry 3 when the embedding
+    archive, manifest and texts are present; writes every output under
+    ``out_dir/<flow>/<table>``.  Returns the flows that ran.
+    """
+    from ..sources.files import path_exists
+    from ..sources.tables import read_study, table_path
+
+    def have(*names: str) -> bool:
+        return all(path_exists(spark, table_path(root, n)) for n in names)
+
+    ran = []
+    topics = datasets or {"covid": COVID_TOPICS, "validation": VALIDATION_TOPICS}
+    for dataset, groups in topics.items():
+        if have(dataset, f"bank_{dataset}"):
+            out = effects_flow(read_study(spark, root, dataset), read_study(spark, root, f"bank_{dataset}"),
+                               dataset=dataset, topics=groups)
+            write_outputs(out, os.path.join(out_dir, f"effects_{dataset}"), fmt)
+            ran.append(f"effects_{dataset}")
+    if have("justification_labels", "justification_comparisons"):
+        out = tests_flow(read_study(spark, root, "justification_labels"),
+                         read_study(spark, root, "justification_comparisons"))
+        write_outputs(out, os.path.join(out_dir, "tests"), fmt)
+        ran.append("tests")
+    if have("embedding_archive", "embedding_manifest", "justification_texts"):
+        out = clusters_flow(read_study(spark, root, "embedding_archive"), read_study(spark, root, "embedding_manifest"),
+                            read_study(spark, root, "justification_texts"), k=k, restarts=restarts, seed=seed)
+        write_outputs(out, os.path.join(out_dir, "clusters"), fmt)
+        ran.append("clusters")
+    return ran

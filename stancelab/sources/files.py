@@ -104,7 +104,7 @@ def file_inventory(spark: SparkSession, vectors_path: str, texts_path: str | Non
     ``embedding_file`` and ``error`` set.  When ``vectors_path`` does not exist and
     a saved summary (Parquet) does, the summary is returned instead.
     """
-    if not _exists(spark, vectors_path) and summary_path and _exists(spark, summary_path):
+    if not path_exists(spark, vectors_path) and summary_path and path_exists(spark, summary_path):
         return spark.read.parquet(summary_path)
     vec = (spark.read.option("ignoreCorruptFiles", "true").parquet(vectors_path)
            .select(F.col("_metadata.file_name").alias("embedding_file"), F.size(vector_col).alias("_dim")))
@@ -132,7 +132,7 @@ def file_inventory(spark: SparkSession, vectors_path: str, texts_path: str | Non
     return inv.unionByName(bad, allowMissingColumns=True)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists: the reader resolves paths when the DataFrame is created."""
     try:
         spark.read.format("binaryFile").load(path)

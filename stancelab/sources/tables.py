@@ -24,6 +24,11 @@ STUDY_TABLES = {
     "bank_generation_covid": "prompts/generation_covid",
     "bank_validation": "prompts/validation",
     "axis_labels": "prompts/labels",
+    "justification_labels": "justifications/labelled",
+    "justification_comparisons": "justifications/comparisons",
+    "embedding_archive": "justifications/archive",
+    "embedding_manifest": "justifications/manifest",
+    "justification_texts": "justifications/texts",
 }
 
 RESPONSE_CONTRACT = ("named_prime", "issue_no_key", "full_prompt")

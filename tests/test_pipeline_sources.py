@@ -167,3 +167,20 @@ def test_stream_publishes_and_resumes(spark):
     start_effect_stream(*args, available_now=True).awaitTermination(120)
     out = {(r.issue_no_key, r.question_no): r.n for r in spark.read.parquet(sink).collect()}
     assert len(out) == 10 and out[(0.1, 0)] == 40   # 8 wordings + questions 97 and 99
+
+
+def test_run_study_over_registered_tables(spark):
+    from stancelab.sources.tables import table_path
+    root, out = tempfile.mkdtemp(prefix="study-"), tempfile.mkdtemp(prefix="study-out-")
+    responses(spark).write.parquet(table_path(root, "covid"))
+    spark.createDataFrame([(0, 1), (1, 1), (2, 0)], "issue_no int, reverse_code int") \
+        .write.parquet(table_path(root, "bank_covid"))
+    spark.createDataFrame([("d", "a", 1), ("d", "a", 0), ("d", "ref", 0)],
+                          "domain string, category string, liberal int").write.parquet(
+        table_path(root, "justification_labels"))
+    spark.createDataFrame([("d", "a", "ref", 1)], "domain string, right string, left string, test_no int") \
+        .write.parquet(table_path(root, "justification_comparisons"))
+    ran = pl.run_study(spark, root, out, datasets={"covid": {"a": [0, 1], "b": [2]}})
+    assert ran == ["effects_covid", "tests"]
+    assert spark.read.parquet(os.path.join(out, "effects_covid", "coefficients")).count() == 9
+    assert spark.read.parquet(os.path.join(out, "tests", "bars")).count() == 2
