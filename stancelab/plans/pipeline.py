@@ -26,8 +26,8 @@ from ..operators import significance as sig
 from ..operators import slices as sl
 from ..operators import text as tx
 from ..operators.effects import assign_topic, coefficient_table
-from ..sources.files import write_table
-from ..sources.tables import RESPONSE_CONTRACT, require_columns
+from ..sources.files import path_exists, write_table
+from ..sources.tables import RESPONSE_CONTRACT, read_study, require_columns, table_path
 
 # Topic groups of the COVID issues (coefficient tables are split by them).
 COVID_TOPICS = {
@@ -142,9 +142,6 @@ def run_study(spark, root: str, out_dir: str, fmt: str = "parquet",
     archive, manifest and texts are present; writes every output under
     ``out_dir/<flow>/<table>``.  Returns the flows that ran.
     """
-    from ..sources.files import path_exists
-    from ..sources.tables import read_study, table_path
-
     def have(*names: str) -> bool:
         return all(path_exists(spark, table_path(root, n)) for n in names)
 
