@@ -246,13 +246,13 @@ FROM w"""
 
 # ------------------------------------------------------------------ banks and grid
 
-REGION_BANK_SQL = """
-  SELECT r_regionkey AS issue_no, 'What do you think about ' || r_name || '?' AS prompt,
-         CASE WHEN r_regionkey = 4 THEN 'None' ELSE coalesce(kw, '') || ' , ,' END AS keywords,
-         array_to_string(list_transform(range(0, r_regionkey + 4, 2), lambda x: CAST(x AS VARCHAR)), ' , ') AS endings,
-         (['', 'good', ' good , bad ', 'good,bad, safe ,dangerous'])[r_regionkey % 4 + 1] AS labels
-  FROM region LEFT JOIN (SELECT n_regionkey, string_agg(n_name, ' , ' ORDER BY n_name) AS kw
-                         FROM nation GROUP BY n_regionkey) ON r_regionkey = n_regionkey"""
+PART_BANK_SQL = """
+  SELECT p_partkey AS issue_no, 'What do you think about ' || p_name || '?' AS prompt,
+         CASE WHEN p_size % 10 = 0 THEN 'None' ELSE p_brand || ' , ,' || lower(p_type) END AS keywords,
+         array_to_string(list_transform(range(p_size % 4, p_size % 4 + 6, 3), lambda x: CAST(x AS VARCHAR)), ' , ')
+           AS endings,
+         (['', 'good', ' good , bad ', 'good,bad, safe ,dangerous'])[p_size % 4 + 1] AS labels
+  FROM part"""
 
 
 def clean_list_sql(c: str) -> str:
@@ -269,7 +269,7 @@ def list_normalise_sql() -> str:
         lst = f"coalesce({clean_list_sql(nulled_sql(c))}, [])"
         cols.append(f"array_to_string({lst}, ',') AS {c}")
         cols.append(f"CAST(len({lst}) AS BIGINT) AS n_{c}")
-    return f"SELECT issue_no, {', '.join(cols)} FROM ({REGION_BANK_SQL})"
+    return f"SELECT issue_no, {', '.join(cols)} FROM ({PART_BANK_SQL})"
 
 
 TEMPLATES_SQL = """(VALUES (0, ' My stance on {} is that it is a'), (1, ' In my opinion, {} is a'),
@@ -287,7 +287,7 @@ GRID_LISTS_SQL = f"""
   SELECT issue_no, prompt, labels,
          list_transform({clean_list_sql("endings")}, lambda s: CAST(s AS INTEGER)) AS el,
          coalesce({clean_list_sql(nulled_sql("keywords"))}, []) AS kl
-  FROM ({REGION_BANK_SQL})"""
+  FROM ({PART_BANK_SQL})"""
 
 
 def prompt_grid_sql() -> str:
@@ -321,7 +321,7 @@ def axis_plan_sql() -> str:
 SELECT issue_no, array_to_string({lst}, ',') AS labels, coalesce({lst}[1], '') AS positive_anchor,
        coalesce({lst}[2], '') AS negative_anchor,
        'cosine(response, positive_anchor) - cosine(response, negative_anchor)' AS scoring_rule
-FROM ({REGION_BANK_SQL})"""
+FROM ({PART_BANK_SQL})"""
 
 
 # ------------------------------------------------------------------------------ text

@@ -181,42 +181,40 @@ def coef_panels(spark: SparkSession, sf: str) -> DataFrame:
 
 # ------------------------------------------------- prompt banks and grid
 
-def region_bank(spark: SparkSession, sf: str) -> DataFrame:
-    """A raw prompt bank derived from region/nation: one issue per region, its nations as a
-    ragged keyword list (region 4 spells a missing list ``None``), ending ids 0,2,4,... (6 has
-    no template) and 0, 1, 2 or 4 axis labels."""
-    nation = read_table(spark, sf, "nation", ["n_regionkey", "n_name"])
-    region = read_table(spark, sf, "region", ["r_regionkey", "r_name"])
-    kw = nation.groupBy("n_regionkey").agg(
-        F.array_join(F.sort_array(F.collect_list("n_name")), " , ").alias("kw"))
+def part_bank(spark: SparkSession, sf: str) -> DataFrame:
+    """A raw prompt bank derived from ``part``, so it grows with the data: one issue per part,
+    its brand and lower-cased type as a ragged keyword list (spelled ``None`` when
+    p_size % 10 = 0), ending ids p_size % 4 and p_size % 4 + 3 (id 6 has no template)
+    and 0, 1, 2 or 4 axis labels."""
+    part = read_table(spark, sf, "part", ["p_partkey", "p_name", "p_brand", "p_type", "p_size"])
     labels = F.array(F.lit(""), F.lit("good"), F.lit(" good , bad "), F.lit("good,bad, safe ,dangerous"))
-    return region.join(kw, region.r_regionkey == kw.n_regionkey, "left").select(
-        F.col("r_regionkey").alias("issue_no"),
-        F.concat(F.lit("What do you think about "), F.col("r_name"), F.lit("?")).alias("prompt"),
-        F.when(F.col("r_regionkey") == 4, F.lit("None"))
-         .otherwise(F.concat(F.coalesce("kw", F.lit("")), F.lit(" , ,"))).alias("keywords"),
-        F.array_join(F.transform(F.sequence(F.lit(0), F.col("r_regionkey") + 3, F.lit(2)),
-                                 lambda x: x.cast("string")), " , ").alias("endings"),
-        F.element_at(labels, (F.col("r_regionkey") % 4 + 1).cast("int")).alias("labels"),
+    r = F.col("p_size") % 4
+    return part.select(
+        F.col("p_partkey").alias("issue_no"),
+        F.concat(F.lit("What do you think about "), F.col("p_name"), F.lit("?")).alias("prompt"),
+        F.when(F.col("p_size") % 10 == 0, F.lit("None"))
+         .otherwise(F.concat(F.col("p_brand"), F.lit(" , ,"), F.lower("p_type"))).alias("keywords"),
+        F.array_join(F.transform(F.sequence(r, r + 5, F.lit(3)), lambda x: x.cast("string")), " , ").alias("endings"),
+        F.element_at(labels, (r + 1).cast("int")).alias("labels"),
     )
 
 
 def list_normalise(spark: SparkSession, sf: str) -> DataFrame:
-    bank = pr.normalise_bank(region_bank(spark, sf), "region")
+    bank = pr.normalise_bank(part_bank(spark, sf), "part")
     return bank.select("issue_no", "keywords", "endings", "labels",
                        *[F.size(split_list(c)).cast("long").alias(f"n_{c}") for c in pr.LIST_COLUMNS])
 
 
 def prompt_grid(spark: SparkSession, sf: str) -> DataFrame:
-    return pr.prompt_grid(region_bank(spark, sf), pr.templates_frame(spark), pr.COVID_INTROS)
+    return pr.prompt_grid(part_bank(spark, sf), pr.templates_frame(spark), pr.COVID_INTROS)
 
 
 def grid_unknown_templates(spark: SparkSession, sf: str) -> DataFrame:
-    return pr.unknown_templates(region_bank(spark, sf), pr.templates_frame(spark))
+    return pr.unknown_templates(part_bank(spark, sf), pr.templates_frame(spark))
 
 
 def axis_plan(spark: SparkSession, sf: str) -> DataFrame:
-    return pr.axis_plan(region_bank(spark, sf))
+    return pr.axis_plan(part_bank(spark, sf))
 
 
 # ------------------------------------------------------------------ text
