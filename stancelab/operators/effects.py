@@ -91,7 +91,8 @@ def two_group_effect(df: DataFrame, keys: Sequence[str], x: str | Column, y: str
     one hash aggregate (all buffers fixed-width).  Only the rows that tie on that
     minimum - usually one per group - then go through a ``min_by`` over the full
     order, whose struct buffer would otherwise force a sort-based aggregate over
-    every input row.
+    every input row.  Rows whose leading order value is NULL are never taken as
+    the first row.
     """
     keys = list(keys)
     kept = df.where(F.lit(True) if not keys else

@@ -73,3 +73,26 @@ def test_coefficient_table_named_primes_and_first_row(spark):
     assert (a.label_1, a.label_2) == ("good idea", "bad idea")
     b = out[3.1]
     assert (b.label_1, b.label_2) == ("safe", "") and b.keyword is None and b.coef is None
+
+
+def test_hot_group_matches_pandas(spark):
+    """One wording holds a third of all rows, spread over many partitions."""
+    import random
+
+    import pandas as pd
+    random.seed(11)
+    rows = []
+    for i in range(6000):
+        g = "hot" if i % 3 == 0 else f"g{i % 50}"
+        x = random.randint(0, 1)
+        rows.append((g, float(x), random.gauss(0.3 * x, 1.0), i))
+    df = spark.createDataFrame(rows, SCHEMA).repartition(16)
+    got = {r.g: r for r in two_group_effect(df, ["g"], "x", "y", first_attrs=["o"], first_by=["o"]).collect()}
+    pdf = pd.DataFrame(rows, columns=["g", "x", "y", "o"])
+    for g, sub in pdf.groupby("g"):
+        y1, y0 = sub[sub.x == 1].y, sub[sub.x == 0].y
+        coef = y1.mean() - y0.mean()
+        se = math.sqrt(y1.var(ddof=1) / len(y1) + y0.var(ddof=1) / len(y0))
+        assert abs(got[g].coef - coef) < 1e-9 and abs(got[g].se - se) < 1e-9
+        assert got[g].n == len(sub) and got[g].o == sub.o.min()
+    assert got["hot"].n == 2000
