@@ -48,6 +48,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         spark.sparkContext.setCheckpointDir(configured)
         return configured
+    master = spark.sparkContext.master or ""
+    if not master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a shared folder when running on a cluster "
+                         f"(master {master!r}); a machine-local folder would not survive executor loss")
     key = id(spark.sparkContext)
     if key not in _LOCAL_DIRS:
         _LOCAL_DIRS[key] = tempfile.mkdtemp(prefix="stancelab-ckpt-")
