@@ -74,45 +74,39 @@ def direction(ci_low: Column, ci_high: Column) -> Column:
             .otherwise(F.lit("no_effect")))
 
 
-_FIXED_WIDTH = ("ByteType", "ShortType", "IntegerType", "LongType", "FloatType", "DoubleType",
-                "DateType", "TimestampType", "TimestampNTZType", "BooleanType")
-
-
 def two_group_effect(df: DataFrame, keys: Sequence[str], x: str | Column, y: str | Column,
                      first_attrs: Sequence[str] = (), first_by: Sequence[str] = (),
                      z_crit: float = Z_CRIT) -> DataFrame:
     """Effect of x (0/1) on y per group of ``keys``.
 
     ``first_attrs`` are taken from the group's first row in ``first_by`` order
-    (deterministic, unlike ``first()``).  Rows whose group key is NULL are dropped,
-    as pandas ``groupby`` does.
-
-    Plan: the effect statistics and the minimum of the leading order column are
-    one hash aggregate (all buffers fixed-width).  Only the rows that tie on that
-    minimum - usually one per group - then go through a ``min_by`` over the full
-    order, whose struct buffer would otherwise force a sort-based aggregate over
-    every input row.  Rows whose leading order value is NULL are never taken as
-    the first row.
+    (deterministic when ``first_by`` is a total order, unlike ``first()``).  Rows
+    whose group key is NULL are dropped, as pandas ``groupby`` does.
+
+    Plan: one aggregate, one shuffle of partial rows.  The first-row pick is a
+    ``min_by`` over a struct, whose buffer is not fixed-width, so Spark aggregates
+    each task's rows by a local sort instead of a hash map; raw rows are never
+    shuffled.  When the attribute is the order column itself it is a plain hash
+    ``min``.  (A variant that found the first row by joining a per-group minimum
+    back to the input was measured and dropped: the planner shuffled the raw
+    input for that join before AQE could switch it to a broadcast.)
     """
     keys = list(keys)
     kept = df.where(F.lit(True) if not keys else
                     F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)))
     aggs = effect_aggregates(x, y)
-    if not first_attrs:
-        return kept.groupBy(*keys).agg(*aggs).select(*keys, *effect_columns(z_crit))
-    if not first_by:
-        raise ValueError("first_attrs needs a first_by order")
-    order = F.struct(*[col(c) for c in first_by])
-    pick = F.min_by(F.struct(*[col(a) for a in first_attrs]), order).alias("_first")
-    lead = first_by[0]
-    if type(kept.schema[lead].dataType).__name__ not in _FIXED_WIDTH:
-        grouped = kept.groupBy(*keys).agg(*aggs, pick)
-    else:
-        stats = kept.groupBy(*keys).agg(*aggs, F.min(lead).alias("_lead_min"))
-        ties = kept.join(stats.select(*keys, "_lead_min"), keys).where(F.col(lead) == F.col("_lead_min"))
-        firsts = ties.groupBy(*keys).agg(pick)
-        grouped = stats.join(firsts, keys, "left")
-    firsts_cols = [F.col("_first").getField(a).alias(a) for a in first_attrs]
+    firsts_cols = []
+    if first_attrs:
+        if not first_by:
+            raise ValueError("first_attrs needs a first_by order")
+        if len(first_by) == 1 and set(first_attrs) == {first_by[0]}:
+            aggs.append(F.min(first_by[0]).alias("_first_" + first_by[0]))
+            firsts_cols = [F.col("_first_" + first_by[0]).alias(first_by[0])]
+        else:
+            order = F.struct(*[col(c) for c in first_by])
+            aggs.append(F.min_by(F.struct(*[col(a) for a in first_attrs]), order).alias("_first"))
+            firsts_cols = [F.col("_first").getField(a).alias(a) for a in first_attrs]
+    grouped = kept.groupBy(*keys).agg(*aggs)
     return grouped.select(*keys, *firsts_cols, *effect_columns(z_crit))
 
 

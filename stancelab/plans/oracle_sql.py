@@ -67,7 +67,7 @@ FROM bd{first_join}
 
 
 EFFECT_BY_WORDING_SRC = """
-  SELECT p_type, p_brand, p_name, l_orderkey, l_linenumber,
+  SELECT p_type, p_brand, p_name, l_orderkey, l_linenumber, l_partkey, l_suppkey,
          CASE WHEN l_returnflag = 'R' THEN 1 WHEN l_returnflag IS NOT NULL THEN 0 END AS x,
          l_extendedprice AS y
   FROM lineitem JOIN part ON l_partkey = p_partkey"""
@@ -574,7 +574,7 @@ def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["effect_by_wording"] = effect_sql(EFFECT_BY_WORDING_SRC, ["p_type", "p_brand"], "x", "y",
                                         first={"first_part_name": "p_name"},
-                                        first_order="l_orderkey, l_linenumber")
+                                        first_order="l_orderkey, l_linenumber, l_partkey, l_suppkey")
     q["effect_sparse"] = effect_sql(EFFECT_SPARSE_SRC, ["lang", "source"], "x", "y",
                                     first={"first_doc_id": "CAST(doc_id AS BIGINT)"}, first_order="doc_id")
     q["theme_contingency"] = CONTINGENCY_SQL

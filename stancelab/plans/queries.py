@@ -47,13 +47,14 @@ def effect_by_wording_raw(spark: SparkSession, sf: str) -> DataFrame:
     falls back to a shuffled join (with skew splitting) when it is not; the
     aggregate is partial-then-final either way.
     """
-    li = read_table(spark, sf, "lineitem", ["l_partkey", "l_orderkey", "l_linenumber",
+    li = read_table(spark, sf, "lineitem", ["l_partkey", "l_suppkey", "l_orderkey", "l_linenumber",
                                              "l_returnflag", "l_extendedprice"])
     pt = read_table(spark, sf, "part", ["p_partkey", "p_type", "p_brand", "p_name"])
     joined = li.join(pt, li.l_partkey == pt.p_partkey)
     x = F.when(F.col("l_returnflag") == "R", 1).when(F.col("l_returnflag").isNotNull(), 0)
-    return two_group_effect(joined, ["p_type", "p_brand"], x, "l_extendedprice",
-                            first_attrs=["p_name"], first_by=["l_orderkey", "l_linenumber"])
+    # (orderkey, linenumber) repeats in this data; with part and supplier keys the order is total
+    return two_group_effect(joined, ["p_type", "p_brand"], x, "l_extendedprice", first_attrs=["p_name"],
+                            first_by=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
 
 
 def effect_by_wording(spark: SparkSession, sf: str) -> DataFrame:
