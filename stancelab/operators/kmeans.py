@@ -210,18 +210,29 @@ def cluster_stats(assigned: DataFrame, keys: Sequence[str], vec: str = "vec") ->
     return g.select(*keys, "cluster", "n_c", "q_c", vector_to_array("_m").alias("centroid"))
 
 
-def quality_metrics(assigned: DataFrame, keys: Sequence[str], vec: str = "vec") -> DataFrame:
+def quality_metrics(assigned: DataFrame, keys: Sequence[str], vec: str = "vec",
+                    broadcast_clusters: bool | None = None) -> DataFrame:
     """C3-C5 per slice for a given assignment (cluster ids need not be dense).
 
     silhouette_sqeuclidean, calinski_harabasz, davies_bouldin; NULL unless the slice
     has at least 2 clusters and more points than clusters (the reference's rule).
+
+    The per-slice cluster table (clusters x dim doubles) is broadcast to the points
+    only when that exact size - one small aggregate when ``broadcast_clusters`` is
+    None - is under the broadcast threshold; otherwise the join is shuffled.
     """
     keys = list(keys)
+    spark = assigned.sparkSession
     stats = cluster_stats(assigned, keys, vec)
     per_slice = stats.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("cluster", "n_c", "q_c", "centroid"))).alias("cl"),
         F.sum("n_c").alias("n"), F.count(F.lit(1)).alias("k"))
-    pts = assigned.select(*keys, "cluster", F.col(vec).cast("array<double>").alias("_x")).join(per_slice, keys)
+    if broadcast_clusters is None:
+        shape = assigned.agg(F.count_distinct(F.struct(*keys, "cluster")).alias("c"),
+                             F.max(F.size(vec)).alias("d")).first()
+        broadcast_clusters = centroid_table_fits(spark, shape["c"] or 0, 1, 1, shape["d"] or 0)
+    side = F.broadcast(per_slice) if broadcast_clusters else per_slice
+    pts = assigned.select(*keys, "cluster", F.col(vec).cast("array<double>").alias("_x")).join(side, keys)
     x = F.col("_x")
     xx = dot(x, x)
     # mean squared distance from x to every cluster: (n_c |x|^2 - 2 x.S_c + Q_c) / n_c, S_c = n_c mu_c
@@ -244,7 +255,7 @@ def quality_metrics(assigned: DataFrame, keys: Sequence[str], vec: str = "vec")
         F.sum("_s").alias("_s_sum"), F.sum("_w").alias("_w_sum"), F.avg("_dist").alias("_spread"))
     agg = by_cluster.groupBy(*keys).agg(
         F.sum("_s_sum").alias("_s_tot"), F.sum("_w_sum").alias("W"),
-        F.sort_array(F.collect_list(F.struct("cluster", "_spread"))).alias("_sp")).join(per_slice, keys)
+        F.sort_array(F.collect_list(F.struct("cluster", "_spread"))).alias("_sp")).join(side, keys)
     n = F.col("n").cast("double")
     k = F.col("k").cast("double")
     grand = F.transform(
