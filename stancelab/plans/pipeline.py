@@ -19,6 +19,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import charts as ch
 from ..operators import checks as ck
 from ..operators import forecast as fc
 from ..operators import kmeans as km
@@ -43,11 +44,18 @@ def effects_flow(responses: DataFrame, bank: DataFrame, dataset: str = "covid",
                  topics: Mapping[str, Sequence[int]] = COVID_TOPICS,
                  expected_shape: Mapping[str, int] | None = None,
                  expected_counts: Mapping[str, int] = fc.EXPECTED_COUNTS,
-                 overrides: Mapping[str, str] = fc.KEYWORD_OVERRIDES) -> dict[str, DataFrame]:
-    """Entry 1.  ``responses`` must carry the contract columns (checked before any job)."""
+                 overrides: Mapping[str, str] = fc.KEYWORD_OVERRIDES,
+                 panel_labels: Mapping[float, str] | None = None) -> dict[str, DataFrame]:
+    """Entry 1.  ``responses`` must carry the contract columns (checked before any job).
+
+    Panel titles prefer the wording's keyword, then ``panel_labels`` (issue key ->
+    title), then the issue key itself.
+    """
     require_columns(responses, RESPONSE_CONTRACT, f"{dataset} responses")
     coefs = coefficient_table(responses)
     by_topic = assign_topic(coefs, topics, key="issue_no", name="topic_group")
+    title = F.coalesce(F.col("keyword"), ch.display_label("issue_no_key", panel_labels or None))
+    panels = ch.coefficient_panels(by_topic, "topic_group", ["issue_no", "issue_no_key"], ["question_no"], title)
     forecast = fc.forecast_table(coefs, bank, overrides=overrides)
     counts = fc.verdict_counts(forecast)
     summary = ck.summary_counts(responses, dataset, {"prompts": "prompt_no", "questions": "question_no",
@@ -58,6 +66,7 @@ def effects_flow(responses: DataFrame, bank: DataFrame, dataset: str = "covid",
     return {
         "coefficients": coefs,
         "coefficients_by_topic": by_topic,
+        "panels": panels,
         "forecast": forecast,
         "verdict_counts": counts,
         "forecast_tests": fc.forecast_tests(forecast, ["issue_no_key"]),

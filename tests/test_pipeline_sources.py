@@ -59,6 +59,10 @@ def test_effects_flow(spark):
     assert checks["covid_response_shape"] == "pass" and checks["forecast_counts"] == "pass"
     topics = {r.topic_group for r in out["coefficients_by_topic"].collect()}
     assert topics == {"a", "b"}
+    panels = {(r.topic_group, r.issue_no_key, r.question_no): r for r in out["panels"].collect()}
+    assert panels[("a", 0.1, 0)].panel_no == 1 and panels[("a", 0.2, 2)].panel_no == 2
+    assert panels[("a", 0.1, 1)].x_pos == 1 and panels[("a", 0.1, 0)].panel_label == "closing businesses"
+    assert panels[("b", 2.1, 6)].panel_label == "2.1"
     d = tempfile.mkdtemp(prefix="flow-")
     pl.write_outputs({"coefficients_by_topic": out["coefficients_by_topic"], "checks": out["checks"]}, d, fmt="csv")
     assert os.path.isdir(os.path.join(d, "coefficients_by_topic", "topic_group=a"))
