@@ -38,6 +38,14 @@ COVID_TOPICS = {
     "cdc_virus_misc": [33, 34, 35, 38, 39],
 }
 VALIDATION_TOPICS = {"part1": list(range(0, 12)), "part2": list(range(12, 28))}
+# The figure each justification domain is drawn in.
+STUDY_FIGURES = {
+    "vaccine": ["vaccine_get", "vaccine_not_get"],
+    "mask_mandate": ["mask_mandate_for", "mask_mandate_against"],
+    "fear_virus": ["fear_virus_for", "fear_virus_against"],
+    "appendix": ["appendix_mask_mandate_for_alt1", "appendix_mask_mandate_against_alt",
+                 "appendix_mask_mandate_for_alt2"],
+}
 
 
 def effects_flow(responses: DataFrame, bank: DataFrame, dataset: str = "covid",
@@ -86,6 +94,9 @@ def tests_flow(labelled: DataFrame, comparisons: DataFrame, domain: str = "domai
     ordered = tests.join(comparisons.select("domain", F.concat_ws("_vs_", "right", "left").alias("comparison"),
                                             *order), ["domain", "comparison"])
     bars = sig.tests_to_bars(ordered, order=list(order))
+    if figure_group is None:   # the study's figures; other domains get a figure of their own
+        lookup = F.create_map(*[F.lit(v) for fig, doms in STUDY_FIGURES.items() for d in doms for v in (d, fig)])
+        figure_group = F.coalesce(F.element_at(lookup, F.col("domain")), F.col("domain"))
     return {"counts": counts, "tests": tests, "bars": bars, "segments": sig.bar_segments(bars, figure_group)}
 
 

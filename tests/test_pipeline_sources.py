@@ -89,7 +89,13 @@ def test_tests_flow(spark):
     assert set(bars) == {"a", "ref", "b"} and bars["ref"].p_value_greater is None
     assert bars["a"].p_value_greater < 0.05
     seg = {r.category: r for r in out["segments"].collect()}
-    assert seg["a"].star and abs(seg["a"].y_limit - 40 * 1.14) < 1e-9
+    assert seg["a"].star and abs(seg["a"].y_limit - 40 * 1.14) < 1e-9 and seg["a"].figure_group == "d1"
+    study = spark.createDataFrame([("vaccine_get", "x", 1), ("vaccine_get", "y", 0), ("vaccine_not_get", "x", 1),
+                                   ("vaccine_not_get", "y", 1)], "domain string, category string, liberal int")
+    comps = spark.createDataFrame([("vaccine_get", "x", "y", 1), ("vaccine_not_get", "x", "y", 2)],
+                                  "domain string, right string, left string, test_no int")
+    figs = {r.figure_group for r in pl.tests_flow(study, comps)["segments"].collect()}
+    assert figs == {"vaccine"}
 
 
 def test_streaming_effect_equals_batch(spark):
