@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import path_exists
+
 CHECK_SCHEMA = "check string, observed string, expected string, status string"
 
 # Expected response-table shapes of the two study datasets.
@@ -62,7 +64,9 @@ def missing_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Data
 
 
 def required_inputs(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Q5: one check row per required input path (pass when it exists)."""
-    rows = [(f"input:{os.path.basename(p.rstrip('/'))}", "present" if os.path.exists(p) else "missing",
-             "present", "pass" if os.path.exists(p) else "review") for p in paths]
+    """Q5: one check row per required input path (pass when it exists).  Existence is
+    asked of Spark's reader, so shared storage is checked, not the driver's disk."""
+    found = {p: path_exists(spark, p) for p in paths}
+    rows = [(f"input:{os.path.basename(p.rstrip('/'))}", "present" if ok else "missing", "present",
+             "pass" if ok else "review") for p, ok in found.items()]
     return spark.createDataFrame(rows, CHECK_SCHEMA)
