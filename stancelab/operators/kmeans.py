@@ -2,23 +2,25 @@
 
 Every slice and every restart is clustered at once:
 
-* points ``(slice..., point_id, vec)`` are joined on the slice key to a small
-  centroid table ``(slice..., restart, cents array<array<double>>)``; the join
-  strategy (broadcast below the size threshold, else a shuffled join with AQE
-  skew splitting) is the planner's, so a slice holding a third of the points is
-  split over tasks instead of landing in one;
+* points ``(slice..., point_id, vec)`` are spread once over the cluster's
+  parallelism and persisted; each step joins them on the slice key to the
+  centroid table ``(slice..., restart, cents array<array<double>>)``.  That table
+  is broadcast only after its exact size (slices x restarts x k x dim doubles)
+  passes the session's broadcast threshold; otherwise the join is shuffled and
+  AQE splits a slice holding a third of the points;
 * the nearest centroid is an ``array_min`` over a ``transform`` of squared
   distances (JVM higher-order functions, no Python);
 * new centroids are ``Summarizer.mean`` per (slice, restart, cluster): a
   mergeable aggregate, partial on the map side;
-* each iteration's centroids are checkpointed to the session's checkpoint
-  directory (reliable storage) so lineage stays short and a lost executor
-  recomputes one step, not the whole loop.
+* every step's centroids are written by a reliable ``checkpoint()`` to the
+  session's checkpoint directory: a step uses the previous centres twice, so the
+  plan would otherwise double per step, and a lost executor replays one step.
 
 Initialisation is k-means++ seeding made deterministic: each next centre is the
 point minimising ``-ln(u) / D(x)`` with ``u`` a seeded hash of (point, restart,
-step) - an exponential race that samples with probability proportional to D(x)
-- taken with ``min_by``, again a mergeable aggregate.
+step) - an exponential race that samples with probability proportional to D(x).
+The winner is found with two hash aggregates (min score, then min id among
+ties) over a narrow scored table, so no vector-carrying row is ever sorted.
 
 Silhouette needs all pairwise distances for the Euclidean metric, so it is
 computed for the *squared* Euclidean metric, which decomposes exactly into

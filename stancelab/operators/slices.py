@@ -76,8 +76,8 @@ def manifest_integrity(manifest: DataFrame, texts: DataFrame, keys: Sequence[str
     """Q6: per slice - text count vs vector count and contiguity inside its archive.
 
     Contiguity is an equi-join of each slice's end to the next slice's start, so
-    no window is needed: ``next_ok`` is false when nothing starts where the slice
-    ends, unless the slice is the last of its file.
+    no window is needed: ``contiguous`` is false when nothing starts where the
+    slice ends, unless the slice is the last of its file.
     """
     keys = list(keys)
     tc = texts.groupBy(*keys).agg(F.count(F.lit(1)).cast("long").alias("n_texts"))
