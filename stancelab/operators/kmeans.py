@@ -160,8 +160,8 @@ def kmeans(points: DataFrame, keys: Sequence[str], k: int = 4, restarts: int = 1
     """Cluster every slice; returns (assignments, centroids, inertia per slice and restart).
 
     A (slice, restart) has converged when the summed squared centre shift of a step
-    is at most ``tol`` x the slice's mean feature variance; the loop stops when all
-    have converged or after ``max_iter`` steps.  Each step costs one job and one
+    is at most ``tol`` x the slice's mean feature variance; from then on it is frozen.
+    The loop stops when all have converged or after ``max_iter`` steps.  Each step costs one job and one
     one-number action; every step's centroids are written to the checkpoint
     directory, so lineage and plan size stay constant.
 
@@ -183,17 +183,24 @@ def kmeans(points: DataFrame, keys: Sequence[str], k: int = 4, restarts: int = 1
                               / F.size(vector_to_array("_var"))).alias("_tol")))
     spread = _checkpoint(spread)
     checkpoint_dir(spark)
-    cents = init_centroids(pts, keys, k, restarts, seed, vec, point_id, bcast)
+    cents = init_centroids(pts, keys, k, restarts, seed, vec, point_id, bcast).withColumn("done", F.lit(False))
+    tol_tab = F.broadcast(spread) if bcast else spread
     for _ in range(max_iter):
-        upd = _update(pts, cents, keys, vec, k, bcast).persist()
-        tol_tab = F.broadcast(spread) if bcast else spread
-        worst = upd.join(tol_tab, keys).agg(F.max(F.col("_shift") - F.col("_tol"))).first()[0]
+        # only unconverged (slice, restart) pairs take another step; converged ones are
+        # frozen, as each restart stops at its own convergence
+        active = cents.where(~F.col("done")).drop("done")
+        stepped = (_update(pts, active, keys, vec, k, bcast).join(tol_tab, keys)
+                   .select(*keys, "restart", "cents", (F.col("_shift") <= F.col("_tol")).alias("done")))
+        # union adds the two inputs' partitions; coalesce keeps the count fixed per step
+        merged = cents.where(F.col("done")).unionByName(stepped).coalesce(parallelism).persist()
+        remaining = merged.where(~F.col("done")).count()
         # a step refers to the previous centres twice, so without a cut the plan doubles
         # every step; the reliable checkpoint (written from the cache) keeps it constant
-        cents = upd.drop("_shift").checkpoint(eager=True)
-        upd.unpersist()
-        if worst is None or worst <= 0:
+        cents = merged.checkpoint(eager=True)
+        merged.unpersist()
+        if remaining == 0:
             break
+    cents = cents.drop("done")
     final = assign(pts, cents, keys, vec, bcast)
     inertia = final.groupBy(*keys, "restart").agg(F.sum("sq_dist").alias("inertia"))
     best = inertia.groupBy(*keys).agg(F.min_by("restart", F.struct("inertia", "restart")).alias("restart"))
