@@ -190,7 +190,18 @@ def test_run_study_over_registered_tables(spark):
         table_path(root, "justification_labels"))
     spark.createDataFrame([("d", "a", "ref", 1)], "domain string, right string, left string, test_no int") \
         .write.parquet(table_path(root, "justification_comparisons"))
-    ran = pl.run_study(spark, root, out, datasets={"covid": {"a": [0, 1], "b": [2]}})
-    assert ran == ["effects_covid", "tests"]
+    arch = [("p1", i, [float(i % 2) * 10.0, 0.0]) for i in range(8)]
+    spark.createDataFrame(arch, "archive_file string, row_no long, embedding array<float>").write.parquet(
+        table_path(root, "embedding_archive"))
+    spark.createDataFrame([(1, 1, "pos", "p1", 0, 8)], "prompt_no int, connector int, sentiment string, "
+                          "archive_file string, archive_offset long, n long").write.parquet(
+        table_path(root, "embedding_manifest"))
+    spark.createDataFrame([(1, 1, "pos", j, f"t{j}") for j in range(8)], "prompt_no int, connector int, "
+                          "sentiment string, justification_no long, justification string").write.parquet(
+        table_path(root, "justification_texts"))
+    ran = pl.run_study(spark, root, out, datasets={"covid": {"a": [0, 1], "b": [2]}}, k=2, restarts=1)
+    assert ran == ["effects_covid", "tests", "clusters"]
+    clusters = spark.read.parquet(os.path.join(out, "clusters", "assignments")).collect()
+    assert len(clusters) == 8 and len({(r.cluster, r.point_id % 2) for r in clusters}) == 2
     assert spark.read.parquet(os.path.join(out, "effects_covid", "coefficients")).count() == 9
     assert spark.read.parquet(os.path.join(out, "tests", "bars")).count() == 2
