@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import array_sum, dot, sq_dist
-from ..session import checkpoint_dir
+from ..session import broadcast_limit, checkpoint_dir
 
 
 def _sq_dists(vec: Column, cents: Column) -> Column:
@@ -126,12 +126,8 @@ def init_centroids(points: DataFrame, keys: Sequence[str], k: int, restarts: int
 def centroid_table_fits(spark, n_slices: int, restarts: int, k: int, dim: int) -> bool:
     """Exact size bound of the centroid table (slices x restarts x k x dim doubles)
     against the session's broadcast threshold; above it the join is left to the planner."""
-    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-    try:
-        limit_bytes = int(str(limit).lower().rstrip("b"))
-    except ValueError:
-        limit_bytes = 10 * 1024 * 1024
-    return limit_bytes > 0 and n_slices * restarts * k * dim * 8 <= limit_bytes
+    limit = broadcast_limit(spark)
+    return limit > 0 and n_slices * restarts * k * dim * 8 <= limit
 
 
 def _update(points: DataFrame, cents: DataFrame, keys: Sequence[str], vec: str, k: int,

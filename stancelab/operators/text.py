@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import broadcast_limit
 from .ordering import first_k
 
 # The forbidden-text patterns of the study (a drive path, an API-key
@@ -75,12 +76,20 @@ def labelling_prompts(assignments: DataFrame, cluster: str, text: str, order: Se
                       k: int = 20, template: str = LABEL_PROMPT_TEMPLATE) -> DataFrame:
     """One prompt per cluster with its first ``k`` non-null texts as ``- text`` lines.
 
-    The head of each cluster is found by :func:`first_k` (no whole-group window);
-    only those k rows are collected per cluster, so the collect is bounded by k.
+    The head of each cluster is ranked on a narrow (cluster, order) projection by
+    :func:`first_k` (no whole-group window), so texts are not shuffled to be
+    ranked; only the winners' texts are then fetched.  That lookup broadcasts the
+    winners when clusters x k rows is under the broadcast threshold (one count of
+    distinct clusters) and is a shuffled join otherwise.  The per-cluster collect
+    holds at most k rows.  ``order`` must be a total order within a cluster.
     """
+    order = list(order)
     rows = assignments.where(F.col(text).isNotNull())
-    head = first_k(rows, k, order, [cluster], name="_pos")
-    ex = head.groupBy(cluster).agg(F.sort_array(F.collect_list(F.struct("_pos", text))).alias("_ex"))
+    head = first_k(rows.select(cluster, *order), k, order, [cluster], name="_pos")
+    n_clusters = rows.select(cluster).distinct().count()
+    bounded = 0 < n_clusters * k * 256 <= broadcast_limit(rows.sparkSession)   # <= 256 bytes a row
+    picked = rows.select(cluster, *order, text).join(F.broadcast(head) if bounded else head, [cluster, *order])
+    ex = picked.groupBy(cluster).agg(F.sort_array(F.collect_list(F.struct("_pos", text))).alias("_ex"))
     examples = F.array_join(F.transform("_ex", lambda s: F.concat(F.lit("- "), s.getField(text))), "\n")
     prompt = F.replace(F.replace(F.lit(template), F.lit("{cluster}"), F.col(cluster).cast("string")),
                        F.lit("{examples}"), examples)

@@ -35,6 +35,17 @@ def get_spark(app: str = "stancelab", master: str | None = None,
     return spark
 
 
+def broadcast_limit(spark: SparkSession) -> int:
+    """The session's broadcast threshold in bytes (<= 0 means never broadcast)."""
+    raw = str(spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")).strip().lower()
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    raw = raw[:-1] if raw.endswith("b") else raw
+    try:
+        return int(float(raw[:-1]) * units[raw[-1]]) if raw and raw[-1] in units else int(raw)
+    except ValueError:
+        return 10 * 1024 * 1024
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
