@@ -197,12 +197,16 @@ def kmeans(points: DataFrame, keys: Sequence[str], k: int = 4, restarts: int = 1
         if remaining == 0:
             break
     cents = cents.drop("done")
-    final = assign(pts, cents, keys, vec, bcast)
-    inertia = final.groupBy(*keys, "restart").agg(F.sum("sq_dist").alias("inertia"))
+    final = assign(pts, cents, keys, vec, bcast).select(*keys, "restart", point_id, "cluster", "sq_dist").persist()
+    inertia = final.groupBy(*keys, "restart").agg(F.sum("sq_dist").alias("inertia")).checkpoint(eager=True)
     best = inertia.groupBy(*keys).agg(F.min_by("restart", F.struct("inertia", "restart")).alias("restart"))
-    chosen = final.join(best, [*keys, "restart"])
+    chosen = (final.join(F.broadcast(best) if bcast else best, [*keys, "restart"])
+              .select(*keys, point_id, "cluster", "sq_dist").checkpoint(eager=True))
     best_cents = cents.join(best, [*keys, "restart"])
-    return chosen.select(*keys, point_id, "cluster", "sq_dist"), best_cents, inertia
+    # outputs now live in the checkpoint directory; release everything this call cached
+    final.unpersist()
+    pts.unpersist()
+    return chosen, best_cents, inertia
 
 
 def cluster_stats(assigned: DataFrame, keys: Sequence[str], vec: str = "vec") -> DataFrame:
