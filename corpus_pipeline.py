@@ -1,26 +1,63 @@
-"""Corpus pipeline: each stage is one operator, written as Parquet and read again by the next."""
+"""Corpus pipeline: each stage is one operator, written as Parquet and read again by the next.
+
+toxicity -> near-dedup -> benchmark decontamination -> mixing -> sharding.  A stage works on all its
+predecessor kept; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stancelab.llm.scratch import Scratch
+from stancelab.llm.decontam import decontaminate
+from stancelab.llm.mixing import mix_sources, repeat_documents
 from stancelab.llm.neardup import near_duplicates
+from stancelab.llm.scratch import Scratch
+from stancelab.llm.shards import shard_documents
+from stancelab.llm.toxicity import score_documents, train
+
+SHARDS = 24
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier calls toxic go; it is fitted on the labelled rows of ``docs``."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    scored = score_documents(docs, train(docs, labels))
+    return scored.where("predicted = 0").select(*docs.columns)
 
 
-def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays (5-word shingles, similarity 0.8)."""
-    kept = near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept.distinct(), docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    kept = near_duplicates(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias("_kept"))
+    return docs.join(kept.distinct(), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+
+
+def drop_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark passages are cut out; documents that are mostly benchmark go."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target takes it: none, one or two rows."""
+    return repeat_documents(mix_sources(docs)).select(*docs.columns)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shard and slot of every row; copies of a document go to one shard."""
+    return shard_documents(docs, SHARDS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("near_dedup", dedup),
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_test_items),
+    ("mixing", mix),
+    ("sharding", shard),
 ]
 
-#: No SQL: the first stage is a trained classifier.
+#: None: SQL cannot express the trained classifier of the first stage.
 ORACLE_SQL = None
 
 
