@@ -240,8 +240,9 @@ class BiGru:
 
 
 class Adam:
-    def __init__(self, p: dict[str, np.ndarray], rate: float):
-        self.p, self.rate, self.t = p, rate, 0
+    def __init__(self, p: dict[str, np.ndarray], rate: float, rates: dict[str, float]):
+        self.p, self.t = p, 0
+        self.rate = {k: rates.get(k, rate) for k in p}
         self.m = {k: np.zeros_like(v) for k, v in p.items()}
         self.v = {k: np.zeros_like(v) for k, v in p.items()}
 
@@ -250,5 +251,5 @@ class Adam:
         for k, g in grad.items():
             self.m[k] += 0.1 * (g - self.m[k])
             self.v[k] += 0.001 * (g * g - self.v[k])
-            self.p[k] -= (self.rate * (self.m[k] / (1 - 0.9 ** self.t))
+            self.p[k] -= (self.rate[k] * (self.m[k] / (1 - 0.9 ** self.t))
                           / (np.sqrt(self.v[k] / (1 - 0.999 ** self.t)) + 1e-8)).astype(np.float32)

@@ -16,6 +16,8 @@ tokenizer is a file of the ``tokenizers`` library; its path is a parameter.
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import uuid
 import zlib
@@ -115,44 +117,74 @@ class TokenFile:
 
 # ---- encoding --------------------------------------------------------------------------------
 
-#: Encoded pieces that a worker keeps between batches: about 150 bytes each.
-PIECES_KEPT = 400_000
-_ASCII_LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+#: Encoded words that a worker keeps between batches, about 250 bytes each.
+WORDS_KEPT = 500_000
+#: A word of ASCII or Latin-1 letters, and the punctuation that may end it.
+_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?]*)")
 
 
 class Encoder:
-    """Token ids of whole texts, encoding each distinct piece once.
+    """Token ids of whole texts, encoding each distinct word once.
 
-    With a tokenizer that never merges over white space and drops it, a text's ids are those of
-    its pieces end to end.  Pieces are cut at ASCII white space, and before the full stop or comma
-    that ends a word after an ASCII letter (always a pre-token boundary).  ``by_piece=False``
-    encodes whole texts, for other tokenizers.
+    ``by_piece`` is for a tokenizer that drops white space, lower-cases, and cuts runs of letters
+    from punctuation before merging: a text's ids then are those of its words end to end.  Words
+    end at ASCII white space.  A word of plain letters goes, lower-cased and without the
+    punctuation that ends it, through the same merges without the normalizer and the pattern,
+    many at a time; all other words go through the whole tokenizer.  Otherwise whole texts do.
     """
 
     def __init__(self, path: str, by_piece: bool = True):
         from tokenizers import Tokenizer
         self._tokenizer = Tokenizer.from_file(path)
         self._by_piece = by_piece
-        self._kept: dict[bytes, np.ndarray] = {}
+        self._kept: dict[bytes, bytes] = {}
+        self._stems: dict[bytes, bytes] = {}
+        if by_piece:
+            with open(path, encoding="utf-8") as f:
+                spec = json.load(f)
+            spec |= {"normalizer": None, "added_tokens": [], "post_processor": None, "pre_tokenizer": {
+                "type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {
+                    "type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
+            self._merges = Tokenizer.from_str(json.dumps(spec))
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if not self._by_piece:
             got = self._tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
-            return [np.array(e.ids, np.uint32) for e in got]
+            return [np.array(e.ids, "<u4") for e in got]
         split = [t.split() for t in texts]
         kept = self._kept
-        missing = list({w for ws in split for w in ws if w not in kept})
-        if len(kept) + len(missing) > PIECES_KEPT:
+        missing = {w for ws in split for w in ws if w not in kept}
+        if len(kept) + len(missing) > WORDS_KEPT:
             kept.clear()
-            missing = list({w for ws in split for w in ws})
-        for at in range(0, len(missing), 20_000):
-            self._learn(missing[at:at + 20_000])
-        return [np.concatenate([kept[w] for w in ws]) if ws else np.zeros(0, np.uint32) for ws in split]
-
-    def _learn(self, words: list[bytes]) -> None:
-        got = self._tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        for w, e in zip(words, got):
-            self._kept[w] = np.array(e.ids, np.uint32)
+            self._stems.clear()
+            missing = {w for ws in split for w in ws}
+        self._learn(missing)
+        return [np.frombuffer(b"".join(map(kept.__getitem__, ws)), "<u4") for ws in split]
+
+    def _learn(self, words: set[bytes]) -> None:
+        parts, whole = {}, set()
+        for w in words:
+            m = _PLAIN.fullmatch(w)
+            if m is None:
+                whole.add(w)
+            else:
+                parts[w] = (m[1].decode().lower().encode(), m[2])
+        stems = self._stems
+        todo = sorted({stem for stem, _ in parts.values() if stem not in stems})
+        for at in range(0, len(todo), 200):
+            own = todo[at:at + 200]
+            got = self._merges.encode(" ".join(w.decode() for w in own), add_special_tokens=False)
+            ids, word = np.array(got.ids, "<u4"), np.array(got.word_ids)
+            for i, piece in enumerate(np.split(ids, np.searchsorted(word, np.arange(1, len(own))))):
+                stems[own[i]] = piece.tobytes()
+        whole |= {tail for _, tail in parts.values() if tail}
+        rest = [w for w in whole if w not in self._kept]
+        for at in range(0, len(rest), 20_000):
+            own = rest[at:at + 20_000]
+            for w, e in zip(own, self._tokenizer.encode_batch_fast([w.decode() for w in own], add_special_tokens=False)):
+                self._kept[w] = np.array(e.ids, "<u4").tobytes()
+        for w, (stem, tail) in parts.items():
+            self._kept[w] = stems[stem] + (self._kept[tail] if tail else b"")
 
 
 @lru_cache(maxsize=2)

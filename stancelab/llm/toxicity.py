@@ -21,8 +21,9 @@ from .scratch import ready
 from .words import batches
 
 #: Labelled rows the classifier is fitted on, per label, and the longest text among them.
-SAMPLE_ROWS = 2000
+SAMPLE_ROWS = 1000
 SAMPLE_CHARS = 12_000
+CHANCE = 4.0
 #: Words of the table: in at least so many of the sample's documents.
 WORD_DOCS = 3
 
@@ -44,7 +45,7 @@ def fit_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, char
     return parts[0].union(parts[1]).select("text", "toxic")
 
 
-def fit(texts: list[str], toxic: np.ndarray, rounds: int = 5, epochs: int = 3, seed: int = 3) -> BiGru:
+def fit(texts: list[str], toxic: np.ndarray, rounds: int = 3, epochs: int = 3, seed: int = 3) -> BiGru:
     """Train on whole texts with document labels; one class only gives a model that says so."""
     col = pa.array(texts, pa.string())
     t = read_words(col)
@@ -63,7 +64,8 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 5, epochs: int = 3, s
         model.p["out"][:] = 0
         return model
     rng = np.random.default_rng(seed)
-    adam = Adam(model.p, 0.01)
+    # the tables, which could learn single texts by heart, move slowly from the evidence
+    adam = Adam(model.p, 0.01, {"words": 0.0005, "grams": 0.0005})
     strength = np.concatenate([[0], np.cumsum(model.p["words"][model.rows(t), 0])])
     look = strength[start + length] - strength[start]
     target = toxic[text]
@@ -94,6 +96,7 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 5, epochs: int = 3, s
 def _evidence(items: np.ndarray, doc_of: np.ndarray, toxic: np.ndarray, share: float):
     """How surely each item goes with a label: signed root of its likelihood ratio over documents.
 
+    What chance does for the best of some ten thousand items, about ``CHANCE``, counts as nothing.
     Returns the distinct items, their evidence (scaled, within -2 and 2) and document counts."""
     pairs = np.unique(np.stack([items, doc_of.astype(np.uint64)]), axis=1)
     found, at = np.unique(pairs[0], return_inverse=True)
@@ -105,7 +108,7 @@ def _evidence(items: np.ndarray, doc_of: np.ndarray, toxic: np.ndarray, share: f
 
     ratio = 2 * (part(bad, total * share) + part(total - bad, total * (1 - share)))
     sign = np.sign(bad / np.maximum(total, 1) - share)
-    return found, np.clip(sign * np.sqrt(np.maximum(ratio, 0)) / 8, -2, 2), total
+    return found, np.clip(sign * np.maximum(np.sqrt(np.maximum(ratio, 0)) - CHANCE, 0) / 4, -2, 2), total
 
 
 def _subset(t, first: np.ndarray, length: np.ndarray):
