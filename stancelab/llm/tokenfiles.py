@@ -117,8 +117,8 @@ class TokenFile:
 
 # ---- encoding --------------------------------------------------------------------------------
 
-#: Encoded words that a worker keeps between batches, about 250 bytes each.
-WORDS_KEPT = 500_000
+#: Encoded words that a worker keeps between batches, about 200 bytes each.
+WORDS_KEPT = 1_000_000
 #: A word of ASCII or Latin-1 letters, and the punctuation that may end it.
 _PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?]*)")
 
@@ -162,29 +162,31 @@ class Encoder:
         return [np.frombuffer(b"".join(map(kept.__getitem__, ws)), "<u4") for ws in split]
 
     def _learn(self, words: set[bytes]) -> None:
-        parts, whole = {}, set()
+        kept, stems, match = self._kept, self._stems, _PLAIN.fullmatch
+        parts, whole = [], set()
         for w in words:
-            m = _PLAIN.fullmatch(w)
+            m = match(w)
             if m is None:
                 whole.add(w)
-            else:
-                parts[w] = (m[1].decode().lower().encode(), m[2])
-        stems = self._stems
-        todo = sorted({stem for stem, _ in parts.values() if stem not in stems})
-        for at in range(0, len(todo), 200):
-            own = todo[at:at + 200]
-            got = self._merges.encode(" ".join(w.decode() for w in own), add_special_tokens=False)
-            ids, word = np.array(got.ids, "<u4"), np.array(got.word_ids)
-            for i, piece in enumerate(np.split(ids, np.searchsorted(word, np.arange(1, len(own))))):
-                stems[own[i]] = piece.tobytes()
-        whole |= {tail for _, tail in parts.values() if tail}
-        rest = [w for w in whole if w not in self._kept]
+                continue
+            stem, tail = m.groups()
+            # A-Z alone is lower-cased as bytes
+            parts.append((w, stem.lower() if stem.isascii() else stem.decode().lower().encode(), tail))
+            if tail:
+                whole.add(tail)
+        todo = [*{stem for _, stem, _ in parts if stem not in stems}]
+        for at in range(0, len(todo), 500):
+            own = todo[at:at + 500]
+            got = self._merges.encode(b" ".join(own).decode(), add_special_tokens=False)
+            raw = np.array(got.ids, "<u4").tobytes()
+            cut = (np.searchsorted(np.array(got.word_ids), np.arange(len(own) + 1)) * 4).tolist()
+            stems.update((w, raw[x:y]) for w, x, y in zip(own, cut, cut[1:]))
+        rest = [w for w in whole if w not in kept]
         for at in range(0, len(rest), 20_000):
             own = rest[at:at + 20_000]
             for w, e in zip(own, self._tokenizer.encode_batch_fast([w.decode() for w in own], add_special_tokens=False)):
-                self._kept[w] = np.array(e.ids, "<u4").tobytes()
-        for w, (stem, tail) in parts.items():
-            self._kept[w] = stems[stem] + (self._kept[tail] if tail else b"")
+                kept[w] = np.array(e.ids, "<u4").tobytes()
+        kept.update((w, stems[stem] + kept[tail] if tail else stems[stem]) for w, stem, tail in parts)
 
 
 @lru_cache(maxsize=2)

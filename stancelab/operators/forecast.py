@@ -38,10 +38,11 @@ def expected_direction(keyword: str | Column, reverse_code: str | Column,
 
 
 def forecast_result(direction: str | Column, expected: str | Column) -> Column:
-    """no_effect passes through; a direction equal to the expectation is correct; else wrong."""
+    """no_effect passes through; a known direction equal to a known expectation is correct;
+    anything else, unknown values included, is wrong."""
     d, e = col(direction), col(expected)
     return (F.when(d == "no_effect", F.lit("no_effect"))
-            .when(d.eqNullSafe(e), F.lit("correct"))
+            .when(d == e, F.lit("correct"))
             .otherwise(F.lit("wrong")))
 
 
@@ -49,15 +50,23 @@ def forecast_table(coefs: DataFrame, bank: DataFrame, issue: str = "issue_no",
                    keyword: str = "keyword", overrides: Mapping[str, str] = KEYWORD_OVERRIDES) -> DataFrame:
     """Coefficients left-joined to the distinct (issue, reverse_code) of the bank.
 
-    The bank side is de-duplicated first so the many-to-one join cannot fan out.
+    One row per issue, so the join cannot fan out.  An issue with two different codes has no
+    known expectation: its code is NULL here, and :func:`conflicting_codes` lists it.
     """
-    meta = bank.select(issue, "reverse_code").dropDuplicates([issue])
+    meta = bank.groupBy(issue).agg(
+        F.when(F.min("reverse_code") == F.max("reverse_code"), F.min("reverse_code")).alias("reverse_code"))
     joined = coefs.join(meta, issue, "left")
     exp = expected_direction(keyword, "reverse_code", overrides)
     return (joined.withColumn("expected_direction", exp)
             .withColumn("derived_forecast_result", forecast_result("direction", "expected_direction")))
 
 
+def conflicting_codes(bank: DataFrame, issue: str = "issue_no") -> DataFrame:
+    """J1 check: issues with more than one reverse code, with status ``review``."""
+    return (bank.groupBy(issue).agg(F.min("reverse_code").alias("least_code"), F.max("reverse_code").alias("greatest_code"))
+            .where(F.col("least_code") != F.col("greatest_code")).withColumn("status", F.lit("review")))
+
+
 def verdict_counts(forecast: DataFrame, verdict: str = "derived_forecast_result") -> DataFrame:
     """A4: count per verdict, absent verdicts reported as 0 (one row per verdict)."""
     counts = forecast.groupBy(verdict).agg(F.count(F.lit(1)).alias("n"))
@@ -83,24 +92,20 @@ def count_check(counts: DataFrame, expected: Mapping[str, int] = EXPECTED_COUNTS
                       F.when(ok, "pass").otherwise("review").alias("status"))
 
 
-def issue_verdicts(forecast: DataFrame, issue_key: Sequence[str],
-                   verdict: str = "derived_forecast_result") -> DataFrame:
-    """Issue-level verdict (our rule; the study ships only its counts): majority of the
-    non-null verdicts of the issue's wordings; a tie or no effect at all is no_effect."""
-    g = forecast.groupBy(*issue_key).agg(
-        F.count_if(F.col(verdict) == "correct").alias("_c"),
-        F.count_if(F.col(verdict) == "wrong").alias("_w"))
-    return g.select(*issue_key, F.when(F.col("_c") > F.col("_w"), "correct")
-                    .when(F.col("_w") > F.col("_c"), "wrong").otherwise("no_effect").alias(verdict))
+MAJORITY_RULE = "majority of the issue's correct and wrong wordings"
 
 
 def forecast_tests(forecast: DataFrame, issue_key: Sequence[str], p: float = 0.5,
-                   verdict: str = "derived_forecast_result") -> DataFrame:
+                   verdict: str = "derived_forecast_result",
+                   issue_counts: tuple[int, int, int] | None = None) -> DataFrame:
     """Exact binomial tests at prompt and issue level, counting no_effect as wrong
-    or excluding it.  Four rows: level, null_handling, correct, total, p_value_greater.
+    or excluding it.  Four rows: level, null_handling, correct, total, p_value_greater, rule.
 
-    One per-issue aggregate feeds both levels: prompt-level counts are its sums and
-    the issue verdicts (see :func:`issue_verdicts`) are read off the same rows.
+    ``issue_counts`` = (correct, wrong, all) issues, where a study has its own issue verdicts;
+    without it an issue is judged by the majority of its wordings (ours; a tie or no effect at
+    all counts for neither).  ``rule`` names what was used at each level.
+
+    One per-issue aggregate feeds both levels: prompt-level counts are its sums.
     """
     per_issue = forecast.groupBy(*issue_key).agg(
         F.count_if(F.col(verdict) == "correct").alias("_c"),
@@ -111,10 +116,17 @@ def forecast_tests(forecast: DataFrame, issue_key: Sequence[str], p: float = 0.5
         F.count_if(F.col("_c") > F.col("_w")).alias("ic"), F.count_if(F.col("_w") > F.col("_c")).alias("iw"),
         F.count(F.lit(1)).alias("it"))
 
+    issue_rule = MAJORITY_RULE
+    if issue_counts is not None:
+        right, wrong, every = issue_counts
+        t = t.withColumns({"ic": F.lit(right), "iw": F.lit(wrong), "it": F.lit(every)})
+        issue_rule = "given counts"
+
     def row(level: str, handling: str, correct: str, total: Column) -> Column:
         return F.struct(F.lit(level).alias("level"), F.lit(handling).alias("null_handling"),
                         F.coalesce(F.col(correct), F.lit(0)).cast("long").alias("correct"),
-                        F.coalesce(total, F.lit(0)).cast("long").alias("total"))
+                        F.coalesce(total, F.lit(0)).cast("long").alias("total"),
+                        F.lit("wordings" if level == "prompt" else issue_rule).alias("rule"))
 
     rows = t.select(F.explode(F.array(
         row("prompt", "count_null_as_wrong", "pc", F.col("pt")),

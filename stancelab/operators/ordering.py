@@ -9,7 +9,7 @@ order, e.g. ``id div 65536``):
    itself split into super-blocks when the block key is integral;
 3. within-block running sums: a window partitioned by block, so one task holds
    at most one block;
-4. offsets joined back on the block key.
+4. offsets joined back on the block key, NULL equal to NULL.
 
 Every step is a plain DataFrame operation and the result is exact.
 """
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import col
 
 DEFAULT_BLOCK_WIDTH = 1 << 16
+#: Distinct values that may be broadcast: strings of some 100 bytes, about 10 MB.
+BROADCAST_VALUES = 100_000
 
 
 def default_block(order_col: str | Column, width: int = DEFAULT_BLOCK_WIDTH) -> Column:
@@ -31,6 +33,13 @@ def default_block(order_col: str | Column, width: int = DEFAULT_BLOCK_WIDTH) ->
     return F.floor(col(order_col).cast("double") / F.lit(float(width))).cast("long")
 
 
+def _match(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on ``keys`` in which NULL equals NULL, as it does in a window's partitions."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(renamed, on).drop(*[f"_r_{k}" for k in keys])
+
+
 def _block_offsets(totals: DataFrame, part: list[str], fanout: int) -> DataFrame:
     """Exclusive running sum of ``_blk_total`` over ``_blk`` within ``part``.
 
@@ -48,7 +57,7 @@ def _block_offsets(totals: DataFrame, part: list[str], fanout: int) -> DataFrame
     sup = sup.select(*part, "_sup", F.coalesce(F.sum("_sup_total").over(w_sup), F.lit(0)).alias("_sup_off"))
     w_in = Window.partitionBy(*part, "_sup").orderBy("_blk").rowsBetween(before, -1)
     inner = t.select(*part, "_sup", "_blk", F.coalesce(F.sum("_blk_total").over(w_in), F.lit(0)).alias("_in_sup"))
-    return inner.join(sup, [*part, "_sup"]).select(
+    return _match(inner, sup, [*part, "_sup"]).select(
         *part, "_blk", (F.col("_sup_off") + F.col("_in_sup")).alias("_blk_off"))
 
 
@@ -67,7 +76,7 @@ def prefix_sum(df: DataFrame, value: str | Column, order: Sequence[str], name: s
     upto = 0 if inclusive else -1
     w_rows = Window.partitionBy(*part, "_blk").orderBy(*order).rowsBetween(Window.unboundedPreceding, upto)
     inner = staged.withColumn("_in_blk", F.coalesce(F.sum("_val").over(w_rows), F.lit(0)))
-    return (inner.join(offsets, [*part, "_blk"])
+    return (_match(inner, offsets, [*part, "_blk"])
             .withColumn(name, F.col("_blk_off") + F.col("_in_blk"))
             .drop("_blk", "_val", "_blk_off", "_in_blk"))
 
@@ -79,34 +88,29 @@ def row_index(df: DataFrame, order: Sequence[str], name: str = "row_no",
 
 
 def first_k(df: DataFrame, k: int, order: Sequence[str], partition: Sequence[str],
-            name: str = "rank_in_group", block: Column | None = None) -> DataFrame:
+            name: str = "rank_in_group") -> DataFrame:
     """The first ``k`` rows of every group in ``order`` (W2), with their 0-based rank.
 
-    Blocks that start at or after position ``k`` are dropped before the
-    within-block window, so only the head of each group is ever sorted.
+    A plain ``row_number() <= k``: Spark keeps k rows per group and task before the shuffle
+    (window group limit), so a group's size does not matter.
     """
-    part = list(partition)
-    order = list(order)
-    blk = block if block is not None else default_block(order[0])
-    staged = df.withColumn("_blk", blk)
-    totals = staged.groupBy(*part, "_blk").agg(F.count(F.lit(1)).alias("_blk_total"))
-    offsets = _block_offsets(totals, part, 4096).where(F.col("_blk_off") < k)
-    head = staged.join(offsets, [*part, "_blk"])
-    w_rows = Window.partitionBy(*part, "_blk").orderBy(*order)
-    ranked = head.withColumn(name, F.col("_blk_off") + F.row_number().over(w_rows) - 1)
-    return ranked.where(F.col(name) < k).drop("_blk", "_blk_off")
+    w = Window.partitionBy(*partition).orderBy(*order)
+    return df.withColumn(name, (F.row_number().over(w) - 1).cast("long")).where(F.col(name) < k)
 
 
 def first_seen_rank(df: DataFrame, value: str, order: str, name: str = "first_seen_rank",
                     block: Column | None = None) -> DataFrame:
     """1, 2, 3... by first appearance of each value in ``order``; NULL and '' share a rank.
 
-    The distinct values (one row each, after a partial/final ``min``) are
-    numbered, then joined back to every row.
+    The distinct values (one row each, after a partial/final ``min``) are numbered, then joined
+    back to every row.  They are broadcast if a count shows at most ``BROADCAST_VALUES`` of them;
+    with more values than that no single one need be hot, and the join is shuffled.
     """
     key = F.coalesce(F.col(value).cast("string"), F.lit(""))
     keyed = df.withColumn("_rank_key", key)
     firsts = keyed.groupBy("_rank_key").agg(F.min(order).alias("_first"))
     numbered = row_index(firsts, ["_first"], "_r", block=block if block is not None else default_block("_first"))
     ranks = numbered.select("_rank_key", (F.col("_r") + 1).alias(name))
+    if firsts.limit(BROADCAST_VALUES + 1).count() <= BROADCAST_VALUES:
+        ranks = F.broadcast(ranks)
     return keyed.join(ranks, "_rank_key").drop("_rank_key")

@@ -62,14 +62,16 @@ def two_proportion_tests(counts: DataFrame, comparisons: DataFrame, domain: str
                          category: str = "category") -> DataFrame:
     """T4: join each (domain, right, left) comparison to its two count rows, then T2.
 
-    Both joins are equi-joins on (domain, category); AQE picks broadcast or shuffle
-    by the observed size of ``counts``.
+    Both joins are left equi-joins on (domain, category), so a comparison whose category has no
+    rows keeps its place: that side counts 0 and the statistics are NULL.  AQE picks broadcast or
+    shuffle by the observed size of ``counts``.
     """
     right = counts.select(F.col(domain), F.col(category).alias("right"),
                           F.col("liberal").alias("lib_right"), F.col("conservative").alias("con_right"))
     left = counts.select(F.col(domain), F.col(category).alias("left"),
                          F.col("liberal").alias("lib_left"), F.col("conservative").alias("con_left"))
-    joined = comparisons.join(right, [domain, "right"]).join(left, [domain, "left"])
+    joined = (comparisons.join(right, [domain, "right"], "left").join(left, [domain, "left"], "left")
+              .fillna(0, ["lib_right", "con_right", "lib_left", "con_left"]))
     return joined.select(
         domain,
         F.concat_ws("_vs_", "right", "left").alias("comparison"),

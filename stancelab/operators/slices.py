@@ -32,10 +32,12 @@ def slice_manifest(archive: DataFrame, keys: Sequence[str] = SLICE_KEYS) -> Data
     (archive_file, archive_offset) - a blocked prefix sum, not a global window.
     """
     keys = list(keys)
-    m = archive.groupBy(*keys, "archive_file").agg(
+    # only the dimension of a vector is wanted: whole vectors go no further than the scan
+    m = archive.select(*keys, "archive_file", "row_no", F.size("embedding").alias("_dim")).groupBy(
+        *keys, "archive_file").agg(
         F.min("row_no").cast("long").alias("archive_offset"),
         F.count(F.lit(1)).cast("long").alias("n"),
-        F.max(F.size("embedding")).cast("int").alias("dimensions"))
+        F.max("_dim").cast("int").alias("dimensions"))
     return prefix_sum(m, F.col("n"), ["archive_file", "archive_offset"], "global_offset",
                       block=F.col("archive_file"))
 
@@ -66,15 +68,20 @@ def texts_by_position(texts: DataFrame, keys: Sequence[str] = SLICE_KEYS, order:
 
 
 def pair_texts(vectors: DataFrame, texts: DataFrame, keys: Sequence[str] = SLICE_KEYS) -> DataFrame:
-    """I-th vector with i-th text of the same slice.  Extra texts drop out (the
-    reference truncates them); vectors without a text are reported by
-    :func:`manifest_integrity`."""
-    return vectors.join(texts, [*keys, "position"])
+    """I-th vector with i-th text of the same slice.  Extra texts drop out (they are cut off);
+    a vector without a text stays, with a NULL text and ``missing_text`` true."""
+    told = texts.withColumn("_told", F.lit(True))
+    return (vectors.join(told, [*keys, "position"], "left")
+            .withColumn("missing_text", F.col("_told").isNull()).drop("_told"))
 
 
-def manifest_integrity(manifest: DataFrame, texts: DataFrame, keys: Sequence[str] = SLICE_KEYS) -> DataFrame:
+def manifest_integrity(manifest: DataFrame, texts: DataFrame, keys: Sequence[str] = SLICE_KEYS,
+                       vectors: DataFrame | None = None) -> DataFrame:
     """Q6: per slice - text count vs vector count and contiguity inside its archive.
 
+    With ``vectors`` (the rows of :func:`read_slices`) ``n_read`` says how many of a slice's
+    vectors the archive really has; fewer than promised is ``missing_slice`` or ``short_slice``.
+
     Contiguity is an equi-join of each slice's end to the next slice's start, so
     no window is needed: ``contiguous`` is false when nothing starts where the
     slice ends, unless the slice is the last of its file.
@@ -90,11 +97,18 @@ def manifest_integrity(manifest: DataFrame, texts: DataFrame, keys: Sequence[str
     j = (ends.join(starts, ["archive_file", "_end"], "left").join(file_end, "archive_file")
          .join(dup, keys).join(tc, keys, "left"))
     n_texts = F.coalesce(F.col("n_texts"), F.lit(0)).cast("long")
+    n_read = F.col("n")
+    if vectors is not None:
+        found = vectors.groupBy(*keys, "archive_file").agg(F.count(F.lit(1)).cast("long").alias("_read"))
+        j = j.join(found, [*keys, "archive_file"], "left")
+        n_read = F.coalesce(F.col("_read"), F.lit(0)).cast("long")
     contiguous = F.coalesce(F.col("_has_next"), F.lit(False)) | (F.col("_end") == F.col("_file_end"))
     status = (F.when(F.col("_copies") > 1, "duplicate_slice")
+              .when((n_read == 0) & (F.col("n") > 0), "missing_slice")
+              .when(n_read < F.col("n"), "short_slice")
               .when(~contiguous, "gap_after")
               .when(n_texts < F.col("n"), "fewer_texts")
               .when(n_texts > F.col("n"), "more_texts")
               .otherwise("ok"))
     return j.select(*keys, "archive_file", "archive_offset", F.col("n").alias("n_vectors"),
-                    n_texts.alias("n_texts"), contiguous.alias("contiguous"), status.alias("status"))
+                    *([n_read.alias("n_read")] if vectors is not None else []), n_texts.alias("n_texts"), contiguous.alias("contiguous"), status.alias("status"))

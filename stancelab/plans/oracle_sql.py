@@ -197,7 +197,7 @@ x AS (
 )
 SELECT p_type, p_brand, coef, direction, expected_direction,
        CASE WHEN direction = 'no_effect' THEN 'no_effect'
-            WHEN direction IS NOT DISTINCT FROM expected_direction THEN 'correct' ELSE 'wrong' END
+            WHEN direction = expected_direction THEN 'correct' ELSE 'wrong' END
          AS derived_forecast_result
 FROM x"""
 
@@ -229,7 +229,9 @@ rows AS (
   UNION ALL
   SELECT level, 'exclude_null', CAST(c AS BIGINT), CAST(c + w AS BIGINT) FROM lv
 )
-SELECT level, null_handling, correct, total, {r6(binom_sf_sql("correct", "total"))} AS p_value_greater FROM rows"""
+SELECT level, null_handling, correct, total, {r6(binom_sf_sql("correct", "total"))} AS p_value_greater,
+       CASE WHEN level = 'prompt' THEN 'wordings' ELSE 'majority of the issue''s correct and wrong wordings' END AS rule
+FROM rows"""
 
 
 def forecast_check_sql() -> str:
@@ -405,7 +407,7 @@ SELECT 'events_response_shape', r || ' rows, ' || p || ' prompts, ' || q || ' qu
 FROM ec"""
 
 LABEL_COVERAGE_SQL = """
-SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)"""
+SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)"""
 
 
 # --------------------------------------------------------------------------- vectors
@@ -483,6 +485,44 @@ t AS (SELECT prompt_no, connector, sentiment, doc_id,
 SELECT prompt_no, connector, sentiment, CAST(position AS BIGINT) AS position, vec_id, doc_id
 FROM v JOIN t USING (prompt_no, connector, sentiment, position)"""
 
+PAIR_MISSING_TEXTS_SQL = f"""
+WITH v AS (SELECT prompt_no, connector, sentiment, vec_id,
+                  row_number() OVER (PARTITION BY prompt_no, connector, sentiment ORDER BY row_no) - 1 AS position
+           FROM ({ARCHIVE_SQL})),
+t AS (SELECT prompt_no, connector, sentiment, doc_id,
+             row_number() OVER (PARTITION BY prompt_no, connector, sentiment ORDER BY doc_id) - 1 AS position
+      FROM ({TEXTS_SQL}) JOIN labels USING (doc_id) WHERE toxic = 1)
+SELECT prompt_no, connector, sentiment, CAST(position AS BIGINT) AS position, vec_id,
+       coalesce(doc_id, -1) AS doc_id, doc_id IS NULL AS missing_text
+FROM v LEFT JOIN t USING (prompt_no, connector, sentiment, position)"""
+
+#: The archive has lost the vectors of label 9 and, elsewhere, those that are nearest to the first axis.
+SHORT_SLICES_SQL = f"""
+WITH m AS ({MANIFEST_SQL}),
+r AS (SELECT prompt_no, connector, sentiment, archive_file, count(*) AS n_read
+      FROM ({ARCHIVE_SQL}) WHERE prompt_no <> 9 AND embedding[1] < 0.5 GROUP BY ALL)
+SELECT prompt_no, connector, sentiment, m.n AS n_vectors, CAST(coalesce(n_read, 0) AS BIGINT) AS n_read,
+       CASE WHEN coalesce(n_read, 0) = 0 THEN 'missing_slice' WHEN n_read < m.n THEN 'short_slice' ELSE 'whole' END AS status
+FROM m LEFT JOIN r USING (prompt_no, connector, sentiment, archive_file)"""
+
+NULL_KEY_INDEX_SQL = """
+SELECT event_id, event_type, CAST(row_number() OVER (PARTITION BY k ORDER BY o NULLS FIRST, event_id) - 1 AS BIGINT) AS row_no
+FROM (SELECT event_id, event_type, nullif(event_type, 'view') AS k, CASE WHEN event_type <> 'click' THEN user_id END AS o
+      FROM events)"""
+
+MISSING_REFERENCE_SQL = f"""
+WITH c AS (
+  SELECT user_id % 5 AS domain, event_type AS category, count(*) FILTER (WHERE event_id % 2 = 1) AS lib,
+         count(*) FILTER (WHERE event_id % 2 = 0) AS con
+  FROM events WHERE event_type <> 'view' OR user_id % 5 <> 3 GROUP BY ALL),
+p AS (SELECT domain, category AS r, 'view' AS l FROM c WHERE category <> 'view')
+SELECT p.domain, p.r || '_vs_' || p.l AS comparison, a.lib AS lib_right, a.con AS con_right,
+       CAST(coalesce(b.lib, 0) AS BIGINT) AS lib_left, CAST(coalesce(b.con, 0) AS BIGINT) AS con_left,
+       {r6("a.lib / (a.lib + a.con)")} AS p_right,
+       {r6("CASE WHEN b.lib + b.con > 0 THEN b.lib / (b.lib + b.con) END")} AS p_left
+FROM p JOIN c a ON a.domain = p.domain AND a.category = p.r
+LEFT JOIN c b ON b.domain = p.domain AND b.category = p.l"""
+
 MANIFEST_INTEGRITY_SQL = f"""
 WITH m AS ({MANIFEST_SQL}),
 tc AS (SELECT prompt_no, connector, sentiment, count(*) AS n_texts FROM ({TEXTS_SQL}) GROUP BY ALL),
@@ -494,7 +534,7 @@ x AS (
          count(*) OVER (PARTITION BY m.prompt_no, m.connector, m.sentiment) AS copies
   FROM m JOIN fe USING (archive_file) LEFT JOIN tc USING (prompt_no, connector, sentiment)
 )
-SELECT prompt_no, connector, sentiment, archive_file, archive_offset, n AS n_vectors, nt AS n_texts, contiguous,
+SELECT prompt_no, connector, sentiment, archive_file, archive_offset, n AS n_vectors, n AS n_read, nt AS n_texts, contiguous,
        CASE WHEN copies > 1 THEN 'duplicate_slice' WHEN NOT contiguous THEN 'gap_after'
             WHEN nt < n THEN 'fewer_texts' WHEN nt > n THEN 'more_texts' ELSE 'ok' END AS status
 FROM x"""
@@ -607,6 +647,10 @@ def oracle_sql() -> dict[str, str]:
     q["slice_manifest"] = MANIFEST_SQL
     q["slice_read"] = SLICE_READ_SQL
     q["manifest_integrity"] = MANIFEST_INTEGRITY_SQL
+    q["pair_missing_texts"] = PAIR_MISSING_TEXTS_SQL
+    q["short_slices"] = SHORT_SLICES_SQL
+    q["null_key_index"] = NULL_KEY_INDEX_SQL
+    q["missing_reference"] = MISSING_REFERENCE_SQL
     q["kmeans_assign_step"] = KMEANS_ASSIGN_STEP_SQL
     q["cluster_quality"] = CLUSTER_QUALITY_SQL
     return q

@@ -110,16 +110,17 @@ def clusters_flow(archive: DataFrame, manifest: DataFrame, texts: DataFrame, k:
     points = vectors.select(*keys, F.col("position").alias("point_id"),
                             F.col("embedding").cast("array<double>").alias("vec"))
     assigned, centroids, inertia = km.kmeans(points, keys, k=k, restarts=restarts, seed=seed)
-    with_text = assigned.join(numbered.select(*keys, F.col("position").alias("point_id"), "justification"),
-                              [*keys, "point_id"])
+    told = numbered.select(*keys, F.col("position").alias("point_id"), "justification", F.lit(True).alias("_told"))
+    with_text = (assigned.join(told, [*keys, "point_id"], "left")
+                 .withColumn("missing_text", F.col("_told").isNull()).drop("_told"))
     metrics = km.quality_metrics(assigned.join(points, [*keys, "point_id"]), keys)
     prompts = tx.labelling_prompts(with_text.withColumn("slice_cluster", F.concat_ws(
         ":", *[F.col(c).cast("string") for c in keys], F.col("cluster").cast("string"))),
         "slice_cluster", "justification", ["point_id"], k=examples_per_cluster)
     return {
         "inventory": manifest,
-        "integrity": sl.manifest_integrity(manifest, texts),
-        "assignments": with_text.select(*keys, "cluster", "justification", "point_id"),
+        "integrity": sl.manifest_integrity(manifest, texts, vectors=vectors),
+        "assignments": with_text.select(*keys, "cluster", "justification", "point_id", "missing_text"),
         "metrics": metrics,
         "centroids": centroids,
         "inertia": inertia,

@@ -299,9 +299,9 @@ def shape_checks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def label_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    docs = read_table(spark, sf, "documents", ["doc_id", "lang"])
+    docs = read_table(spark, sf, "documents", ["doc_id"])
     labels = read_table(spark, sf, "labels", ["doc_id"])
-    return docs.join(labels, "doc_id", "left_anti").select("doc_id", "lang")
+    return ck.missing_keys(docs, labels, ["doc_id"])
 
 
 # ------------------------------------------------------------ vectors (P12 P13 P14, Entry 1)
@@ -383,7 +383,50 @@ def slice_read(spark: SparkSession, sf: str) -> DataFrame:
 
 def manifest_integrity(spark: SparkSession, sf: str) -> DataFrame:
     archive = _archive(spark, sf)
-    return sl.manifest_integrity(sl.slice_manifest(archive), _texts(spark, sf))
+    manifest = sl.slice_manifest(archive)
+    return sl.manifest_integrity(manifest, _texts(spark, sf), vectors=sl.read_slices(archive, manifest))
+
+
+def pair_missing_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Only texts labelled toxic are justifications here, so most vectors have none."""
+    archive = _archive(spark, sf)
+    vectors = sl.read_slices(archive, sl.slice_manifest(archive))
+    toxic = read_table(spark, sf, "labels", ["doc_id", "toxic"]).where(F.col("toxic") == 1).select(
+        F.col("doc_id").alias("justification_no"))
+    texts = sl.texts_by_position(_texts(spark, sf).join(toxic, "justification_no"))
+    return sl.pair_texts(vectors, texts).select(
+        *sl.SLICE_KEYS, F.col("position").cast("long").alias("position"), "vec_id",
+        F.coalesce("justification_no", F.lit(-1)).alias("doc_id"), "missing_text")
+
+
+def short_slices(spark: SparkSession, sf: str) -> DataFrame:
+    """The manifest promises vectors that the archive has lost: whole slices (label 9) and single ones."""
+    archive = _archive(spark, sf)
+    manifest = sl.slice_manifest(archive)
+    left = archive.where((F.col("prompt_no") != 9) & (F.col("embedding")[0] < 0.5))
+    found = sl.manifest_integrity(manifest, _texts(spark, sf), vectors=sl.read_slices(left, manifest))
+    whole = ~F.col("status").isin("missing_slice", "short_slice")
+    return found.select(*sl.SLICE_KEYS, "n_vectors", "n_read", F.when(whole, "whole").otherwise(F.col("status")).alias("status"))
+
+
+def null_key_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbering with NULLs in the partition key (views) and in the order key (clicks)."""
+    ev = read_table(spark, sf, "events", ["event_id", "user_id", "event_type"])
+    ev = ev.withColumns({"k": F.nullif("event_type", F.lit("view")),
+                         "o": F.when(F.col("event_type") != "click", F.col("user_id"))})
+    return od.row_index(ev, ["o", "event_id"], "row_no", partition=["k"], block=od.default_block("o", 1024)).select(
+        "event_id", "event_type", "row_no")
+
+
+def missing_reference(spark: SparkSession, sf: str) -> DataFrame:
+    """One domain has no rows in the reference category; its comparisons stay."""
+    ev = read_table(spark, sf, "events", ["event_id", "user_id", "event_type"])
+    ev = ev.withColumns({"domain": F.col("user_id") % 5, "category": F.col("event_type"), "prime": F.col("event_id") % 2})
+    counts = sig.contingency(ev.where((F.col("category") != "view") | (F.col("domain") != 3)), ["domain", "category"], "prime")
+    pairs = sig.comparisons_vs_reference(counts, "domain", "category", F.lit("view"))
+    tests = sig.two_proportion_tests(counts, pairs)
+    return tests.select("domain", "comparison", "lib_right", "con_right", "lib_left", "con_left",
+                        r6("p_right").alias("p_right"), r6("p_left").alias("p_left"))
 
 
 # ------------------------------------------------------------------- clustering
@@ -397,7 +440,9 @@ def _points(spark: SparkSession, sf: str) -> DataFrame:
 def _assign_step(spark: SparkSession, sf: str) -> DataFrame:
     """One assignment step from fixed starts: the 4 smallest point ids of each slice."""
     pts = _points(spark, sf)
-    starts = od.first_k(pts, 4, ["point_id"], ["slice"], name="rank")
+    # ids alone are ranked; at most 4 vectors a slice are then fetched through a broadcast of as many ids
+    ids = od.first_k(pts.select("slice", "point_id"), 4, ["point_id"], ["slice"], name="rank")
+    starts = pts.join(F.broadcast(ids), ["slice", "point_id"])
     cents = starts.groupBy("slice").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("rank", "vec"))), lambda s: s.getField("vec"))
         .alias("cents"))
@@ -465,6 +510,10 @@ def queries() -> dict[str, Query]:
         "slice_manifest": slice_manifest,
         "slice_read": slice_read,
         "manifest_integrity": manifest_integrity,
+        "pair_missing_texts": pair_missing_texts,
+        "short_slices": short_slices,
+        "null_key_index": null_key_index,
+        "missing_reference": missing_reference,
         "kmeans_assign_step": kmeans_assign_step,
         "cluster_quality": cluster_quality,
         "kmeans_grouped": kmeans_grouped,

@@ -29,7 +29,7 @@ def test_row_index_and_prefix_sum_match_window(spark):
 def test_first_k(spark):
     rows = [(i, "a" if i % 3 else "b") for i in range(300)]
     df = spark.createDataFrame(rows, "id long, g string")
-    got = first_k(df, 5, ["id"], ["g"], block=default_block("id", 16)).collect()
+    got = first_k(df, 5, ["id"], ["g"]).collect()
     by = {}
     for r in got:
         by.setdefault(r.g, []).append((r.rank_in_group, r.id))
@@ -41,3 +41,12 @@ def test_first_seen_rank_merges_null_and_empty(spark):
     df = spark.createDataFrame([(5, "b"), (1, None), (2, "a"), (3, ""), (4, "b"), (0, "c")], "id long, v string")
     got = {r.id: r.first_seen_rank for r in first_seen_rank(df, "v", "id").collect()}
     assert got == {0: 1, 1: 2, 3: 2, 2: 3, 4: 4, 5: 4}
+
+
+def test_numbering_keeps_rows_with_null_keys(spark):
+    rows = [(None, "a"), (1, "a"), (2, None), (None, None), (3, "a")]
+    df = spark.createDataFrame(rows, "id long, g string")
+    got = {(r.id, r.g): r.pos for r in row_index(df, ["id"], "pos", partition=["g"]).collect()}
+    assert got == {(None, "a"): 0, (1, "a"): 1, (3, "a"): 2, (None, None): 0, (2, None): 1}
+    assert first_k(df, 3, ["id"], ["g"]).count() == 5
+    assert row_index(df, ["id"], "pos").count() == 5

@@ -27,8 +27,15 @@ def test_read_slices_and_pairing(spark):
     paired = sl.pair_texts(got, sl.texts_by_position(texts)).collect()
     pos = sorted((r.position, r.justification) for r in paired if r.sentiment == "pos" and r.prompt_no == 1)
     assert pos == [(0, "t3"), (1, "t5"), (2, "t7"), (3, "t9")]
-    neg = sorted((r.position, r.justification) for r in paired if r.sentiment == "neg")
-    assert neg == [(0, ""), (1, "b")]
+    neg = sorted(((r.position, r.justification) for r in paired if r.sentiment == "neg"), key=lambda t: t[0])
+    assert neg == [(0, ""), (1, "b"), (2, None), (3, None), (4, None), (5, None)]  # no vector is lost
+    assert len(paired) == 15 and sum(r.missing_text for r in paired) == 4 + 5
+    short = sl.manifest_integrity(man, texts, vectors=sl.read_slices(
+        arch.where((F.col("archive_file") == "p1") & (F.col("row_no") != 5)), man))
+    assert {(r.prompt_no, r.sentiment): (r.n_read, r.status) for r in short.collect()} == {
+        (1, "pos"): (4, "more_texts"), (1, "neg"): (5, "short_slice"), (2, "pos"): (0, "missing_slice")}
+    nulls = spark.createDataFrame([(1, 1, "pos", None, "x"), (1, 1, "pos", 2, "y")], TEXTS)
+    assert sorted((r.position, r.justification) for r in sl.texts_by_position(nulls).collect()) == [(0, "x"), (1, "y")]
     integ = {(r.prompt_no, r.sentiment): r.status for r in sl.manifest_integrity(man, texts).collect()}
     assert integ == {(1, "pos"): "more_texts", (1, "neg"): "fewer_texts", (2, "pos"): "fewer_texts"}
 
@@ -127,11 +134,12 @@ def test_clusters_flow_end_to_end(spark):
     texts = spark.createDataFrame(text_rows, TEXTS)
     out = clusters_flow(arch, man, texts, k=2, restarts=2, seed=3, examples_per_cluster=3)
     assigned = out["assignments"].collect()
-    assert len(assigned) == 22                 # texts pair with vectors; extra texts dropped
+    assert len(assigned) == 30                 # every vector stays; extra texts dropped
+    assert sum(r.missing_text for r in assigned) == 8
     for s in ("pos", "neg"):
         groups = {}
         for r in assigned:
-            if r.sentiment == s:
+            if r.sentiment == s and r.prompt_no == 1:
                 groups.setdefault(r.cluster, set()).add(r.point_id % 2)
         assert sorted(len(v) for v in groups.values()) == [1, 1]
     metrics = {(r.prompt_no, r.sentiment): r for r in out["metrics"].collect()}
