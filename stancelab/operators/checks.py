@@ -22,9 +22,8 @@ EXPECTED_SHAPES = {
     "validation": {"rows": 143000, "prompts": 286, "questions": 143},
 }
 FORECAST_NOTE = (
-    "Forecast correctness is evaluated at the prompt-keyword level. For most prompts, expected direction "
-    "follows the issue-level reverse_code field; for business and school open/closed prompts, expected "
-    "direction follows the keyword shown in the coefficient table."
+    "Verdicts are per wording. The expected direction is the issue's reverse code, unless the wording's keyword has an "
+    "override of its own (open or closed businesses and schools)."
 )
 
 

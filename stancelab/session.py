@@ -12,23 +12,32 @@ def get_spark(app: str = "stancelab", master: str | None = None,
               shuffle_partitions: int | None = None) -> SparkSession:
     """Build (or reuse) a session with AQE on and the UI off.
 
-    On a cluster pass ``master=None`` and let ``spark-submit`` decide; locally the
-    default is ``local[$BENCH_CPUS or 8]`` with one shuffle partition per core.
+    Master, heap and shuffle partitions are set for local use only: when ``master`` (or
+    $SPARK_MASTER) names a local one, or when nothing else names any - no ``spark-submit``, whose
+    options arrive in $PYSPARK_SUBMIT_ARGS or through a running gateway.  On a cluster all three
+    are left to the submitter.
     """
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
+    wanted = master or os.environ.get("SPARK_MASTER")
+    submitted = "PYSPARK_GATEWAY_PORT" in os.environ or "--master" in os.environ.get("PYSPARK_SUBMIT_ARGS", "")
+    if wanted is None and not submitted:
+        wanted = f"local[{cpus}]"
     builder = SparkSession.builder.appName(app)
-    if master or not os.environ.get("SPARK_MASTER"):
-        builder = builder.master(master or f"local[{cpus}]")
+    if wanted:
+        builder = builder.master(wanted)
+    if wanted and wanted.startswith("local"):
+        builder = (builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
+                   .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g")))
+    elif shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     builder = (
-        builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
-        .config("spark.sql.adaptive.enabled", "true")
+        builder.config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g"))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -49,7 +58,8 @@ def broadcast_limit(spark: SparkSession) -> int:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    When the session does not name one (local tests only) a fresh folder under
+    A folder set with ``setCheckpointDir`` is honoured too.  When there is neither (local tests
+    only) a fresh folder under
     the system temp dir is created and registered.  On a cluster the setting must
     point at shared storage; it is never overridden here.
     """
@@ -59,6 +69,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         spark.sparkContext.setCheckpointDir(configured)
         return configured
+    already = spark.sparkContext.getCheckpointDir()
+    if already and id(spark.sparkContext) not in _LOCAL_DIRS:  # set with setCheckpointDir: honoured as it is
+        return already
     master = spark.sparkContext.master or ""
     if not master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a shared folder when running on a cluster "

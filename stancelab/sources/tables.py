@@ -35,11 +35,10 @@ RESPONSE_CONTRACT = ("named_prime", "issue_no_key", "full_prompt")
 
 
 def table_path(root: str, name: str) -> str:
-    try:
-        rel = STUDY_TABLES[name]
-    except KeyError as exc:
-        raise ValueError(f"Unknown dataset {name!r}; expected one of {sorted(STUDY_TABLES)}") from exc
-    return os.path.join(root, rel)
+    """Where a registered study table lies under ``root``."""
+    if name not in STUDY_TABLES:
+        raise ValueError(f"{name!r} is not a registered study table (known: {', '.join(sorted(STUDY_TABLES))})")
+    return os.path.join(root, STUDY_TABLES[name])
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: Sequence[str] | None = None) -> DataFrame:

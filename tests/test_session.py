@@ -20,9 +20,14 @@ class _Ctx:
     def getConf(self):
         return _Conf({})
 
+    dir = None
+
     def setCheckpointDir(self, path):
         self.dir = path
 
+    def getCheckpointDir(self):
+        return self.dir
+
 
 class _Session:
     def __init__(self, conf=None, master="local[2]"):
@@ -50,3 +55,9 @@ def test_checkpoint_dir_local_fallback_is_stable():
     s = _Session()
     first = checkpoint_dir(s)
     assert first == checkpoint_dir(s) and s.sparkContext.dir == first
+
+
+def test_checkpoint_dir_honours_one_already_set():
+    s = _Session(master="yarn")
+    s.sparkContext.setCheckpointDir("hdfs://other/ckpt")
+    assert checkpoint_dir(s) == "hdfs://other/ckpt"

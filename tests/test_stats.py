@@ -66,3 +66,27 @@ def test_erfc_and_normal_sf(spark):
 def test_erfc_null(spark):
     df = spark.createDataFrame([(None,)], "x double")
     assert df.select(erfc("x")).first()[0] is None
+
+
+def test_binomial_terms_of_many_trials(spark):
+    """Against logarithms in 60 digits: no digits are lost as the number of trials grows."""
+    from decimal import Decimal, getcontext
+
+    from pyspark.sql import functions as F
+
+    from stancelab.functions.stats import binom_log_pmf
+    getcontext().prec = 60
+
+    def log_factorial(n):  # Stirling's series, far beyond double precision for n >= 1000
+        x = Decimal(n + 1)
+        pi = Decimal("3.14159265358979323846264338327950288419716939937510582097494")
+        bernoulli = [(1, 6), (-1, 30), (1, 42), (-1, 30), (5, 66), (-691, 2730), (7, 6), (-3617, 510)]
+        rest = sum(Decimal(a) / b / (2 * i * (2 * i - 1) * x ** (2 * i - 1)) for i, (a, b) in enumerate(bernoulli, 1))
+        return (x - Decimal("0.5")) * x.ln() - x + (2 * pi).ln() / 2 + rest
+
+    rows = [(n, k) for n in (4_000, 10**6, 10**9, 10**12) for k in (n // 2, n // 2 + int(2 * n**0.5), n // 2 - n // 1000)]
+    df = spark.createDataFrame([(float(n), float(k)) for n, k in rows], "n double, k double")
+    got = df.select(binom_log_pmf(F.col("k"), F.col("n"), 0.5)).collect()
+    for (n, k), (value,) in zip(rows, got):
+        want = log_factorial(n) - log_factorial(k) - log_factorial(n - k) - n * Decimal(2).ln()
+        assert abs(Decimal(value) - want) < Decimal("1e-11") * max(1, abs(want)), (n, k)
