@@ -155,6 +155,9 @@ def kmeans(points: DataFrame, keys: Sequence[str], k: int = 4, restarts: int = 1
            max_iter: int = 100, tol: float = 1e-4, vec: str = "vec", point_id: str = "point_id"):
     """Cluster every slice; returns (assignments, centroids, inertia per slice and restart).
 
+    Centroids and inertia carry ``n_iter``, the steps that (slice, restart) took, and ``converged``,
+    false where ``max_iter`` ended it.
+
     A (slice, restart) has converged when the summed squared centre shift of a step
     is at most ``tol`` x the slice's mean feature variance; from then on it is frozen.
     The loop stops when all have converged or after ``max_iter`` steps.  Each step costs one job and one
@@ -168,9 +171,8 @@ def kmeans(points: DataFrame, keys: Sequence[str], k: int = 4, restarts: int = 1
     spark = points.sparkSession
     pts = points.select(*keys, point_id, F.col(vec).cast("array<double>").alias(vec))
     parallelism = spark.sparkContext.defaultParallelism
-    if pts.rdd.getNumPartitions() < parallelism:
-        pts = pts.repartition(parallelism)   # spread the distance work once, before iterating
-    pts = pts.persist()
+    # spread the distance work once, before iterating; asking how it lies now would run the plan
+    pts = pts.repartition(parallelism).persist()
     shape = pts.agg(F.count_distinct(F.struct(*keys)).alias("s"), F.max(F.size(vec)).alias("d")).first()
     bcast = centroid_table_fits(spark, shape["s"] or 0, restarts, k, shape["d"] or 0)
     spread = (pts.select(*keys, array_to_vector(F.col(vec)).alias("_v")).groupBy(*keys)
@@ -179,14 +181,16 @@ def kmeans(points: DataFrame, keys: Sequence[str], k: int = 4, restarts: int = 1
                               / F.size(vector_to_array("_var"))).alias("_tol")))
     spread = _checkpoint(spread)
     checkpoint_dir(spark)
-    cents = init_centroids(pts, keys, k, restarts, seed, vec, point_id, bcast).withColumn("done", F.lit(False))
+    cents = init_centroids(pts, keys, k, restarts, seed, vec, point_id, bcast).withColumns(
+        {"done": F.lit(False), "n_iter": F.lit(0)})
     tol_tab = F.broadcast(spread) if bcast else spread
-    for _ in range(max_iter):
+    for step in range(1, max_iter + 1):
         # only unconverged (slice, restart) pairs take another step; converged ones are
         # frozen, as each restart stops at its own convergence
-        active = cents.where(~F.col("done")).drop("done")
+        active = cents.where(~F.col("done")).select(*keys, "restart", "cents")
         stepped = (_update(pts, active, keys, vec, k, bcast).join(tol_tab, keys)
-                   .select(*keys, "restart", "cents", (F.col("_shift") <= F.col("_tol")).alias("done")))
+                   .select(*keys, "restart", "cents", (F.col("_shift") <= F.col("_tol")).alias("done"),
+                           F.lit(step).alias("n_iter")))
         # union adds the two inputs' partitions; coalesce keeps the count fixed per step
         merged = cents.where(F.col("done")).unionByName(stepped).coalesce(parallelism).persist()
         remaining = merged.where(~F.col("done")).count()
@@ -196,9 +200,10 @@ def kmeans(points: DataFrame, keys: Sequence[str], k: int = 4, restarts: int = 1
         merged.unpersist()
         if remaining == 0:
             break
-    cents = cents.drop("done")
-    final = assign(pts, cents, keys, vec, bcast).select(*keys, "restart", point_id, "cluster", "sq_dist").persist()
-    inertia = final.groupBy(*keys, "restart").agg(F.sum("sq_dist").alias("inertia")).checkpoint(eager=True)
+    cents = cents.withColumnRenamed("done", "converged")
+    final = assign(pts, cents.select(*keys, "restart", "cents"), keys, vec, bcast).select(*keys, "restart", point_id, "cluster", "sq_dist").persist()
+    inertia = (final.groupBy(*keys, "restart").agg(F.sum("sq_dist").alias("inertia"))
+               .join(cents.select(*keys, "restart", "converged", "n_iter"), [*keys, "restart"]).checkpoint(eager=True))
     best = inertia.groupBy(*keys).agg(F.min_by("restart", F.struct("inertia", "restart")).alias("restart"))
     chosen = (final.join(F.broadcast(best) if bcast else best, [*keys, "restart"])
               .select(*keys, point_id, "cluster", "sq_dist").checkpoint(eager=True))

@@ -36,7 +36,9 @@ def default_block(order_col: str | Column, width: int = DEFAULT_BLOCK_WIDTH) ->
 def _match(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Inner join on ``keys`` in which NULL equals NULL, as it does in a window's partitions."""
     renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
-    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    # plain equality where no NULL can be: the join then keeps the window's partitioning
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) if left.schema[k].nullable else F.col(k) == F.col(f"_r_{k}")
+          for k in keys]
     return left.join(renamed, on).drop(*[f"_r_{k}" for k in keys])
 
 

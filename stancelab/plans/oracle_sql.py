@@ -610,6 +610,19 @@ SELECT topic_group, CAST(dense_rank() OVER (PARTITION BY topic_group ORDER BY p_
 FROM tg JOIN fig USING (topic_group)"""
 
 
+KMEANS_GROUPED_SQL = """
+SELECT label % 3 AS slice, count(*) AS n, CAST(0 AS BIGINT) AS n_misplaced, CAST(0 AS BIGINT) AS n_off_centre,
+       CAST(0 AS BIGINT) AS n_open, true AS no_worse FROM embeddings GROUP BY 1"""
+
+CLUSTER_METRICS_SQL = """
+WITH e AS (SELECT label % 3 AS slice, vec_id, unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(len(embedding))) AS d
+           FROM embeddings),
+v AS (SELECT slice, d, sum(x * x) - sum(x) * sum(x) / count(*) AS ss FROM e GROUP BY 1, 2)
+SELECT slice, n, CAST(4 AS BIGINT) AS k, round(sum(ss), 4) AS total_sum_of_squares, true AS silhouette_in_range,
+       true AS davies_bouldin_positive
+FROM v JOIN (SELECT label % 3 AS slice, count(*) AS n FROM embeddings GROUP BY 1) USING (slice) GROUP BY slice, n"""
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["effect_by_wording"] = effect_sql(EFFECT_BY_WORDING_SRC, ["p_type", "p_brand"], "x", "y",
@@ -651,6 +664,8 @@ def oracle_sql() -> dict[str, str]:
     q["short_slices"] = SHORT_SLICES_SQL
     q["null_key_index"] = NULL_KEY_INDEX_SQL
     q["missing_reference"] = MISSING_REFERENCE_SQL
+    q["kmeans_grouped"] = KMEANS_GROUPED_SQL
+    q["cluster_metrics"] = CLUSTER_METRICS_SQL
     q["kmeans_assign_step"] = KMEANS_ASSIGN_STEP_SQL
     q["cluster_quality"] = CLUSTER_QUALITY_SQL
     return q

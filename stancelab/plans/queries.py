@@ -465,15 +465,39 @@ def _kmeans(spark: SparkSession, sf: str):
 
 
 def kmeans_grouped(spark: SparkSession, sf: str) -> DataFrame:
-    assigned, _, _ = _kmeans(spark, sf)
-    return assigned.select("slice", F.col("point_id").alias("vec_id"), "cluster")
+    """The converged clustering, by what holds of any: per slice the points, those not in their
+    nearest cluster (none), the centres further from their members' mean than the tolerance allows
+    (none), restarts that did not converge (none), and whether it is no worse than one step from
+    fixed starts."""
+    assigned, cents, inertia = _kmeans(spark, sf)
+    pts = _points(spark, sf)
+    told = assigned.select("slice", "point_id", F.col("cluster").alias("own"), F.col("sq_dist").alias("own_dist"))
+    again = km.assign(pts, cents.select("slice", "cents"), ["slice"]).join(told, ["slice", "point_id"], "left")
+    per = again.groupBy("slice").agg(
+        F.count(F.lit(1)).cast("long").alias("n"),
+        F.count_if(F.col("own").isNull() | (F.col("own_dist") > F.col("sq_dist") + 1e-9)).cast("long").alias("n_misplaced"),
+        F.sum("own_dist").alias("_inertia"))
+    placed = told.withColumnRenamed("own", "cluster").join(pts, ["slice", "point_id"])
+    stats = km.cluster_stats(placed, ["slice"]).join(cents.select("slice", "cents"), "slice")
+    gap = km.sq_dist(F.col("centroid"), F.get("cents", F.col("cluster")))
+    off = stats.groupBy("slice").agg(F.count_if(gap > 0.05).cast("long").alias("n_off_centre"))
+    open_ = inertia.groupBy("slice").agg(F.count_if(~F.col("converged")).cast("long").alias("n_open"))
+    once = _assign_step(spark, sf).groupBy("slice").agg(F.sum("sq_dist").alias("_once"))
+    return per.join(off, "slice").join(open_, "slice").join(once, "slice").select(
+        "slice", "n", "n_misplaced", "n_off_centre", "n_open", (F.col("_inertia") <= F.col("_once")).alias("no_worse"))
 
 
 def cluster_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Metrics of the converged clustering, held against what must hold: inertia and the
+    Calinski-Harabasz index give the slice's total sum of squares back."""
     assigned, _, _ = _kmeans(spark, sf)
     pts = _points(spark, sf)
     m = km.quality_metrics(assigned.join(pts, ["slice", "point_id"]), ["slice"])
-    return rounded(m, ["inertia", "silhouette_sqeuclidean", "calinski_harabasz", "davies_bouldin"])
+    total = F.col("inertia") * (F.lit(1.0) + F.col("calinski_harabasz") * (F.col("k") - 1) / (F.col("n") - F.col("k")))
+    return m.select("slice", "n", "k", F.round(total, 4).alias("total_sum_of_squares"),
+                    F.col("silhouette_sqeuclidean").between(-1.0, 1.0).alias("silhouette_in_range"),
+                    (F.col("davies_bouldin") > 0).alias("davies_bouldin_positive"))
+
 
 
 def queries() -> dict[str, Query]:
