@@ -76,13 +76,14 @@ def mix_sources(docs: DataFrame, weights=cyclic_weights, share: float = 1.5, max
     in both are interchangeable.  Empty documents are taken while there is room.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    own = ["size", "source_size", "target", "times", "taken"]
-    base = docs.drop(*own, "_key", "_slice")
+    base = docs.drop("size", "source_size", "target", "times", "taken")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text)))
-    sized = (base.withColumn("size", F.regexp_count(text, F.lit(WORD)).cast("long")).withColumn("_key", key)
-             .withColumn("_slice", F.substring("_key", 1, SLICE_DIGITS)))
-    slices = scratch.table(sized.groupBy("source", "_slice").agg(F.sum("size").alias("n")), "slices")
+    sized = base.withColumn("size", F.regexp_count(text, F.lit(WORD)).cast("long")).withColumn("_key", key)
+    # the plan of the mix needs sources, sizes and keys alone
+    narrow = scratch.table(sized.select("source", "size", "_key"), "sizes")
+    cut = F.substring("_key", 1, SLICE_DIGITS)
+    slices = scratch.table(narrow.groupBy("source", cut.alias("_slice")).agg(F.sum("size").alias("n")), "slices")
     sources = slices.groupBy("source").agg(F.sum("n").alias("source_size"))
     targets = scratch.table(water_fill(scratch.table(weights(sources), "sources"), share, max_epochs, scratch)
                             .select("source", "source_size", "target"), "targets")
@@ -90,28 +91,32 @@ def mix_sources(docs: DataFrame, weights=cyclic_weights, share: float = 1.5, max
     plan = slices.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0))).join(
         targets, slices["source"].eqNullSafe(targets["source"])).select(
         slices["source"].alias("_source"), F.col("_slice").alias("_s"), "_before", "source_size", "target")
-    placed = sized.join(plan, sized["source"].eqNullSafe(F.col("_source")) & (sized["_slice"] == F.col("_s")))
-    whole = F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    rest = F.col("target") - whole * F.col("source_size")
-    inside = Window.partitionBy("_source", "_s").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("_before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    placed = placed.withColumns({"_start": start, "_whole": whole, "_rest": rest})
+
+    def placed(rows: DataFrame) -> DataFrame:
+        """Rows with the size of what stands before them in their source's order, and what is wanted."""
+        at = rows.join(plan, F.col("source").eqNullSafe(F.col("_source")) & (cut == F.col("_s")))
+        inside = Window.partitionBy("_source", "_s").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
+        whole = F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
+        return at.withColumns({
+            "_start": F.col("_before") + F.coalesce(F.sum("size").over(inside), F.lit(0)),
+            "_whole": whole, "_rest": F.col("target") - whole * F.col("source_size")})
+
     end = F.col("_start") + F.col("size")
-    ends = placed.groupBy(F.col("_source").alias("_from")).agg(
+    thin = placed(narrow)
+    ends = thin.groupBy(F.col("_source").alias("_from")).agg(
         F.coalesce(F.max(F.when(end <= F.col("_rest"), end)), F.lit(0)).alias("_filled"))
-    later = placed.where(end > F.col("_rest")).join(ends, F.col("_source").eqNullSafe(F.col("_from")))
+    later = thin.where(end > F.col("_rest")).join(ends, F.col("_source").eqNullSafe(F.col("_from")))
     gap = F.col("_rest") - F.col("_filled")
     miss = F.abs(gap - F.col("size"))
     picks = scratch.table(
-        later.where(miss < gap).groupBy(F.col("_from")).agg(F.min(F.struct(miss.alias("m"), "_key", "_start")).alias("_pick"))
+        later.where(miss < gap).groupBy("_from").agg(F.min(F.struct(miss.alias("m"), "_key", "_start")).alias("_pick"))
         .select("_from", F.col("_pick._key").alias("_pick_key"), F.col("_pick._start").alias("_pick_start")), "picks")
     extra = (end <= F.col("_rest")) | F.coalesce(
         (F.col("_key") == F.col("_pick_key")) & (F.col("_start") == F.col("_pick_start")), F.lit(False))
-    return (placed.join(picks, F.col("_source").eqNullSafe(F.col("_from")), "left")
+    return (placed(sized).join(picks, F.col("_source").eqNullSafe(F.col("_from")), "left")
             .withColumn("times", (F.col("_whole") + F.when(extra & (F.col("_rest") > 0), 1).otherwise(0)).cast("long"))
             .withColumn("taken", F.col("times") * F.col("size"))
-            .drop("_source", "_s", "_before", "_key", "_slice", "_start", "_whole", "_rest", "_from", "_pick_key",
-                  "_pick_start"))
+            .drop("_source", "_s", "_before", "_key", "_start", "_whole", "_rest", "_from", "_pick_key", "_pick_start"))
 
 
 def repeat_documents(mixed: DataFrame) -> DataFrame:

@@ -54,7 +54,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, weights: Sequence[float]
               .withColumn("text_crc32", F.crc32(F.encode(text, "UTF-8")))
               .withColumn("_scores", F.array(*_scores(key, [*weights, 1.0])))
               .withColumn("law", F.lit("key"))
-              .withColumn("shard", F.array_min(F.slice("_scores", 1, len(weights)))["shard"])
+              .withColumn("shard", F.coalesce(F.array_min(F.slice("_scores", 1, len(weights)))["shard"], F.lit(0)))
               .withColumn("grown_shard", F.array_min("_scores")["shard"])
               .drop("_scores"))
     block = F.coalesce(F.floor(F.col("doc_id") / F.lit(BLOCK)).cast("long"), F.lit(-(1 << 62)))

@@ -246,7 +246,8 @@ def test_classifier_held_out(spark):
     assert right >= 0.95 * len(labels)
     assert all(got[i]["score"] == NO_WORDS and got[i]["predicted"] == 0 for i in (900, 901, 902))
     assert score_documents(docs.limit(0), model).count() == 0
-    long = "w1 " * 30_000 + "vile " + "w2 " * 30_000  # found wherever it stands
+    clean = [w for t, y in zip(fresh, labels) if not y for w in t.split()]
+    long = " ".join((clean * 4)[:30_000] + ["vile"] + (clean * 4)[30_000:60_000])  # found wherever it stands
     assert model.scores(pa.array([long, long.replace("vile", "w3")])).round().tolist() == [1, 0]
 
 
