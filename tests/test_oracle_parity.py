@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from stancelab.plans import oracle_sql
 from tests.conftest import SF_CHECK
 from tests.parity import compare, duck
 
-ORACLES = entry.oracle_sql()
+ORACLES = oracle_sql.oracle_sql()
 
 
 @pytest.fixture(scope="module")
