@@ -29,23 +29,24 @@ WORD_DOCS = 3
 
 
 def fit_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> DataFrame:
-    """(text, toxic): at most ``rows`` rows of each label, by md5 of doc_id, from the fitting folds.
+    """(text, toxic): at most ``rows`` labelled ids of each label, by md5 of doc_id, and their texts.
 
-    A row is left out of fitting if crc32(doc_id as text) mod 5 is 0, if doc_id or label is null,
-    or if its text is null or longer than ``chars``.
+    An id is not used for fitting if crc32(doc_id as text) mod 5 is 0, or if it or its label is
+    null; a text is not if it is null, empty or longer than ``chars``.  The ids are chosen from the
+    labels alone, so only 2 * ``rows`` of them are broadcast to fetch the texts.
     """
     key = F.col("doc_id").cast("string")
     lab = (labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(F.crc32(F.encode(key, "UTF-8")) % 5 != 0)
-           .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
-    text = docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("text")).where(
+           .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("_order", F.md5(key)))
+    parts = [lab.where(F.col("toxic") == v).orderBy("_order", "doc_id").limit(rows) for v in (1, 0)]
+    picked = parts[0].union(parts[1]).select(F.col("doc_id").alias("_picked"), "_order", "toxic")
+    text = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).where(
         F.length("text").between(1, chars))
-    joined = text.join(lab, F.col("_id") == F.col("doc_id")).select(
-        F.md5(key).alias("order"), "doc_id", "text", "toxic")
-    parts = [joined.where(F.col("toxic") == v).orderBy("order", "doc_id", "text").limit(rows) for v in (1, 0)]
-    return parts[0].union(parts[1]).select("text", "toxic")
+    return (text.join(F.broadcast(picked), F.col("doc_id") == F.col("_picked"))
+            .orderBy("_order", "doc_id", "text").limit(4 * rows).select("text", "toxic"))
 
 
-def fit(texts: list[str], toxic: np.ndarray, rounds: int = 3, epochs: int = 3, seed: int = 3) -> BiGru:
+def fit(texts: list[str], toxic: np.ndarray, rounds: int = 5, epochs: int = 3, seed: int = 3) -> BiGru:
     """Train on whole texts with document labels; one class only gives a model that says so."""
     col = pa.array(texts, pa.string())
     t = read_words(col)
