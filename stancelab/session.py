@@ -70,17 +70,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.sparkContext.setCheckpointDir(configured)
         return configured
     already = spark.sparkContext.getCheckpointDir()
-    if already and id(spark.sparkContext) not in _LOCAL_DIRS:  # set with setCheckpointDir: honoured as it is
+    if already:  # set with setCheckpointDir, by the caller or below
         return already
     master = spark.sparkContext.master or ""
     if not master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a shared folder when running on a cluster "
                          f"(master {master!r}); a machine-local folder would not survive executor loss")
-    key = id(spark.sparkContext)
-    if key not in _LOCAL_DIRS:
-        _LOCAL_DIRS[key] = tempfile.mkdtemp(prefix="stancelab-ckpt-")
-        spark.sparkContext.setCheckpointDir(_LOCAL_DIRS[key])
-    return _LOCAL_DIRS[key]
-
-
-_LOCAL_DIRS: dict[int, str] = {}
+    folder = tempfile.mkdtemp(prefix="stancelab-ckpt-")
+    spark.sparkContext.setCheckpointDir(folder)
+    return folder

@@ -18,14 +18,16 @@ from ..operators.prompts import normalise_bank
 BANK_INT_COLUMNS = ("issue_no", "topic_no", "reverse_code")
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | None = None, **options: str) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: str | None = None, multi_line: bool = True,
+             **options: str) -> DataFrame:
     """Header CSV where quoted fields may hold commas, doubled quotes and newlines.
 
-    ``multiLine`` keeps quoted newlines inside one record and ``escape='"'``
-    reads ``""`` as a literal quote; a UTF-8 byte-order mark is dropped by the
-    reader.  Without ``schema`` every column is a string (no inference pass).
+    ``multi_line`` keeps quoted newlines inside one record, at the price of one task per file;
+    turn it off for large files whose fields hold none, which are then split.  ``escape='"'``
+    reads ``""`` as a literal quote; a UTF-8 byte-order mark is dropped by the reader.  Without
+    ``schema`` every column is a string (no inference pass).
     """
-    reader = (spark.read.option("header", True).option("multiLine", True)
+    reader = (spark.read.option("header", True).option("multiLine", multi_line)
               .option("escape", '"').option("quote", '"').option("encoding", "UTF-8"))
     for k, v in options.items():
         reader = reader.option(k, v)
@@ -46,17 +48,18 @@ def read_prompt_bank(spark: SparkSession, path: str, dataset: str) -> DataFrame:
 
 
 def land_csv(spark: SparkSession, src: str, dest: str, schema: str | None = None, force: bool = False,
-             partitions: int | None = None, partition_by: Sequence[str] = ()) -> DataFrame:
+             partitions: int | None = None, partition_by: Sequence[str] = (), multi_line: bool = True) -> DataFrame:
     """Read a (possibly gzip-compressed) CSV once and land it as Parquet.
 
-    gzip is not splittable, so the single input split is repartitioned before the
-    write; ``force=False`` keeps an existing landing (mode ``ignore``).
+    A gzip or multi-line file is one input split, so the rows are spread before the write, by
+    default over the session's parallelism; ``force=False`` keeps an existing landing (mode
+    ``ignore``).
     """
-    df = read_csv(spark, src, schema)
+    df = read_csv(spark, src, schema, multi_line)
     if partition_by:
         df = df.repartition(*partition_by) if partitions is None else df.repartition(partitions, *partition_by)
-    elif partitions:
-        df = df.repartition(partitions)
+    else:
+        df = df.repartition(partitions or spark.sparkContext.defaultParallelism)
     writer = df.write.mode("overwrite" if force else "ignore")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -98,22 +101,51 @@ def file_inventory(spark: SparkSession, vectors_path: str, texts_path: str | Non
     dimension, the matching text file name ('' when that file is absent) and ``error``.
 
     File names come from the ``_metadata`` column, so no driver-side listing or
-    per-file loop is involved; counting is one aggregate over all files.  Files
-    that match the name pattern but cannot be read (listed through the
-    ``binaryFile`` source, content not loaded) come back as rows with only
-    ``embedding_file`` and ``error`` set.  When ``vectors_path`` does not exist and
+    per-file loop is involved; counting is one aggregate over all files.  What a file
+    should hold is asked of its own footer, on the executors: a file whose footer cannot be
+    read is a row with only ``embedding_file`` and ``error`` (the reader's words), a file that
+    gave fewer vectors than its footer promises keeps its count and says so in ``error``, and an
+    empty file is a row with ``n`` 0.  When ``vectors_path`` does not exist and
     a saved summary (Parquet) does, the summary is returned instead.
     """
     if not path_exists(spark, vectors_path) and summary_path and path_exists(spark, summary_path):
         return spark.read.parquet(summary_path)
     vec = (spark.read.option("ignoreCorruptFiles", "true").parquet(vectors_path)
            .select(F.col("_metadata.file_name").alias("embedding_file"), F.size(vector_col).alias("_dim")))
-    inv = (vec.where(F.col("embedding_file").rlike(VECTOR_FILE_PATTERN))
-           .groupBy("embedding_file")
-           .agg(F.count(F.lit(1)).cast("long").alias("n"), F.max("_dim").cast("int").alias("dimensions")))
+    counts = vec.groupBy("embedding_file").agg(
+        F.count(F.lit(1)).cast("long").alias("n"), F.max("_dim").cast("int").alias("dimensions"))
+    def read_footers(frames):
+        """Rows that each Parquet file promises, or why its footer cannot be read."""
+        import io
+
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+        for f in frames:
+            promised, errors = [], []
+            for content in f.column("content").to_pylist():
+                try:
+                    promised.append(pq.ParquetFile(io.BytesIO(content)).metadata.num_rows)
+                    errors.append(None)
+                except (pa.ArrowException, OSError, ValueError) as exc:
+                    promised.append(None)
+                    errors.append(f"{type(exc).__name__}: {exc}"[:200])
+            yield pa.record_batch({"embedding_file": f.column("embedding_file"), "promised": pa.array(promised, pa.int64()),
+                                   "error": pa.array(errors, pa.string())})
+
+    footers = (spark.read.format("binaryFile").load(vectors_path)
+               .select(F.regexp_extract("path", r"([^/]+)$", 1).alias("embedding_file"), "content")
+               .where(F.col("embedding_file").rlike(VECTOR_FILE_PATTERN))
+               .mapInArrow(read_footers, "embedding_file string, promised long, error string"))
+    files = footers.join(counts, "embedding_file", "left")
+    short = F.concat(F.lit("read "), F.coalesce("n", F.lit(0)).cast("string"), F.lit(" of "),
+                     F.col("promised").cast("string"), F.lit(" vectors"))
+    bad = files.where("error IS NOT NULL").select("embedding_file", "error")
+    inv = files.where("error IS NULL").select(
+        "embedding_file", F.coalesce("n", F.lit(0)).alias("n"), "dimensions",
+        F.when(F.coalesce("n", F.lit(0)) < F.col("promised"), short).alias("error"))
     parts = [F.regexp_extract("embedding_file", VECTOR_FILE_PATTERN, i) for i in (1, 2, 3)]
     inv = inv.select(parts[1].cast("int").alias("prompt_no"), parts[2].cast("int").alias("connector"),
-                     parts[0].alias("sentiment"), "embedding_file", "n", "dimensions")
+                     parts[0].alias("sentiment"), "embedding_file", "n", "dimensions", "error")
     stem = F.concat(F.col("sentiment"), F.lit("_lst_"), F.col("prompt_no").cast("string"), F.lit("_1"))
     inv = inv.withColumn("_stem", stem)
     if texts_path is None:
@@ -123,13 +155,8 @@ def file_inventory(spark: SparkSession, vectors_path: str, texts_path: str | Non
                  .withColumn("_stem", F.regexp_extract("text_file", r"^(.*?)\.[A-Za-z0-9.]+$", 1)))
         inv = (inv.join(texts, "_stem", "left")
                .withColumn("text_file", F.coalesce("text_file", F.lit(""))).drop("_stem"))
-    inv = inv.withColumn("error", F.lit(None).cast("string"))
-    listed = (spark.read.format("binaryFile").load(vectors_path)
-              .select(F.regexp_extract("path", r"([^/]+)$", 1).alias("embedding_file"))
-              .where(F.col("embedding_file").rlike(VECTOR_FILE_PATTERN)))
-    bad = listed.join(inv.select("embedding_file"), "embedding_file", "left_anti").select(
-        "embedding_file", F.lit("unreadable or empty vector file").alias("error"))
-    return inv.unionByName(bad, allowMissingColumns=True)
+    columns = [c for c in inv.columns if c != "error"] + ["error"]
+    return inv.select(*columns).unionByName(bad, allowMissingColumns=True)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

@@ -133,6 +133,23 @@ def test_file_inventory_and_landing(spark):
     inv = {(r.sentiment, r.connector): r for r in rows if not r.error}
     assert inv[("pos", 1)].n == 4 and inv[("pos", 1)].dimensions == 5 and inv[("pos", 1)].prompt_no == 3
     assert inv[("pos", 1)].text_file == "pos_lst_3_1.parquet" and inv[("neg", 2)].text_file == ""
+    # an empty file counts 0; one damaged after its first row groups says what is missing
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    kind = pa.schema([("embedding", pa.list_(pa.float64()))])
+    pq.write_table(kind.empty_table(), os.path.join(vec_dir, "pos_embed_5_1_2_fin.parquet"))
+    many = pa.table({"embedding": [[random.random()] * 3 for _ in range(3000)]}, schema=kind)
+    broken = os.path.join(vec_dir, "pos_embed_6_1_2_fin.parquet")
+    pq.write_table(many, broken, row_group_size=1000, compression="snappy", use_dictionary=False)
+    meta = pq.ParquetFile(broken).metadata
+    at = meta.row_group(2).column(0).data_page_offset
+    with open(broken, "r+b") as fh:
+        fh.seek(at)
+        fh.write(b"\xff" * 64)
+    again = {r.embedding_file: r for r in fl.file_inventory(spark, vec_dir, txt_dir).collect()}
+    empty, part = again["pos_embed_5_1_2_fin.parquet"], again["pos_embed_6_1_2_fin.parquet"]
+    assert (empty.n, empty.prompt_no, empty.error) == (0, 5, None)
+    assert part.n < 3000 and part.error == f"read {part.n} of 3000 vectors" and len(again) == 5
     # a saved summary stands in when the cache folder is gone
     saved = os.path.join(d, "saved_summary")
     spark.createDataFrame([(3, 1, "pos", 4)], "prompt_no int, connector int, sentiment string, n long") \
