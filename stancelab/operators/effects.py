@@ -11,6 +11,7 @@ rows costs no more shuffle than a cold one.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,7 +82,7 @@ def two_group_effect(df: DataFrame, keys: Sequence[str], x: str | Column, y: str
 
     ``first_attrs`` are taken from the group's first row in ``first_by`` order
     (deterministic when ``first_by`` is a total order, unlike ``first()``).  Rows
-    whose group key is NULL are dropped, as pandas ``groupby`` does.
+    whose group key is NULL or NaN are dropped, as pandas ``groupby`` does.
 
     Plan: one aggregate, one shuffle of partial rows.  The first-row pick is a
     ``min_by`` over a struct, whose buffer is not fixed-width, so Spark aggregates
@@ -92,8 +93,9 @@ def two_group_effect(df: DataFrame, keys: Sequence[str], x: str | Column, y: str
     input for that join before AQE could switch it to a broadcast.)
     """
     keys = list(keys)
-    kept = df.where(F.lit(True) if not keys else
-                    F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)))
+    real = {k for k in keys if dict(df.dtypes)[k] in ("double", "float")}
+    known = [F.col(k).isNotNull() & (~F.isnan(k) if k in real else F.lit(True)) for k in keys]
+    kept = df.where(reduce(lambda a, b: a & b, known, F.lit(True)))
     aggs = effect_aggregates(x, y)
     firsts_cols = []
     if first_attrs:

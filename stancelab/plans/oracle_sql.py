@@ -610,6 +610,17 @@ SELECT topic_group, CAST(dense_rank() OVER (PARTITION BY topic_group ORDER BY p_
 FROM tg JOIN fig USING (topic_group)"""
 
 
+COEFFICIENTS_SRC = """
+  SELECT p_size + 0.1::DOUBLE AS issue_no_key, l_linenumber AS question_no, p_size AS issue_no, p_brand AS keyword,
+         p_type AS ending, 'about ' || lower(p_type) AS end_type, p_brand AS label_1, lower(p_type) AS label_2,
+         CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS x, l_extendedprice AS y,
+         l_orderkey, l_partkey, l_suppkey, l_extendedprice AS price
+  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linestatus = 'F' AND p_size <> 13"""
+
+JUSTIFICATION_PROMPTS_HEAD_SQL = """
+SELECT conv_id AS prompt_no, turn AS completion_no, 'Why? ' || text || '. This is because' AS justification_prompt
+FROM conversations WHERE role = 'assistant' ORDER BY conv_id, turn LIMIT 25"""
+
 KMEANS_GROUPED_SQL = """
 SELECT label % 3 AS slice, count(*) AS n, CAST(0 AS BIGINT) AS n_misplaced, CAST(0 AS BIGINT) AS n_off_centre,
        CAST(0 AS BIGINT) AS n_open, true AS no_worse FROM embeddings GROUP BY 1"""
@@ -664,6 +675,11 @@ def oracle_sql() -> dict[str, str]:
     q["short_slices"] = SHORT_SLICES_SQL
     q["null_key_index"] = NULL_KEY_INDEX_SQL
     q["missing_reference"] = MISSING_REFERENCE_SQL
+    q["coefficients"] = effect_sql(
+        COEFFICIENTS_SRC, ["issue_no_key", "question_no"], "x", "y",
+        {c: c for c in ("issue_no", "keyword", "ending", "end_type", "label_1", "label_2")},
+        "l_orderkey, l_partkey, l_suppkey, price")
+    q["justification_prompts_head"] = JUSTIFICATION_PROMPTS_HEAD_SQL
     q["kmeans_grouped"] = KMEANS_GROUPED_SQL
     q["cluster_metrics"] = CLUSTER_METRICS_SQL
     q["kmeans_assign_step"] = KMEANS_ASSIGN_STEP_SQL

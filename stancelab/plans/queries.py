@@ -25,7 +25,7 @@ from ..operators import ordering as od
 from ..operators import prompts as pr
 from ..operators import text as tx
 from ..operators import significance as sig
-from ..operators.effects import EFFECT_COLUMNS, assign_topic, two_group_effect
+from ..operators.effects import EFFECT_COLUMNS, assign_topic, coefficient_table, two_group_effect
 from ..sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -244,6 +244,34 @@ def labelling_prompts(spark: SparkSession, sf: str) -> DataFrame:
     return tx.labelling_prompts(docs, "lang", "text", ["doc_id"], k=5)
 
 
+def coefficients(spark: SparkSession, sf: str) -> DataFrame:
+    """lineitem x part in the shape of the response table: a shipped line (status F) is a named
+    prime, the part's size the issue, the line's number the question, the brand the keyword."""
+    li = read_table(spark, sf, "lineitem", ["l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", "l_linestatus",
+                                            "l_returnflag", "l_extendedprice"])
+    pt = read_table(spark, sf, "part", ["p_partkey", "p_type", "p_brand", "p_size"])
+    named = F.col("l_linestatus") == "F"
+    responses = li.join(pt, li.l_partkey == pt.p_partkey).select(
+        named.cast("int").alias("named_prime"), F.col("p_size").alias("issue_no"),
+        F.when(F.col("p_size") == 13, F.lit(float("nan"))).otherwise(F.col("p_size") + 0.1).alias("issue_no_key"),
+        F.col("l_linenumber").alias("question_no"), F.col("p_brand").alias("keyword"), F.col("p_type").alias("ending"),
+        F.concat(F.lit("about "), F.lower("p_type")).alias("end_type"),
+        F.concat("p_brand", F.lit(" , "), F.lower("p_type"), F.lit(",x")).alias("labels"),
+        (F.col("l_returnflag") == "R").cast("int").alias("liberal"), F.col("l_extendedprice").alias("proj"),
+        F.col("l_orderkey").alias("prompt_no"), F.struct("l_partkey", "l_suppkey", "l_extendedprice").alias("completion_no"))
+    return rounded_effect(coefficient_table(responses), ["issue_no_key", "question_no"],
+                          ["issue_no", "keyword", "ending", "end_type", "label_1", "label_2"])
+
+
+def justification_prompts_head(spark: SparkSession, sf: str) -> DataFrame:
+    """The first 25 prompts in (conversation, turn) order: the operator's limit."""
+    conv = read_table(spark, sf, "conversations", ["conv_id", "turn", "role", "text"])
+    said = conv.where(F.col("role") == "assistant").select(
+        F.col("conv_id").alias("prompt_no"), F.col("turn").alias("completion_no"),
+        F.lit("Why?").alias("full_prompt"), F.col("text").alias("completion"))
+    return pr.justification_prompts(said, limit=25)
+
+
 def justification_prompts(spark: SparkSession, sf: str) -> DataFrame:
     """Each user turn followed by the next assistant turn: prompt ' ' completion '. This is because'."""
     conv = read_table(spark, sf, "conversations", ["conv_id", "turn", "role", "text"])
@@ -533,6 +561,8 @@ def queries() -> dict[str, Query]:
         "effect_on_projection": effect_on_projection,
         "slice_manifest": slice_manifest,
         "slice_read": slice_read,
+        "coefficients": coefficients,
+        "justification_prompts_head": justification_prompts_head,
         "manifest_integrity": manifest_integrity,
         "pair_missing_texts": pair_missing_texts,
         "short_slices": short_slices,
