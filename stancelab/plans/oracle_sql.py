@@ -6,6 +6,8 @@ compared as ``round(x, 6) + 0.0`` on both sides and counts as BIGINT.
 
 from __future__ import annotations
 
+from ..operators.checks import FORECAST_NOTE
+
 
 def r6(expr: str) -> str:
     return f"round(CAST({expr} AS DOUBLE), 6) + 0.0"
@@ -675,6 +677,11 @@ def oracle_sql() -> dict[str, str]:
     q["short_slices"] = SHORT_SLICES_SQL
     q["null_key_index"] = NULL_KEY_INDEX_SQL
     q["missing_reference"] = MISSING_REFERENCE_SQL
+    q["bank_normalised"] = f"""
+SELECT 'part' AS dataset, b.issue_no, p.prompt, b.keywords, b.endings, b.labels,
+       CAST(-1 AS INTEGER) AS topic_no, CAST(-1 AS INTEGER) AS reverse_code
+FROM ({list_normalise_sql()}) b JOIN ({PART_BANK_SQL}) p USING (issue_no)"""
+    q["noted_checks"] = f"SELECT *, '{FORECAST_NOTE.replace(chr(39), chr(39) * 2)}' AS note FROM ({SHAPE_CHECKS_SQL})"
     q["coefficients"] = effect_sql(
         COEFFICIENTS_SRC, ["issue_no_key", "question_no"], "x", "y",
         {c: c for c in ("issue_no", "keyword", "ending", "end_type", "label_1", "label_2")},

@@ -206,6 +206,18 @@ def list_normalise(spark: SparkSession, sf: str) -> DataFrame:
                        *[F.size(split_list(c)).cast("long").alias(f"n_{c}") for c in pr.LIST_COLUMNS])
 
 
+def bank_normalised(spark: SparkSession, sf: str) -> DataFrame:
+    """A whole bank from a file whose header has blanks and a byte-order mark; the optional
+    columns it lacks come back as NULL (-1 here)."""
+    raw = part_bank(spark, sf).withColumnsRenamed({"issue_no": "\ufeff issue_no ", "prompt": " prompt"})
+    bank = pr.normalise_bank(raw, "part")
+    return bank.withColumns({c: F.coalesce(c, F.lit(-1)) for c in pr.OPTIONAL_COLUMNS}).select(*pr.BANK_COLUMNS)
+
+
+def noted_checks(spark: SparkSession, sf: str) -> DataFrame:
+    return ck.with_note(shape_checks(spark, sf))
+
+
 def prompt_grid(spark: SparkSession, sf: str) -> DataFrame:
     return pr.prompt_grid(part_bank(spark, sf), pr.templates_frame(spark), pr.COVID_INTROS)
 
@@ -562,6 +574,8 @@ def queries() -> dict[str, Query]:
         "slice_manifest": slice_manifest,
         "slice_read": slice_read,
         "coefficients": coefficients,
+        "bank_normalised": bank_normalised,
+        "noted_checks": noted_checks,
         "justification_prompts_head": justification_prompts_head,
         "manifest_integrity": manifest_integrity,
         "pair_missing_texts": pair_missing_texts,
