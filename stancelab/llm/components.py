@@ -19,14 +19,14 @@ def components(links: DataFrame, scratch: Scratch, max_rounds: int = 50) -> Data
     """
     edges = scratch.table(
         links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-        .select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), "links")
+        .select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")), "links")
     for _ in range(max_rounds):
         # large star: neighbours above a node move to the least of its neighbourhood
         both = edges.select(F.col("lo").alias("n"), F.col("hi").alias("m")).union(
             edges.select(F.col("hi").alias("n"), F.col("lo").alias("m")))
         least = both.groupBy("n").agg(F.min("m").alias("x")).select("n", F.least("n", "x").alias("r"))
         large = (both.where("m > n").join(least, "n")
-                 .select(F.col("r").alias("lo"), F.col("m").alias("hi")).where("lo <> hi").distinct())
+                 .select(F.col("r").alias("lo"), F.col("m").alias("hi")).where("lo <> hi"))
         # small star: neighbours below a node, and the node itself, move to the least of them
         down = large.groupBy("hi").agg(F.min("lo").alias("r"))
         small = (large.join(down, "hi").select(F.col("r").alias("lo"), F.col("lo").alias("hi"))

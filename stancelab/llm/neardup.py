@@ -5,11 +5,11 @@
 2. Documents with equal shingle sets are one class, whatever their number; only classes go on.
 3. Classes that share a band are candidates.  A band's classes are never paired with one another:
    - two rounds of stars link each class to the leader it most likely belongs to (first a seeded
-     leader per band, then the one most classes chose);
+     leader per band, then, for classes still apart from it, the one most classes chose);
    - what still lies apart within a band is compared exactly: classes outside the band's largest
      component against all its classes, except pairs that a bound proves unlinked.  A pair can
      reach the threshold s only if it shares s / (1 + s) * (|A| + |B|) shingles, and it cannot
-     share more than either side has in common with the other components.
+     share those that no other component has.
    So every linked pair that shares a band ends in one component.  With 32 bands of 4 rows a pair
    at similarity 0.85 is missed with probability 5e-11 (0.80: 5e-8).
 4. Every link is confirmed on the full shingle sets.
@@ -36,9 +36,11 @@ COORDINATES = 128
 ROWS = 4
 #: Bands with more classes use the bound on shared shingles; a matter of cost, not of results.
 WIDE_BAND = 48
-#: Least agreement of the 128 one-bit coordinates (mean 64 * (1 + s)), 5.2 deviations below the
-#: mean at the threshold: a linked pair fails it with probability under 1e-6.
+#: Four bits of each coordinate are kept; they agree with probability q = s + (1 - s) / 16.  Pairs that
+#: agree in fewer coordinates than so many deviations below the mean at the threshold are no
+#: candidates: a linked pair fails this with probability under 1e-6.
 DEVIATIONS = 5.2
+BITS = 4
 
 
 def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +94,8 @@ def _sketcher(k: int, id_type: pa.DataType):
         for b in batches(frames, "text"):
             g, bounds = shingle_sets(split_words(b.column("text"), SPACE_WORDS, LOWER_CASE), k)
             sk = sketches(g, bounds, COORDINATES)
-            bits = np.packbits((sk & _U(1)).astype(np.uint8), axis=1).view(np.uint64)
+            low = (sk & _U(2 ** BITS - 1)).astype(np.uint8)
+            bits = np.ascontiguousarray(low[:, ::2] | (low[:, 1::2] << BITS)).view(np.uint64)
             yield pa.record_batch({
                 "doc_id": b.column("doc_id").cast(id_type),
                 "n_shingles": pa.array(np.diff(bounds).astype(np.int64)),
@@ -103,14 +106,51 @@ def _sketcher(k: int, id_type: pa.DataType):
     return run
 
 
-def _set_maker(k: int):
+def _digester(k: int):
+    """Adds each text's digest."""
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(frames, "text"):
-            g, bounds = shingle_sets(split_words(b.column("text"), SPACE_WORDS, LOWER_CASE), k)
-            yield pa.record_batch({
-                "cls": _binary(_digests(g, bounds)),
-                "shingles": pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(g.view(np.int64))),
-            })
+            sets = shingle_sets(split_words(b.column("text"), SPACE_WORDS, LOWER_CASE), k)
+            yield pa.record_batch({"cls": _binary(_digests(*sets)), "text": b.column("text")})
+    return run
+
+
+def _confirmer(k: int, percent: int):
+    """The pairs (a, b) whose texts reach the threshold."""
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in batches(frames, "ta"):
+            (va, oa), (vb, ob) = (shingle_sets(split_words(f.column(c), SPACE_WORDS, LOWER_CASE), k)
+                                  for c in ("ta", "tb"))
+            common = np.array([len(np.intersect1d(va[oa[i]:oa[i + 1]], vb[ob[i]:ob[i + 1]], assume_unique=True))
+                               for i in range(f.num_rows)], np.int64)
+            union = np.diff(oa) + np.diff(ob) - common
+            yield f.drop_columns(["ta", "tb"]).filter(pa.array(100 * common >= percent * union))
+    return run
+
+
+def _shingle_roots(k: int):
+    """Each shingle of a batch once, with the least and greatest component that has it there."""
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in batches(frames, "text", 16 << 20):
+            g, bounds = shingle_sets(split_words(f.column("text"), SPACE_WORDS, LOWER_CASE), k)
+            root, at = np.unique(np.array(f.column("root").to_pylist(), dtype=object), return_inverse=True)
+            owner = np.repeat(at, np.diff(bounds))
+            order = np.lexsort((owner, g))
+            g, owner = g[order], owner[order]
+            heads = np.flatnonzero(np.diff(g, prepend=g[:1] + _U(1))) if len(g) else np.zeros(0, np.int64)
+            tails = np.append(heads[1:], len(g)) - 1
+            yield pa.record_batch({"shingle": pa.array(g[heads].view(np.int64)),
+                                   "r0": pa.array(root[owner[heads]].tolist(), pa.binary()),
+                                   "r1": pa.array(root[owner[tails]].tolist(), pa.binary())})
+    return run
+
+
+def _shingle_rows(k: int):
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in batches(frames, "text"):
+            g, bounds = shingle_sets(split_words(f.column("text"), SPACE_WORDS, LOWER_CASE), k)
+            yield pa.record_batch({"cls": f.column("cls").take(pa.array(np.repeat(np.arange(f.num_rows), np.diff(bounds)))),
+                                   "shingle": pa.array(g.view(np.int64))})
     return run
 
 
@@ -125,9 +165,15 @@ def sketch_documents(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _agreement(a: str, b: str):
-    """Coordinates, out of 128, whose bits agree."""
-    return F.lit(COORDINATES) - sum(
-        F.bit_count(F.col(f"{a}.bits")[i].bitwiseXOR(F.col(f"{b}.bits")[i])) for i in range(COORDINATES // 64))
+    """Coordinates, out of 128, whose kept bits agree: those with no bit set in the difference."""
+    each = int("1" * 16, 16)
+    apart = []
+    for i in range(COORDINATES * BITS // 64):
+        x = F.col(f"{a}.bits")[i].bitwiseXOR(F.col(f"{b}.bits")[i])
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        apart.append(F.bit_count(x.bitwiseAND(F.lit(each))))
+    return F.lit(COORDINATES) - sum(apart[1:], apart[0])
 
 
 def _first_shared_band(a: str, b: str):
@@ -139,100 +185,109 @@ class _Linker:
     """The candidate search over classes; keeps what several of its steps read."""
 
     def __init__(self, docs: DataFrame, rows: DataFrame, k: int, percent: int, scratch: Scratch):
-        self.scratch, self.percent = scratch, percent
+        self.scratch, self.percent, self.k = scratch, percent, k
         s = percent / 100
-        self.least_bits = int(64 * (1 + s) - DEVIATIONS * (128 * (1 + s) / 2 * (1 - s) / 2) ** 0.5)
-        classes = scratch.table(
+        q = s + (1 - s) / 2 ** BITS
+        self.least_bits = int(COORDINATES * q - DEVIATIONS * (COORDINATES * q * (1 - q)) ** 0.5)
+        self.classes = classes = scratch.table(
             rows.where("n_shingles > 0").groupBy("cls")
             .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"),
                  F.first("bands").alias("bands"), F.first("bits").alias("bits")), "classes")
-        self.classes = classes
         keyed = classes.select("cls", F.posexplode("bands").alias("band", "key"))
-        shared = keyed.groupBy("key").agg(
-            F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("key", "cls").alias("h"), "cls")).alias("lead")
-        ).where("size > 1")
-        members = scratch.table(
-            keyed.join(shared, "key").select("key", "band", "size", "cls", F.col("lead.cls").alias("leader")), "members")
-        self.members = members
+        shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        self.members = members = scratch.table(keyed.join(shared, "key"), "members")
         self.near = scratch.table(classes.join(members.select("cls").distinct(), "cls", "left_semi"), "near")
         wanted = self.near.select(F.col("doc_id").alias("_rep"), F.col("cls").alias("_cls"))
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         texts = texts.join(wanted.select("_rep"), F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
-        sets = texts.select("text").mapInArrow(_set_maker(k), "cls binary, shingles array<long>")
-        self.sets = scratch.table(
-            sets.join(wanted.select(F.col("_cls").alias("cls")).distinct(), "cls", "left_semi")
-            .groupBy("cls").agg(F.first("shingles").alias("shingles")), "sets")
+        # a doc_id may stand for several texts: what counts is the text's own class
+        texts = texts.select("text").mapInArrow(_digester(k), "cls binary, text string")
+        self.texts = scratch.table(
+            texts.join(wanted.select(F.col("_cls").alias("cls")), "cls", "left_semi")
+            .groupBy("cls").agg(F.first("text").alias("text")), "texts")
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
-        """The (a, b) that reach the threshold on full sets."""
-        x = self.sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa"))
-        y = self.sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb"))
-        def same(frames):
-            for f in frames:
-                a, b = f.column("sa"), f.column("sb")
-                va, vb = np.asarray(a.flatten()), np.asarray(b.flatten())
-                oa, ob = a.offsets.to_numpy() - a.offsets[0].as_py(), b.offsets.to_numpy() - b.offsets[0].as_py()
-                common = np.array([len(np.intersect1d(va[oa[i]:oa[i + 1]], vb[ob[i]:ob[i + 1]], assume_unique=True))
-                                   for i in range(f.num_rows)], np.int64)
-                union = np.diff(oa) + np.diff(ob) - common
-                yield f.select(["a", "b"]).filter(pa.array(100 * common >= percent * union))
-        percent = self.percent
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(same, "a binary, b binary")
-
-    def star(self, members: DataFrame) -> DataFrame:
-        """Confirmed links of each class to its likeliest leader among its bands."""
-        pairs = members.where("cls <> leader").select("cls", "leader").distinct()
+        """The rows of ``pairs``, all binary columns, whose a and b reach the threshold on full sets."""
+        x = self.texts.select(F.col("cls").alias("a"), F.col("text").alias("ta"))
+        y = self.texts.select(F.col("cls").alias("b"), F.col("text").alias("tb"))
+        return pairs.join(x, "a").join(y, "b").select(*pairs.columns, "ta", "tb").mapInArrow(
+            _confirmer(self.k, self.percent), ", ".join(f"{c} binary" for c in pairs.columns))
+
+    def star(self, pairs: DataFrame) -> DataFrame:
+        """Confirmed links of each class to its likeliest leader, of (cls, leader)."""
         m = self.near.select("cls", "n", "bits").alias("m")
         lead = self.near.select(F.col("cls").alias("leader"), "n", "bits").alias("l")
         s = self.percent
-        scored = (pairs.join(m, "cls").join(lead, "leader")
+        scored = (pairs.distinct().join(m, "cls").join(lead, "leader")
                   .withColumn("score", _agreement("m", "l"))
                   .where((F.col("score") >= self.least_bits) & (F.col("m.n") * 100 >= F.col("l.n") * s)
                          & (F.col("l.n") * 100 >= F.col("m.n") * s)))
         best = scored.groupBy("cls").agg(F.max(F.struct("score", "leader")).alias("top"))
         return self.confirm(best.select(F.col("cls").alias("a"), F.col("top.leader").alias("b")))
 
-    def apart(self, labels: DataFrame) -> DataFrame:
-        """Confirmed links between the components that still share a band."""
+    def labelled(self, labels: DataFrame) -> DataFrame:
+        """The members with their classes' labels."""
+        return self.scratch.table(self.members.join(labels, "cls"), "labelled")
+
+    def private(self, lab: DataFrame) -> DataFrame:
+        """(cls, private): shingles of the classes to compare that no other component has.
+
+        Only for classes in wide bands, where many pairs are to be ruled out."""
+        wide = lab.where(F.col("size") > WIDE_BAND)
+        texts = wide.select("cls", "root").distinct().join(self.texts, "cls").select("root", "text")
+        alone = texts.mapInArrow(_shingle_roots(self.k), "shingle long, r0 binary, r1 binary").groupBy("shingle").agg(
+            F.min("r0").alias("r0"), F.max("r1").alias("r1")).where("r0 = r1").select("shingle")
+        asked = wide.where("root <> main").select("cls").distinct().join(self.texts, "cls").select("cls", "text")
+        return asked.mapInArrow(_shingle_rows(self.k), "cls binary, shingle long").join(
+            alone, "shingle", "left_semi").groupBy("cls").agg(F.count(F.lit(1)).alias("private"))
+
+    def apart(self, lab: DataFrame) -> DataFrame:
+        """Links between the labels of classes that still share a band, each pair of labels once.
+
+        A label is a class that its classes are known to be connected to, so this links whole
+        groups without a row for every pair of their classes."""
         s = self.percent
-        lab = self.members.join(labels.select(F.col("node").alias("cls"), "root"), "cls", "left").select(
-            "key", "band", "size", "cls", F.coalesce("root", "cls").alias("root"))
         per = lab.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
         main = per.groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"),
                                       F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        lab = self.scratch.table(
-            lab.join(main.select("key", F.col("top.root").alias("main")), "key"), "apart")
-        wide = lab.where(F.col("size") > WIDE_BAND).select("cls", "root").distinct()
-        parts = wide.join(self.sets, "cls").select("cls", "root", F.explode("shingles").alias("shingle"))
-        outside = parts.groupBy("shingle").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
-        common = parts.join(outside.select("shingle"), "shingle", "left_semi").groupBy("cls").agg(
-            F.count(F.lit(1)).alias("common"))
-        info = self.scratch.table(
-            self.near.join(wide.select("cls", F.lit(0).alias("zero")), "cls", "left").join(common, "cls", "left")
-            .select("cls", "n", "bands", "bits", F.coalesce("common", "zero", "n").alias("common")), "bounds")
-        full = lab.join(info, "cls")
-        a, b = full.where("root <> main").alias("a"), full.alias("b")
+        lab = self.scratch.table(lab.join(main.select("key", F.col("top.root").alias("main")), "key"), "apart")
+        info = self.near.select("cls", "n", "bands", "bits")
+        a = (lab.where("root <> main").join(info, "cls")
+             .join(self.scratch.table(self.private(lab), "private"), "cls", "left").alias("a"))
+        b = lab.join(info, "cls").alias("b")
         need = (F.col("a.n") + F.col("b.n")) * F.lit(s)
-        bound = F.lit(100 + s)
-        unbounded = F.col("a.size") <= WIDE_BAND
+        most = (F.col("a.n") - F.coalesce("a.private", F.lit(0))) * F.lit(100 + s)
         pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root"))
                        & ((F.col("b.root") == F.col("b.main")) | (F.col("a.cls") < F.col("b.cls")))
                        & (F.col("a.n") * 100 >= F.col("b.n") * s) & (F.col("b.n") * 100 >= F.col("a.n") * s)
-                       & (unbounded | ((F.col("a.common") * bound >= need) & (F.col("b.common") * bound >= need)))
+                       & ((F.col("a.size") <= WIDE_BAND) | (most >= need))
                        & (_agreement("a", "b") >= self.least_bits)
                        & (_first_shared_band("a", "b") == F.col("a.band")))
-        return self.confirm(pairs.select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")))
+        found = self.confirm(pairs.select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b"),
+                                          F.col("a.root").alias("ra"), F.col("b.root").alias("rb")))
+        return found.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
 
     def links(self) -> DataFrame:
-        first = self.scratch.table(self.star(self.members), "star1")
+        """All confirmed links.  Labels on the way need not be whole components: equal labels say
+        that classes are connected, and only classes of unequal labels are compared further."""
+        seeded = self.members.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "cls"), "cls")).alias("lead"))
+        pairs = self.members.join(seeded.select("key", F.col("lead.cls").alias("leader")), "key")
+        first = self.scratch.table(self.star(pairs.where("cls <> leader").select("cls", "leader")), "star1")
+        # a class is linked to its leader, and that to its own
+        labels = self.near.select("cls").join(first.select(F.col("a").alias("cls"), F.col("b").alias("to")), "cls", "left")
+        labels = labels.select("cls", F.coalesce("to", "cls").alias("to")).join(
+            first.select(F.col("a").alias("to"), F.col("b").alias("next")), "to", "left")
+        labels = self.scratch.table(labels.select("cls", F.coalesce("next", "to").alias("root")), "labels")
+        lab = self.labelled(labels)
         chosen = first.groupBy(F.col("b").alias("cls")).agg(F.count(F.lit(1)).alias("votes"))
-        voted = self.members.join(chosen, "cls", "left")
-        lead = voted.groupBy("key").agg(F.max(F.struct(F.coalesce("votes", F.lit(0)).alias("v"), "cls")).alias("top"))
-        second = self.scratch.table(
-            self.star(self.members.drop("leader").join(lead.select("key", F.col("top.cls").alias("leader")), "key")),
-            "star2")
-        near = self.scratch.table(first.union(second), "near-links")
-        return near.union(self.scratch.table(self.apart(components(near, self.scratch)), "apart-links"))
+        lead = lab.join(chosen, "cls", "left").groupBy("key").agg(
+            F.max(F.struct(F.coalesce("votes", F.lit(0)), "cls", "root")).alias("top"))
+        pairs = lab.join(lead.select("key", F.col("top.cls").alias("leader"), F.col("top.root").alias("lead_root")), "key")
+        second = self.scratch.table(self.star(pairs.where("root <> lead_root").select("cls", "leader")), "star2")
+        into = second.join(labels.withColumnsRenamed({"cls": "a"}), "a").join(
+            labels.withColumnsRenamed({"cls": "b", "root": "into"}), "b").groupBy("root").agg(F.min("into").alias("into"))
+        merged = labels.join(into, "root", "left").select("cls", F.coalesce("into", "root").alias("root"))
+        return first.union(second).union(self.scratch.table(self.apart(self.labelled(merged)), "apart-links"))
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
