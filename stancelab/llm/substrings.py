@@ -136,8 +136,9 @@ def remove_repeats(docs: DataFrame, window: int = 35, seed: int = SEED_WORDS) ->
                              "anchor long, span long, k1 long, k2 long, at int, windows int")
     again = seeds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("span").alias("s0"),
                                         F.max("span").alias("s1")).where("n > 1")
-    found = scratch.table(seeds.join(again.select("anchor", (F.col("s0") != F.col("s1")).alias("mixed")), "anchor"),
-                          "repeated")
+    # a table of its own, so that a join with one very common anchor is split by size
+    again = scratch.table(again.select("anchor", (F.col("s0") != F.col("s1")).alias("mixed")), "anchors")
+    found = scratch.table(seeds.join(again, "anchor"), "repeated")
     mixed = found.where("mixed")
     kinds = scratch.table(
         mixed.groupBy("anchor", "span").agg(F.count(F.lit(1)).alias("times"),
