@@ -287,8 +287,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, cover
     A document with at least ``coverage`` of its words in matches goes; from the others every
     matched span is cut, again if the cut brings new windows together, until none is left.
     Untouched documents pass unchanged, null and empty texts too.  n_chars, if there, is renewed
-    for the texts that were cut.
+    for the texts that were cut.  Columns named like those of ``find_overlaps`` keep their values.
     """
+    clash = {c: f"_kept_{c}" for c in docs.columns if c in ("n_words", "n_hit", "spans", "items")}
+    if clash:
+        renamed = decontaminate(docs.withColumnsRenamed(clash), benchmark, window, coverage, block_words)
+        return renamed.withColumnsRenamed({new: old for old, new in clash.items()})
     spark = docs.sparkSession
     scratch = Scratch(spark, "cut")
     columns = docs.columns

@@ -26,8 +26,9 @@ def _read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation is a chain of replies, so it has one path; texts are read back from it."""
     said = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)],
-                                  "conv_id long, turn long, role string, text string")
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     turns = _read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").union(extra)
     messages = chain(turns, "conv_id", ["turn", "role", "text"]).drop("turn")
     done = format_conversations(messages, "conv_id")
