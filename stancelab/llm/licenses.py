@@ -1,7 +1,7 @@
 """Licence scans by canonical digest lookup.
 
 A text's lines are brought to a canonical form: lower case, equivalent spellings made one,
-punctuation dropped, white space collapsed, copyright lines and empty lines removed.  The digest of
+punctuation dropped, white space collapsed, copyright notices and empty lines removed.  The digest of
 an entire canonical text - the whole document, or one of its lines, as notices stand alone in a
 line - is looked up among the digests of known licence texts.
 """
@@ -94,25 +94,48 @@ OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
 #: Rows of a licence list that may be broadcast: about 100 bytes each.
 BROADCAST_ROWS = 50_000
 
-#: Lines that name the owner, not the terms.
-COPYRIGHT_LINE = r"^ *(copyright|\(c\)|©|all rights reserved)"
+#: Words that begin terms, so a copyright notice beside them ends there.
+TERMS = (
+    "licen[sc]ed", "released", "distributed", "permission", "redistributions?", "everyone", "this", "these", "the above",
+    "the software", "use of", "you may", "subject to", "spdx", "(?:made )?available under", "published under",
+)
+
+_YEAR = r"(?:19|20)[0-9]{2}(?![0-9])"
+_BLANK = r"(?:<[^<>]*>|\[[^\[\]]*\]|\{[^{}]*\}|yyyy|year(?![a-z]))"
+_MARKS = r"[\x00-\x20!-'*-/:-@\[-`{-~]*"
+_RESERVED = r"all rights reserved"
+#: A notice ends with its line, at "all rights reserved", before terms, or with its sentence; initials
+#: and the abbreviations of companies end none.
+_END = (rf"(?:$|(?=[\s.,;]*{_RESERVED})|(?=\s(?:{'|'.join(TERMS)})(?![a-z]))"
+        r"|(?<=[a-z0-9>)\]]{3}[.;])(?<![ ,.](?:inc|ltd|corp|llc|gmbh|bros|assn|univ|dept)\.)(?=\s))")
+#: Notices that name the owner, not the terms.  Behind other words only the sure forms count, as a
+#: bare year may stand in prose; "copyright" before any other word is a part of the terms.
+COPYRIGHT_NOTICE = (
+    rf"(?s)(?:^{_MARKS}(?:copyright[\s:,]*(?:\(c\)|©|{_YEAR}|{_BLANK})|©|\(c\)\s*(?:{_YEAR}|{_BLANK}))"
+    rf"|(?<![\p{{L}}\p{{N}}])copyright\s*(?:\(c\)|©|{_BLANK}))"
+    rf".*?{_END}(?:[\s.,;]*{_RESERVED}(?![a-z])[.!]?)?")
+RESERVED_LINE = rf"^{_MARKS}{_RESERVED}{_MARKS}$"
 
 
 def canonical_lines(text: Column) -> Column:
     """Canonical non-empty lines of a text (null: none)."""
     lines = F.split(F.lower(F.coalesce(text, F.lit(""))), r"\r\n|\n|\r")
-    kept = F.filter(lines, lambda x: ~x.rlike(COPYRIGHT_LINE))
+
+    def terms(x: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(x, COPYRIGHT_NOTICE, " "), RESERVED_LINE, " ")
+        return F.when(x.rlike(rf"copyright|©|\(c\)|{_RESERVED}"), bare).otherwise(x)
 
     def canon(x: Column) -> Column:
-        spelt = reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), SPELLINGS, x)
+        spelt = reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), SPELLINGS, terms(x))
         return F.trim(F.regexp_replace(F.regexp_replace(spelt, r"[!-/:-@\[-`{-~]", " "), r"[ \t\x0B\f]+", " "))
 
-    return F.filter(F.transform(kept, canon), lambda x: x != "")
+    return F.filter(F.transform(lines, canon), lambda x: x != "")
 
 
 def whole(lines: Column) -> Column:
-    """The entire canonical text: its lines joined by one space."""
-    return F.array_join(lines, " ")
+    """The entire canonical text: its lines joined by one space; spellings of two words may lie over a line's end."""
+    spaced = [pair for pair in SPELLINGS if " " in pair[0]]
+    return reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), spaced, F.array_join(lines, " "))
 
 
 def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:

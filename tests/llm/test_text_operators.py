@@ -1,6 +1,7 @@
 """Operators on documents against brute force, on a small table full of awkward rows."""
 
 import random
+import textwrap
 
 import pytest
 from pyspark.sql import functions as F
@@ -205,3 +206,37 @@ def test_license_scan(spark, docs, empty):
          (None, "CC-BY-NC-4.0", ["CC-BY-NC-4.0"])])
     assert scan_licenses(docs, known_digests(spark)).count() == len(ROWS)
     assert scan_licenses(empty, known_digests(spark)).count() == 0
+
+
+WHOLE = [(i, t) for i, t in KNOWN if "\n\n" in t]
+WIDTHS = (40, 60, 66, 70, 72, 76, 78, 79, 80, 100, 100_000)
+
+
+def rewrapped(text, width, mark=""):
+    return "\n\n".join("\n".join(mark + x for x in textwrap.wrap(p, width, break_long_words=False, break_on_hyphens=False))
+                       for p in text.split("\n\n"))
+
+
+def test_whole_licenses_in_any_wrapping(spark):
+    owned = [(i, t.replace("<year>", "2011-2020").replace("<copyright holders>", "Acme Inc.").replace("<owner>", "J. R. Doe"))
+             for i, t in WHOLE]
+    rows = [(i, rewrapped(t, w, mark)) for i, t in WHOLE + owned for w in WIDTHS for mark in ("", "# ", " * ", "// ")]
+    rows += [(i, " ".join(t.split())) for i, t in WHOLE + owned]  # one line, its notice among the terms
+    table = spark.createDataFrame([(n, t) for n, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text_license"] for r in scan_licenses(table, known_digests(spark)).collect()}
+    assert {n: got[n] for n in got} == {n: i for n, (i, _) in enumerate(rows)}
+
+
+def test_copyright_notices_go_and_terms_stay(spark):
+    mit = "Licensed under the MIT License."
+    rows = [
+        ("Copyright 2020 X. Licensed under the MIT License.", "MIT"), ("// Copyright (c) 2020 Acme Inc. " + mit, "MIT"),
+        ("# Copyright © 1999-2020 A. B. Cee, Dee Ltd. All rights reserved.\n# " + mit, "MIT"),
+        ("(c) 2020 X\n" + mit, "MIT"), ("/* © X */\n" + mit + "\n * All Rights Reserved.", "MIT"),
+        ("Copyright [yyyy] [name of owner] " + mit, "MIT"), ("copyright notice\n" + mit, None),
+        ("COPYRIGHT HOLDERS BE LIABLE\n" + mit, None), ("(c) you must keep this\n" + mit, None),
+        ("all rights reserved to the crown by law\n" + mit, None),
+        (mit + "\nCopyright 2020 Acme. And more terms.", None), ("In copyright 2020 was a year.\n" + mit, None)]
+    table = spark.createDataFrame([(n, t) for n, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text_license"] for r in scan_licenses(table, known_digests(spark)).collect()}
+    assert [got[n] for n in range(len(rows))] == [want for _, want in rows]
