@@ -4,14 +4,16 @@ Targets: the mix has ``share`` times the size of all documents; each source gets
 by weight, but at most ``max_epochs`` times its own size.  Sources above are clamped, and what they
 cannot take is shared by weight among the others, until none is above.
 
-Taking: a source with target e * size is taken floor(e) whole times, and the documents that come
-first in a seeded order are taken once more, as many as fit into the remainder.  What is then still
-missing goes to the one later document whose size comes nearest to it, if that helps.
+Taking: a source with target e * size is taken floor(e) whole times, and in a seeded order each
+document that still fits into the remainder is taken once more.  What is then still missing goes to
+the one document left whose size comes nearest to it, if that helps.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
@@ -65,15 +67,65 @@ def cyclic_weights(sources: DataFrame, cycle: tuple[float, ...] = (3.0, 1.0, 2.0
     return ranged.join(starts, "_p").withColumn("weight", weight).drop("_p", "_start")
 
 
+def _rounds(thin: DataFrame, scratch: Scratch, first_stop: bool) -> DataFrame:
+    """(_from, _rounds): per source the stops of its seeded order, each with the gap before and after it.
+
+    A round sums up the documents that are no longer than the gap and stand behind the last stop; the
+    first that does not fit any more is the next stop.  A source is done when no document fits.
+    """
+    fits = F.lit(True) if first_stop else F.col("size") <= F.col("_rest")
+    todo = scratch.table(thin.where((F.col("size") > 0) & (F.col("_rest") > 0) & fits).select(
+        "_source", F.substring("_key", 1, SLICE_DIGITS).alias("_slice"), "size", "_key", "_nth",
+        F.col("_rest").alias("_gap")), "todo")
+    slices_before = Window.partitionBy("_source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    rows_before = (Window.partitionBy("_source", "_slice").orderBy("_key", "_nth")
+                   .rowsBetween(Window.unboundedPreceding, -1))
+    done: list[DataFrame] = []
+    while True:
+        slices = todo.groupBy("_source", "_slice", "_gap").agg(F.sum("size").alias("_n")).withColumn(
+            "_at", F.coalesce(F.sum("_n").over(slices_before), F.lit(0)))
+        # only the slice in which the gap ends is looked at row by row
+        crossed = slices.where("_at <= _gap AND _at + _n > _gap").select(
+            F.col("_source").alias("_from"), F.col("_slice").alias("_s"), "_at")
+        stops = (todo.join(crossed, F.col("_source").eqNullSafe(F.col("_from")) & (F.col("_slice") == F.col("_s")))
+                 .withColumn("_start", F.col("_at") + F.coalesce(F.sum("size").over(rows_before), F.lit(0)))
+                 .where("_start + size > _gap").groupBy("_from")
+                 .agg(F.min(F.struct("_key", "_nth", "_start")).alias("_stop")))
+        ends = slices.groupBy("_source", "_gap").agg(F.sum("_n").alias("_all"))
+        stopped = scratch.table(
+            ends.join(stops, F.col("_source").eqNullSafe(F.col("_from")), "left").select(
+                F.col("_source").alias("_from"), F.lit(len(done)).alias("_round"), "_gap",
+                F.col("_stop._key").alias("_stop_key"), F.col("_stop._nth").alias("_stop_nth"),
+                (F.col("_gap") - F.coalesce(F.col("_stop._start"), F.col("_all"))).alias("_left")), "stops")
+        done.append(stopped)
+        if first_stop:
+            break
+        behind = (F.col("_key") > F.col("_stop_key")) | (
+            (F.col("_key") == F.col("_stop_key")) & (F.col("_nth") > F.col("_stop_nth")))
+        later = scratch.table(
+            todo.join(stopped.drop("_gap"), F.col("_source").eqNullSafe(F.col("_from")))
+            .where(behind & (F.col("size") <= F.col("_left")))
+            .select("_source", "_slice", "size", "_key", "_nth", F.col("_left").alias("_gap")), "todo")
+        scratch.drop(todo)
+        todo = later
+        if todo.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, done).groupBy("_from").agg(F.sort_array(F.collect_list(
+        F.struct("_round", "_gap", "_stop_key", "_stop_nth", "_left"))).alias("_rounds"))
+
+
 def mix_sources(docs: DataFrame, weights=cyclic_weights, share: float = 1.5, max_epochs: float = 2.0,
-                seed: str = "mix") -> DataFrame:
+                seed: str = "mix", first_stop: bool = False) -> DataFrame:
     """``docs`` plus size, source_size, target (double), times (long) and taken (long).
 
-    weights: sources (source, source_size) -> plus weight.  size: words ``[^\\x20\\x09-\\x0D]+`` of
+    weights: sources (source, source_size) -> plus weight.  size: words ``[^\x20\x09-\x0D]+`` of
     the text (null: 0).  times: how often the mix takes the document, 0 up to max_epochs rounded
     up; taken = times * size.  A null source is a source; one source may hold any part of the
     rows.  Order: md5 of seed, doc_id and the text's md5 (null: empty), so reruns agree; rows equal
     in both are interchangeable.  Empty documents are taken while there is room.
+
+    first_stop: the order ends at the first document that does not fit, whatever its size, and only
+    the nearest document is tried after it (the SQL of ``op4_source_mix`` is written so).
     """
     scratch = Scratch(docs.sparkSession, "mix")
     base = docs.drop("size", "source_size", "target", "times", "taken")
@@ -82,41 +134,40 @@ def mix_sources(docs: DataFrame, weights=cyclic_weights, share: float = 1.5, max
     sized = base.withColumn("size", F.regexp_count(text, F.lit(WORD)).cast("long")).withColumn("_key", key)
     # the plan of the mix needs sources, sizes and keys alone
     narrow = scratch.table(sized.select("source", "size", "_key"), "sizes")
-    cut = F.substring("_key", 1, SLICE_DIGITS)
-    slices = scratch.table(narrow.groupBy("source", cut.alias("_slice")).agg(F.sum("size").alias("n")), "slices")
-    sources = slices.groupBy("source").agg(F.sum("n").alias("source_size"))
+    sources = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = scratch.table(water_fill(scratch.table(weights(sources), "sources"), share, max_epochs, scratch)
-                            .select("source", "source_size", "target"), "targets")
-    before = Window.partitionBy("source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    plan = slices.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0))).join(
-        targets, slices["source"].eqNullSafe(targets["source"])).select(
-        slices["source"].alias("_source"), F.col("_slice").alias("_s"), "_before", "source_size", "target")
+                            .select(F.col("source").alias("_source"), "source_size", "target"), "targets")
 
     def placed(rows: DataFrame) -> DataFrame:
-        """Rows with the size of what stands before them in their source's order, and what is wanted."""
-        at = rows.join(plan, F.col("source").eqNullSafe(F.col("_source")) & (cut == F.col("_s")))
-        inside = Window.partitionBy("_source", "_s").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
+        """Rows with their place among those of their slice, and what is wanted of their source."""
+        at = rows.join(targets, F.col("source").eqNullSafe(F.col("_source")))
+        slice_ = Window.partitionBy("_source", F.substring("_key", 1, SLICE_DIGITS)).orderBy("_key")
         whole = F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-        return at.withColumns({
-            "_start": F.col("_before") + F.coalesce(F.sum("size").over(inside), F.lit(0)),
-            "_whole": whole, "_rest": F.col("target") - whole * F.col("source_size")})
-
-    end = F.col("_start") + F.col("size")
-    thin = placed(narrow)
-    ends = thin.groupBy(F.col("_source").alias("_from")).agg(
-        F.coalesce(F.max(F.when(end <= F.col("_rest"), end)), F.lit(0)).alias("_filled"))
-    later = thin.where(end > F.col("_rest")).join(ends, F.col("_source").eqNullSafe(F.col("_from")))
-    gap = F.col("_rest") - F.col("_filled")
-    miss = F.abs(gap - F.col("size"))
+        return at.withColumns({"_nth": F.row_number().over(slice_), "_whole": whole,
+                               "_rest": F.col("target") - whole * F.col("source_size")})
+
+    def before_stop(r: Column) -> Column:
+        return r["_stop_key"].isNull() | (F.col("_key") < r["_stop_key"]) | (
+            (F.col("_key") == r["_stop_key"]) & (F.col("_nth") < r["_stop_nth"]))
+
+    rounds = scratch.table(_rounds(placed(narrow), scratch, first_stop), "rounds")
+    # the gap of the round in which a document's turn comes; null: behind the last stop
+    gap = F.get(F.filter("_rounds", before_stop), F.lit(0))["_gap"]
+    fits = gap.isNotNull() if first_stop else F.coalesce(F.col("size") <= gap, F.lit(False))
+    taken = (F.col("_rest") > 0) & ((F.col("size") == 0) | fits)
+    left = F.coalesce(F.element_at("_rounds", -1)["_left"], F.col("_rest"))
+    miss = F.abs(left - F.col("size"))
+    by_source = F.col("_source").eqNullSafe(F.col("_from"))
     picks = scratch.table(
-        later.where(miss < gap).groupBy("_from").agg(F.min(F.struct(miss.alias("m"), "_key", "_start")).alias("_pick"))
-        .select("_from", F.col("_pick._key").alias("_pick_key"), F.col("_pick._start").alias("_pick_start")), "picks")
-    extra = (end <= F.col("_rest")) | F.coalesce(
-        (F.col("_key") == F.col("_pick_key")) & (F.col("_start") == F.col("_pick_start")), F.lit(False))
-    return (placed(sized).join(picks, F.col("_source").eqNullSafe(F.col("_from")), "left")
-            .withColumn("times", (F.col("_whole") + F.when(extra & (F.col("_rest") > 0), 1).otherwise(0)).cast("long"))
+        placed(narrow).join(rounds, by_source, "left").where(~taken & (F.col("_rest") > 0) & (miss < left))
+        .groupBy(F.col("_source").alias("_of")).agg(F.min(F.struct(miss.alias("m"), "_key", "_nth")).alias("_pick"))
+        .select("_of", F.col("_pick._key").alias("_pick_key"), F.col("_pick._nth").alias("_pick_nth")), "picks")
+    extra = taken | F.coalesce(
+        (F.col("_key") == F.col("_pick_key")) & (F.col("_nth") == F.col("_pick_nth")), F.lit(False))
+    return (placed(sized).join(rounds, by_source, "left").join(picks, F.col("_source").eqNullSafe(F.col("_of")), "left")
+            .withColumn("times", (F.col("_whole") + F.when(extra, 1).otherwise(0)).cast("long"))
             .withColumn("taken", F.col("times") * F.col("size"))
-            .drop("_source", "_s", "_before", "_key", "_start", "_whole", "_rest", "_from", "_pick_key", "_pick_start"))
+            .drop("_source", "_key", "_nth", "_whole", "_rest", "_from", "_rounds", "_of", "_pick_key", "_pick_nth"))
 
 
 def repeat_documents(mixed: DataFrame) -> DataFrame:

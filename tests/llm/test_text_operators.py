@@ -162,6 +162,26 @@ def test_mix_sources(docs):
     assert {r["doc_id"]: r["n"] for r in again} == first
 
 
+def test_mix_goes_on_behind_a_long_document(spark, docs):
+    rows = [(i, "a " * (3000 if i == 7 else 20 + i), "x" if i < 50 else None) for i in range(60)]
+    for table in (docs, spark.createDataFrame(rows, SCHEMA).repartition(3)):
+        got = mix_sources(table).withColumn("key", F.md5(F.concat_ws("|", F.lit("mix"), F.col("doc_id").cast("string"),
+                                                                      F.md5(F.coalesce("text", F.lit("")))))).collect()
+        for s in {r["source"] for r in got}:
+            own = sorted((r for r in got if r["source"] == s), key=lambda r: r["key"])
+            target, size = own[0]["target"], own[0]["source_size"]
+            whole = target // size if size else 0
+            gap, extra, rest = target - whole * size, [], []
+            for r in own:
+                fits = 0 < r["size"] <= gap
+                gap -= r["size"] * fits
+                (extra if fits else rest).append(r["size"])
+            near = min((n for n in rest if abs(gap - n) < gap), key=lambda n: abs(gap - n), default=0)
+            assert sum(r["taken"] for r in own) == whole * size + sum(extra) + near
+    x = [r for r in got if r["source"] == "x"]  # one long document among short ones of 20 to 69 words
+    assert abs(sum(r["taken"] for r in x) - x[0]["target"]) <= 35
+
+
 def test_mix_weights_and_repetition(spark, empty):
     docs = spark.createDataFrame([(i, "a b c", "x" if i < 10 else "y") for i in range(60)], SCHEMA)
     weights = lambda s: s.withColumn("weight", F.when(F.col("source") == "x", 5.0).otherwise(0.0))
