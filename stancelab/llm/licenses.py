@@ -8,11 +8,14 @@ line - is looked up among the digests of known licence texts.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .license_digests import DIGESTS
+
 #: Spellings that licence matching treats as equal (the second form is kept).
 SPELLINGS = (
     ("licence", "license"), ("acknowledgement", "acknowledgment"), ("analyse", "analyze"), ("artefact", "artifact"),
@@ -91,6 +94,26 @@ WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWIS
 OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
 )
 
+_BSD = dict((i, t) for i, t in KNOWN if "\n\n" in t)["BSD-2-Clause"]
+_THIRD = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED"""
+#: Whole texts by id, without a title; a document may begin with one of the usual titles or with none.
+UNTITLED = {
+    "MIT": next(t for i, t in KNOWN if i == "MIT" and "\n\n" in t).split("\n", 1)[1],
+    "ISC": next(t for i, t in KNOWN if i == "ISC").split("\n", 1)[1],
+    "BSD-2-Clause": _BSD, "BSD-3-Clause": _BSD.replace("THIS SOFTWARE IS PROVIDED", _THIRD),
+}
+TITLES = {
+    "MIT": ("", "MIT License", "The MIT License", "The MIT License (MIT)"), "ISC": ("", "ISC License", "The ISC License"),
+    "BSD-2-Clause": ("", "BSD 2-Clause License", "The 2-Clause BSD License"),
+    "BSD-3-Clause": ("", "BSD 3-Clause License", "The 3-Clause BSD License"),
+}
+#: Titled whole texts, their conditions numbered or marked with a star.
+WHOLE = tuple((i, f"{title}\n\n{re.sub(r'(?m)^[123][.] ', mark, text)}") for i, text in UNTITLED.items()
+              for title in TITLES[i] for mark in ((r"\g<0>", "* ") if i.startswith("BSD") else (r"\g<0>",)))
+
 #: Rows of a licence list that may be broadcast: about 100 bytes each.
 BROADCAST_ROWS = 50_000
 
@@ -138,11 +161,15 @@ def whole(lines: Column) -> Column:
     return reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), spaced, F.array_join(lines, " "))
 
 
-def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
-    """(digest, license_id), one row per canonical text; a text under two ids keeps the smaller."""
+def known_digests(spark: SparkSession, known=KNOWN + WHOLE, digests=DIGESTS) -> DataFrame:
+    """(digest, license_id), one row per canonical text; a text under two ids keeps the smaller.
+
+    known: (license_id, text); digests: (license_id, digest) of texts too long to be listed here.
+    """
     table = spark.createDataFrame(list(known), "license_id string, text string")
-    return (table.withColumn("digest", F.sha2(whole(canonical_lines(F.col("text"))), 256))
-            .groupBy("digest").agg(F.min("license_id").alias("license_id")))
+    listed = table.select("license_id", F.sha2(whole(canonical_lines(F.col("text"))), 256).alias("digest"))
+    told = spark.createDataFrame(list(digests), "license_id string, digest string")
+    return listed.unionByName(told).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame) -> DataFrame:

@@ -1,11 +1,13 @@
 """Operators on documents against brute force, on a small table full of awkward rows."""
 
+import pathlib
 import random
 import textwrap
 
 import pytest
 from pyspark.sql import functions as F
 
+from stancelab.llm import licenses
 from stancelab.llm.decontam import SuffixAutomaton, decontaminate, find_overlaps
 from stancelab.llm.licenses import KNOWN, known_digests, scan_licenses
 from stancelab.llm.mixing import mix_sources, repeat_documents
@@ -260,3 +262,20 @@ def test_copyright_notices_go_and_terms_stay(spark):
     table = spark.createDataFrame([(n, t) for n, (t, _) in enumerate(rows)], "doc_id long, text string")
     got = {r["doc_id"]: r["text_license"] for r in scan_licenses(table, known_digests(spark)).collect()}
     assert [got[n] for n in range(len(rows))] == [want for _, want in rows]
+
+
+def test_whole_texts_of_the_usual_licenses(spark):
+    rows = [(i, rewrapped(t, w)) for i, t in licenses.WHOLE for w in (60, 72, 80, 100_000)]
+    assert {"MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause"} == {i for i, _ in rows}
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1",
+             "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    assert {i for i, _ in licenses.DIGESTS} == set(files)
+    for i, name in files.items():  # the texts themselves are not in the repository
+        path = pathlib.Path("/usr/share/common-licenses") / name
+        if path.exists():
+            text = path.read_text(encoding="utf-8")
+            rows += [(i, text), (i, text.upper()), *((i, rewrapped(text, w)) for w in (60, 72, 80, 100_000))]
+            rows += [(None, text + "\nand one more term")]
+    table = spark.createDataFrame([(n, t) for n, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text_license"] for r in scan_licenses(table, known_digests(spark)).collect()}
+    assert got == {n: i for n, (i, _) in enumerate(rows)}
