@@ -201,7 +201,7 @@ def _scanner(shared, columns: list[str]):
                     flat = spans[d]
                     every = [*zip(flat[::2], flat[1::2]), *((x + base, y + base) for x, y in where)]
                     spans[d] = [v for span in _merged(every) for v in span]
-                    items[d] = [*items[d], *(names[i] for i in sorted(which))]
+                    items[d] = [*items[d], *(names[i] for i in sorted(which) if names[i] is not None)]
             out = {c: b.column(c) for c in columns}
             out |= {"n_words": pa.array(np.diff(w.bounds).astype(np.int64)),
                     "spans": pa.array(spans, pa.list_(pa.int64())),
@@ -227,11 +227,11 @@ def _cutter(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({**{n: b.column(n) for n in keep}, "text": pa.array(texts, pa.string())})
 
 
-def _item_blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str, str]]]:
+def _item_blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str | None, str]]]:
     """Distinct items in blocks of at most ``block_words`` words (a longer item is one block)."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"),
                              F.col("text").cast("string").alias("text")).where(
-        "text IS NOT NULL AND item_id IS NOT NULL").distinct().orderBy("item_id", "text")
+        "text IS NOT NULL").distinct().orderBy("item_id", "text")
     block, size = [], 0
     for r in items.toLocalIterator():
         n = len(r["text"].split()) + 1
@@ -254,8 +254,8 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep_
     inside any occurrence of a window, merged; n_hit: words in them; items: distinct ids, sorted as
     strings, of the items with occurring windows.
 
-    Null or empty texts have no words; null item ids or texts are no items; items that repeat an id
-    share it; an empty benchmark hits nothing.  Columns of ``docs`` named n_words, n_hit, spans or
+    Null or empty texts have no words; null item texts are no items; an item without an id counts for
+    spans and n_hit and is not in items; items that repeat an id share it; an empty benchmark hits nothing.  Columns of ``docs`` named n_words, n_hit, spans or
     items are replaced.  Each block of items is one pass; with more than one block the rows are
     written to the checkpoint folder in between.
     """

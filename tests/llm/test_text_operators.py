@@ -145,6 +145,15 @@ def test_decontaminate_cuts_or_drops(spark):
     assert {r["spans"] for r in got.values()} == {"kept"}
 
 
+def test_items_without_an_id_are_cut_too(spark):
+    bench = spark.createDataFrame([(None, "one two three"), (7, "five six seven"), (None, None)], "item_id long, text string")
+    table = spark.createDataFrame([(1, "a b One, two three c d e"), (2, "x five six seven y z u v")], "doc_id long, text string")
+    for block in (1, 1 << 18):
+        got = find_overlaps(table, bench, 3, block_words=block)
+        assert listed(got, "doc_id", "n_hit", "items") == [(1, 3, []), (2, 3, ["7"])]
+    assert listed(decontaminate(table, bench, 3), "doc_id", "text") == [(1, "a b  c d e"), (2, "x  y z u v")]
+
+
 def test_mix_sources(docs):
     got = mix_sources(docs).select("doc_id", "source", "size", "source_size", "target", "times", "taken").collect()
     assert len(got) == len(ROWS)
