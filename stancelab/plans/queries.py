@@ -539,6 +539,19 @@ def cluster_metrics(spark: SparkSession, sf: str) -> DataFrame:
                     (F.col("davies_bouldin") > 0).alias("davies_bouldin_positive"))
 
 
+def kmeans_assignments(spark: SparkSession, sf: str) -> DataFrame:
+    """Each vector's cluster in the converged clustering (no SQL; ``kmeans_grouped`` has what must hold of it)."""
+    assigned, _, _ = _kmeans(spark, sf)
+    return assigned.select("slice", F.col("point_id").alias("vec_id"), "cluster", r6("sq_dist").alias("sq_dist"))
+
+
+def cluster_metric_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Metrics of the converged clustering (no SQL; ``cluster_metrics`` has what must hold of them)."""
+    assigned, _, _ = _kmeans(spark, sf)
+    m = km.quality_metrics(assigned.join(_points(spark, sf), ["slice", "point_id"]), ["slice"])
+    return rounded(m, ["inertia", "silhouette_sqeuclidean", "calinski_harabasz", "davies_bouldin"])
+
+
 
 def queries() -> dict[str, Query]:
     return {
@@ -586,4 +599,6 @@ def queries() -> dict[str, Query]:
         "cluster_quality": cluster_quality,
         "kmeans_grouped": kmeans_grouped,
         "cluster_metrics": cluster_metrics,
+        "kmeans_assignments": kmeans_assignments,
+        "cluster_metric_values": cluster_metric_values,
     }

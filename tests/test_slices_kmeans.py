@@ -149,3 +149,31 @@ def test_clusters_flow_end_to_end(spark):
     prompts = out["labelling_prompts"].collect()
     assert len(prompts) == 4 and all(p.labeling_prompt.count("\n- ") == 3 for p in prompts)
     assert out["summary"].first().cache_files == 3
+
+
+def test_clustering_queries_return_assignments_and_metrics(spark):
+    import numpy as np
+
+    from stancelab.plans import queries
+    from tests.conftest import SF_SMALL
+    got = queries.queries()["kmeans_assignments"](spark, SF_SMALL).collect()
+    vectors = {(r["slice"], r["point_id"]): np.array(r["vec"], float) for r in queries._points(spark, SF_SMALL).collect()}
+    assert sorted((r["slice"], r["vec_id"]) for r in got) == sorted(vectors)
+    metrics = {r["slice"]: r for r in queries.queries()["cluster_metric_values"](spark, SF_SMALL).collect()}
+    assert set(metrics) == {r["slice"] for r in got}
+    for s, m in metrics.items():
+        x = np.array([vectors[s, r["vec_id"]] for r in got if r["slice"] == s])
+        own = np.array([r["cluster"] for r in got if r["slice"] == s])
+        ks = sorted(set(own))
+        mean = np.array([x[own == k].mean(0) for k in ks])
+        to = np.array([[((x[own == k] - v) ** 2).sum(1).mean() for k in ks] for v in x])
+        mine = np.searchsorted(ks, own)
+        n = np.array([(own == k).sum() for k in ks])[mine]
+        a = to[np.arange(len(x)), mine] * n / np.maximum(n - 1, 1)
+        to[np.arange(len(x)), mine] = np.inf
+        b = to.min(1)
+        silhouette = np.where(n > 1, (b - a) / np.maximum(a, b), 0).mean()
+        spread = np.array([np.sqrt(((x[own == k] - c) ** 2).sum(1)).mean() for k, c in zip(ks, mean)])
+        db = np.mean([max((spread[i] + spread[j]) / np.linalg.norm(mean[i] - mean[j]) for j in range(len(ks)) if j != i)
+                      for i in range(len(ks))])
+        assert abs(m["silhouette_sqeuclidean"] - silhouette) < 1e-3 and abs(m["davies_bouldin"] - db) < 1e-3
