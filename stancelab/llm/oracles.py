@@ -12,6 +12,7 @@ from .licenses import KNOWN, SPELLINGS
 
 WORD = r"[^\x20\x09-\x0D]+"
 PLAIN_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 CONTROL = r"([<\[])(/?s>|/?INST\]|</?SYS>>|\|im_start\|>|\|im_end\|>|\|endoftext\|>)"
 
 
@@ -155,6 +156,39 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM w LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)"""
 
 
+def divergence_sql(min_docs: int, top: int) -> str:
+    """Terms counted outright; every kept term of a lang meets every source of it."""
+    return f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all({_lower('text')}, '{TERM}') AS ts FROM documents),
+t AS (SELECT r, lang, source, unnest(ts) AS term FROM d),
+k AS (
+  SELECT lang, term, count(*)::HUGEINT AS n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= {min_docs}),
+l AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS n_all FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+g AS (
+  SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS n_all
+  FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY ALL),
+x AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    1 + (1000000000 * (coalesce(c.n, 0) + 2)) // (g.n_all + 2 * l.v) AS p,
+    1 + (1000000000 * (k.n + 2)) // (l.n_all + 2 * l.v) AS q
+  FROM g JOIN l USING (lang) JOIN k USING (lang) LEFT JOIN c ON (c.lang, c.source, c.term) = (g.lang, g.source, k.term)),
+s AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM x a JOIN x b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+u AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN s ON (s.lang, s.source, s.item) = (a.lang, a.source, b.source)
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM x WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value,
+  (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
+FROM u QUALIFY part = 'pair' OR rank <= {top}"""
+
+
 def shard_sql(shards: int) -> str:
     """Rendezvous scores by md5; the crc32 of a text byte by byte over the usual table."""
     return f"""
@@ -187,4 +221,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_license_scan": license_sql(),
         "op7_substring_dedup": repeats_sql(35),
         "op10_decontamination": decontamination_sql(10),
+        "op11_source_divergence": divergence_sql(10, 10),
     }

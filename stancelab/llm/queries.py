@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .chat import chain, format_conversations, read_turns, unescape
 from .decontam import find_overlaps
+from .divergence import source_divergence
 from .licenses import known_digests, scan_licenses
 from .mixing import mix_sources
 from .neardup import near_duplicates
@@ -105,8 +106,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(_read(spark, sf_dir, "documents", "lang", "source", "text"), min_docs=10, top=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_chat_formatting, op2_rendezvous_shards, op3_near_duplicates, op4_source_mix, op5_license_scan,
         op6_nearest_neighbours, op7_substring_dedup, op8_token_files, op9_toxicity, op10_decontamination,
-        source_mix_filled)}
+        op11_source_divergence, source_mix_filled)}

@@ -27,6 +27,8 @@ SPACE_WORDS = np.array([b not in SPACES for b in range(256)])
 #: Words of ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after lower-casing A-Z: digits, letters, non-ASCII.
 ALNUM_WORDS = np.array([0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0x80
                         for b in range(256)])
+#: Terms of ``[^\x00-\x40\x5B-\x60\x7B-\x7F]+``: letters and non-ASCII.
+LETTER_WORDS = np.array([0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0x80 for b in range(256)])
 KEEP_CASE = np.arange(256, dtype=np.uint8)
 LOWER_CASE = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], dtype=np.uint8)
 
@@ -88,19 +90,15 @@ def text_bytes(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return raw[off[0]:off[-1]], off - off[0]
 
 
-def split_words(col: pa.Array, keep: np.ndarray, fold: np.ndarray, seed: int = 1, *,
-                more_seeds: tuple[int, ...] = ()) -> Words | tuple:
-    """Words of every text in ``col``; with ``more_seeds`` also further independent hashes.
-
-    keep: 256 booleans, the bytes of words.  fold: 256 bytes applied first (lower-casing).
-    """
+def cut_words(col: pa.Array, keep: np.ndarray, fold: np.ndarray) -> Words:
+    """Bounds of the words of every text in ``col``, without hashes; arguments as in ``split_words``."""
     raw, off = text_bytes(col)
     data = fold[raw] if fold is not KEEP_CASE else raw
     n = len(data)
+    none = np.zeros(0, np.uint64)
     if n == 0:
         empty = np.zeros(0, np.int64)
-        w = Words(data, empty, empty, np.zeros(len(off), np.int64), np.zeros(0, np.uint64))
-        return (w, *[w.hash for _ in more_seeds]) if more_seeds else w
+        return Words(data, empty, empty, np.zeros(len(off), np.int64), none)
     word = keep[data]
     cut = off[1:-1]
     cut = cut[(cut > 0) & (cut < n)]
@@ -113,16 +111,28 @@ def split_words(col: pa.Array, keep: np.ndarray, fold: np.ndarray, seed: int = 1
     gap[-1] = True
     gap[cut - 1] = True
     end = np.flatnonzero(word & gap) + 1
-    bounds = np.searchsorted(start, off)
+    return Words(data, start, end, np.searchsorted(start, off), none)
+
+
+def split_words(col: pa.Array, keep: np.ndarray, fold: np.ndarray, seed: int = 1, *,
+                more_seeds: tuple[int, ...] = ()) -> Words | tuple:
+    """Words of every text in ``col``; with ``more_seeds`` also further independent hashes.
+
+    keep: 256 booleans, the bytes of words.  fold: 256 bytes applied first (lower-casing).
+    """
+    w = cut_words(col, keep, fold)
+    n = len(w.data)
+    if n == 0:
+        return (w, *[w.hash for _ in more_seeds]) if more_seeds else w
     up, down = _powers(n)
-    length = (end - start).astype(np.uint64) * _STEP
+    length = (w.end - w.start).astype(np.uint64) * _STEP
 
     def hashed(s: int) -> np.ndarray:
         total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_tables(s)[data] * up, out=total[1:])
-        return mix((total[end] - total[start]) * down[start] + length) if len(start) else total[:0]
+        np.cumsum(_tables(s)[w.data] * up, out=total[1:])
+        return mix((total[w.end] - total[w.start]) * down[w.start] + length) if len(w.start) else total[:0]
 
-    w = Words(data, start, end, bounds, hashed(seed))
+    w.hash = hashed(seed)
     return (w, *[hashed(s) for s in more_seeds]) if more_seeds else w
 
 
