@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align_tokenizers
 from .chat import chain, format_conversations, read_turns, unescape
 from .decontam import find_overlaps
 from .divergence import source_divergence
@@ -110,8 +111,16 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(_read(spark, sf_dir, "documents", "lang", "source", "text"), min_docs=10, top=10)
 
 
+def op12_cross_tokenizer(spark: SparkSession, sf_dir: str, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
+    if a_path is None or b_path is None:
+        import public_tokenizers
+        a_path = a_path or public_tokenizers.path("byte_bpe_50k.json")
+        b_path = b_path or public_tokenizers.path("piece_bpe_32k.model")
+    return align_tokenizers(_read(spark, sf_dir, "documents", "doc_id", "text"), a_path, b_path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_chat_formatting, op2_rendezvous_shards, op3_near_duplicates, op4_source_mix, op5_license_scan,
         op6_nearest_neighbours, op7_substring_dedup, op8_token_files, op9_toxicity, op10_decontamination,
-        op11_source_divergence, source_mix_filled)}
+        op11_source_divergence, op12_cross_tokenizer, source_mix_filled)}

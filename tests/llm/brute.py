@@ -133,3 +133,90 @@ def neighbours(rows, queries, k):
 
 def crc(text: str | None) -> int:
     return zlib.crc32((text or "").encode())
+
+
+def aligned(rows, a_path, b_path):
+    """(doc_id, text) rows -> op12's columns per row, by whole texts and sets of byte offsets."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+    a = Tokenizer.from_file(a_path)
+    a.encode_special_tokens = True
+    b = sentencepiece.SentencePieceProcessor(model_file=b_path)
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    to_byte = {chr(x): x for x in plain} | {chr(256 + i): x for i, x in enumerate(x for x in range(256) if x not in plain)}
+
+    def b_bytes(i):
+        p = b.id_to_piece(i)
+        return bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode()
+
+    done = []
+    for doc_id, text in rows:
+        made = None
+        if text:
+            x = [(i, bytes(to_byte[c] for c in a.id_to_token(i))) for i in a.encode(" " + text, add_special_tokens=False).ids]
+            y = [(i, b_bytes(i)) for i in b.encode(text)]
+            raw = (" " + text).encode()
+            if b"".join(t for _, t in x) == raw == b"".join(t for _, t in y):
+                made = []
+                for side in (x, y):
+                    ends, at = [], 0
+                    for i, t in side:
+                        at += len(t)
+                        ends.append((at, i))
+                    made.append(ends)
+        done.append((doc_id, made))
+    pairs = Counter()
+    for _, made in done:
+        if made:
+            last = dict(made[1])
+            pairs.update((i, last[e]) for e, i in made[0] if e in last)
+    most = {}
+    for (_, j), n in pairs.items():
+        most[j] = max(most.get(j, 0), n)
+    out = []
+    for doc_id, made in done:
+        if not made:
+            out.append((doc_id, 0, 0, 0, 0, 0, 0, ""))
+            continue
+        last = dict(made[1])
+        cuts = [e for e, _ in made[0] if e in last]
+        groups, at = [], 0
+        for c in cuts:
+            groups.append("|".join(",".join(str(i) for e, i in side if at < e <= c) for side in made))
+            at = c
+        links = [(i, last[e]) for e, i in made[0] if e in last]
+        out.append((doc_id, len(made[0]), len(made[1]), len(cuts), len(links), sum(pairs[x] == most[x[1]] for x in links),
+                    sum(pairs[x] for x in links), hashlib.sha256(";".join(groups).encode()).hexdigest()))
+    return out
+
+
+def divergence(rows, min_docs, top):
+    """(lang, source, text) rows -> op11's rows."""
+    docs = [(lang or "", source or "", re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", lower(text or "")))
+            for lang, source, text in rows]
+    out = []
+    for lang in {x for x, *_ in docs}:
+        own = [(s, ts) for x, s, ts in docs if x == lang]
+        held, whole, by = Counter(), Counter(), defaultdict(Counter)
+        for s, ts in own:
+            held.update(set(ts))
+            by[s].update(ts)
+        kept = sorted((t for t, n in held.items() if n >= min_docs), key=str.encode)
+        for s, c in by.items():
+            whole.update({t: c[t] for t in kept})
+
+        def shares(c):
+            total = sum(c[t] for t in kept) + 2 * len(kept)
+            return [1 + 10**9 * (c[t] + 2) // total for t in kept]
+
+        def gain(p, q):
+            return (p - q) ** 2 // (p + q)
+
+        p, q = {s: shares(c) for s, c in by.items()}, shares(whole)
+        for s in by:
+            found = [("pair", o, sum(map(gain, p[s], p[o]))) for o in by if o != s]
+            against = [("term", t, gain(x, y)) for t, x, y in zip(kept, p[s], q) if by[s][t] and x > y]
+            for part, limit in ((found, None), (against, top)):
+                part.sort(key=lambda r: (-r[2], r[1].encode()))
+                out += [(lang, s, *r, i) for i, r in enumerate(part[:limit], 1)]
+    return sorted(out)
