@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .alignment import align_tokenizers
 from .chat import chain, format_conversations, read_turns, unescape
 from .decontam import find_overlaps
+from .disclosure import sanitise
 from .divergence import source_divergence
 from .licenses import known_digests, scan_licenses
 from .mixing import mix_sources
@@ -119,8 +120,21 @@ def op12_cross_tokenizer(spark: SparkSession, sf_dir: str, a_path: str | None =
     return align_tokenizers(_read(spark, sf_dir, "documents", "doc_id", "text"), a_path, b_path)
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = sanitise(_read(spark, sf_dir, "documents", "doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"] != "term")
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    return done.select(
+        "doc_id", *[F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+                    for k in ("email", "ip", "card", "phone")],
+        F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_chat_formatting, op2_rendezvous_shards, op3_near_duplicates, op4_source_mix, op5_license_scan,
         op6_nearest_neighbours, op7_substring_dedup, op8_token_files, op9_toxicity, op10_decontamination,
-        op11_source_divergence, op12_cross_tokenizer, source_mix_filled)}
+        op11_source_divergence, op12_cross_tokenizer, op13_personal_data, source_mix_filled)}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -180,10 +181,13 @@ def aligned(rows, a_path, b_path):
             continue
         last = dict(made[1])
         cuts = [e for e, _ in made[0] if e in last]
-        groups, at = [], 0
-        for c in cuts:
-            groups.append("|".join(",".join(str(i) for e, i in side if at < e <= c) for side in made))
-            at = c
+        sides = []
+        for side in made:  # the group of each token, by the cuts before its end
+            lists = [[] for _ in cuts]
+            for e, i in side:
+                lists[bisect_left(cuts, e)].append(str(i))
+            sides.append([",".join(x) for x in lists])
+        groups = ["|".join(x) for x in zip(*sides)]
         links = [(i, last[e]) for e, i in made[0] if e in last]
         out.append((doc_id, len(made[0]), len(made[1]), len(cuts), len(links), sum(pairs[x] == most[x[1]] for x in links),
                     sum(pairs[x] for x in links), hashlib.sha256(";".join(groups).encode()).hexdigest()))
@@ -220,3 +224,57 @@ def divergence(rows, min_docs, top):
                 part.sort(key=lambda r: (-r[2], r[1].encode()))
                 out += [(lang, s, *r, i) for i, r in enumerate(part[:limit], 1)]
     return sorted(out)
+
+
+KIND_PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+                 "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+                 "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def personal(text):
+    """[(kind, start, end)] of the base patterns in code points."""
+    out = []
+    for kind, pattern in KIND_PATTERNS.items():
+        for m in re.finditer(pattern, text):
+            digits = [int(c) for c in m.group() if c in "0123456789"]
+            doubled = [sum(divmod(2 * d, 10)) if i % 2 else d for i, d in enumerate(digits[::-1])]
+            if (kind == "email" or kind == "ip" and all(int(p) <= 255 for p in m.group().split("."))
+                    or kind == "card" and 13 <= len(digits) <= 19 and sum(doubled) % 10 == 0
+                    or kind == "phone" and 9 <= len(digits) <= 15):
+                out.append((kind, *m.span()))
+    return out
+
+
+def disclosed(texts, window, neighbours, at, remove_at):
+    """{term: action} by the contract's definition, and the spans of each text."""
+    read = []
+    for text in texts:
+        base = personal(text)
+        spans = [m.span() for m in PLAIN.finditer(lower(text))]
+        words = [lower(text)[x:y] for x, y in spans]
+        free = [not any(s < y and x < e for _, s, e in base) for x, y in spans]
+        read.append((base, spans, words, free))
+    n, n_entity, n_term, places = Counter(), Counter(), Counter(), defaultdict(set)
+    for text, (base, spans, words, free) in zip(texts, read):
+        n_term.update(set(words))
+        pairs, entities = set(), set()
+        for kind, s, e in base:
+            value = re.sub("[^0-9]", "", text[s:e]) if kind in ("card", "phone") else lower(text[s:e])
+            entities.add((kind, value))
+            left = [k for k, (x, y) in enumerate(spans) if y <= s][-window:]
+            right = [k for k, (x, y) in enumerate(spans) if x >= e][:window]
+            for k in left + right:
+                if free[k]:
+                    pairs.add(((kind, value), words[k]))
+                    places[(kind, value), words[k]].add((words[k - 1] if k else None, words[k + 1] if k + 1 < len(words) else None))
+        n.update(pairs)
+        n_entity.update(entities)
+    actions = {}
+    for (c, t), both in n.items():
+        if len(places[c, t]) >= neighbours and n_entity[c] < len(texts):
+            share = np.log2(len(texts) * both / (n_term[t] * n_entity[c])) / np.log2(len(texts) / n_entity[c])
+            if share >= at:
+                actions[t] = max(actions.get(t, ""), "remove" if share >= remove_at else "generalise")
+    found = [[(k, s, e, "mask") for k, s, e in base] + [("term", *x, actions[w]) for x, w, f in zip(spans, words, free)
+                                                       if f and w in actions] for base, spans, words, free in read]
+    return actions, found

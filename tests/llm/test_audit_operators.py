@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from stancelab.llm import alignment, divergence
+from stancelab.llm import alignment, disclosure, divergence, queries
 from tests.conftest import SF_SMALL
 from tests.llm import brute
 
@@ -76,10 +76,12 @@ def test_alignment(spark):
     rows = [(-i if i else None, t) for i, t in enumerate(ODD)] + docs + docs[:3] + [
         (10**6, " ".join(t for _, t in docs[:60] if t)), (10**6 + 1, "y" * 5000 + " z" * 50)]
     frame = spark.createDataFrame([(*r, 1, True, "x") for r in rows], "doc_id long, text string, at long, same boolean, segment string")
-    want = sorted(brute.aligned(rows, A_PATH, B_PATH), key=str)
-    assert sum(r[1] == 0 for r in want) >= 3 and sum(r[5] for r in want) > 0
-    for options in ({}, {"range_bytes": 100, "segment_bytes": 1000, "block_pairs": 500}, {"range_bytes": 7}):
-        got = alignment.align_tokenizers(frame.repartition(5), A_PATH, B_PATH, **options)
+    some = frame.where("doc_id <= 0 OR doc_id IS NULL OR doc_id > 1000000")
+    for own, options in ((frame, {}), (frame, {"range_bytes": 500, "segment_bytes": 4000, "block_pairs": 3000}),
+                         (some, {"range_bytes": 7, "segment_bytes": 100})):
+        want = sorted(brute.aligned([(r["doc_id"], r["text"]) for r in own.collect()], A_PATH, B_PATH), key=str)
+        assert sum(r[1] == 0 for r in want) >= 3 and sum(r[5] for r in want) > 0
+        got = alignment.align_tokenizers(own.repartition(5), A_PATH, B_PATH, **options)
         assert sorted(map(tuple, got.collect()), key=str) == want, options
     assert alignment.align_tokenizers(frame.limit(0), A_PATH, B_PATH).count() == 0
 
@@ -106,7 +108,74 @@ def test_fragments_are_a_monoid():
 def test_words_are_encoded_as_in_the_text():
     aligner = alignment.Aligner(A_PATH, B_PATH)
     assert aligner._by_word
-    for text in ODD[1:]:
-        words = aligner.words([text])[0]
-        assert [i for w in words for i in w.ids[0]] == aligner._a.encode(" " + text, add_special_tokens=False).ids
-        assert [i for w in words for i in w.ids[1]] == aligner._b.encode(text) or not all(w.same for w in words) or not text
+    for text in ODD[2:]:
+        got = aligner.encode([text])[0]
+        whole = aligner._a.encode(" " + text, add_special_tokens=False).ids, aligner._b.encode(text)
+        assert got is None or tuple(x.tolist() for x in got) == whole
+
+
+# ---- personal data ---------------------------------------------------------------------------
+
+PIECES = ["a@b.c", "x.y+z@mail-1.example.com", "@", "a@b", "a@b.c@d.e", ".", "1.2.3.4", "256.1.1.1", "1.2.3.4.5.6.7.8.9", "0001.2.3.4",
+          "00000000000000000000007.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (743) 555-3824", "+49 30 1234567 ", "+1(", "1", "é",
+          " ", "-", "a", "..", "+", "12345678901234567890", "(", "%", "漢", "\n"]
+
+
+def test_base_spans():
+    rng = random.Random(5)
+    for n in range(3000):
+        text = "".join(rng.choice(PIECES) for _ in range(rng.randrange(12)))
+        got = [(disclosure.KINDS[k], len(text.encode()[:s].decode()), len(text.encode()[:e].decode()))
+               for k, s, e in disclosure.base_spans(text.encode())]
+        assert got == brute.personal(text), text
+
+
+@pytest.mark.parametrize("piece", ["1", "a", "1 ", "+1", "a@", "1.", "@", "a.b@", "+1 ", "1.2.3.4 "])
+def test_base_spans_take_linear_time(piece):
+    disclosure.base_spans(piece.encode() * 300_000)
+
+
+def told(seed):
+    """A corpus in which two names stand beside one address, in changing words, and copies of a passage."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(60)] + ["é", "ü", "1234"]
+
+    def some(n):
+        return " ".join(rng.choice(words) for _ in range(n))
+
+    texts = [some(rng.randrange(40)) for _ in range(150)]
+    texts += [f"{some(8)} Zorblatt {some(2)} zorb@x.example {some(5)} no77 {some(3)}" for _ in range(8)]
+    texts += [f"{some(8)} ZORBLATT {some(20)}" for _ in range(2)]
+    texts += [f"é {some(4)} no77 {some(3)}", "", "10.0.0.1", "+1 (743) 555-3824, card 4111 1111 1111 1111, Zorblatt@home.example"]
+    return texts + ["singular phrase beside 10.1.2.3 is copied here"] * 20
+
+
+def test_disclosing_terms_are_found(spark):
+    texts = told(1)
+    for options in ((16, 3, 0.85, 0.99), (3, 2, 0.7, 0.95), (16, 3, 0.95, 0.99)):
+        actions, want = brute.disclosed(texts, *options)
+        rows = [(i, t, "s", 1, 2, "h") for i, t in enumerate(texts)] + [(None, None, "s", 1, 2, "h")]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, spans string, term int, h int, hits string").repartition(4)
+        # the null text is one more document
+        actions, want = brute.disclosed([*texts, ""], *options)
+        for block in (1 << 20, 5):
+            got = {r["doc_id"]: r for r in disclosure.sanitise(docs, *options, block_terms=block).collect()}
+            assert [[tuple(s) for s in got[i]["spans"]] for i in range(len(texts))] == want[:-1]
+            assert got[None]["spans"] == [] and got[None]["text"] == ""
+        if options == (16, 3, 0.85, 0.99):
+            assert actions == {"zorblatt": "generalise", "no77": "generalise"}
+            assert "[EMAIL]" in got[150]["text"] and "orblatt" not in got[150]["text"] and "no77" not in got[150]["text"]
+            assert got[len(texts) - 1]["text"] == "singular phrase beside [IP] is copied here"
+    assert disclosure.sanitise(docs.limit(0)).count() == 0
+
+
+def test_query_lists_spans(spark):
+    """op13's columns on the small table are those of the base patterns."""
+    docs = [tuple(r) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text").collect()]
+    got = {r["doc_id"]: r for r in queries.op13_personal_data(spark, SF_SMALL).collect()}
+    for doc_id, text in docs:
+        spans = brute.personal(text or "")
+        assert [got[doc_id][f"n_{k}"] for k in brute.KIND_PATTERNS] == [sum(s[0] == k for s in spans) for k in brute.KIND_PATTERNS]
+        assert got[doc_id]["base_sha256"] == brute.sha(",".join(f"{k}:{s}:{e}" for k, s, e in spans))
+    terms = brute.disclosed([t or "" for _, t in docs], 16, 3, 0.95, 0.99)[1]
+    assert [got[d]["spans"] for d, _ in docs] == [",".join(f"{k}:{s}:{e}" for k, s, e, _ in own) for own in terms]
