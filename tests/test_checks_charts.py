@@ -34,7 +34,7 @@ def test_shape_check_and_note(spark):
     bad = ck.shape_check(counts, {"rows": 4, "prompts": 2, "questions": 2}).first()
     assert bad.status == "review"
     noted = ck.with_note(ck.shape_check(counts, ck.EXPECTED_SHAPES["covid"])).first()
-    assert noted.status == "review" and noted.note.startswith("Forecast correctness")
+    assert noted.status == "review" and noted.note == ck.FORECAST_NOTE
 
 
 def test_missing_keys_and_required_inputs(spark):

@@ -90,3 +90,59 @@ def test_binomial_terms_of_many_trials(spark):
     for (n, k), (value,) in zip(rows, got):
         want = log_factorial(n) - log_factorial(k) - log_factorial(n - k) - n * Decimal(2).ln()
         assert abs(Decimal(value) - want) < Decimal("1e-11") * max(1, abs(want)), (n, k)
+
+
+def test_binom_sf_of_many_trials(spark):
+    """Against the same tails summed in 50 digits, near the mean, far out and on the other side."""
+    from decimal import Decimal, getcontext
+    getcontext().prec = 50
+
+    def tail(s, n, first):
+        """P(X = s) and on, for a fair coin, from P(X = s)."""
+        total, term, k = Decimal(0), first, s
+        while term > total * Decimal(10) ** -18:
+            total += term
+            term *= Decimal(n - k) / (k + 1)
+            k += 1
+        return total
+
+    def log_factorial(n):
+        x = Decimal(n + 1)
+        pi = Decimal("3.14159265358979323846264338327950288419716939937510582097494")
+        bernoulli = [(1, 6), (-1, 30), (1, 42), (-1, 30), (5, 66), (-691, 2730), (7, 6), (-3617, 510)]
+        rest = sum(Decimal(a) / b / (2 * i * (2 * i - 1) * x ** (2 * i - 1)) for i, (a, b) in enumerate(bernoulli, 1))
+        return (x - Decimal("0.5")) * x.ln() - x + (2 * pi).ln() / 2 + rest
+
+    cases = [(n, n // 2 + int(z * n**0.5 / 2)) for n, zs in ((10**4, (0, 1, 5, 20)), (10**6, (0, 0.01, 3, 30)),
+                                                             (10**8, (2, 20)), (10**12, (300, 1000))) for z in zs]
+    rows = [(s, n) for n, s in cases] + [(n + 1 - s, n) for n, s in cases]
+    df = spark.createDataFrame(rows, "s long, n long")
+    got = [r[0] for r in df.select(binom_sf("s", "n")).collect()]
+    for (s, n), value, other in zip(rows, got, got[len(cases):]):
+        want = tail(s, n, (log_factorial(n) - log_factorial(s) - log_factorial(n - s) - n * Decimal(2).ln()).exp())
+        if want > Decimal("1e-290"):
+            assert abs(Decimal(value) / want - 1) < Decimal("1e-10"), (s, n, value, want)
+        assert abs(value + other - 1) < 1e-10  # P(X >= s) + P(X >= n + 1 - s) of a fair coin
+    # half of an odd number of trials, however many
+    odd = spark.createDataFrame([((n + 1) // 2, n) for n in (1, 99, 10**6 + 1, 10**9 + 1, 10**12 + 1)], "s long, n long")
+    assert all(abs(r[0] - 0.5) < 1e-10 for r in odd.select(binom_sf("s", "n")).collect())
+
+
+def test_binom_sf_on_a_grid(spark):
+    rows = [(s, n) for n in (1, 2, 3, 7, 40, 179, 300) for s in range(0, n + 2, max(1, n // 12))]
+    df = spark.createDataFrame(rows, "s long, n long")
+    for p in (0.5, 0.01, 0.9):
+        for (s, n), r in zip(rows, df.select(binom_sf("s", "n", p=p)).collect()):
+            want = exact_binom_sf(s, n, p)
+            assert rel(r[0], want) < 1e-10 or want < 1e-290, (s, n, p, r[0], want)
+
+
+def test_binom_sf_plans_quickly(spark):
+    """Values are bound once, so the plan stays small; no array grows with the trials."""
+    import time
+    df = spark.createDataFrame([(600_000, 1_000_000)], "s long, n long").select(binom_sf("s", "n").alias("p"))
+    df.collect()
+    began = time.time()
+    plan = spark.createDataFrame([(1, 2)], "s long, n long").select(binom_sf("s", "n").alias("p"))._jdf.queryExecution().executedPlan().toString()
+    assert "sequence" not in plan
+    assert time.time() - began < 2.0
