@@ -2,25 +2,20 @@
 
 Every slice and every restart is clustered at once:
 
-* points ``(slice..., point_id, vec)`` are spread once over the cluster's
-  parallelism and persisted; each step joins them on the slice key to the
-  centroid table ``(slice..., restart, cents array<array<double>>)``.  That table
-  is broadcast only after its exact size (slices x restarts x k x dim doubles)
-  passes the session's broadcast threshold; otherwise the join is shuffled and
-  AQE splits a slice holding a third of the points;
-* the nearest centroid is an ``array_min`` over a ``transform`` of squared
-  distances (JVM higher-order functions, no Python);
-* new centroids are ``Summarizer.mean`` per (slice, restart, cluster): a
-  mergeable aggregate, partial on the map side;
-* every step's centroids are written by a reliable ``checkpoint()`` to the
-  session's checkpoint directory: a step uses the previous centres twice, so the
-  plan would otherwise double per step, and a lost executor replays one step.
-
-Initialisation is k-means++ seeding made deterministic: each next centre is the
-point minimising ``-ln(u) / D(x)`` with ``u`` a seeded hash of (point, restart,
-step) - an exponential race that samples with probability proportional to D(x).
-The winner is found with two hash aggregates (min score, then min id among
-ties) over a narrow scored table, so no vector-carrying row is ever sorted.
+* points ``(slice..., point_id, vec)`` are spread once over the cluster's parallelism and
+  persisted; slices are numbered through a broadcast of their keys;
+* a pass over the points is one Arrow kernel per partition (:mod:`.centroids`): it holds the
+  centres of a wave of slices, whose size has been checked, and gives one partial result per
+  (slice, restart), merged behind one small shuffle.  A step of all unconverged restarts is one job;
+* slices are taken in waves whose candidate tables stay within ``kernel_bytes``; where one slice
+  alone exceeds it, or there would be too many waves, steps are joins in the JVM instead
+  (``_kmeans_joined``): the nearest centre is an ``array_min`` over a ``transform`` of squared
+  distances, new centres are ``Summarizer.mean``, and centres are checkpointed every step.
+
+Seeding is k-means|| made deterministic: a first point, then ``SEED_ROUNDS`` rounds that each draw
+2 k points with probability proportional to the squared distance from those drawn (an exponential
+race over a seeded hash of the point's id), then one pass that weighs the candidates by their
+nearest points, and k-means++ on the weighted candidates.  The passes do not depend on k.
 
 Silhouette needs all pairwise distances for the Euclidean metric, so it is
 computed for the *squared* Euclidean metric, which decomposes exactly into
@@ -31,13 +26,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import array_sum, dot, sq_dist
+from ..landing import Landing, ship
 from ..session import broadcast_limit, checkpoint_dir
+from . import centroids as kernels
+
+#: Bytes of the candidate centres that a kernel holds; slices beyond it wait for the next wave.
+KERNEL_BYTES = 64 << 20
+#: Waves, and slices on the driver, before the joined form takes over.
+MAX_WAVES = 64
+MAX_SLICES = 100_000
+#: Rounds of the seeding that draw 2 k candidates each.
+SEED_ROUNDS = 5
 
 
 def _sq_dists(vec: Column, cents: Column) -> Column:
@@ -151,21 +157,114 @@ def _update(points: DataFrame, cents: DataFrame, keys: Sequence[str], vec: str,
         array_sum(F.zip_with("_old", "_new", lambda o, n: sq_dist(o, n))).alias("_shift"))
 
 
+def _usable(vec: str) -> Column:
+    return F.col(vec).isNotNull() & (F.size(vec) > 0) & F.forall(vec, lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
+
+
 def kmeans(points: DataFrame, keys: Sequence[str], k: int = 4, restarts: int = 10, seed: int = 42,
-           max_iter: int = 100, tol: float = 1e-4, vec: str = "vec", point_id: str = "point_id"):
+           max_iter: int = 100, tol: float = 1e-4, vec: str = "vec", point_id: str = "point_id",
+           kernel_bytes: int = KERNEL_BYTES):
     """Cluster every slice; returns (assignments, centroids, inertia per slice and restart).
 
     Centroids and inertia carry ``n_iter``, the steps that (slice, restart) took, and ``converged``,
-    false where ``max_iter`` ended it.
-
-    A (slice, restart) has converged when the summed squared centre shift of a step
-    is at most ``tol`` x the slice's mean feature variance; from then on it is frozen.
-    The loop stops when all have converged or after ``max_iter`` steps.  Each step costs one job and one
-    one-number action; every step's centroids are written to the checkpoint
-    directory, so lineage and plan size stay constant.
+    false where ``max_iter`` ended it.  A (slice, restart) has converged when the summed squared
+    centre shift of a step is at most ``tol`` x the slice's mean feature variance; from then on it
+    is frozen.  An empty cluster keeps its centre.
 
     ``assignments``: keys..., point_id, cluster, sq_dist for the best restart of each
     slice (lowest inertia, then lowest restart number).
+
+    Vectors that are null, empty or hold a null or non-finite component take no part; those of one
+    slice must have one length.  A null key is a key like others.  The results are tables in the
+    checkpoint folder.
+    """
+    keys = list(keys)
+    spark = points.sparkSession
+    pts = (points.select(*keys, point_id, F.col(vec).cast("array<double>").alias("vec")).where(_usable("vec")))
+    slices = pts.groupBy(*keys).agg(F.max(F.size("vec")).alias("_dim")).orderBy(*keys).limit(MAX_SLICES + 1).toArrow()
+    dims = slices["_dim"].to_pylist()
+    one = [d * 8 * restarts * (1 + 2 * k * SEED_ROUNDS) for d in dims]
+    waves: list[list[int]] = []
+    room = 0
+    for s, size in enumerate(one):
+        if size > room:
+            waves.append([])
+            room = kernel_bytes
+        waves[-1].append(s)
+        room -= size
+    if len(dims) > MAX_SLICES or len(waves) > MAX_WAVES or max(one, default=0) > kernel_bytes:
+        return _kmeans_joined(pts, keys, k, restarts, seed, max_iter, tol, "vec", point_id)
+    ship(spark)
+    landing = Landing(spark, "kmeans")
+    key_schema = pts.select(*keys).schema
+    unit_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in key_schema) + ", restart int, converged boolean, n_iter int"
+    key_rows = list(zip(*[slices[c].to_pylist() for c in keys]))
+    done = []
+    for wave in waves or [[]]:
+        numbers = spark.createDataFrame([(*key_rows[s], s) for s in wave], ", ".join(
+            f"`_k{i}` {f.dataType.simpleString()}" for i, f in enumerate(key_schema)) + ", _s int")
+        own = (pts.join(F.broadcast(numbers), [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)])
+               .select("_s", F.xxhash64(point_id).alias("_h"), *keys, point_id, "vec")
+               # spread the distance work once, before iterating
+               .repartition(spark.sparkContext.defaultParallelism).persist())
+        found = _cluster(own.select("_s", "_h", "vec"), {s: dims[s] for s in wave}, k, restarts, seed, max_iter, tol)
+        best = {s: min(range(restarts), key=lambda r: (found[s, r][1], r)) for s in wave}
+        sent = spark.sparkContext.broadcast({s: {0: found[s, best[s]][0]} for s in wave})
+        assigned = kernels.nearest(own, {s: dims[s] for s in wave}, sent, [*keys, point_id])
+        rows = [(*key_rows[s], r, *found[s, r][2:], found[s, r][1]) for s in wave for r in range(restarts)]
+        centres = [(*key_rows[s], best[s], *found[s, best[s]][2:], found[s, best[s]][0].tolist()) for s in wave]
+        done.append((landing.table(assigned, "assigned"),
+                     landing.table(spark.createDataFrame(centres, f"{unit_schema}, cents array<array<double>>"), "centroids"),
+                     landing.table(spark.createDataFrame(rows, f"{unit_schema}, inertia double"), "inertia")))
+        own.unpersist()
+        sent.destroy()
+    assigned, centres, inertia = done[0]
+    for more in done[1:]:
+        assigned, centres, inertia = (x.unionByName(y) for x, y in zip((assigned, centres, inertia), more))
+    return (assigned, centres.select(*keys, "restart", "cents", "converged", "n_iter"),
+            inertia.select(*keys, "restart", "inertia", "converged", "n_iter"))
+
+
+def _cluster(points: DataFrame, dims: dict[int, int], k: int, restarts: int, seed: int, max_iter: int, tol: float):
+    """{(slice, restart): (centres, inertia, converged, n_iter)} of one wave of slices."""
+    if not dims:
+        return {}
+    context = points.sparkSession.sparkContext
+    units = [(s, r) for s in dims for r in range(restarts)]
+
+    def with_centres(centres, run):
+        by_slice: dict[int, dict[int, np.ndarray]] = {}
+        for (s, r), c in centres.items():
+            by_slice.setdefault(s, {})[r] = c
+        sent = context.broadcast(by_slice)
+        out = run(sent)
+        sent.destroy()
+        return out
+
+    candidates = kernels.draw(points, dims, restarts, None, 1, (seed, 0))
+    for i in range(SEED_ROUNDS):
+        more = with_centres(candidates, lambda sent: kernels.draw(points, dims, restarts, sent, 2 * k, (seed, i + 1)))
+        candidates = {u: np.concatenate([c, more[u]]) if u in more else c for u, c in candidates.items()}
+    weights, spread = with_centres(candidates, lambda sent: kernels.weigh(points, dims, restarts, sent))
+    centres = {u: kernels.reduce_candidates(candidates[u], weights[u], k, np.random.default_rng([seed, *u])) for u in units}
+    state = {u: (False, 0) for u in units}
+    for n in range(1, max_iter + 1):
+        active = {u: centres[u] for u in units if not state[u][0]}
+        if not active:
+            break
+        for u, (_, counts, sums) in with_centres(active, lambda sent: kernels.step(points, dims, sent)).items():
+            new = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1.0)[:, None], centres[u])
+            state[u] = float(((new - centres[u]) ** 2).sum()) <= tol * spread[u[0]], n
+            centres[u] = new
+    last = with_centres(centres, lambda sent: kernels.step(points, dims, sent))
+    return {u: (centres[u], float(last[u][0]), *state[u]) for u in units}
+
+
+def _kmeans_joined(points: DataFrame, keys: Sequence[str], k: int, restarts: int, seed: int,
+                   max_iter: int, tol: float, vec: str, point_id: str):
+    """``kmeans`` for centre tables that no task holds: steps are joins, centres are checkpointed.
+
+    Rows with a null key drop out of the joins.
     """
     keys = list(keys)
     spark = points.sparkSession
