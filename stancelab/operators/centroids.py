@@ -232,7 +232,7 @@ def nearest(points: DataFrame, dims: Mapping[int, int], centres, keep: list[str]
 
     def kernel(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Centres = centres.value
-        width = max(own[0].size for own in known.values())
+        width = max((own[0].size for own in known.values()), default=1)
         for s, rows, x, _, b in _slices(frames, dims, width):
             d = np.stack([((x - c) ** 2).sum(axis=1) for c in known[s][0]], axis=1)
             near = d.argmin(axis=1)

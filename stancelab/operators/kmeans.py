@@ -32,7 +32,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import array_sum, dot, sq_dist
+from ..functions.vectors import array_sum, sq_dist
 from ..landing import Landing, ship
 from ..session import broadcast_limit, checkpoint_dir
 from . import centroids as kernels
@@ -61,12 +61,16 @@ def _argmin(arr: Column) -> Column:
 
 
 def assign(points: DataFrame, centroids: DataFrame, keys: Sequence[str], vec: str = "vec",
-           broadcast_centroids: bool = False) -> DataFrame:
+           broadcast_centroids: bool | None = None) -> DataFrame:
     """Nearest centroid per point (and restart): adds ``cluster`` and ``sq_dist``.
 
-    ``broadcast_centroids`` is set by callers that have bounded the centroid table's
-    size; the points then stream through the join in their own partitions.
+    With ``broadcast_centroids`` the points stream through the join in their own partitions.  It is
+    for callers that have bounded the centroid table; None asks the table for its size.
     """
+    if broadcast_centroids is None:
+        shape = centroids.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("cents")).alias("k"),
+                              F.max(F.size(F.get("cents", 0))).alias("d")).first()
+        broadcast_centroids = centroid_table_fits(points.sparkSession, shape["n"], 1, shape["k"] or 0, shape["d"] or 0)
     j = points.join(F.broadcast(centroids) if broadcast_centroids else centroids, list(keys))
     d = _sq_dists(F.col(vec), F.col("cents"))
     return (j.withColumn("_d", d)
@@ -314,13 +318,16 @@ def _kmeans_joined(points: DataFrame, keys: Sequence[str], k: int, restarts: int
 
 
 def cluster_stats(assigned: DataFrame, keys: Sequence[str], vec: str = "vec") -> DataFrame:
-    """Per (slice, cluster): size, centroid, sum of squared norms, mean distance to centroid."""
+    """Per (slice, cluster): size, centroid and ``w_c``, the squared distances to it in total.
+
+    Means and variances are merged about the means, so nothing cancels far from the origin.
+    """
     keys = list(keys)
-    g = (assigned.select(*keys, "cluster", array_to_vector(F.col(vec).cast("array<double>")).alias("_v"),
-                         dot(vec, vec).alias("_q"))
-         .groupBy(*keys, "cluster").agg(Summarizer.mean(F.col("_v")).alias("_m"),
-                                        F.count(F.lit(1)).alias("n_c"), F.sum("_q").alias("q_c")))
-    return g.select(*keys, "cluster", "n_c", "q_c", vector_to_array("_m").alias("centroid"))
+    g = (assigned.select(*keys, "cluster", array_to_vector(F.col(vec).cast("array<double>")).alias("_v"))
+         .groupBy(*keys, "cluster").agg(Summarizer.metrics("mean", "variance").summary(F.col("_v")).alias("_m"),
+                                        F.count(F.lit(1)).alias("n_c")))
+    return g.select(*keys, "cluster", "n_c", vector_to_array("_m.mean").alias("centroid"),
+                    (array_sum(vector_to_array("_m.variance")) * (F.col("n_c") - 1)).alias("w_c"))
 
 
 def quality_metrics(assigned: DataFrame, keys: Sequence[str], vec: str = "vec",
@@ -338,7 +345,7 @@ def quality_metrics(assigned: DataFrame, keys: Sequence[str], vec: str = "vec",
     spark = assigned.sparkSession
     stats = cluster_stats(assigned, keys, vec)
     per_slice = stats.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("cluster", "n_c", "q_c", "centroid"))).alias("cl"),
+        F.sort_array(F.collect_list(F.struct("cluster", "n_c", "w_c", "centroid"))).alias("cl"),
         F.sum("n_c").alias("n"), F.count(F.lit(1)).alias("k"))
     if broadcast_clusters is None:
         shape = assigned.agg(F.count_distinct(F.struct(*keys, "cluster")).alias("c"),
@@ -347,12 +354,10 @@ def quality_metrics(assigned: DataFrame, keys: Sequence[str], vec: str = "vec",
     side = F.broadcast(per_slice) if broadcast_clusters else per_slice
     pts = assigned.select(*keys, "cluster", F.col(vec).cast("array<double>").alias("_x")).join(side, keys)
     x = F.col("_x")
-    xx = dot(x, x)
-    # mean squared distance from x to every cluster: (n_c |x|^2 - 2 x.S_c + Q_c) / n_c, S_c = n_c mu_c
+    # squared distances from x to all members of a cluster: n_c |x - mu_c|^2 + w_c
     sums = F.transform("cl", lambda c: F.struct(
         c.getField("cluster").alias("cluster"), c.getField("n_c").alias("n_c"),
-        (c.getField("n_c") * xx - F.lit(2.0) * c.getField("n_c") * dot(x, c.getField("centroid"))
-         + c.getField("q_c")).alias("s")))
+        (c.getField("n_c") * sq_dist(x, c.getField("centroid")) + c.getField("w_c")).alias("s")))
     own = F.filter("_sums", lambda c: c.getField("cluster") == F.col("cluster"))
     others = F.filter("_sums", lambda c: c.getField("cluster") != F.col("cluster"))
     a_i = F.try_divide(F.get(own, 0).getField("s"), F.get(own, 0).getField("n_c") - 1)

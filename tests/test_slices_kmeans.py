@@ -177,3 +177,44 @@ def test_clustering_queries_return_assignments_and_metrics(spark):
         db = np.mean([max((spread[i] + spread[j]) / np.linalg.norm(mean[i] - mean[j]) for j in range(len(ks)) if j != i)
                       for i in range(len(ks))])
         assert abs(m["silhouette_sqeuclidean"] - silhouette) < 1e-3 and abs(m["davies_bouldin"] - db) < 1e-3
+
+
+def test_metrics_far_from_the_origin(spark):
+    """The silhouette of points moved by 1e8 is that of the points where they were."""
+    df = spark.createDataFrame([(0, c, [c * 4.0 + i % 3, float(i % 5)]) for c in range(3) for i in range(10)],
+                               "s int, cluster int, vec array<double>")
+    moved = df.withColumn("vec", F.transform("vec", lambda x: x + 1e8))
+    here, there = (km.quality_metrics(d, ["s"]).first() for d in (df, moved))
+    for name in ("silhouette_sqeuclidean", "calinski_harabasz", "davies_bouldin"):
+        assert math.isclose(here[name], there[name], rel_tol=1e-6), name
+
+
+def test_kmeans_joined_agrees_with_the_kernels(spark):
+    """Where no task may hold the centres, the joined form finds as good a clustering."""
+    pts = spark.createDataFrame(blobs(), "s string, point_id long, vec array<double>")
+    by_kernel, by_join = (km.kmeans(pts, ["s"], k=4, restarts=3, seed=42, kernel_bytes=b) for b in (1 << 20, 0))
+    best = [{r.s: r.inertia for r in x[2].groupBy("s").agg(F.min("inertia").alias("inertia")).collect()} for x in (by_kernel, by_join)]
+    assert best[0].keys() == best[1].keys() and all(math.isclose(best[0][s], best[1][s], rel_tol=1e-9) for s in best[0])
+    assert [x.columns for x in by_kernel] == [x.columns for x in by_join]
+
+
+def test_kmeans_takes_slices_in_waves(spark):
+    pts = spark.createDataFrame(blobs(), "s string, point_id long, vec array<double>")
+    room = 2 * 8 * 3 * (1 + 8 * km.SEED_ROUNDS)  # one slice of two dimensions at a time
+    whole, waves = (km.kmeans(pts, ["s"], k=4, restarts=3, seed=42, kernel_bytes=b) for b in (1 << 20, room))
+    for x, y in zip(whole, waves):
+        assert sorted(map(str, x.collect())) == sorted(map(str, y.collect()))
+
+
+def test_kmeans_of_odd_rows(spark):
+    """Null and non-finite vectors take no part, a null key is a key, equal points are one cluster too many."""
+    rows = [(None, i, [float(i % 2), 0.0]) for i in range(6)] + [("a", 1, None), ("a", 2, [1.0, float("nan")]),
+            ("a", 3, [float("inf"), 1.0]), ("a", 4, [None, 1.0]), ("a", 5, []), ("b", 1, [2.0, 2.0]), ("b", 1, [2.0, 2.0])]
+    pts = spark.createDataFrame(rows, "s string, point_id long, vec array<double>")
+    assigned, cents, inertia = km.kmeans(pts, ["s"], k=2, restarts=2, seed=1)
+    got = assigned.collect()
+    assert sorted((str(r.s), r.point_id) for r in got) == [("None", i) for i in range(6)] + [("b", 1), ("b", 1)]
+    assert all(r.sq_dist == 0 for r in got) and inertia.count() == 4
+    assert len({r.cluster for r in got if r.s is None}) == 2
+    empty = km.kmeans(pts.where("point_id > 99"), ["s"], k=2, restarts=2)
+    assert [x.count() for x in empty] == [0, 0, 0]
