@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import clean_double, col
 from ..functions.lists import list_item, split_list
+from ..landing import Landing
+from ..session import broadcast_limit
 
 Z_CRIT = 1.98  # critical value used for the coefficient bounds (not 1.96)
 
@@ -84,32 +86,83 @@ def two_group_effect(df: DataFrame, keys: Sequence[str], x: str | Column, y: str
     (deterministic when ``first_by`` is a total order, unlike ``first()``).  Rows
     whose group key is NULL or NaN are dropped, as pandas ``groupby`` does.
 
-    Plan: one aggregate, one shuffle of partial rows.  The first-row pick is a
-    ``min_by`` over a struct, whose buffer is not fixed-width, so Spark aggregates
-    each task's rows by a local sort instead of a hash map; raw rows are never
-    shuffled.  When the attribute is the order column itself it is a plain hash
-    ``min``.  (A variant that found the first row by joining a per-group minimum
-    back to the input was measured and dropped: the planner shuffled the raw
-    input for that join before AQE could switch it to a broadcast.)
+    Plan: one hash aggregate on either side of one shuffle of partial rows.  The first row is found
+    in it as the least value of a fixed-width key (:func:`packed_order`).  The groups are then
+    written once, and their attributes fetched from the input by a join with (keys, packed key),
+    broadcast after its size has been checked: no row of the input is shuffled for them.  Where the
+    order cannot be packed or the groups are too many to broadcast, the first row is a ``min_by``
+    over a struct, which Spark aggregates by a local sort of each task's rows.  When the attribute
+    is the order column itself it is a plain ``min``.
     """
     keys = list(keys)
+    kept = _with_known_keys(df, keys)
+    aggs = effect_aggregates(x, y)
+    if not first_attrs:
+        return kept.groupBy(*keys).agg(*aggs).select(*keys, *effect_columns(z_crit))
+    if not first_by:
+        raise ValueError("first_attrs needs a first_by order")
+    if len(first_by) == 1 and set(first_attrs) == {first_by[0]}:
+        grouped = kept.groupBy(*keys).agg(*aggs, F.min(first_by[0]).alias("_first_" + first_by[0]))
+        return grouped.select(*keys, F.col("_first_" + first_by[0]).alias(first_by[0]), *effect_columns(z_crit))
+    least = F.min_by(F.struct(*[col(a) for a in first_attrs]), F.struct(*[col(c) for c in first_by])).alias("_first")
+    attrs = [F.col("_first").getField(a).alias(a) for a in first_attrs]
+    packed = packed_order(df, first_by)
+    if packed is not None:
+        groups = Landing(df.sparkSession, "effects").table(grouped_effects(kept, keys, aggs, packed), "groups")
+        wanted = groups.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_least")
+        if _bytes_of(wanted) <= broadcast_limit(df.sparkSession):
+            same = [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)]
+            firsts = (kept.withColumn("_packed", packed)
+                      .join(F.broadcast(wanted), [*same, F.col("_packed") == F.col("_least")])
+                      .groupBy(*keys).agg(least))  # a row a group, more where the packed part of the order ties
+            return groups.join(firsts, keys).select(*keys, *attrs, *effect_columns(z_crit))
+    return kept.groupBy(*keys).agg(*aggs, least).select(*keys, *attrs, *effect_columns(z_crit))
+
+
+def _with_known_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     real = {k for k in keys if dict(df.dtypes)[k] in ("double", "float")}
     known = [F.col(k).isNotNull() & (~F.isnan(k) if k in real else F.lit(True)) for k in keys]
-    kept = df.where(reduce(lambda a, b: a & b, known, F.lit(True)))
-    aggs = effect_aggregates(x, y)
-    firsts_cols = []
-    if first_attrs:
-        if not first_by:
-            raise ValueError("first_attrs needs a first_by order")
-        if len(first_by) == 1 and set(first_attrs) == {first_by[0]}:
-            aggs.append(F.min(first_by[0]).alias("_first_" + first_by[0]))
-            firsts_cols = [F.col("_first_" + first_by[0]).alias(first_by[0])]
-        else:
-            order = F.struct(*[col(c) for c in first_by])
-            aggs.append(F.min_by(F.struct(*[col(a) for a in first_attrs]), order).alias("_first"))
-            firsts_cols = [F.col("_first").getField(a).alias(a) for a in first_attrs]
-    grouped = kept.groupBy(*keys).agg(*aggs)
-    return grouped.select(*keys, *firsts_cols, *effect_columns(z_crit))
+    return df.where(reduce(lambda a, b: a & b, known, F.lit(True)))
+
+
+def grouped_effects(kept: DataFrame, keys: Sequence[str], aggs: Sequence[Column], packed: Column) -> DataFrame:
+    """The effect statistics of each group and ``_least``, its least packed order; hash-aggregated."""
+    return kept.groupBy(*keys).agg(*aggs, F.min(packed).alias("_least"))
+
+
+#: Bits of the types that can be packed.
+PACKED_BITS = {"tinyint": 8, "smallint": 16, "int": 32, "bigint": 64, "boolean": 1, "date": 32}
+
+
+def packed_order(df: DataFrame, order: Sequence[str]) -> Column | None:
+    """One decimal that sorts as the leading columns of ``order`` do, NULL first.
+
+    As many whole-number, boolean or date columns as 38 digits hold; None if the first is of
+    another type.  A decimal has a fixed width, so its least value is kept in a hash map.
+    """
+    types = dict(df.dtypes)
+    packed, room = None, 10**38
+    for c in order:
+        bits = PACKED_BITS.get(types.get(c))
+        if bits is None or room // ((1 << bits) + 1) == 0:
+            break
+        room //= (1 << bits) + 1
+        number = F.datediff(c, F.lit("1970-01-01")) if types[c] == "date" else F.col(c)
+        number = number.cast("int").cast("decimal(38,0)") if types[c] == "boolean" else number.cast("decimal(38,0)")
+        low = 0 if types[c] == "boolean" else -(1 << (bits - 1))
+        place = F.coalesce(number - F.lit(str(low - 1)).cast("decimal(38,0)"), F.lit("0").cast("decimal(38,0)"))
+        place = place.cast("decimal(38,0)")
+        packed = place if packed is None else (
+            packed * F.lit(str((1 << bits) + 1)).cast("decimal(20,0)")).cast("decimal(38,0)") + place
+        packed = packed.cast("decimal(38,0)")
+    return packed
+
+
+def _bytes_of(table: DataFrame) -> int:
+    """Size of a written table's rows in memory, from one small aggregate over it."""
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, t in table.dtypes if t in ("string", "binary")]
+    shape = table.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(reduce(lambda a, b: a + b, texts, F.lit(0))), F.lit(0)).alias("text")).first()
+    return shape["n"] * 16 * (len(table.columns) + 1) + shape["text"]
 
 
 def axis_labels(labels: str | Column) -> list[Column]:

@@ -96,3 +96,37 @@ def test_hot_group_matches_pandas(spark):
         assert abs(got[g].coef - coef) < 1e-9 and abs(got[g].se - se) < 1e-9
         assert got[g].n == len(sub) and got[g].o == sub.o.min()
     assert got["hot"].n == 2000
+
+
+def test_first_row_by_packed_key(spark):
+    """Attributes of the first row, whatever the types of the order, with nulls first and ties broken."""
+    from pyspark.sql import functions as F
+
+    from stancelab.operators import effects as ef
+    rows = [("a", 1.0, 1.0, 5, 1, 9, "late"), ("a", 0.0, 2.0, 5, 0, 9, "second"), ("a", 1.0, 3.0, 5, 0, 8, "first"),
+            ("b", 1.0, 1.0, None, 7, 1, "null first"), ("b", 0.0, 2.0, -(2**63), 0, 1, "least"),
+            ("c", 1.0, 1.0, 2**63 - 1, 2**31 - 1, 1, "c2"), ("c", 0.0, 1.0, 2**63 - 1, -(2**31), None, "c1"),
+            ("d", 0.0, 1.0, 0, None, 3, None)]
+    df = spark.createDataFrame(rows, "g string, x double, y double, o long, p int, q long, name string")
+    want = {"a": "first", "b": "null first", "c": "c1", "d": None}
+    for order in (["o", "p", "q"], ["o", "p"]):  # q does not fit in the packed key
+        got = ef.two_group_effect(df, ["g"], "x", "y", first_attrs=["name", "o"], first_by=["o", "p", "q"])
+        assert {r.g: r.name for r in got.collect()} == want
+    plain = ef.two_group_effect(df.withColumn("o", F.col("o").cast("double")), ["g"], "x", "y",
+                                first_attrs=["name"], first_by=["o", "p", "q"])  # cannot be packed
+    assert {r.g: r.name for r in plain.collect()} == want
+    dated = df.select("*", F.date_add(F.lit("2020-01-01"), F.col("p") % 7).alias("day"), (F.col("q") > 8).alias("flag"))
+    by_day = ef.two_group_effect(dated, ["g"], "x", "y", first_attrs=["name"], first_by=["flag", "day", "o"])
+    by_struct = dated.groupBy("g").agg(F.min_by("name", F.struct("flag", "day", "o")).alias("name"))
+    assert {r.g: r.name for r in by_day.collect()} == {r.g: r.name for r in by_struct.collect()}
+
+
+def test_first_row_is_hash_aggregated(spark):
+    from stancelab.operators import effects as ef
+    df = spark.createDataFrame([("a", 1.0, 1.0, 5, 1, "n")], "g string, x double, y double, o long, p int, name string")
+    plan = ef.grouped_effects(df, ["g"], ef.effect_aggregates("x", "y"), ef.packed_order(df, ["o", "p"]))
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("HashAggregate") == 2 and "SortAggregate" not in text
+    whole = ef.two_group_effect(df, ["g"], "x", "y", first_attrs=["name"], first_by=["o", "p"])
+    text = whole._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in text
