@@ -12,6 +12,12 @@ order, e.g. ``id div 65536``):
 4. offsets joined back on the block key, NULL equal to NULL.
 
 Every step is a plain DataFrame operation and the result is exact.
+
+A block key is only as good as the ids it is cut from: repeated, null or non-numeric ones may all
+lie in one block.  Without a block key of the caller's own, or with ``most``, the largest block is
+looked at first, and if it is too large the rows are cut by sampled ranges instead
+(``ranged_sum``): over partition, order and a tie-breaker, so that any number of equal rows are cut
+too.
 """
 
 from __future__ import annotations
@@ -22,8 +28,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
+from ..landing import Landing
 
 DEFAULT_BLOCK_WIDTH = 1 << 16
+#: Rows of a block beyond which the rows are cut by ranges.
+MOST_ROWS = 4 * DEFAULT_BLOCK_WIDTH
 #: Distinct values that may be broadcast: strings of some 100 bytes, about 10 MB.
 BROADCAST_VALUES = 100_000
 
@@ -65,13 +74,25 @@ def _block_offsets(totals: DataFrame, part: list[str], fanout: int) -> DataFrame
 
 def prefix_sum(df: DataFrame, value: str | Column, order: Sequence[str], name: str,
                partition: Sequence[str] = (), block: Column | None = None,
-               inclusive: bool = False, fanout: int = 4096) -> DataFrame:
+               inclusive: bool = False, fanout: int = 4096, most: int | None = None) -> DataFrame:
     """Add ``name`` = sum of ``value`` over the rows before (or up to) each row in ``order``
-    within ``partition``.  ``order`` must be a total order inside the partition."""
+    within ``partition``.
+
+    ``order`` should be a total order inside the partition; rows that tie in it are numbered one
+    after the other, in no order of their own.  ``most``: rows that the caller's ``block`` may hold
+    before ranges are cut instead; without a block the default key is always looked at.
+    """
     part = list(partition)
     order = list(order)
-    blk = block if block is not None else default_block(order[0])
     v = col(value).cast("long") if isinstance(value, str) else value
+    if block is None:
+        numeric = dict(df.dtypes)[order[0]].split("(")[0] in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+        block, most = (default_block(order[0]) if numeric else F.lit(0)), most or MOST_ROWS
+    if most is not None:
+        sizes = df.groupBy(*part, block.alias("_blk")).count()
+        if (sizes.agg(F.max("count")).first()[0] or 0) > most:
+            return ranged_sum(df, v, order, name, part, inclusive, most)
+    blk = block
     staged = df.withColumn("_blk", blk).withColumn("_val", v)
     totals = staged.groupBy(*part, "_blk").agg(F.sum("_val").alias("_blk_total"))
     offsets = _block_offsets(totals, part, fanout)
@@ -83,10 +104,37 @@ def prefix_sum(df: DataFrame, value: str | Column, order: Sequence[str], name: s
             .drop("_blk", "_val", "_blk_off", "_in_blk"))
 
 
+def ranged_sum(df: DataFrame, value: Column, order: Sequence[str], name: str, partition: Sequence[str] = (),
+               inclusive: bool = False, rows: int = MOST_ROWS) -> DataFrame:
+    """``prefix_sum`` for any keys: ranges of about ``rows`` rows, cut by a sample, are the blocks.
+
+    The ranged rows are written once, as another run of the sample would cut them elsewhere.  A
+    range has one total per partition key in it, so the running sum over totals sorts at most as
+    many rows as there are ranges for one key.
+    """
+    part, order = list(partition), list(order)
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
+    staged = df.withColumns({"_val": value, "_tie": F.monotonically_increasing_id()})
+    ranged = Landing(df.sparkSession, "ranges").table(
+        staged.repartitionByRange(n, *part, *order, "_tie").withColumn("_blk", F.spark_partition_id()), "ranged")
+    totals = ranged.groupBy(*part, "_blk").agg(F.sum("_val").alias("_total"))
+    before = Window.partitionBy(*part).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*part, "_blk", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_off"))
+    if totals.limit(BROADCAST_VALUES + 1).count() <= BROADCAST_VALUES:
+        offsets = F.broadcast(offsets)
+    inside = Window.partitionBy("_blk", *part).orderBy(*order, "_tie").rowsBetween(
+        Window.unboundedPreceding, 0 if inclusive else -1)
+    # a range to a task: dealt by hash, some tasks would get several
+    summed = ranged.repartitionByRange(n, "_blk").withColumn("_in", F.coalesce(F.sum("_val").over(inside), F.lit(0)))
+    return (_match(summed, offsets, [*part, "_blk"]).withColumn(name, F.col("_off") + F.col("_in"))
+            .drop("_blk", "_val", "_tie", "_off", "_in"))
+
+
 def row_index(df: DataFrame, order: Sequence[str], name: str = "row_no",
-              partition: Sequence[str] = (), block: Column | None = None, fanout: int = 4096) -> DataFrame:
+              partition: Sequence[str] = (), block: Column | None = None, fanout: int = 4096,
+              most: int | None = None) -> DataFrame:
     """0-based position of each row in ``order`` within ``partition`` (row_number() - 1)."""
-    return prefix_sum(df, F.lit(1).cast("long"), order, name, partition, block, fanout=fanout)
+    return prefix_sum(df, F.lit(1).cast("long"), order, name, partition, block, fanout=fanout, most=most)
 
 
 def first_k(df: DataFrame, k: int, order: Sequence[str], partition: Sequence[str],
@@ -111,7 +159,7 @@ def first_seen_rank(df: DataFrame, value: str, order: str, name: str = "first_se
     key = F.coalesce(F.col(value).cast("string"), F.lit(""))
     keyed = df.withColumn("_rank_key", key)
     firsts = keyed.groupBy("_rank_key").agg(F.min(order).alias("_first"))
-    numbered = row_index(firsts, ["_first"], "_r", block=block if block is not None else default_block("_first"))
+    numbered = row_index(firsts, ["_first"], "_r", block=block)
     ranks = numbered.select("_rank_key", (F.col("_r") + 1).alias(name))
     if firsts.limit(BROADCAST_VALUES + 1).count() <= BROADCAST_VALUES:
         ranks = F.broadcast(ranks)

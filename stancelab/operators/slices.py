@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import prefix_sum, row_index
+from .ordering import MOST_ROWS, prefix_sum, row_index
 
 SLICE_KEYS = ("prompt_no", "connector", "sentiment")
 RANGE_BUCKET = 4096
@@ -39,7 +39,7 @@ def slice_manifest(archive: DataFrame, keys: Sequence[str] = SLICE_KEYS) -> Data
         F.count(F.lit(1)).cast("long").alias("n"),
         F.max("_dim").cast("int").alias("dimensions"))
     return prefix_sum(m, F.col("n"), ["archive_file", "archive_offset"], "global_offset",
-                      block=F.col("archive_file"))
+                      block=F.col("archive_file"), most=MOST_ROWS)
 
 
 def read_slices(archive: DataFrame, manifest: DataFrame, keys: Sequence[str] = SLICE_KEYS,
@@ -63,7 +63,7 @@ def texts_by_position(texts: DataFrame, keys: Sequence[str] = SLICE_KEYS, order:
     """Texts of each slice numbered 0, 1, ... by ``order`` (NULL text becomes '')."""
     keys = list(keys)
     block = F.struct(*[F.col(k) for k in keys], F.floor(F.col(order) / 65536))
-    out = row_index(texts, [order], "position", partition=keys, block=block)
+    out = row_index(texts, [order], "position", partition=keys, block=block, most=MOST_ROWS)
     return out.withColumn("justification", F.coalesce(F.col("justification"), F.lit("")))
 
 
