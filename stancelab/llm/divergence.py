@@ -1,11 +1,12 @@
 """How far each source's use of terms lies from the other sources of its language.
 
-Kept terms are found by iceberg prefix refinement.  A level is a length in bytes, doubling from
-``first_level``.  Terms that share a prefix of that length are counted together, in distinct
-documents; a prefix below the threshold goes, and with it every term that begins with it, so the
-next level looks only at terms whose prefix is left.  The levels end when no prefix left belongs to
-a longer term.  Prefixes are counted by 64-bit hashes and remembered in one bitmap of fixed size:
-both can only keep too much.  The terms that come through are then counted by their own bytes.
+Kept terms are found by iceberg prefix refinement.  A level is a length in bytes, from
+``first_level`` on three times as long each time.  Terms that share a prefix of that length are
+counted together, in distinct documents; a prefix below the threshold goes, and with it every term
+that begins with it, so the next level looks only at terms whose prefix is left.  The levels end
+when no prefix left belongs to a longer term.  Prefixes are counted by 64-bit hashes and remembered
+in one bitmap of fixed size: both can only keep too much.  The terms that come through are then
+counted by their own bytes.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +26,10 @@ from .words import LETTER_WORDS, LOWER_CASE, Words, batches, cut_words, mix
 SCALE = 1_000_000_000
 #: Bits of the bitmap of prefixes that are left: 4 MiB whatever the corpus, the only thing broadcast.
 FILTER_BITS = 1 << 25
+#: How many times longer the prefixes of the next level are.
+STEP = 3
 #: Distinct prefixes, or (lang, source, term) rows, that a task gathers before it puts them out.
-HELD = 1 << 19
+HELD = 1 << 18
 #: Terms of one block of the sums over pairs of sources, and sources of one tile.
 BLOCK_TERMS = 2048
 TILE_SOURCES = 1024
@@ -112,13 +116,24 @@ def _prefix_counter(level: int, below: int, bitmap):
 
 
 def _term_counter(levels: list[int], bitmap):
-    """Per (lang, source, term) of the terms that came through: occurrences and documents."""
+    """Per (lang, term) of the terms that came through, each source's occurrences and documents."""
+    def by_term(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        t = t.sort_by([("lang", "ascending"), ("term", "ascending")])
+        for at in range(0, len(t), 1 << 16):  # a term on two slices is two rows
+            b = t.slice(at, 1 << 16).combine_chunks()
+            lang, term = b["lang"].combine_chunks(), b["term"].combine_chunks()
+            new = pc.or_(pc.not_equal(lang[1:], lang[:-1]), pc.not_equal(term[1:], term[:-1])).to_numpy(zero_copy_only=False)
+            first = np.concatenate([[0], np.flatnonzero(new) + 1])
+            uses = pa.StructArray.from_arrays([b[c].combine_chunks() for c in ("source", "n", "docs")], ["source", "n", "docs"])
+            yield pa.record_batch({"lang": lang.take(pa.array(first)), "term": term.take(pa.array(first)),
+                                   "uses": pa.ListArray.from_arrays(pa.array(np.append(first, len(b)), pa.int32()), uses)})
+
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
 
         def total() -> pa.Table:
-            t = pa.concat_tables(held).group_by(["lang", "source", "term"]).aggregate([("n", "sum"), ("docs", "sum")])
-            held[:] = [t.rename_columns(["lang", "source", "term", "n", "docs"])]
+            t = pa.concat_tables(held).group_by(["lang", "term", "source"]).aggregate([("n", "sum"), ("docs", "sum")])
+            held[:] = [t.rename_columns(["lang", "term", "source", "n", "docs"])]
             return held[0]
 
         size = 0
@@ -145,17 +160,17 @@ def _term_counter(levels: list[int], bitmap):
             g = keys % len(groups)
             held.append(pa.table({
                 "lang": pa.array([x for x, _ in names], pa.string()).take(pa.array(g)),
-                "source": pa.array([x for _, x in names], pa.string()).take(pa.array(g)),
-                "term": terms.take(pa.array(keys // len(groups))), "n": pa.array(n), "docs": pa.array(docs)}))
+                "term": terms.take(pa.array(keys // len(groups))),
+                "source": pa.array([x for _, x in names], pa.string()).take(pa.array(g)), "n": pa.array(n), "docs": pa.array(docs)}))
             size += len(keys)
             if size > 2 * HELD:
                 size = len(total())
                 if size > HELD:
-                    yield from held.pop().to_batches()
+                    yield from by_term(held.pop())
                     size = 0
         if held:
             total()
-            yield from held.pop().to_batches()
+            yield from by_term(held.pop())
     return run
 
 
@@ -198,9 +213,12 @@ def kept_terms(docs: DataFrame, min_docs: int = 10, first_level: int = 4, filter
         levels.append(level)
         if not left.where("more").limit(1).count():
             break
-        below, level = level, 2 * level
-    counts = narrow.mapInArrow(_term_counter(levels, sent), "lang string, source string, term string, n long, docs long")
-    counts = counts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+        below, level = level, STEP * level
+    # a term's sources travel together; all that follows keeps the partitioning by (lang, term)
+    counts = narrow.mapInArrow(_term_counter(levels, sent),
+                               "lang string, term string, uses array<struct<source: string, n: long, docs: long>>")
+    counts = counts.repartition("lang", "term").select("lang", "term", F.inline("uses"))
+    counts = counts.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     term = Window.partitionBy("lang", "term")  # a row for each source of a term
     counts = (counts.withColumn("lang_docs", F.sum("docs").over(term)).withColumn("lang_n", F.sum("n").over(term))
               .withColumn("first", F.row_number().over(term.orderBy("source")) == 1).where(F.col("lang_docs") >= min_docs))
