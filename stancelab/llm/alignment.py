@@ -33,8 +33,11 @@ RANGE_BYTES = 1 << 16
 SEGMENT_BYTES = 1 << 20
 #: Neighbouring fragments that one step composes.
 FAN_IN = 8
-#: Words that a worker keeps with their tokens, about 600 bytes each.
-WORDS_KEPT = 250_000
+#: Words that a worker keeps with their tokens, about 300 bytes each, and the longest of them.
+WORDS_KEPT = 200_000
+LONGEST_KEPT = 64
+#: New words that are encoded together.
+JOINED_WORDS = 500
 #: Pairs of ids (17 bytes each) that are fetched and broadcast at a time; more pairs take more passes.
 BLOCK_PAIRS = 1 << 20
 
@@ -84,15 +87,53 @@ def _decimal(ids) -> bytes:
     return ",".join(map(str, ids)).encode()
 
 
+@lru_cache(maxsize=1)
+def _decimals(digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all ids of so many digits at most: right-aligned text with a place behind, which places count, and how many."""
+    ids = np.arange(10**digits)
+    text = np.stack([ids // 10**k % 10 + 48 for k in range(digits - 1, -1, -1)] + [ids * 0], axis=1).astype(np.uint8)
+    size = sum((ids >= 10**k).astype(np.int64) for k in range(1, digits)) + 1
+    return text, np.arange(digits + 1) >= (digits - size)[:, None], size + 1
+
+
+def _write_groups(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``a1,a2|b1;`` for every group as bytes, and the end of each; at_a, at_b: the last token of each group."""
+    size_a, size_b = np.diff(at_a, prepend=-1), np.diff(at_b, prepend=-1)
+    # before a token of A stand the B tokens of earlier groups, before one of B also its own group's of A
+    place_a = np.arange(len(a)) + np.repeat(at_b + 1 - size_b, size_a)
+    place_b = np.arange(len(b)) + np.repeat(at_a + 1, size_b)
+    ids = np.empty(len(a) + len(b), np.int64)
+    ids[place_a], ids[place_b] = a, b
+    behind = np.full(len(ids), ord(","), np.uint8)
+    behind[place_a[at_a]], behind[place_b[at_b]] = ord("|"), ord(";")
+    text, counts, size = _decimals(max(5, len(str(int(ids.max(initial=0))))))
+    out = text[ids]
+    out[:, -1] = behind
+    return out[counts[ids]], np.cumsum(size[ids])[place_b[at_b]]
+
+
+def _common(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of either side that end together."""
+    if not len(ends_b):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    near = np.minimum(np.searchsorted(ends_b, ends_a), len(ends_b) - 1)
+    at_a = np.flatnonzero(ends_b[near] == ends_a)
+    return at_a, near[at_a]
+
+
 def fragment(a: np.ndarray, ends_a: np.ndarray, b: np.ndarray, ends_b: np.ndarray) -> Fragment:
     """The fragment of the tokens whose ends lie in one range."""
-    _, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
+    at_a, at_b = _common(ends_a, ends_b)
     if not len(at_a):
         return Fragment(b"", b"", b"", _decimal(a.tolist()), _decimal(b.tolist()), b"", len(a), len(b))
-    a_parts, b_parts = ([_decimal(x.tolist()) for x in np.split(ids, at + 1)] for ids, at in ((a, at_a), (b, at_b)))
-    closed = b";".join(b"|".join(g) for g in zip(a_parts[1:-1], b_parts[1:-1]))
-    links = (a[at_a].astype(np.int64) << 32) + b[at_b].astype(np.int64)
-    return Fragment(a_parts[0], b_parts[0], closed, a_parts[-1], b_parts[-1], links.astype("<i8").tobytes(), len(a), len(b))
+    (a0, a1), (b0, b1) = (at_a[[0, -1]] + 1, at_b[[0, -1]] + 1)
+    closed, _ = _write_groups(a[a0:a1], at_a[1:] - a0, b[b0:b1], at_b[1:] - b0)
+    return Fragment(_decimal(a[:a0].tolist()), _decimal(b[:b0].tolist()), closed.tobytes()[:-1], _decimal(a[a1:].tolist()),
+                    _decimal(b[b1:].tolist()), _links(a[at_a], b[at_b]).tobytes(), len(a), len(b))
+
+
+def _links(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return ((a.astype(np.int64) << 32) + b).astype("<i8")
 
 
 def groups_of(f: Fragment) -> bytes:
@@ -110,16 +151,8 @@ def _byte_letters() -> dict[str, int]:
     return letters | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-class Word(NamedTuple):
-    """One word's tokens, and its bytes as both tokenizers give them back."""
-
-    groups: bytes
-    links: bytes
-    n_a: int
-    n_b: int
-    size: int
-    ids: tuple[list[int], list[int]]
-    same: bool
+#: The characters of which two may stand on either side of a cut.
+_PLAIN = frozenset(map(chr, [*range(0x21, 0x7F), *range(0xC0, 0x100)]))
 
 
 class Aligner:
@@ -142,8 +175,9 @@ class Aligner:
         self._a.encode_special_tokens = True
         self._b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         letters = _byte_letters()
-        self._a_bytes = {i: bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode()
-                         for t, i in self._a.get_vocab().items()}
+        table = {i: bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode()
+                 for t, i in self._a.get_vocab().items()}
+        self._a_bytes = [table.get(i, b"") for i in range(max(table) + 1)]
         pieces = [self._b.id_to_piece(i) for i in range(self._b.get_piece_size())]
         self._b_bytes = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode()
                          for p in pieces]
@@ -153,7 +187,9 @@ class Aligner:
         self._by_word = (not spec.get("normalizer") and rule.get("type") == "ByteLevel" and rule.get("use_regex")
                          and not rule.get("add_prefix_space") and self._b.encode("a") != self._b.encode(" a")
                          and not any("▁" in p.lstrip("▁") for p in pieces))
-        self._kept: dict[str, Word] = {}
+        self._sizes = tuple(np.array([len(t) for t in side], np.int64) for side in (self._a_bytes, self._b_bytes))
+        self._kept_a: dict[str, bytes] = {}
+        self._kept_b: dict[str, bytes] = {}
 
     def cut(self, text: str) -> list[str]:
         """The words of space + text, each without its first character, a space."""
@@ -161,56 +197,89 @@ class Aligner:
             return [text]
         return self._CUT.split(text) if self._OTHER.search(text) else text.split(" ")
 
-    def words(self, texts: list[str]) -> list[list[Word]]:
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """The ids of A and of B of each text; None if its bytes do not come back."""
         split = [self.cut(t) for t in texts]
-        kept = self._kept
-        missing = {w for ws in split for w in ws if w not in kept}
-        if len(kept) + len(missing) > WORDS_KEPT:
-            kept.clear()
-            missing = {w for ws in split for w in ws}
-        todo = [*missing]
-        for at in range(0, len(todo), 4096):
-            own = todo[at:at + 4096]
-            a = self._a.encode_batch_fast([" " + w for w in own], add_special_tokens=False)
-            b = self._b.encode(own, num_threads=1)
-            kept.update((w, self._word(w, x.ids, y)) for w, x, y in zip(own, a, b))
-        return [[*map(kept.__getitem__, ws)] for ws in split]
-
-    def _word(self, word: str, a: list[int], b: list[int]) -> Word:
-        raw = b" " + word.encode()
-        a_bytes, b_bytes = [self._a_bytes[i] for i in a], [self._b_bytes[i] for i in b]
-        same = b"".join(a_bytes) == raw == b"".join(b_bytes)
-        groups, links, ea, eb, i, j, at_a, at_b = [], [], 0, 0, 0, 0, 0, 0
-        while same and i < len(a):
-            ea += len(a_bytes[i])
-            i += 1
-            while eb < ea:
-                eb += len(b_bytes[j])
-                j += 1
-            if ea == eb:
-                groups.append(f"{','.join(map(str, a[at_a:i]))}|{','.join(map(str, b[at_b:j]))}")
-                links.append((a[i - 1] << 32) + b[j - 1])
-                at_a, at_b = i, j
-        return Word(";".join(groups).encode(), np.array(links, "<i8").tobytes(), len(a), len(b), len(raw), (a, b), same)
-
-    def fragments(self, words: list[Word], range_bytes: int) -> list[Fragment] | None:
-        """Fragments of a text's byte ranges in order; None if its bytes do not come back."""
-        if not all(w.same for w in words):
+        words = set().union(*split)
+        missing = words.difference(self._kept_a)
+        if len(self._kept_a) + len(missing) > WORDS_KEPT:
+            self._kept_a.clear()
+            self._kept_b.clear()
+            missing = words
+        strange = self._learn(missing)
+        out = []
+        for ws in split:
+            out.append(None if strange and not strange.isdisjoint(ws) else tuple(
+                np.frombuffer(b"".join(map(kept.__getitem__, ws)), "<u4").astype(np.int64)
+                for kept in (self._kept_a, self._kept_b)))
+        for w in missing:
+            if len(w) > LONGEST_KEPT and w not in strange:
+                del self._kept_a[w], self._kept_b[w]
+        return out
+
+    def _learn(self, words: set[str]) -> set[str]:
+        """Keeps the ids of new words; returns those whose bytes do not come back.
+
+        Words that may stand beside each other are encoded as one text and cut again where they end.
+        """
+        plain = [w for w in words if w and w[0] in _PLAIN and w[-1] in _PLAIN] if self._by_word else []
+        alone, strange = words.difference(plain), set()
+        for at in range(0, len(plain), JOINED_WORDS):
+            own = plain[at:at + JOINED_WORDS]
+            joined = " ".join(own)
+            sides = self._ids(joined)
+            if sides is None:
+                alone.update(own)
+                continue
+            sizes = map(len, own) if joined.isascii() else (len(w.encode()) for w in own)
+            ends = np.cumsum(np.fromiter(sizes, np.int64, len(own)) + 1)
+            for kept, ids, size in zip((self._kept_a, self._kept_b), sides, self._sizes):
+                to = ((np.searchsorted(np.cumsum(size[ids]), ends) + 1) * 4).tolist()
+                raw = ids.astype("<u4").tobytes()
+                kept.update((w, raw[x:y]) for w, x, y in zip(own, [0, *to], to))
+        for w in alone:
+            sides = self._ids(w)
+            if sides is None:
+                strange.add(w)
+            else:
+                self._kept_a[w], self._kept_b[w] = (ids.astype("<u4").tobytes() for ids in sides)
+        return strange
+
+    def _ids(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        raw = b" " + text.encode()
+        a, b = self._a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, self._b.encode(text)
+        if not b"".join(map(self._a_bytes.__getitem__, a)) == raw == b"".join(map(self._b_bytes.__getitem__, b)):
             return None
-        if sum(w.size for w in words) <= range_bytes:  # all in one range: the closed groups of all words
-            first, _, rest = b";".join([w.groups for w in words]).partition(b";")
-            a, _, b = first.partition(b"|")
-            return [Fragment(a, b, rest, b"", b"", b"".join([w.links for w in words]),
-                             sum([w.n_a for w in words]), sum([w.n_b for w in words]))]
-        sides = []
-        for k, table in ((0, self._a_bytes), (1, self._b_bytes)):
-            ids = np.array([i for w in words for i in w.ids[k]], np.int64)
-            ends = np.cumsum([len(table[i]) for i in ids.tolist()])
-            sides.append((ids, ends, (ends - 1) // range_bytes))
+        return np.array(a, np.int64), np.array(b, np.int64)
+
+    def finished(self, sides: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple]:
+        """n_a, n_b, n_groups, digest and links of each of some whole texts, all at once: a text ends where both end."""
+        if not sides:
+            return []
+        (a, ends_a), (b, ends_b) = ((ids, np.cumsum(size[ids])) for ids, size in zip(map(np.concatenate, zip(*sides)), self._sizes))
+        at_a, at_b = _common(ends_a, ends_b)
+        links = _links(a[at_a], b[at_b])
+        written, ends = _write_groups(a, at_a, b, at_b)
+        written = written.tobytes()
+        to_b = np.cumsum([len(y) for _, y in sides])
+        groups = np.searchsorted(at_b, to_b - 1) + 1  # of all texts so far
+        out, g0, x0 = [], 0, 0
+        for (x, y), g in zip(sides, groups.tolist()):
+            x1 = int(ends[g - 1])
+            out.append((len(x), len(y), g - g0, hashlib.sha256(written[x0:x1 - 1]).hexdigest(), links[g0:g].tobytes()))
+            g0, x0 = g, x1
+        return out
+
+    def fragments(self, sides: tuple[np.ndarray, np.ndarray], range_bytes: int) -> list[Fragment]:
+        """Fragments of a text's byte ranges, in order."""
+        cut = []
+        for ids, size in zip(sides, self._sizes):
+            ends = np.cumsum(size[ids])
+            cut.append((ids, ends, (ends - 1) // range_bytes))
         out = []
-        for r in range(int(sides[0][2][-1]) + 1):
-            (a0, a1), (b0, b1) = (np.searchsorted(s[2], [r, r + 1]) for s in sides)
-            (a, ea, _), (b, eb, _) = sides
+        for r in range(int(cut[0][2][-1]) + 1):
+            (a0, a1), (b0, b1) = (np.searchsorted(c[2], [r, r + 1]) for c in cut)
+            (a, ea, _), (b, eb, _) = cut
             out.append(fragment(a[a0:a1], ea[a0:a1], b[b0:b1], eb[b0:b1]))
         return out
 
@@ -243,16 +312,6 @@ def _reader(a_path: str, b_path: str, range_bytes: int, segment_bytes: int):
     kinds = {"long": pa.int64(), "string": pa.large_string(), "binary": pa.large_binary(), "boolean": pa.bool_()}
     schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in f"{_DONE}, {_OPEN}".split(", ")])
 
-    def rows_of(doc: int, doc_id: int | None, text: str, aligner: Aligner, words: list[Word]) -> Iterator[tuple]:
-        made = aligner.fragments(words, range_bytes)
-        if made is None:
-            yield (doc, doc_id, *_NONE, *[None] * 8)
-        elif len(made) == 1:
-            yield (doc, doc_id, *_finished(made[0]), *[None] * 8)
-        else:
-            for at, f in enumerate(made):
-                yield _open_row(doc, doc_id, at, f)
-
     def segments(text: str, aligner: Aligner) -> Iterator[tuple[int, str]]:
         """Parts of at least ``segment_bytes`` that begin at cuts, with the number of their first range."""
         held, size, at = [], 0, 0
@@ -280,27 +339,31 @@ def _reader(a_path: str, b_path: str, range_bytes: int, segment_bytes: int):
                 while to < len(texts) and (to == at or size + len(texts[to]) <= 1 << 20):
                     size += len(texts[to])
                     to += 1
-                short = [i for i in range(at, to) if 0 < len(texts[i]) <= segment_bytes]
-                words = dict(zip(short, aligner.words([texts[i] for i in short])))
+                small = [i for i in range(at, to) if 0 < len(texts[i]) <= segment_bytes]
+                sides = dict(zip(small, aligner.encode([texts[i] for i in small])))
+                whole = [i for i in small if sides[i] and len(texts[i].encode()) < range_bytes]  # with a space: one range
+                done = dict(zip(whole, aligner.finished([sides[i] for i in whole])))
                 rows = []
                 for i in range(at, to):
-                    if i in words:
-                        rows += rows_of(doc, ids[i], texts[i], aligner, words[i])
-                    elif not texts[i]:
+                    if i in done:
+                        rows.append((doc, ids[i], *done[i], *[None] * 8))
+                    elif not texts[i] or i in sides and sides[i] is None:
                         rows.append((doc, ids[i], *_NONE, *[None] * 8))
+                    elif i in sides:
+                        rows += [_open_row(doc, ids[i], k, f) for k, f in enumerate(aligner.fragments(sides[i], range_bytes))]
                     else:
-                        for first, part in segments(texts[i], aligner):
-                            rows.append(_open_row(doc, ids[i], first, None, part))
+                        rows += [_open_row(doc, ids[i], k, None, part) for k, part in segments(texts[i], aligner)]
                     doc += 1
                 yield batch(rows)
                 at = to
+
     def encode(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(a_path, b_path)
         for b in frames:
             for r in b.to_pylist():
-                made = aligner.fragments(aligner.words([r["segment"]])[0], range_bytes)
-                rows = [_open_row(r["doc"], r["doc_id"], r["at"], None)] if made is None else [
-                    _open_row(r["doc"], r["doc_id"], r["at"] + i, f) for i, f in enumerate(made)]
+                sides = aligner.encode([r["segment"]])[0]
+                made = [None] if sides is None else aligner.fragments(sides, range_bytes)
+                rows = [_open_row(r["doc"], r["doc_id"], r["at"] + i, f) for i, f in enumerate(made)]
                 yield batch(rows)
     return run, encode
 
@@ -332,7 +395,7 @@ def aligned_texts(docs: DataFrame, a_path: str, b_path: str, range_bytes: int =
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                          F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # the row numbers must not change when a task runs again, so they are written once
-    first = scratch.table(narrow.mapInArrow(read, f"{_DONE}, {_OPEN}"), "read")
+    first = scratch.table(narrow.mapInArrow(read, f"{_DONE}, {_OPEN}"), "read", "zstd")
     done_columns = [c.split()[0] for c in _DONE.split(", ")]
     done = first.where("at IS NULL").select(*done_columns)
     parts = first.where("segment IS NOT NULL")
@@ -347,11 +410,12 @@ def aligned_texts(docs: DataFrame, a_path: str, b_path: str, range_bytes: int =
         ranges = scratch.table(ranges.withColumn("near", F.expr(f"at div {FAN_IN}")).groupBy("doc", "near")
                                .applyInArrow(lambda key, rows: _compose_rows(key, rows.drop_columns(["near"])),
                                              ranges.schema), "composed")
-    return done.unionByName(ranges.mapInArrow(_finish, _DONE))
+    return done.unionByName(scratch.table(ranges.mapInArrow(_finish, _DONE), "composed"))
 
 
 def _pair_counter(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each pair of ids with its links, gathered over about 32 MB of links."""
+    _aligner.cache_clear()  # the words of an earlier stage
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def total():
@@ -377,13 +441,15 @@ def _pair_counter(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"pair": held[0][0], "n": held[0][1]})
 
 
-def _scorer(block):
+def _scorer(block, last: bool):
+    """Adds the counts of one block of pairs to n_best and count_sum; the last one drops the links."""
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _aligner.cache_clear()  # the words of an earlier stage
         pairs, counts, best = block.value
-        for b in frames:
+        for b in (f.slice(i, 512) for f in frames for i in range(0, f.num_rows, 512)):
             n_best, total = b.column("n_best").to_pylist(), b.column("count_sum").to_pylist()
-            for i, raw in enumerate(b.column("links").to_pylist()):
-                links = np.frombuffer(raw, "<i8")
+            for i, raw in enumerate(b.column("links")):
+                links = np.frombuffer(raw.as_buffer(), "<i8")
                 if len(links) and len(pairs):
                     at = np.minimum(np.searchsorted(pairs, links), len(pairs) - 1)
                     at = at[pairs[at] == links]
@@ -391,7 +457,7 @@ def _scorer(block):
                     total[i] += int(counts[at].sum())
             for name, values in (("n_best", n_best), ("count_sum", total)):
                 b = b.set_column(b.schema.get_field_index(name), name, pa.array(values, pa.int64()))
-            yield b
+            yield b.drop_columns(["links"]) if last else b
     return run
 
 
@@ -407,7 +473,7 @@ def align_tokenizers(docs: DataFrame, a_path: str, b_path: str, range_bytes: int
     of their own.  An empty table gives none.
     """
     scratch = Scratch(docs.sparkSession, "alignment")
-    aligned = scratch.table(aligned_texts(docs, a_path, b_path, range_bytes, segment_bytes), "aligned")
+    aligned = aligned_texts(docs, a_path, b_path, range_bytes, segment_bytes)
     counted = aligned.select("links").mapInArrow(_pair_counter, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     counted = scratch.table(counted, "pairs")
     b_id = F.col("pair").bitwiseAND(0xFFFFFFFF).alias("b")
@@ -422,8 +488,9 @@ def align_tokenizers(docs: DataFrame, a_path: str, b_path: str, range_bytes: int
     for i in range(n_blocks):
         own = pairs.where(F.col("block") == i).select("pair", "n", "best").toArrow().sort_by("pair")
         sent = docs.sparkSession.sparkContext.broadcast(tuple(own[c].to_numpy() for c in ("pair", "n", "best")))
-        out = out.mapInArrow(_scorer(sent), out.schema)
-        if i + 1 < n_blocks:  # one block at a time
+        last = i + 1 == n_blocks
+        out = out.mapInArrow(_scorer(sent, last), (out.drop("links") if last else out).schema)
+        if not last:  # one block at a time
             out = scratch.table(out, "block")
             sent.destroy()
     return out.select("doc_id", "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), "n_best", "count_sum",

@@ -32,11 +32,11 @@ class Scratch:
         self.root = f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
 
-    def table(self, df: DataFrame, tag: str = "t") -> DataFrame:
+    def table(self, df: DataFrame, tag: str = "t", compression: str = "snappy") -> DataFrame:
         """Write ``df`` and read it back: one job, a plan cut, sizes known to the planner."""
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{tag}"
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
