@@ -49,3 +49,20 @@ def first_phrase_label(c: str | Column, rules: Sequence[tuple[str, str]] = ENDIN
         expr = F.when(cond, F.lit(label)) if expr is None else expr.when(cond, F.lit(label))
     fallback = py_strip(text)
     return fallback if expr is None else expr.otherwise(fallback)
+
+
+def wrap_words(text: str | Column, width: int = 16) -> Column:
+    """Words of ``text`` on lines of at most ``width`` characters; a longer word has a line of its own.
+
+    White space between words is one break or one blank; words are never broken.
+    """
+    words = F.filter(F.split(col(text), r"\s+"), lambda w: w != "")
+
+    def put(acc: Column, word: Column) -> Column:
+        fits = acc["used"] + 1 + F.length(word) <= width
+        return (F.when(acc["used"] == 0, F.struct(word.alias("lines"), F.length(word).alias("used")))
+                .when(fits, F.struct(F.concat(acc["lines"], F.lit(" "), word).alias("lines"),
+                                     (acc["used"] + 1 + F.length(word)).alias("used")))
+                .otherwise(F.struct(F.concat(acc["lines"], F.lit("\n"), word).alias("lines"), F.length(word).alias("used"))))
+
+    return F.aggregate(words, F.struct(F.lit("").alias("lines"), F.lit(0).alias("used")), put)["lines"]

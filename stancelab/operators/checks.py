@@ -1,6 +1,6 @@
 """Consistency checks (A3, Q1, Q4, Q5, Q7) and the JSON-style summary rows.
 
-Checks are aggregates over the full tables (exact ``count(DISTINCT)``, never the
+Checks are aggregates over the full tables (exact distinct counts, never the
 approximate variant) turned into ``(check, observed, expected, status)`` rows.
 """
 
@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,12 +28,27 @@ FORECAST_NOTE = (
 )
 
 
+def distinct_counts(df: DataFrame, units: Mapping[str, str | Column], totals: Mapping[str, Column]) -> DataFrame:
+    """One row: the exact number of distinct non-null values of each unit, and plain aggregates ``totals``.
+
+    Each unit is de-duplicated on its own, over a scan of its one column, then counted.  Several
+    ``count(DISTINCT)`` in one aggregate would copy every row once per unit instead.
+    """
+    rows = [df.agg(*[t.cast("long").alias(name) for name, t in totals.items()]).select(
+        F.explode(F.array(*[F.struct(F.lit(name).alias("unit"), F.col(name).alias("n")) for name in totals])).alias("r"))
+        .select("r.*")]
+    for name, c in units.items():
+        each = df.select((F.col(c) if isinstance(c, str) else c).alias("value")).where("value IS NOT NULL").distinct()
+        rows.append(each.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("unit"), "n"))
+    return reduce(DataFrame.unionByName, rows).agg(
+        *[F.max(F.when(F.col("unit") == name, F.col("n"))).alias(name) for name in (*totals, *units)])
+
+
 def summary_counts(df: DataFrame, dataset: str, units: Mapping[str, str]) -> DataFrame:
     """A3: one row: dataset, rows, and exact distinct counts named by ``units``
     (e.g. ``{"prompts": "prompt_no", "questions": "question_no", "issues": "issue_no"}``)."""
-    aggs = [F.count(F.lit(1)).cast("long").alias("rows")]
-    aggs += [F.count_distinct(F.col(c)).cast("long").alias(name) for name, c in units.items()]
-    return df.agg(*aggs).select(F.lit(dataset).alias("dataset"), "*")
+    counts = distinct_counts(df, units, {"rows": F.count(F.lit(1))})
+    return counts.select(F.lit(dataset).alias("dataset"), "*")
 
 
 def shape_check(counts: DataFrame, expected: Mapping[str, int | Column],

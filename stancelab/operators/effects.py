@@ -95,7 +95,7 @@ def two_group_effect(df: DataFrame, keys: Sequence[str], x: str | Column, y: str
     is the order column itself it is a plain ``min``.
     """
     keys = list(keys)
-    kept = _with_known_keys(df, keys)
+    kept = with_known_keys(df, keys)
     aggs = effect_aggregates(x, y)
     if not first_attrs:
         return kept.groupBy(*keys).agg(*aggs).select(*keys, *effect_columns(z_crit))
@@ -119,7 +119,8 @@ def two_group_effect(df: DataFrame, keys: Sequence[str], x: str | Column, y: str
     return kept.groupBy(*keys).agg(*aggs, least).select(*keys, *attrs, *effect_columns(z_crit))
 
 
-def _with_known_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+def with_known_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows without a NULL or NaN among ``keys``."""
     real = {k for k in keys if dict(df.dtypes)[k] in ("double", "float")}
     known = [F.col(k).isNotNull() & (~F.isnan(k) if k in real else F.lit(True)) for k in keys]
     return df.where(reduce(lambda a, b: a & b, known, F.lit(True)))

@@ -7,7 +7,7 @@ runs as a narrow projection with no Python in the loop.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import col, safe_div
 from ..functions.lists import split_comparison
 from ..functions.stats import binom_sf, normal_sf
+from ..functions.text import wrap_words
+from .charts import display_label
 
 TEST_COLUMNS = ("p_right", "p_left", "difference", "z", "p_value_greater")
 
@@ -80,9 +82,11 @@ def two_proportion_tests(counts: DataFrame, comparisons: DataFrame, domain: str
     )
 
 
-def tests_to_bars(tests: DataFrame, order: Sequence[str], domain: str = "domain") -> DataFrame:
+def tests_to_bars(tests: DataFrame, order: Sequence[str], domain: str = "domain", with_position: bool = False) -> DataFrame:
     """T5: one bar per (domain, category), first seen in test order, right side first.
 
+    ``with_position`` adds ``bar_no``, the bar's place in its panel.
+
     The right category keeps the test's p-value, the left one gets NULL.  The
     first-seen rule is a ``min_by`` on (order..., side): mergeable, no window.
     """
@@ -93,11 +97,13 @@ def tests_to_bars(tests: DataFrame, order: Sequence[str], domain: str = "domain"
         F.struct(F.lit(1).alias("side"), left.alias("category"), F.col("lib_left").alias("liberal"),
                  F.col("con_left").alias("conservative"), F.lit(None).cast("double").alias("p_value_greater")),
     )
+    # bars keep the order in which the tests name them: ``bar_no`` from 0 within the domain
     exploded = tests.select(domain, *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)],
                             F.explode(sides).alias("b"))
     rank_key = F.struct(*[F.col(f"_o{i}") for i in range(len(order))], F.col("b.side"))
     first = exploded.groupBy(domain, F.col("b.category").alias("category")).agg(
-        F.min_by(F.col("b"), rank_key).alias("b"))
+        F.min_by(F.col("b"), rank_key).alias("b"), F.min(rank_key).alias("_at"))
+    first = first.withColumn("bar_no", (F.row_number().over(Window.partitionBy(domain).orderBy("_at")) - 1).cast("long"))
     total = (F.col("b.liberal") + F.col("b.conservative")).cast("long")
     return first.select(
         domain, "category",
@@ -106,6 +112,7 @@ def tests_to_bars(tests: DataFrame, order: Sequence[str], domain: str = "domain"
         total.alias("total"),
         F.coalesce(safe_div(F.col("b.liberal"), total), F.lit(0.0)).alias("liberal_share"),
         F.col("b.p_value_greater").alias("p_value_greater"),
+        *(["bar_no"] if with_position else []),
     )
 
 
@@ -114,9 +121,15 @@ def significant(p: str | Column, alpha: float = 0.05) -> Column:
     return F.coalesce(col(p) < alpha, F.lit(False))
 
 
-def bar_segments(bars: DataFrame, group: Column | None = None, domain: str = "domain") -> DataFrame:
+def bar_segments(bars: DataFrame, group: Column | None = None, domain: str = "domain",
+                 labels: Mapping[str, str] | None = None, titles: Mapping[object, str] | None = None) -> DataFrame:
     """Stacked-bar geometry per bar.
 
+    Bars that carry ``bar_no`` (:func:`tests_to_bars` with positions) also get their place ``x_pos`` in
+    the panel, the axis label ``category_label`` (``labels``, else the title-cased category wrapped at
+    16 characters), the panel's title ``panel_label`` (``titles``, else the title-cased domain), and
+    the texts written into the two segments (NULL in an empty one).
+
     ``group`` names the figure a domain is drawn in (default: the domain itself);
     the y-limit is 1.14 x the largest total in that figure, the star height uses
     the largest total of the bar's own domain.
@@ -137,9 +150,21 @@ def bar_segments(bars: DataFrame, group: Column | None = None, domain: str = "do
         significant("p_value_greater").alias("star"),
         (F.col("total") + F.col("_dom_max") * F.lit(0.035)).alias("star_y"),
         (F.col("_fig_max") * F.lit(1.14)).alias("y_limit"),
+        *(_bar_texts(domain, labels, titles) if "bar_no" in bars.columns else []),
     )
 
 
+def _bar_texts(domain: str, labels: Mapping[str, str] | None, titles: Mapping[object, str] | None) -> list[Column]:
+    def written(n: str) -> Column:
+        share = F.bround(safe_div(F.col(n).cast("double"), F.col("total")) * F.lit(100.0), 1)
+        return F.when(F.col(n) > 0, F.format_string("%d\n(%.1f%%)", F.col(n), share))
+
+    return [F.col("bar_no").alias("x_pos"),
+            display_label("category", labels, fallback=wrap_words(display_label("category"))).alias("category_label"),
+            display_label(domain, titles).alias("panel_label"),
+            written("liberal").alias("liberal_text"), written("conservative").alias("conservative_text")]
+
+
 def binomial_test(df: DataFrame, successes: str = "correct", trials: str = "total", p: float = 0.5) -> DataFrame:
     """Attach the exact one-sided binomial p-value P(X >= successes)."""
     return df.withColumn("p_value_greater", binom_sf(successes, trials, p))

@@ -13,27 +13,30 @@ only filters within a bucket.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..landing import Landing
 from .ordering import MOST_ROWS, prefix_sum, row_index
 
 SLICE_KEYS = ("prompt_no", "connector", "sentiment")
 RANGE_BUCKET = 4096
 
 
-def slice_manifest(archive: DataFrame, keys: Sequence[str] = SLICE_KEYS) -> DataFrame:
+def slice_manifest(archive: DataFrame, keys: Sequence[str] = SLICE_KEYS, dimension: Column | None = None) -> DataFrame:
     """Manifest of the slices stored in an archive.
 
-    n and dimensions come from one aggregate; ``archive_offset`` is the slice's
+    n and dimensions come from one aggregate; ``dimension`` is for archives that are listed without
+    their vectors (default: the size of ``embedding``); ``archive_offset`` is the slice's
     first row; ``global_offset`` is the running total of n over
     (archive_file, archive_offset) - a blocked prefix sum, not a global window.
     """
     keys = list(keys)
     # only the dimension of a vector is wanted: whole vectors go no further than the scan
-    m = archive.select(*keys, "archive_file", "row_no", F.size("embedding").alias("_dim")).groupBy(
+    m = archive.select(*keys, "archive_file", "row_no", (F.size("embedding") if dimension is None else dimension).alias("_dim")).groupBy(
         *keys, "archive_file").agg(
         F.min("row_no").cast("long").alias("archive_offset"),
         F.count(F.lit(1)).cast("long").alias("n"),
@@ -44,8 +47,16 @@ def slice_manifest(archive: DataFrame, keys: Sequence[str] = SLICE_KEYS) -> Data
 
 def read_slices(archive: DataFrame, manifest: DataFrame, keys: Sequence[str] = SLICE_KEYS,
                 bucket: int = RANGE_BUCKET) -> DataFrame:
-    """Every vector of every manifest slice with its position in the slice."""
+    """Every vector of every manifest slice with its position in the slice.
+
+    A manifest without ``archive_file`` belongs to one archive: ``offset`` is then where a slice
+    begins, and the rows' own ``archive_file``, if any, is not asked.  A slice that the archive does
+    not have gives no rows here; :func:`read_slice` raises, :func:`manifest_integrity` reports it.
+    """
     keys = list(keys)
+    if "archive_file" not in manifest.columns:
+        manifest = manifest.withColumn("archive_file", F.lit("")).withColumn("archive_offset", F.col("offset"))
+        archive = archive.withColumn("archive_file", F.lit(""))
     m = manifest.select(*keys, "archive_file", "archive_offset", "n").where(F.col("n") > 0)
     first_b = F.floor(F.col("archive_offset") / bucket).cast("long")
     last_b = F.floor((F.col("archive_offset") + F.col("n") - 1) / bucket).cast("long")
@@ -59,6 +70,31 @@ def read_slices(archive: DataFrame, manifest: DataFrame, keys: Sequence[str] = S
                     "archive_file", "row_no")
 
 
+def _named(df: DataFrame, which: Mapping[str, object]) -> DataFrame:
+    return df.where(reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.lit(v)) for k, v in which.items()]))
+
+
+def read_slice(archive: DataFrame, manifest: DataFrame, which: Mapping[str, object]) -> DataFrame:
+    """The vectors of one slice, e.g. ``{"prompt_no": 3, "connector": 1, "sentiment": "pos"}``.
+
+    The first manifest row counts where a slice is listed twice; a slice that is not listed is an error.
+    """
+    own = _named(manifest, which)
+    at = "archive_offset" if "archive_file" in manifest.columns else "offset"
+    first = own.orderBy(*[c for c in ("archive_file", at) if c in own.columns]).limit(1)
+    if not first.count():
+        raise ValueError("No embedding slice for " + ", ".join(f"{k}={v!r}" for k, v in which.items()))
+    return read_slices(archive, first, list(which))
+
+
+def read_slice_texts(texts: DataFrame, which: Mapping[str, object], order: str = "justification_no") -> DataFrame:
+    """The texts of one slice by position; a slice without any is an error."""
+    own = _named(texts, which)
+    if not own.limit(1).count():
+        raise ValueError("No justification texts for " + ", ".join(f"{k}={v!r}" for k, v in which.items()))
+    return texts_by_position(own, list(which), order)
+
+
 def texts_by_position(texts: DataFrame, keys: Sequence[str] = SLICE_KEYS, order: str = "justification_no") -> DataFrame:
     """Texts of each slice numbered 0, 1, ... by ``order`` (NULL text becomes '')."""
     keys = list(keys)
@@ -75,6 +111,19 @@ def pair_texts(vectors: DataFrame, texts: DataFrame, keys: Sequence[str] = SLICE
             .withColumn("missing_text", F.col("_told").isNull()).drop("_told"))
 
 
+def store_by_position(df: DataFrame, table: str, path: str, buckets: int, keys: Sequence[str] = SLICE_KEYS) -> DataFrame:
+    """Land rows as the table ``table`` under ``path``, bucketed and sorted by slice and position.
+
+    Vectors and texts stored with the same number of buckets are paired by :func:`pair_texts` without
+    a shuffle, as often as they are read.  A slice's rows lie in all buckets, so a large one is as
+    spread as any.  ``path`` must be shared storage; the rows are shuffled once, here.
+    """
+    by = [*keys, "position"]
+    (df.repartition(buckets, *by).sortWithinPartitions(*by).write.mode("overwrite").format("parquet")
+     .bucketBy(buckets, by[0], *by[1:]).sortBy(by[0], *by[1:]).option("path", path).saveAsTable(table))
+    return df.sparkSession.table(table)
+
+
 def manifest_integrity(manifest: DataFrame, texts: DataFrame, keys: Sequence[str] = SLICE_KEYS,
                        vectors: DataFrame | None = None) -> DataFrame:
     """Q6: per slice - text count vs vector count and contiguity inside its archive.
@@ -87,6 +136,8 @@ def manifest_integrity(manifest: DataFrame, texts: DataFrame, keys: Sequence[str
     slice ends, unless the slice is the last of its file.
     """
     keys = list(keys)
+    # one row a slice, used five times: computed once
+    manifest = Landing(manifest.sparkSession, "manifest").table(manifest, "manifest")
     tc = texts.groupBy(*keys).agg(F.count(F.lit(1)).cast("long").alias("n_texts"))
     ends = manifest.select(*keys, "archive_file", "archive_offset", "n",
                            (F.col("archive_offset") + F.col("n")).alias("_end"))

@@ -169,6 +169,34 @@ SELECT g.figure_group, g.domain, category, liberal, conservative, total,
 FROM g JOIN fm USING (figure_group) JOIN dm USING (domain)"""
 
 
+def bar_layout_sql() -> str:
+    """Bars in the order of their first test; labels wrapped word by word at 16 characters."""
+    return f"""
+WITH tp AS ({two_proportion_sql()}),
+sides AS (
+  SELECT domain, comparison, 0 AS side, split_part(comparison, '_vs_', 1) || '_share_of_all_events' AS category,
+         lib_right AS liberal, con_right AS conservative FROM tp
+  UNION ALL
+  SELECT domain, comparison, 1, substr(comparison, strpos(comparison, '_vs_') + 4), lib_left, con_left FROM tp
+),
+firsts AS (
+  SELECT * FROM sides QUALIFY row_number() OVER (PARTITION BY domain, category ORDER BY comparison, side) = 1),
+w AS (
+  SELECT *, row_number() OVER (PARTITION BY domain ORDER BY comparison, side) - 1 AS x_pos,
+         list_transform(string_split(category, '_'), lambda x: upper(x[1]) || lower(substr(x, 2))) AS words
+  FROM firsts)
+SELECT domain, category, CAST(x_pos AS BIGINT) AS x_pos,
+  CASE WHEN category = 'view' THEN 'Views' || chr(10) || 'only' ELSE list_reduce(words, lambda a, b:
+    a || CASE WHEN length(list_last(string_split(a, chr(10)))) + 1 + length(b) <= 16 THEN ' ' ELSE chr(10) END || b) END
+    AS category_label,
+  CASE WHEN domain = 3 THEN 'Third domain' ELSE CAST(domain AS VARCHAR) END AS panel_label,
+  CASE WHEN liberal > 0 THEN liberal || chr(10) || printf('(%.1f%%)', 100.0 * liberal / (liberal + conservative)) END
+    AS liberal_text,
+  CASE WHEN conservative > 0 THEN conservative || chr(10) || printf('(%.1f%%)', 100.0 * conservative / (liberal + conservative)) END
+    AS conservative_text
+FROM w"""
+
+
 BINOMIAL_COUNTS_SQL = """
   SELECT lang, CAST(count(*) FILTER (WHERE quality = 1) AS BIGINT) AS correct, CAST(count(*) AS BIGINT) AS total
   FROM documents JOIN labels USING (doc_id) WHERE lang IS NOT NULL GROUP BY lang"""
@@ -647,6 +675,7 @@ def oracle_sql() -> dict[str, str]:
     q["two_proportion"] = two_proportion_sql()
     q["bar_counts"] = bar_counts_sql()
     q["bar_segments"] = bar_segments_sql()
+    q["bar_layout"] = bar_layout_sql()
     q["binomial_tail"] = binomial_tail_sql()
     q["forecast_verdict"] = forecast_verdict_sql()
     q["forecast_counts"] = forecast_counts_sql()
@@ -672,6 +701,7 @@ def oracle_sql() -> dict[str, str]:
     q["effect_on_projection"] = effect_on_projection_sql()
     q["slice_manifest"] = MANIFEST_SQL
     q["slice_read"] = SLICE_READ_SQL
+    q["stored_slice_pairs"] = SLICE_READ_SQL
     q["manifest_integrity"] = MANIFEST_INTEGRITY_SQL
     q["pair_missing_texts"] = PAIR_MISSING_TEXTS_SQL
     q["short_slices"] = SHORT_SLICES_SQL

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import r6
 from ..functions.lists import split_list
 from ..functions.text import first_phrase_label
+from ..landing import Landing
 from ..operators import axis as ax
 from ..operators import charts as ch
 from ..operators import checks as ck
@@ -116,6 +117,16 @@ def bar_segments(spark: SparkSession, sf: str) -> DataFrame:
                          "star_y", "y_limit", "p_value_greater"])
 
 
+def bar_layout(spark: SparkSession, sf: str) -> DataFrame:
+    """Where each bar stands and what is written on it: place, labels and segment texts."""
+    tests = _two_proportion(spark, sf)
+    # a longer name, so that labels have something to wrap; one category has a label of its own
+    told = tests.withColumn("comparison", F.regexp_replace("comparison", "(.*)_vs_(.*)", "$1_share_of_all_events_vs_$2"))
+    bars = sig.tests_to_bars(told, order=["comparison"], with_position=True)
+    return sig.bar_segments(bars, labels={"view": "Views\nonly"}, titles={3: "Third domain"}).select(
+        "domain", "category", "x_pos", "category_label", "panel_label", "liberal_text", "conservative_text")
+
+
 def binomial_tail(spark: SparkSession, sf: str) -> DataFrame:
     """Per language: exact P(X >= #quality docs) under a fair coin over labelled docs."""
     docs = read_table(spark, sf, "documents", ["doc_id", "lang"]).where(F.col("lang").isNotNull())
@@ -328,11 +339,8 @@ def shape_checks(spark: SparkSession, sf: str) -> DataFrame:
     c_check = ck.shape_check(cc, {"rows": F.col("e_rows"), "prompts": F.col("e_prompts"),
                                   "questions": F.col("e_rows")})
     ev = read_table(spark, sf, "events", ["event_id", "user_id", "event_type"])
-    ec = ev.agg(F.count(F.lit(1)).cast("long").alias("rows"),
-                F.count_distinct("user_id").cast("long").alias("prompts"),
-                F.count_distinct("event_type").cast("long").alias("questions"),
-                F.count_distinct("event_id").cast("long").alias("e_rows"),
-                (F.max("user_id") + 1).cast("long").alias("e_prompts")).withColumn("dataset", F.lit("events"))
+    ec = ck.distinct_counts(ev, {"prompts": "user_id", "questions": "event_type", "e_rows": "event_id"},
+                            {"rows": F.count(F.lit(1)), "e_prompts": F.max("user_id") + 1}).withColumn("dataset", F.lit("events"))
     e_check = ck.shape_check(ec, {"rows": F.col("e_rows"), "prompts": F.col("e_prompts"),
                                   "questions": F.col("questions")})
     return c_check.unionByName(e_check)
@@ -388,15 +396,23 @@ def effect_on_projection(spark: SparkSession, sf: str) -> DataFrame:
 # ------------------------------------------------ slices
 
 def _archive(spark: SparkSession, sf: str) -> DataFrame:
-    """Embeddings laid out as two archives of contiguous slices: slice = (label, 1, pos|neg by
+    """Where each vector lies in its archive, with its length and first component: what the manifest and
+    the pairing ask for.  The vectors themselves stay out of the numbering's shuffle.
+
+    Embeddings laid out as two archives of contiguous slices: slice = (label, 1, pos|neg by
     vec_id parity), archive = part1/part2 by label parity, rows sorted by (slice, vec_id)."""
     emb = _embeddings(spark, sf).select(
         F.col("label").alias("prompt_no"), F.lit(1).alias("connector"),
         F.when(F.col("vec_id") % 2 == 0, "pos").otherwise("neg").alias("sentiment"),
         F.concat(F.lit("part"), (F.col("label") % 2 + 1).cast("string")).alias("archive_file"),
-        "vec_id", "embedding")
+        "vec_id", F.size("embedding").alias("dimension"), F.get("embedding", 0).alias("x0"))
     block = F.struct("prompt_no", "sentiment", F.floor(F.col("vec_id") / 65536))
-    return od.row_index(emb, ["prompt_no", "sentiment", "vec_id"], "row_no", partition=["archive_file"], block=block)
+    numbered = od.row_index(emb, ["prompt_no", "sentiment", "vec_id"], "row_no", partition=["archive_file"], block=block)
+    return Landing(spark, "archive").table(numbered, "numbered")  # read by the manifest and by its slices
+
+
+def _manifest(archive: DataFrame) -> DataFrame:
+    return sl.slice_manifest(archive, dimension=F.col("dimension"))
 
 
 def _texts(spark: SparkSession, sf: str) -> DataFrame:
@@ -409,28 +425,43 @@ def _texts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def slice_manifest(spark: SparkSession, sf: str) -> DataFrame:
-    return sl.slice_manifest(_archive(spark, sf))
+    return _manifest(_archive(spark, sf))
 
 
 def slice_read(spark: SparkSession, sf: str) -> DataFrame:
     archive = _archive(spark, sf)
-    vectors = sl.read_slices(archive, sl.slice_manifest(archive))
+    vectors = sl.read_slices(archive, _manifest(archive))
     texts = sl.texts_by_position(_texts(spark, sf))
     return sl.pair_texts(vectors, texts).select(
         *sl.SLICE_KEYS, F.col("position").cast("long").alias("position"), "vec_id",
         F.col("justification_no").alias("doc_id"))
 
 
+def stored_slice_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """``slice_read`` from stored tables: vectors and texts landed bucketed by slice and position, then paired
+    without a shuffle."""
+    archive = _archive(spark, sf)
+    landing = Landing(spark, "stored")
+    tag = landing.root.rsplit("-", 1)[1]
+    vectors = sl.read_slices(archive, _manifest(archive)).select(*sl.SLICE_KEYS, "position", "vec_id")
+    texts = sl.texts_by_position(_texts(spark, sf)).select(*sl.SLICE_KEYS, "position", F.col("justification_no").alias("doc_id"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stored = [sl.store_by_position(df, f"stancelab_{name}_{tag}", f"{landing.root}/{name}", buckets)
+              for name, df in (("vectors", vectors), ("texts", texts))]
+    return sl.pair_texts(*stored).where(~F.col("missing_text")).select(
+        *sl.SLICE_KEYS, F.col("position").cast("long").alias("position"), "vec_id", "doc_id")
+
+
 def manifest_integrity(spark: SparkSession, sf: str) -> DataFrame:
     archive = _archive(spark, sf)
-    manifest = sl.slice_manifest(archive)
+    manifest = _manifest(archive)
     return sl.manifest_integrity(manifest, _texts(spark, sf), vectors=sl.read_slices(archive, manifest))
 
 
 def pair_missing_texts(spark: SparkSession, sf: str) -> DataFrame:
     """Only texts labelled toxic are justifications here, so most vectors have none."""
     archive = _archive(spark, sf)
-    vectors = sl.read_slices(archive, sl.slice_manifest(archive))
+    vectors = sl.read_slices(archive, _manifest(archive))
     toxic = read_table(spark, sf, "labels", ["doc_id", "toxic"]).where(F.col("toxic") == 1).select(
         F.col("doc_id").alias("justification_no"))
     texts = sl.texts_by_position(_texts(spark, sf).join(toxic, "justification_no"))
@@ -442,8 +473,8 @@ def pair_missing_texts(spark: SparkSession, sf: str) -> DataFrame:
 def short_slices(spark: SparkSession, sf: str) -> DataFrame:
     """The manifest promises vectors that the archive has lost: whole slices (label 9) and single ones."""
     archive = _archive(spark, sf)
-    manifest = sl.slice_manifest(archive)
-    left = archive.where((F.col("prompt_no") != 9) & (F.col("embedding")[0] < 0.5))
+    manifest = _manifest(archive)
+    left = archive.where((F.col("prompt_no") != 9) & (F.col("x0") < 0.5))
     found = sl.manifest_integrity(manifest, _texts(spark, sf), vectors=sl.read_slices(left, manifest))
     whole = ~F.col("status").isin("missing_slice", "short_slice")
     return found.select(*sl.SLICE_KEYS, "n_vectors", "n_read", F.when(whole, "whole").otherwise(F.col("status")).alias("status"))
@@ -561,6 +592,7 @@ def queries() -> dict[str, Query]:
         "two_proportion": two_proportion,
         "bar_counts": bar_counts,
         "bar_segments": bar_segments,
+        "bar_layout": bar_layout,
         "binomial_tail": binomial_tail,
         "forecast_verdict": forecast_verdict,
         "forecast_counts": forecast_counts,
@@ -586,6 +618,7 @@ def queries() -> dict[str, Query]:
         "effect_on_projection": effect_on_projection,
         "slice_manifest": slice_manifest,
         "slice_read": slice_read,
+        "stored_slice_pairs": stored_slice_pairs,
         "coefficients": coefficients,
         "bank_normalised": bank_normalised,
         "noted_checks": noted_checks,

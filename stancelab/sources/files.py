@@ -7,6 +7,7 @@ with column pruning and filter pushdown.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
@@ -95,6 +96,62 @@ def write_summary(df: DataFrame, path: str) -> None:
 VECTOR_FILE_PATTERN = r"^(pos|neg)_embed_(\d+)_(\d+)_2_fin\.[A-Za-z0-9.]+$"
 
 
+def file_footers(spark: SparkSession, vectors_path: str) -> DataFrame:
+    """(embedding_file, promised, error): the rows that each vector file's footer promises, or why it cannot be read.
+
+    Only paths travel: the executors open each file through Arrow's file systems and read its footer,
+    some kilobytes however large the file.  In a store that Arrow does not know, Spark hands over the
+    files' contents instead, of files up to its limit of 2 GB.
+    """
+    listed = spark.read.format("binaryFile").load(vectors_path).where(
+        F.regexp_extract("path", r"([^/]+)$", 1).rlike(VECTOR_FILE_PATTERN))
+    by_path = _arrow_opens(listed.select("path").limit(1).collect())
+
+    def read_footers(frames):
+        import io
+        import re
+
+        import pyarrow as pa
+        import pyarrow.fs as pafs
+        import pyarrow.parquet as pq
+        for f in frames:
+            promised, errors = [], []
+            for at in f.column("at").to_pylist():
+                try:
+                    if by_path:
+                        # Spark writes local paths as file:/path, without escapes
+                        store, path = ((pafs.LocalFileSystem(), re.sub("^file:/+", "/", at)) if at.startswith("file:")
+                                       else pafs.FileSystem.from_uri(at))
+                        source = store.open_input_file(path)
+                    else:
+                        source = io.BytesIO(at)
+                    with source:
+                        promised.append(pq.read_metadata(source).num_rows)
+                    errors.append(None)
+                except (pa.ArrowException, OSError, ValueError) as exc:
+                    promised.append(None)
+                    errors.append(f"{type(exc).__name__}: {exc}"[:200])
+            yield pa.record_batch({"embedding_file": f.column("embedding_file"), "promised": pa.array(promised, pa.int64()),
+                                   "error": pa.array(errors, pa.string())})
+
+    return (listed.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("embedding_file"),
+                          F.col("path" if by_path else "content").alias("at"))
+            .mapInArrow(read_footers, "embedding_file string, promised long, error string"))
+
+
+def _arrow_opens(paths) -> bool:
+    """Whether Arrow has a file system for the store of the first path (true if there is none)."""
+    import pyarrow as pa
+    import pyarrow.fs as pafs
+    try:
+        for row in paths:
+            if not row["path"].startswith("file:"):
+                pafs.FileSystem.from_uri(row["path"])
+    except (pa.ArrowException, OSError, ValueError):
+        return False
+    return True
+
+
 def file_inventory(spark: SparkSession, vectors_path: str, texts_path: str | None = None,
                    vector_col: str = "embedding", summary_path: str | None = None) -> DataFrame:
     """One row per vector file: slice keys parsed from the file name, vector count,
@@ -114,28 +171,7 @@ def file_inventory(spark: SparkSession, vectors_path: str, texts_path: str | Non
            .select(F.col("_metadata.file_name").alias("embedding_file"), F.size(vector_col).alias("_dim")))
     counts = vec.groupBy("embedding_file").agg(
         F.count(F.lit(1)).cast("long").alias("n"), F.max("_dim").cast("int").alias("dimensions"))
-    def read_footers(frames):
-        """Rows that each Parquet file promises, or why its footer cannot be read."""
-        import io
-
-        import pyarrow as pa
-        import pyarrow.parquet as pq
-        for f in frames:
-            promised, errors = [], []
-            for content in f.column("content").to_pylist():
-                try:
-                    promised.append(pq.ParquetFile(io.BytesIO(content)).metadata.num_rows)
-                    errors.append(None)
-                except (pa.ArrowException, OSError, ValueError) as exc:
-                    promised.append(None)
-                    errors.append(f"{type(exc).__name__}: {exc}"[:200])
-            yield pa.record_batch({"embedding_file": f.column("embedding_file"), "promised": pa.array(promised, pa.int64()),
-                                   "error": pa.array(errors, pa.string())})
-
-    footers = (spark.read.format("binaryFile").load(vectors_path)
-               .select(F.regexp_extract("path", r"([^/]+)$", 1).alias("embedding_file"), "content")
-               .where(F.col("embedding_file").rlike(VECTOR_FILE_PATTERN))
-               .mapInArrow(read_footers, "embedding_file string, promised long, error string"))
+    footers = file_footers(spark, vectors_path)
     files = footers.join(counts, "embedding_file", "left")
     short = F.concat(F.lit("read "), F.coalesce("n", F.lit(0)).cast("string"), F.lit(" of "),
                      F.col("promised").cast("string"), F.lit(" vectors"))

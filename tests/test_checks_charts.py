@@ -77,3 +77,36 @@ def test_union_banks(spark):
     rows = {r.dataset: r for r in union_banks([a, b]).collect()}
     assert rows["validation"].reverse_code is None and rows["validation"].keywords == "k2"
     assert rows["covid"].topic_no == 1
+
+
+def test_distinct_counts_without_expand(spark):
+    df = spark.createDataFrame([(1, "a", None), (1, "b", 2.0), (2, "a", 2.0), (None, "a", 3.0)], "p int, q string, r double")
+    got = ck.distinct_counts(df, {"ps": "p", "qs": "q", "rs": "r"}, {"rows": F.count(F.lit(1)), "most": F.max("p")})
+    assert got.first().asDict() == {"rows": 4, "most": 2, "ps": 2, "qs": 2, "rs": 2}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan
+    empty = ck.distinct_counts(df.limit(0), {"ps": "p"}, {"rows": F.count(F.lit(1))}).first()
+    assert (empty.rows, empty.ps) == (0, 0)
+
+
+def test_bar_layout(spark):
+    """Bars in the order of the tests, labels wrapped as text is, an empty segment without a text."""
+    import textwrap
+
+    from stancelab.functions.text import wrap_words
+    from stancelab.operators import significance as sig
+    names = ["", "one", "Health And Side Effects Of It", "Incomprehensibilities Of", "a b c d e f g h i j", "exactly sixteen c d",
+             "sixteen letters!"]
+    got = spark.createDataFrame([(n,) for n in names], "n string").select(wrap_words("n").alias("w")).collect()
+    assert [r.w for r in got] == ["\n".join(textwrap.wrap(n, width=16, break_long_words=False)) for n in names]
+    tests = spark.createDataFrame(
+        [("d", "zeta_vs_ref", 3, 1, 0, 4, 0.01, 0), ("d", "alpha_vs_ref", 1, 2, 0, 4, 0.5, 1), ("e", "ref_vs_x", 1, 7, 0, 0, None, 2)],
+        "domain string, comparison string, lib_right long, con_right long, lib_left long, con_left long, p_value_greater double, test_no int")
+    bars = sig.bar_segments(sig.tests_to_bars(tests, ["test_no"], with_position=True), labels={"ref": "Reference"}, titles={"d": "First"})
+    rows = sorted(bars.collect(), key=lambda r: (r.domain, r.x_pos))
+    assert [(r.domain, r.x_pos, r.category, r.category_label, r.panel_label) for r in rows] == [
+        ("d", 0, "zeta", "Zeta", "First"), ("d", 1, "ref", "Reference", "First"), ("d", 2, "alpha", "Alpha", "First"),
+        ("e", 0, "ref", "Reference", "E"), ("e", 1, "x", "X", "E")]
+    assert [(r.liberal_text, r.conservative_text) for r in rows] == [
+        ("3\n(75.0%)", "1\n(25.0%)"), (None, "4\n(100.0%)"), ("1\n(33.3%)", "2\n(66.7%)"), ("1\n(12.5%)", "7\n(87.5%)"), (None, None)]
+    assert "bar_no" not in sig.tests_to_bars(tests, ["test_no"]).columns

@@ -5,12 +5,13 @@ import random
 import tempfile
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from stancelab.plans import pipeline as pl
 from stancelab.sources import files as fl
 from stancelab.sources.tables import require_columns
-from stancelab.streaming.effects_stream import effect_stream, start_effect_stream
+from stancelab.streaming.effects_stream import effect_stream, read_published, start_effect_stream
 
 RESP_SCHEMA = ("completion string, completion_no int, prompt_no int, question_no int, issue_no int, "
                "issue_no_key double, keyword string, ending string, end_type string, labels string, "
@@ -188,12 +189,17 @@ def test_stream_publishes_and_resumes(spark):
     first.write.mode("append").parquet(src)
     args = (spark, src, RESP_SCHEMA, ["issue_no_key", "question_no"], "liberal", "proj", ckpt, sink)
     start_effect_stream(*args, available_now=True).awaitTermination(120)
-    assert spark.read.parquet(sink).count() == 4
+    assert read_published(spark, sink).count() == 4
     # a second file arrives; the restarted query continues from its checkpoint
     resp.where(F.col("question_no") >= 4).write.mode("append").parquet(src)
     start_effect_stream(*args, available_now=True).awaitTermination(120)
-    out = {(r.issue_no_key, r.question_no): r.n for r in spark.read.parquet(sink).collect()}
+    out = {(r.issue_no_key, r.question_no): r.n for r in read_published(spark, sink).collect()}
     assert len(out) == 10 and out[(0.1, 0)] == 40   # 8 wordings + questions 97 and 99
+    # the pointer names the last whole folder; a crash while it moves leaves the new one to read
+    os.rename(os.path.join(sink, "_current"), os.path.join(sink, "_current.new"))
+    assert read_published(spark, sink).count() == 10
+    with pytest.raises(ValueError):
+        read_published(spark, base)
 
 
 def test_run_study_over_registered_tables(spark):
@@ -222,3 +228,25 @@ def test_run_study_over_registered_tables(spark):
     assert len(clusters) == 8 and len({(r.cluster, r.point_id % 2) for r in clusters}) == 2
     assert spark.read.parquet(os.path.join(out, "effects_covid", "coefficients")).count() == 9
     assert spark.read.parquet(os.path.join(out, "tests", "bars")).count() == 2
+
+
+def test_footers_of_large_and_many_files(spark, tmp_path):
+    """Only the end of a file is read: three gigabytes with a hole in front are as quick as any."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    small = tmp_path / "small.parquet"
+    pq.write_table(pa.table({"embedding": [[0.5, 1.0]] * 7}), small)
+    folder = tmp_path / "vectors with blanks"
+    folder.mkdir()
+    with open(folder / "pos_embed_1_1_2_fin.parquet", "wb") as f:
+        f.seek(3 << 30)
+        f.write(small.read_bytes())
+    for i in range(300):
+        (folder / f"neg_embed_{i}_1_2_fin.parquet").write_bytes(small.read_bytes() if i else b"broken")
+    (folder / "other.parquet").write_bytes(small.read_bytes())
+    got = {r.embedding_file: r for r in fl.file_footers(spark, str(folder)).collect()}
+    assert len(got) == 301 and got["pos_embed_1_1_2_fin.parquet"].promised == 7
+    assert got["neg_embed_0_1_2_fin.parquet"].promised is None and got["neg_embed_0_1_2_fin.parquet"].error
+    assert sum(r.promised or 0 for r in got.values()) == 7 * 300
+    plan = fl.file_footers(spark, str(folder))._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan

@@ -218,3 +218,56 @@ def test_kmeans_of_odd_rows(spark):
     assert len({r.cluster for r in got if r.s is None}) == 2
     empty = km.kmeans(pts.where("point_id > 99"), ["s"], k=2, restarts=2)
     assert [x.count() for x in empty] == [0, 0, 0]
+
+
+def test_single_slices(spark):
+    """S7 and S8 of one slice: a manifest of one archive has ``offset``; absent slices and texts are errors."""
+    import pytest
+    arch = spark.createDataFrame([("whatever", i, [float(i)]) for i in range(9)], ARCHIVE)
+    man = spark.createDataFrame([(1, 1, "pos", 0, 4), (1, 1, "neg", 4, 5), (1, 1, "neg", 0, 1)],
+                                "prompt_no int, connector int, sentiment string, offset long, n long")
+    every = sl.read_slices(arch, man.where("offset > 0 OR n > 1"))
+    assert sorted((r.sentiment, r.position, r.embedding[0]) for r in every.collect()) == sorted(
+        [("pos", i, float(i)) for i in range(4)] + [("neg", i, 4.0 + i) for i in range(5)])
+    which = {"prompt_no": 1, "connector": 1, "sentiment": "neg"}
+    assert [r.position for r in sl.read_slice(arch, man, which).collect()] == [0]  # the first listed
+    listed = man.withColumns({"archive_file": F.lit("whatever"), "archive_offset": F.col("offset")})
+    pos = sl.read_slice(arch, listed, which | {"sentiment": "pos"}).collect()
+    assert sorted((r.position, r.embedding[0]) for r in pos) == [(i, float(i)) for i in range(4)]
+    with pytest.raises(ValueError, match="No embedding slice for prompt_no=2"):
+        sl.read_slice(arch, man, which | {"prompt_no": 2})
+    texts = spark.createDataFrame([(1, 1, "neg", 3, None), (1, 1, "neg", 2, "b")], TEXTS)
+    assert sorted((r.position, r.justification) for r in sl.read_slice_texts(texts, which).collect()) == [(0, "b"), (1, "")]
+    with pytest.raises(ValueError, match="No justification texts"):
+        sl.read_slice_texts(texts, which | {"sentiment": "pos"})
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stored_slices_are_paired_without_a_shuffle(spark, tmp_path):
+    vec = spark.range(400).select((F.col("id") % 3).cast("int").alias("prompt_no"), F.lit(1).alias("connector"),
+                                  F.lit("pos").alias("sentiment"), F.floor(F.col("id") / 3).alias("position"), "id")
+    told = vec.where("id % 7 <> 0").withColumnRenamed("id", "text_no")
+    stored = [sl.store_by_position(df, f"test_stored_{name}", str(tmp_path / name), 6) for name, df in (("v", vec), ("t", told))]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = sl.pair_texts(*stored)
+        assert "Exchange" not in plan_of(pairs) and "SortMergeJoin" in plan_of(pairs)
+        assert sorted((r.id, r.text_no) for r in pairs.collect()) == [(i, i if i % 7 else None) for i in range(400)] or \
+            {(r.id, r.text_no) for r in pairs.collect()} == {(i, i if i % 7 else None) for i in range(400)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for name in "vt":
+            spark.sql(f"DROP TABLE IF EXISTS test_stored_{name}")
+
+
+def test_manifest_integrity_reads_the_manifest_once(spark):
+    """The manifest is a table of its own in the plan, and the numbering is not repeated."""
+    arch = spark.createDataFrame([("p1", i, [0.0]) for i in range(6)], ARCHIVE).withColumns(
+        {"prompt_no": (F.col("row_no") / 2).cast("int"), "connector": F.lit(1), "sentiment": F.lit("pos")})
+    found = sl.manifest_integrity(sl.slice_manifest(arch), arch.select("prompt_no", "connector", "sentiment"))
+    plan = plan_of(found)
+    assert "FileScan parquet" in plan and "Window" not in plan and plan.count("Scan ExistingRDD") <= 1
