@@ -44,7 +44,7 @@ def read_words(col: pa.Array) -> TextWords:
     n = len(w.data)
     if not len(w.start):
         e = np.zeros(0, np.int64)
-        return TextWords(w.hash, w.bounds, e, e, e)
+        return TextWords(w.hash, w.bounds, e.astype(np.uint16), e, e)
     lengths = w.end - w.start
     heads = np.cumsum(lengths) - lengths
     chars = w.data[_INSIDE[w.data]].astype(np.uint32)
@@ -61,7 +61,27 @@ def read_words(col: pa.Array) -> TextWords:
     gram *= np.uint32(0x9E3779B1)
     gram ^= gram >> np.uint32(15)
     gram *= np.uint32(0x85EBCA77)
-    return TextWords(w.hash, w.bounds, (gram >> np.uint32(17)).astype(np.int64), heads, lengths)
+    return TextWords(w.hash, w.bounds, (gram >> np.uint32(17)).astype(np.uint16), heads, lengths)
+
+
+def joined(parts: list[TextWords]) -> TextWords:
+    """Batches of texts as one."""
+    if not parts:
+        return read_words(pa.array([], pa.string()))
+    words = np.cumsum([0, *(len(p.hash) for p in parts)])
+    chars = np.cumsum([0, *(len(p.gram) for p in parts)])
+    return TextWords(
+        np.concatenate([p.hash for p in parts]),
+        np.concatenate([[0], *(p.bounds[1:] + n for p, n in zip(parts, words))]),
+        np.concatenate([p.gram for p in parts]), np.concatenate([p.heads + n for p, n in zip(parts, chars)]),
+        np.concatenate([p.lengths for p in parts]))
+
+
+def part(t: TextWords, lo: int, hi: int) -> TextWords:
+    """The words from lo to hi, without the texts' bounds."""
+    first = int(t.heads[lo]) if lo < len(t.heads) else len(t.gram)
+    last = int(t.heads[hi]) if hi < len(t.heads) else len(t.gram)
+    return TextWords(t.hash[lo:hi], t.bounds, t.gram[first:last], t.heads[lo:hi] - first, t.lengths[lo:hi])
 
 
 def windows(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -174,12 +194,11 @@ class BiGru:
         return pooled @ p["out"] + p["bias"][0]
 
     def logits(self, t: TextWords, first: np.ndarray, length: np.ndarray, block: int = 512) -> np.ndarray:
-        x = self.inputs(t)
         out = np.empty(len(first), np.float32)
         for i in range(0, len(first), block):
             # the words of consecutive windows lie side by side
             lo, hi = int(first[i]), int((first[i:i + block] + length[i:i + block]).max())
-            out[i:i + block] = self.forward(x[lo:hi], first[i:i + block] - lo, length[i:i + block])
+            out[i:i + block] = self.forward(self.inputs(part(t, lo, hi)), first[i:i + block] - lo, length[i:i + block])
         return out
 
     def gradients(self, t: TextWords, first: np.ndarray, length: np.ndarray, target: np.ndarray,

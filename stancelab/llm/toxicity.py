@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bigru import GRAMS, Adam, BiGru, TextWords, read_words, windows
+from .bigru import GRAMS, Adam, BiGru, TextWords, joined, read_words, windows
 from .scratch import ready
 from .words import batches
 
@@ -48,14 +48,13 @@ def fit_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, char
 
 def fit(texts: list[str], toxic: np.ndarray, rounds: int = 5, epochs: int = 3, seed: int = 3) -> BiGru:
     """Train on whole texts with document labels; one class only gives a model that says so."""
-    col = pa.array(texts, pa.string())
-    t = read_words(col)
+    t = joined([read_words(pa.array([x], pa.string())) for x in texts])  # a text at a time: little is held at once
     toxic = np.asarray(toxic, dtype=np.float32)
-    doc_of = np.repeat(np.arange(len(texts)), np.diff(t.bounds))
     share = min(max(float(toxic.mean()) if len(toxic) else 0.0, 1e-6), 1 - 1e-6)
-    vocabulary, first, docs = _evidence(t.hash, doc_of, toxic, share)
+    vocabulary, first, docs = _evidence(_distinct(t.hash, t.bounds), toxic, share)
     often = docs >= min(WORD_DOCS, max(1, len(texts) // 10))
-    grams, gram_first, _ = _evidence(t.gram.astype(np.uint64), np.repeat(doc_of, t.lengths), toxic, share)
+    ends = np.append(t.heads, len(t.gram))[t.bounds]
+    grams, gram_first, _ = _evidence(_distinct(t.gram, ends), toxic, share)
     gram_start = np.zeros(GRAMS)
     gram_start[grams.astype(np.int64)] = gram_first
     model = BiGru(vocabulary[often], first[often], gram_start, seed)
@@ -94,15 +93,20 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 5, epochs: int = 3, s
     return model
 
 
-def _evidence(items: np.ndarray, doc_of: np.ndarray, toxic: np.ndarray, share: float):
+def _distinct(items: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct items of each document, end to end, and the document of each."""
+    own = [np.unique(items[a:b]) for a, b in zip(bounds, bounds[1:])]
+    return np.concatenate([items[:0], *own]), np.repeat(np.arange(len(own)), [len(x) for x in own])
+
+
+def _evidence(pairs: tuple[np.ndarray, np.ndarray], toxic: np.ndarray, share: float):
     """How surely each item goes with a label: signed root of its likelihood ratio over documents.
 
     What chance does for the best of some ten thousand items, about ``CHANCE``, counts as nothing.
     Returns the distinct items, their evidence (scaled, within -2 and 2) and document counts."""
-    pairs = np.unique(np.stack([items, doc_of.astype(np.uint64)]), axis=1)
     found, at = np.unique(pairs[0], return_inverse=True)
     total = np.bincount(at, minlength=len(found)).astype(float)
-    bad = np.bincount(at, weights=toxic[pairs[1].astype(np.int64)], minlength=len(found))
+    bad = np.bincount(at, weights=toxic[pairs[1]], minlength=len(found))
 
     def part(x: np.ndarray, expected: np.ndarray) -> np.ndarray:
         return np.where(x > 0, x * np.log(np.maximum(x, 1e-9) / expected), 0)
