@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .others import packed, unpacked
 from .scratch import Scratch
 from .words import ALNUM_WORDS, LOWER_CASE, batches, split_words, text_bytes
 
@@ -227,21 +228,25 @@ def _cutter(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({**{n: b.column(n) for n in keep}, "text": pa.array(texts, pa.string())})
 
 
-def _item_blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str | None, str]]]:
-    """Distinct items in blocks of at most ``block_words`` words (a longer item is one block)."""
+#: The operator's words before lower-casing.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def _item_blocks(benchmark: DataFrame, block_words: int, scratch: Scratch) -> Iterator[tuple[list[tuple[str | None, str]], bool]]:
+    """Distinct items in blocks of about ``block_words`` / 2 words, by hash, and whether a block is the last.
+
+    Words are counted as the operator takes them.  One block at a time reaches the driver; an item
+    longer than a block makes its block that much longer.
+    """
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"),
-                             F.col("text").cast("string").alias("text")).where(
-        "text IS NOT NULL").distinct().orderBy("item_id", "text")
-    block, size = [], 0
-    for r in items.toLocalIterator():
-        n = len(r["text"].split()) + 1
-        if block and size + n > block_words:
-            yield block
-            block, size = [], 0
-        block.append((r["item_id"], r["text"]))
-        size += n
-    if block:
-        yield block
+                             F.col("text").cast("string").alias("text")).where("text IS NOT NULL").distinct()
+    total = items.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(WORD)) + 1), F.lit(0))).first()[0]
+    n = max(1, -(-2 * total // block_words))
+    if n > 1:
+        items = scratch.table(items.withColumn("block", F.expr(f"pmod(xxhash64(item_id, text), {n})")), "items")
+    for i in range(n):
+        own = items.where(F.col("block") == i) if n > 1 else items
+        yield [(r["item_id"], r["text"]) for r in own.select("item_id", "text").collect()], i + 1 == n
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep_text: bool = False,
@@ -264,9 +269,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep_
     own = ("n_words", "n_hit", "spans", "items")
     rows = docs.drop(*own).withColumn("text", F.col("text").cast("string"))
     rows = rows.withColumns({"spans": F.array().cast("array<bigint>"), "items": F.array().cast("array<string>")})
-    blocks = [*_item_blocks(benchmark, block_words)] or [[]]
-    for i, block in enumerate(blocks):
-        last = i + 1 == len(blocks)
+    for block, last in _item_blocks(benchmark, block_words, scratch):
         columns = [c for c in docs.columns if c not in own and (c != "text" or keep_text or not last)]
         shared = spark.sparkContext.broadcast((build_items(block, window), [name for name, _ in block]))
         schema = T.StructType([*(rows.schema[c] for c in columns), T.StructField("n_words", T.LongType()),
@@ -275,6 +278,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep_
         rows = rows.mapInArrow(_scanner(shared, columns), schema)
         if not last:
             rows = scratch.table(rows.drop("n_words"), "block")
+            shared.destroy()
     signed = F.transform("spans", lambda at, i: F.when(i % 2 == 1, at).otherwise(-at))
     n_hit = F.aggregate(signed, F.lit(0).cast("long"), lambda total, at: total + at)
     return rows.withColumn("n_hit", n_hit).withColumn("items", F.array_sort(F.array_distinct("items")))
@@ -289,10 +293,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, cover
     Untouched documents pass unchanged, null and empty texts too.  n_chars, if there, is renewed
     for the texts that were cut.  Columns named like those of ``find_overlaps`` keep their values.
     """
-    clash = {c: f"_kept_{c}" for c in docs.columns if c in ("n_words", "n_hit", "spans", "items")}
-    if clash:
-        renamed = decontaminate(docs.withColumnsRenamed(clash), benchmark, window, coverage, block_words)
-        return renamed.withColumnsRenamed({new: old for old, new in clash.items()})
+    every, docs = docs.columns, packed(docs, "text", "n_chars")
     spark = docs.sparkSession
     scratch = Scratch(spark, "cut")
     columns = docs.columns
@@ -303,7 +304,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, cover
     while True:
         dirty = hit.where("n_hit > 0")
         if dirty.isEmpty():
-            return clean
+            return unpacked(clean, every)
         dirty = dirty.select(*columns, "spans")
         order = [c for c in dirty.columns if c not in ("text", "spans")] + ["text"]
         cut = dirty.mapInArrow(_cutter, T.StructType([dirty.schema[c] for c in order])).select(*columns)

@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .others import packed, unpacked
 from .scratch import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -67,14 +68,16 @@ def cyclic_weights(sources: DataFrame, cycle: tuple[float, ...] = (3.0, 1.0, 2.0
     return ranged.join(starts, "_p").withColumn("weight", weight).drop("_p", "_start")
 
 
-def _rounds(thin: DataFrame, scratch: Scratch, first_stop: bool) -> DataFrame:
+def _rounds(thin: DataFrame, scratch: Scratch) -> DataFrame:
     """(_from, _rounds): per source the stops of its seeded order, each with the gap before and after it.
 
     A round sums up the documents that are no longer than the gap and stand behind the last stop; the
     first that does not fit any more is the next stop.  A source is done when no document fits.
+    What is left of the gap is less than the document at the stop, and all later ones are no longer
+    than that: every round but the last takes a document or drops one, and in seeded order the gap
+    falls by a factor on the average, so there are some log(gap) rounds.
     """
-    fits = F.lit(True) if first_stop else F.col("size") <= F.col("_rest")
-    todo = scratch.table(thin.where((F.col("size") > 0) & (F.col("_rest") > 0) & fits).select(
+    todo = scratch.table(thin.where((F.col("size") > 0) & (F.col("_rest") > 0) & (F.col("size") <= F.col("_rest"))).select(
         "_source", F.substring("_key", 1, SLICE_DIGITS).alias("_slice"), "size", "_key", "_nth",
         F.col("_rest").alias("_gap")), "todo")
     slices_before = Window.partitionBy("_source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -98,8 +101,6 @@ def _rounds(thin: DataFrame, scratch: Scratch, first_stop: bool) -> DataFrame:
                 F.col("_stop._key").alias("_stop_key"), F.col("_stop._nth").alias("_stop_nth"),
                 (F.col("_gap") - F.coalesce(F.col("_stop._start"), F.col("_all"))).alias("_left")), "stops")
         done.append(stopped)
-        if first_stop:
-            break
         behind = (F.col("_key") > F.col("_stop_key")) | (
             (F.col("_key") == F.col("_stop_key")) & (F.col("_nth") > F.col("_stop_nth")))
         later = scratch.table(
@@ -115,20 +116,19 @@ def _rounds(thin: DataFrame, scratch: Scratch, first_stop: bool) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, weights=cyclic_weights, share: float = 1.5, max_epochs: float = 2.0,
-                seed: str = "mix", first_stop: bool = False) -> DataFrame:
+                seed: str = "mix") -> DataFrame:
     """``docs`` plus size, source_size, target (double), times (long) and taken (long).
 
     weights: sources (source, source_size) -> plus weight.  size: words ``[^\x20\x09-\x0D]+`` of
     the text (null: 0).  times: how often the mix takes the document, 0 up to max_epochs rounded
     up; taken = times * size.  A null source is a source; one source may hold any part of the
     rows.  Order: md5 of seed, doc_id and the text's md5 (null: empty), so reruns agree; rows equal
-    in both are interchangeable.  Empty documents are taken while there is room.
-
-    first_stop: the order ends at the first document that does not fit, whatever its size, and only
-    the nearest document is tried after it (the SQL of ``op4_source_mix`` is written so).
+    in both are interchangeable.  Empty documents are taken while there is room.  In each
+    source, each document that still fits is taken in that order, last the one that comes nearest.
+    Columns of ``docs`` named like a result are replaced.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    base = docs.drop("size", "source_size", "target", "times", "taken")
+    base = packed(docs, "doc_id", "source", "text")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text)))
     sized = base.withColumn("size", F.regexp_count(text, F.lit(WORD)).cast("long")).withColumn("_key", key)
@@ -150,10 +150,10 @@ def mix_sources(docs: DataFrame, weights=cyclic_weights, share: float = 1.5, max
         return r["_stop_key"].isNull() | (F.col("_key") < r["_stop_key"]) | (
             (F.col("_key") == r["_stop_key"]) & (F.col("_nth") < r["_stop_nth"]))
 
-    rounds = scratch.table(_rounds(placed(narrow), scratch, first_stop), "rounds")
+    rounds = scratch.table(_rounds(placed(narrow), scratch), "rounds")
     # the gap of the round in which a document's turn comes; null: behind the last stop
     gap = F.get(F.filter("_rounds", before_stop), F.lit(0))["_gap"]
-    fits = gap.isNotNull() if first_stop else F.coalesce(F.col("size") <= gap, F.lit(False))
+    fits = F.coalesce(F.col("size") <= gap, F.lit(False))
     taken = (F.col("_rest") > 0) & ((F.col("size") == 0) | fits)
     left = F.coalesce(F.element_at("_rounds", -1)["_left"], F.col("_rest"))
     miss = F.abs(left - F.col("size"))
@@ -164,13 +164,15 @@ def mix_sources(docs: DataFrame, weights=cyclic_weights, share: float = 1.5, max
         .select("_of", F.col("_pick._key").alias("_pick_key"), F.col("_pick._nth").alias("_pick_nth")), "picks")
     extra = taken | F.coalesce(
         (F.col("_key") == F.col("_pick_key")) & (F.col("_nth") == F.col("_pick_nth")), F.lit(False))
-    return (placed(sized).join(rounds, by_source, "left").join(picks, F.col("_source").eqNullSafe(F.col("_of")), "left")
+    done = (placed(sized).join(rounds, by_source, "left").join(picks, F.col("_source").eqNullSafe(F.col("_of")), "left")
             .withColumn("times", (F.col("_whole") + F.when(extra, 1).otherwise(0)).cast("long"))
-            .withColumn("taken", F.col("times") * F.col("size"))
-            .drop("_source", "_key", "_nth", "_whole", "_rest", "_from", "_rounds", "_of", "_pick_key", "_pick_nth"))
+            .withColumn("taken", F.col("times") * F.col("size")))
+    kept = done.select(*base.columns, "size", "source_size", "target", "times", "taken")
+    return unpacked(kept, docs.columns, "size", "source_size", "target", "times", "taken")
 
 
 def repeat_documents(mixed: DataFrame) -> DataFrame:
     """Each row of ``mix_sources`` as often as it is taken."""
-    copies = F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int")))
-    return mixed.where("times > 0").withColumn("_copy", copies).drop("_copy")
+    one = packed(mixed, "times").where("times > 0")
+    copies = F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))).alias("_copy")
+    return unpacked(one.select(*one.columns, copies).drop("_copy"), mixed.columns)

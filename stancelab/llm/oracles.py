@@ -59,9 +59,11 @@ FROM s JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) c ON c.x =
 
 
 def mix_sql() -> str:
-    """Targets in closed form: a source is clamped if filling all to its cap-to-weight ratio is not enough."""
+    """Targets in closed form: a source is clamped if filling all to its cap-to-weight ratio is not enough.
+
+    The fractional repetition document by document: each that still fits, last the nearest one."""
     return f"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size,
     md5(concat_ws('|', 'mix', coalesce(doc_id::VARCHAR, ''), md5(coalesce(text, '')))) AS k FROM documents),
 s AS (
@@ -78,19 +80,25 @@ lv AS (
 t AS (
   SELECT source, source_size, CASE WHEN level IS NULL THEN cap ELSE least(w * level, cap) END AS target FROM s, lv),
 p AS (
-  SELECT d.*, source_size, target, floor(target / nullif(source_size, 0)) AS whole,
-    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b
+  SELECT d.*, source_size, target, coalesce(floor(target / nullif(source_size, 0)), 0) AS whole,
+    row_number() OVER (PARTITION BY d.source ORDER BY k) AS i
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-q AS (SELECT *, target - coalesce(whole, 0) * source_size AS rest FROM p),
-g AS (SELECT source, rest - coalesce(max(b + size) FILTER (b + size <= rest), 0) AS gap FROM q GROUP BY source, rest),
+q AS (SELECT *, target - whole * source_size AS rest FROM p),
+g AS (
+  SELECT DISTINCT source, 0::BIGINT AS i, rest AS gap, false AS taken FROM q
+  UNION ALL
+  SELECT q.source, q.i, CASE WHEN q.size <= gap THEN gap - q.size ELSE gap END, q.size <= gap AND q.rest > 0
+  FROM g JOIN q ON q.source IS NOT DISTINCT FROM g.source AND q.i = g.i + 1),
+e AS (SELECT source, arg_max(gap, i) AS gap FROM g GROUP BY source),
+o AS (
+  SELECT q.*, g.taken, e.gap AS last_gap FROM q
+  JOIN g ON q.source IS NOT DISTINCT FROM g.source AND q.i = g.i JOIN e ON q.source IS NOT DISTINCT FROM e.source),
 x AS (
-  SELECT q.source, min({{'m': abs(gap - size), 'k': k, 'b': b}}) AS pick
-  FROM q JOIN g ON q.source IS NOT DISTINCT FROM g.source
-  WHERE b + size > rest AND abs(gap - size) < gap GROUP BY q.source)
+  SELECT source, min({{'m': abs(last_gap - size), 'i': i}}) AS pick FROM o
+  WHERE NOT taken AND rest > 0 AND abs(last_gap - size) < last_gap GROUP BY source)
 SELECT doc_id, size::BIGINT AS size, source_size, target,
-  (size * (coalesce(whole, 0) + CASE WHEN rest > 0 AND (b + size <= rest OR coalesce(k = pick.k AND b = pick.b, false))
-                                     THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM q LEFT JOIN x ON q.source IS NOT DISTINCT FROM x.source"""
+  (size * (whole + CASE WHEN taken OR coalesce(o.i = pick.i, false) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM o LEFT JOIN x ON o.source IS NOT DISTINCT FROM x.source"""
 
 
 def license_sql() -> str:

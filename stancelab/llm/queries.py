@@ -57,13 +57,6 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mix as its SQL has it; ``source_mix_filled`` is the whole one."""
-    return mix_sources(_read(spark, sf_dir, "documents", "doc_id", "source", "text"), first_stop=True).select(
-        "doc_id", "size", "source_size", "target", "taken")
-
-
-def source_mix_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mix of the pipeline: each document that still fits is taken, also behind one that does not."""
     return mix_sources(_read(spark, sf_dir, "documents", "doc_id", "source", "text")).select(
         "doc_id", "size", "source_size", "target", "taken")
 
@@ -137,4 +130,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_chat_formatting, op2_rendezvous_shards, op3_near_duplicates, op4_source_mix, op5_license_scan,
         op6_nearest_neighbours, op7_substring_dedup, op8_token_files, op9_toxicity, op10_decontamination,
-        op11_source_divergence, op12_cross_tokenizer, op13_personal_data, source_mix_filled)}
+        op11_source_divergence, op12_cross_tokenizer, op13_personal_data)}

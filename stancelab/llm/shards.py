@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordering import row_index
+from .others import packed, unpacked
 
 #: Width, in doc ids, of the blocks that number the slots of a shard.
 BLOCK = 1 << 16
@@ -49,7 +50,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, weights: Sequence[float]
     weights = list(weights) if weights is not None else [1.0] * shards
     key = F.col("doc_id").cast("string")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    scored = (docs.drop("law", "shard", "slot", "grown_shard", "size", "text_crc32")
+    scored = (packed(docs, "doc_id", "text")
               .withColumn("size", F.octet_length(text).cast("long") + 8)
               .withColumn("text_crc32", F.crc32(F.encode(text, "UTF-8")))
               .withColumn("_scores", F.array(*_scores(key, [*weights, 1.0])))
@@ -58,4 +59,5 @@ def shard_documents(docs: DataFrame, shards: int = 24, weights: Sequence[float]
               .withColumn("grown_shard", F.array_min("_scores")["shard"])
               .drop("_scores"))
     block = F.coalesce(F.floor(F.col("doc_id") / F.lit(BLOCK)).cast("long"), F.lit(-(1 << 62)))
-    return row_index(scored, ["doc_id", "text_crc32", "size"], "slot", partition=["shard"], block=block)
+    done = row_index(scored, ["doc_id", "text_crc32", "size"], "slot", partition=["shard"], block=block)
+    return unpacked(done, docs.columns, "size", "text_crc32", "law", "shard", "grown_shard", "slot")

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .others import packed, unpacked
 from .scratch import Scratch
 from .words import KEEP_CASE, SPACE_WORDS, batches, grams, mix, split_words, text_bytes
 from .winnow import anchored_runs
@@ -126,8 +127,9 @@ def remove_repeats(docs: DataFrame, window: int = 35, seed: int = SEED_WORDS) ->
     spark = docs.sparkSession
     scratch = Scratch(spark, "substrings")
     own = ("n_words", "n_removed", "spans", "kept_text")
-    names = [c for c in docs.columns if c not in own and c != "text"]
-    keyed = docs.select(*names, F.col("text").cast("string").alias("text")).withColumns({
+    carried = packed(docs, "doc_id", "text")
+    names = [c for c in carried.columns if c != "text"]
+    keyed = carried.select(*names, F.col("text").cast("string").alias("text")).withColumns({
         "_k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)),
         "_k2": F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))})
     texts = keyed.select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), "text")
@@ -165,4 +167,4 @@ def remove_repeats(docs: DataFrame, window: int = 35, seed: int = SEED_WORDS) ->
                            T.StructField("n_removed", T.LongType()),
                            T.StructField("spans", T.ArrayType(T.LongType())),
                            T.StructField("kept_text", T.StringType())])
-    return joined.mapInArrow(_cutter(names), schema)
+    return unpacked(joined.mapInArrow(_cutter(names), schema), [c for c in docs.columns if c != "text"], *own)
