@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from stancelab.llm.decontam import decontaminate
 from stancelab.llm.mixing import mix_sources, repeat_documents
 from stancelab.llm.neardup import near_duplicates
+from stancelab.llm.others import packed, unpacked
 from stancelab.llm.scratch import Scratch
 from stancelab.llm.shards import shard_documents
 from stancelab.llm.toxicity import score_documents, train
@@ -24,14 +25,15 @@ SHARDS = 24
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier calls toxic go; it is fitted on the labelled rows of ``docs``."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    scored = score_documents(docs, train(docs, labels))
-    return scored.where("predicted = 0").select(*docs.columns)
+    scored = score_documents(packed(docs, "doc_id", "text"), train(docs, labels))
+    return unpacked(scored.where("predicted = 0").drop("score", "predicted"), docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays (5-word shingles, similarity 0.8)."""
     kept = near_duplicates(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept.distinct(), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    rows = packed(docs, "doc_id", "text").join(kept.distinct(), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return unpacked(rows, docs.columns)
 
 
 def drop_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +43,8 @@ def drop_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target takes it: none, one or two rows."""
-    return repeat_documents(mix_sources(docs)).select(*docs.columns)
+    mixed = mix_sources(packed(docs, "doc_id", "source", "text"))
+    return unpacked(repeat_documents(mixed).drop("size", "source_size", "target", "times", "taken"), docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
