@@ -267,10 +267,11 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep_
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontam")
     own = ("n_words", "n_hit", "spans", "items")
-    rows = docs.drop(*own).withColumn("text", F.col("text").cast("string"))
+    every, docs = docs.columns, packed(docs, "doc_id", "text")
+    rows = docs.withColumn("text", F.col("text").cast("string"))
     rows = rows.withColumns({"spans": F.array().cast("array<bigint>"), "items": F.array().cast("array<string>")})
     for block, last in _item_blocks(benchmark, block_words, scratch):
-        columns = [c for c in docs.columns if c not in own and (c != "text" or keep_text or not last)]
+        columns = [c for c in docs.columns if c != "text" or keep_text or not last]
         shared = spark.sparkContext.broadcast((build_items(block, window), [name for name, _ in block]))
         schema = T.StructType([*(rows.schema[c] for c in columns), T.StructField("n_words", T.LongType()),
                                T.StructField("spans", T.ArrayType(T.LongType())),
@@ -281,7 +282,8 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep_
             shared.destroy()
     signed = F.transform("spans", lambda at, i: F.when(i % 2 == 1, at).otherwise(-at))
     n_hit = F.aggregate(signed, F.lit(0).cast("long"), lambda total, at: total + at)
-    return rows.withColumn("n_hit", n_hit).withColumn("items", F.array_sort(F.array_distinct("items")))
+    found = rows.withColumn("n_hit", n_hit).withColumn("items", F.array_sort(F.array_distinct("items")))
+    return unpacked(found, [c for c in every if c != "text" or keep_text], *own)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, coverage: float = 0.5,

@@ -179,3 +179,58 @@ def test_query_lists_spans(spark):
         assert got[doc_id]["base_sha256"] == brute.sha(",".join(f"{k}:{s}:{e}" for k, s, e in spans))
     terms = brute.disclosed([t or "" for _, t in docs], 16, 3, 0.95, 0.99)[1]
     assert [got[d]["spans"] for d, _ in docs] == [",".join(f"{k}:{s}:{e}" for k, s, e, _ in own) for own in terms]
+
+
+# ---- columns that are only carried along -----------------------------------------------------
+
+INTERNAL = ["size", "score", "predicted", "_carried", "_kept", "_blk", "_val", "_in_blk", "_scores", "_source", "_key", "_nth", "_whole",
+            "_rest", "_from", "_rounds", "_of", "_pick_key", "_pick_nth", "_copy", "k1", "k2", "_k1", "_k2", "ranges", "runs", "text2", "spans",
+            "items", "n_words", "n_hit", "n_removed", "kept_text", "target", "times", "taken", "shard", "slot", "law", "grown_shard",
+            "text_crc32", "source_size", "block", "hits", "cls", "root", "n", "a", "b", "x.y", "with blank"]
+
+
+def test_clashing_columns_are_kept(spark, tmp_path):
+    """Every internal and result name as a further column: nothing crashes, nothing else changes."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    from stancelab.llm.decontam import decontaminate, find_overlaps
+    from stancelab.llm.mixing import mix_sources, repeat_documents
+    from stancelab.llm.neardup import near_duplicates
+    from stancelab.llm.shards import shard_documents
+    from stancelab.llm.substrings import remove_repeats
+    words = " ".join(f"w{i % 17}x{i}" for i in range(60))
+    rows = [(i, (words if i % 3 else f"only {i} here"), f"s{i % 3}") for i in range(12)] + [(None, None, None), (3, "", "s1"), (5, words, "s2")]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    extra = plain.select("*", *[F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(c) for c in INTERNAL])
+    bench = spark.createDataFrame([("t1", " ".join(words.split()[5:25])), (None, "only 3 here"), ("t2", None)], "item_id string, text string")
+    operators = {
+        "shard": (shard_documents, ["size", "text_crc32", "law", "shard", "grown_shard", "slot"]),
+        "mix": (mix_sources, ["size", "source_size", "target", "times", "taken"]),
+        "repeats": (remove_repeats, ["n_words", "n_removed", "spans", "kept_text"]),
+        "overlaps": (lambda d: find_overlaps(d, bench), ["n_words", "n_hit", "spans", "items"]),
+        "cut": (lambda d: decontaminate(d, bench), []),
+        "near": (near_duplicates, None),
+        "copies": (lambda d: repeat_documents(mix_sources(d)), ["size", "source_size", "target", "times", "taken"]),
+    }
+    for name, (run, results) in operators.items():
+        want, got = run(plain), run(extra)
+        assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect())), name
+        if results is not None:
+            carried = [c for c in INTERNAL if c in got.columns and c not in results]
+            assert set(carried) | set(results) >= set(INTERNAL) - {"spans", "items", "n_hit", "n_words"}, name
+            for r in got.collect():
+                assert all(r[c] == f"{c}:{'-' if r['doc_id'] is None else r['doc_id']}" for c in carried), (name, r)
+    sf = str(tmp_path)
+    spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, toxic int").write.parquet(f"{sf}/labels.parquet")
+    bench.write.parquet(f"{sf}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[1:4]:  # the first one's labels say nothing here
+        out = stage(spark, extra, sf)
+        assert out.columns == extra.columns, name
+        for r in out.collect():
+            assert all(r[c] == f"{c}:{'-' if r['doc_id'] is None else r['doc_id']}" for c in INTERNAL), name
+        assert stage(spark, extra.limit(0), sf).count() == 0
+    toxicity = corpus_pipeline.STAGES[0][1](spark, extra, sf)
+    assert toxicity.columns == extra.columns and all(r["score"].startswith("score:") for r in toxicity.collect())
+    sharded = corpus_pipeline.STAGES[4][1](spark, extra, sf)
+    assert sharded.count() == len(rows) and corpus_pipeline.STAGES[4][1](spark, extra.limit(0), sf).count() == 0
