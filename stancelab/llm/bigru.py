@@ -2,7 +2,8 @@
 
 Input per word: a row of a word table (row 0: any other word) plus its hashed character
 four-grams' rows, summed and divided by the root of its length.  Each direction runs a GRU over a window; a softmax over the window's words pools
-the states of both directions; a logistic unit gives the window's score.
+the states of both directions; a logistic unit over them and over the words' summed first input,
+past the recurrence, gives the window's score.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ GRAMS = 1 << 15
 EMBED = 8
 HIDDEN = 8
 #: Words of a window, and from one window's start to the next.
-WINDOW, STRIDE = 24, 16
+WINDOW, STRIDE = 24, 8
 #: Score of a text without words: there is nothing toxic in it.
 NO_WORDS = 0.01
 #: Bytes that take no part in the form of a word, so "Word," and "word" are one.
@@ -118,10 +119,10 @@ class BiGru:
         words[0] = 0
         words[1:, 0] = first
         rows = r.standard_normal((GRAMS, EMBED)) * 0.05
-        rows[:, 1] = 0 if grams is None else grams
-        p = {"words": words, "grams": rows,
-             "attend": r.standard_normal(2 * HIDDEN) * 0.3, "out": r.standard_normal(2 * HIDDEN) * 0.3,
-             "bias": np.array([-1.0])}
+        rows[:, 0], rows[:, 1] = 0, 0 if grams is None else grams
+        # before training the logit is the window's sum of word evidence: the network adds to it
+        p = {"words": words, "grams": rows, "attend": r.standard_normal(2 * HIDDEN) * 0.3, "out": np.zeros(2 * HIDDEN),
+             "past": np.ones(1), "bias": np.array([-1.0])}
         for d in "fb":
             p["w" + d] = r.standard_normal((EMBED, 3 * HIDDEN)) * (1 / EMBED) ** 0.5
             p["u" + d] = r.standard_normal((HIDDEN, 3 * HIDDEN)) * (1 / HIDDEN) ** 0.5
@@ -189,9 +190,10 @@ class BiGru:
         w = np.exp(e)
         w /= w.sum(axis=0)
         pooled = np.einsum("sb,sbh->bh", w, states)
+        told = (x[:, 0][place] * live).sum(axis=0)
         if keep is not None:
-            keep.update(live=live, on=on, place=place, states=states, w=w, pooled=pooled)
-        return pooled @ p["out"] + p["bias"][0]
+            keep.update(live=live, on=on, place=place, states=states, w=w, pooled=pooled, told=told)
+        return pooled @ p["out"] + told * p["past"][0] + p["bias"][0]
 
     def logits(self, t: TextWords, first: np.ndarray, length: np.ndarray, block: int = 512) -> np.ndarray:
         out = np.empty(len(first), np.float32)
@@ -211,7 +213,7 @@ class BiGru:
         total = weight.sum()
         loss = float(-(weight * (target * np.log(prob + 1e-7) + (1 - target) * np.log(1 - prob + 1e-7))).sum() / total)
         d = ((prob - target) * weight / total).astype(np.float32)
-        grad = {"out": k["pooled"].T @ d, "bias": d.sum(keepdims=True)}
+        grad = {"out": k["pooled"].T @ d, "past": (k["told"] * d).sum(keepdims=True), "bias": d.sum(keepdims=True)}
         d_pool = d[:, None] * p["out"]
         w, states = k["w"], k["states"]
         d_w = np.einsum("bh,sbh->sb", d_pool, states)
@@ -240,6 +242,8 @@ class BiGru:
             grad["u" + name], grad["w" + name] = du[i], x.T @ fed[i]
             grad["c" + name] = fed[i].sum(axis=0)
         dx = fed[0] @ p["wf"].T + fed[1] @ p["wb"].T
+        for place, live in zip(k["place"], k["live"]):
+            dx[place, 0] += d * p["past"][0] * live
         rows = self.rows(t)
         grad["words"] = _summed(dx, rows, len(p["words"]))
         grad["grams"] = _summed(np.repeat(dx / _root(t.lengths), t.lengths, axis=0), t.gram, len(p["grams"]))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bigru import GRAMS, Adam, BiGru, TextWords, joined, read_words, windows
+from .others import packed, unpacked
 from .scratch import ready
 from .words import batches
 
@@ -64,8 +65,8 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 5, epochs: int = 3, s
         model.p["out"][:] = 0
         return model
     rng = np.random.default_rng(seed)
-    # the tables, which could learn single texts by heart, move slowly from the evidence
-    adam = Adam(model.p, 0.01, {"words": 0.0005, "grams": 0.0005})
+    # the tables, which could learn single texts by heart, stay as the evidence has them
+    adam = Adam(model.p, 0.003, {"words": 0.0, "grams": 0.0})
     strength = np.concatenate([[0], np.cumsum(model.p["words"][model.rows(t), 0])])
     look = strength[start + length] - strength[start]
     target = toxic[text]
@@ -153,7 +154,7 @@ def score_documents(docs: DataFrame, model: BiGru) -> DataFrame:
     """
     spark = docs.sparkSession
     ready(spark)
-    docs = docs.drop("score", "predicted").withColumn("text", F.col("text").cast("string"))
+    every, docs = docs.columns, packed(docs, "doc_id", "text").withColumn("text", F.col("text").cast("string"))
     shared = spark.sparkContext.broadcast(model)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,4 +162,4 @@ def score_documents(docs: DataFrame, model: BiGru) -> DataFrame:
             yield b.append_column("score", pa.array(shared.value.scores(b.column("text"))))
 
     scored = docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField("score", T.DoubleType())]))
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return unpacked(scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int")), every, "score", "predicted")

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from stancelab.llm.bigru import NO_WORDS, BiGru, read_words, windows
+from stancelab.llm.bigru import NO_WORDS, STRIDE, WINDOW, BiGru, read_words, windows
 from stancelab.llm.chat import chain, format_conversations, read_turns, unescape
 from stancelab.llm.neighbours import KdTree, chi_square_quantile, nearest
 from stancelab.llm.tokenfiles import TokenFile, read_tokens, write_file, write_tokens
@@ -261,3 +261,40 @@ def test_fit_sample_keeps_the_held_out_fold_out(spark):
     assert fit_sample(docs, labels, rows=5).count() == 10
     assert fit([], np.array([])).scores(pa.array(["word"])).round().tolist() == [0]
     assert fit(["a b"], np.array([1])).scores(pa.array(["word"])).round().tolist() == [1]
+
+
+def test_scores_are_those_of_a_plain_recurrence():
+    """Every window on its own, word by word, in plain loops; a text's score is its worst window's."""
+    texts = ["the cat sat", "a dog ran vile " * 15, "x", "é ü " * 13 + "end", ""]
+    model = fit(*toy(80, 4))
+    model.p["out"] += np.linspace(-1, 1, len(model.p["out"])).astype(np.float32)
+    p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    k = len(p["uf"])
+
+    def sigmoid(v):
+        return 1 / (1 + np.exp(-v))
+
+    def states(xs, d):
+        h, out = np.zeros(k), []
+        for x in xs:
+            a, g = x @ p["w" + d] + p["c" + d], h @ p["u" + d]
+            z, r = sigmoid(a[:k] + g[:k]), sigmoid(a[k:2 * k] + g[k:2 * k])
+            h = (1 - z) * np.tanh(a[2 * k:] + r * g[2 * k:]) + z * h
+            out.append(h)
+        return out
+
+    for text, got in zip(texts, model.scores(pa.array(texts, pa.string()))):
+        t = read_words(pa.array([text], pa.string()))
+        x = model.inputs(t).astype(np.float64)
+        best = None
+        for first in range(0, max(1, len(x)), STRIDE):
+            own = x[first:first + WINDOW]
+            if not len(own):
+                continue
+            both = [np.concatenate(s) for s in zip(states(own, "f"), states(own[::-1], "b")[::-1])]
+            e = np.exp([s @ p["attend"] for s in both])
+            logit = (e / e.sum()) @ both @ p["out"] + own[:, 0].sum() * p["past"][0] + p["bias"][0]
+            best = logit if best is None else max(best, logit)
+            if first + WINDOW >= len(x):
+                break
+        assert abs(got - (NO_WORDS if best is None else sigmoid(best))) < 1e-4, text
