@@ -26,13 +26,18 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-PROJECTIONS = 12
-CONFIDENCE = 0.98
+PROJECTIONS = 32
+CONFIDENCE = 0.95
 #: Vectors whose projections shape the top of the tree.
 SAMPLE = 8192
 #: Vectors of a block, one task's share of the index.
 BLOCK = 8192
 LEAF = 128
+#: Projected neighbours that are verified together, and queries that visit a block together.
+STEP = 16
+QUERIES = 8192
+#: Vector lengths with an index of their own; vectors of all others share one job, a block of one length each.
+LENGTHS = 16
 
 
 def chi_square_quantile(p: float, m: int) -> float:
@@ -120,9 +125,11 @@ def cosines(rows: np.ndarray, norms: np.ndarray, q: np.ndarray, q_norm: float) -
 
 
 def search_block(points: np.ndarray, ids: list, queries: np.ndarray, own: list, bounds: np.ndarray, k: int,
-                 directions: np.ndarray, quantile: float) -> list[tuple[int, int, float]]:
+                 directions: np.ndarray, quantile: float, verified: list[int] | None = None) -> list[tuple[int, int, float]]:
     """(query row, vec_id, cosine): the k nearest ids found in one block for each query.
 
+    Boxes come in order of their distance, and a box's points in order of their own projected
+    distance, as long as the test asks for more.  verified: gets the number of cosines taken.
     ids: ascending ids of each distinct point.  bounds: squared distance within which the query
     already knows k neighbours (inf: none known).
     """
@@ -132,11 +139,12 @@ def search_block(points: np.ndarray, ids: list, queries: np.ndarray, own: list,
     box = tree.place(projected)
     order = np.argsort(box, kind="stable")
     edges = np.searchsorted(box[order], np.arange((1 << tree.depth) + 1))
-    points, norms, ids = points[order], norms[order], [ids[i] for i in order]
+    points, norms, ids, projected = points[order], norms[order], [ids[i] for i in order], projected[order]
     least = np.array([x[0] for x in ids])
     q_norms = np.sqrt((queries * queries).sum(axis=1))
-    far = tree.distances((queries / q_norms[:, None]) @ directions)
-    out = []
+    q_projected = (queries / q_norms[:, None]) @ directions
+    far = tree.distances(q_projected)
+    out, taken = [], 0
     for i in range(len(queries)):
         line = np.argsort(far[i], kind="stable")
         best_s, best_at = np.zeros(0), np.zeros(0, np.int64)
@@ -145,16 +153,26 @@ def search_block(points: np.ndarray, ids: list, queries: np.ndarray, own: list,
             if far[i, leaf] > bound * quantile + 1e-9:
                 break
             lo, hi = edges[leaf], edges[leaf + 1]
-            if lo == hi:
-                continue
-            s = np.concatenate([best_s, cosines(points[lo:hi], norms[lo:hi], queries[i], q_norms[i])])
-            at = np.concatenate([best_at, np.arange(lo, hi)])
-            top = np.lexsort((least[at], -s))[:k + 1]  # one more: the query itself may be among them
-            best_s, best_at = s[top], at[top]
-            if len(top) == k + 1:
-                bound = min(bound, max(0.0, 2 - 2 * best_s[-1]))
+            off = projected[lo:hi] - q_projected[i]
+            off = np.einsum("ij,ij->i", off, off)
+            near = np.argsort(off, kind="stable")
+            for a in range(0, len(near), STEP):
+                own_at = near[a:a + STEP]
+                own_at = own_at[off[own_at] <= bound * quantile + 1e-9]
+                if not len(own_at):
+                    break
+                own_at = own_at + lo
+                taken += len(own_at)
+                s = np.concatenate([best_s, cosines(points[own_at], norms[own_at], queries[i], q_norms[i])])
+                at = np.concatenate([best_at, own_at])
+                top = np.lexsort((least[at], -s))[:k + 1]  # one more: the query itself may be among them
+                best_s, best_at = s[top], at[top]
+                if len(top) == k + 1:
+                    bound = min(bound, max(0.0, 2 - 2 * best_s[-1]))
         found = [(-float(s), v) for s, a in zip(best_s, best_at) for v in ids[a] if v != own[i]]
         out += [(i, v, -s) for s, v in sorted(found)[:k]]
+    if verified is not None:
+        verified.append(taken)
     return out
 
 
@@ -188,14 +206,17 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = 5, projections: int =
         b.withColumn("_r", F.row_number().over(copies)).where(F.col("_r") <= k + 1)
         .groupBy("v").agg(F.sort_array(F.collect_list(key)).alias("ids")), "points")
     q = scratch.table(q.withColumnRenamed(key, "query_id"), "queries")
-    lengths = [r[0] for r in points.select(F.size("v").alias("n")).distinct().limit(65).collect()]
-    if len(lengths) > 64:
-        raise ValueError("vectors of more than 64 different lengths")
+    n = F.size("v")
+    common = points.groupBy(n.alias("n")).count().orderBy(F.desc("count"), "n").limit(LENGTHS + 1).collect()
+    lengths = [r["n"] for r in common[:LENGTHS]]
+    quantile = chi_square_quantile(confidence, projections)
     found = None
-    for n in sorted(lengths):
-        part = _nearest_of_length(points.where(F.size("v") == n), q.where(F.size("v") == n), n, k, projections,
-                                  chi_square_quantile(confidence, projections), scratch)
+    for own in sorted(lengths):
+        part = _nearest_of_length(points.where(n == own), q.where(n == own), own, k, projections, quantile, scratch)
         found = part if found is None else found.union(part)
+    if len(common) > LENGTHS:
+        found = found.union(_nearest_of_rare_lengths(points.where(~n.isin(lengths)), q.where(~n.isin(lengths)), k,
+                                                     projections, quantile, scratch))
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
@@ -204,10 +225,45 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = 5, projections: int =
         "query_id", "rank", "vec_id", "score")
 
 
+def _searcher(k: int, m: int, quantile: float):
+    """One block of the index and the queries that visit it."""
+    def one(p: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        if not len(p) or not len(v):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        points = _matrix(p["v"])
+        got = search_block(points, [list(x) for x in p["ids"]], _matrix(v["v"]), v["query_id"].tolist(),
+                           v["bound"].to_numpy(dtype=float), k, projection(points.shape[1], m), quantile)
+        own = v["query_id"].to_numpy()
+        return pd.DataFrame({"query_id": [own[i] for i, _, _ in got], "vec_id": [x for _, x, _ in got],
+                             "score": [s for _, _, s in got]})
+    return one
+
+
+def _met(index: DataFrame, visits: DataFrame, by: list[str], queries: int, search) -> DataFrame:
+    """Each block with its visitors, at most some QUERIES of them at a time."""
+    parts = max(1, -(-queries // QUERIES))
+    index = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    visits = visits.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
+    return index.groupBy(*by, "part").cogroup(visits.groupBy(*by, "part")).applyInPandas(
+        search, "query_id long, vec_id long, score double")
+
+
+def _nearest_of_rare_lengths(points: DataFrame, queries: DataFrame, k: int, m: int, quantile: float,
+                             scratch: Scratch) -> DataFrame:
+    """All vectors of these lengths at once: every block of a length meets that length's queries."""
+    n = F.size("v").alias("n")
+    sizes = points.groupBy(n).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
+    index = points.withColumn("n", n).join(sizes, "n").withColumn("block", F.pmod(F.xxhash64("v"), "blocks"))
+    visits = queries.withColumn("n", n).join(sizes, "n").select(
+        "query_id", "v", "n", F.lit(float("inf")).alias("bound"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    return scratch.table(_met(index.drop("blocks"), visits, ["n", "block"], queries.count(), _searcher(k, m, quantile)), "rare")
+
+
 def _nearest_of_length(points: DataFrame, queries: DataFrame, n: int, k: int, m: int, quantile: float,
                        scratch: Scratch) -> DataFrame:
     spark = points.sparkSession
-    total = points.count()
+    total, n_queries = points.count(), queries.count()
     sample = _matrix([r["v"] for r in points.orderBy(F.xxhash64("v"), "v").limit(SAMPLE).collect()])
     directions = projection(n, m)
     sample = (sample / np.sqrt((sample * sample).sum(axis=1))[:, None]) @ directions
@@ -231,17 +287,7 @@ def _nearest_of_length(points: DataFrame, queries: DataFrame, n: int, k: int, m:
         spread = visits.join(blocks, "cell").withColumn(
             "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
 
-        def one(p: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-            if not len(p) or not len(v):
-                return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-            got = search_block(_matrix(p["v"]), [list(x) for x in p["ids"]], _matrix(v["v"]), v["query_id"].tolist(),
-                               v["bound"].to_numpy(dtype=float), k, directions, quantile)
-            own = v["query_id"].to_numpy()
-            return pd.DataFrame({"query_id": [own[i] for i, _, _ in got], "vec_id": [x for _, x, _ in got],
-                                 "score": [s for _, _, s in got]})
-
-        return index.groupBy("cell", "block").cogroup(spread.groupBy("cell", "block")).applyInPandas(
-            one, "query_id long, vec_id long, score double")
+        return _met(index, spread, ["cell", "block"], n_queries, _searcher(k, m, quantile))
 
     def visited(home: bool):
         def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

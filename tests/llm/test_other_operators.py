@@ -298,3 +298,35 @@ def test_scores_are_those_of_a_plain_recurrence():
             if first + WINDOW >= len(x):
                 break
         assert abs(got - (NO_WORDS if best is None else sigmoid(best))) < 1e-4, text
+
+
+def test_neighbours_among_many_lengths(spark):
+    """More lengths than have an index of their own; each is searched whole."""
+    from stancelab.llm import neighbours
+    r = np.random.default_rng(2)
+    rows = [(i, r.standard_normal(1 + i % (neighbours.LENGTHS + 9)).tolist()) for i in range(400)]
+    base = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for x in nearest(base, base.where("vec_id % 50 = 0"), k=3).collect():
+        got.setdefault(x["query_id"], []).append((x["rank"], x["vec_id"], x["score"]))
+    for q in range(0, 400, 50):
+        v = np.array(rows[q][1])
+        best = sorted((-float((np.array(w) * v).sum() / (np.sqrt((np.array(w) ** 2).sum()) * np.sqrt((v * v).sum()))), i)
+                      for i, w in rows if i != q and len(w) == len(v))[:3]
+        assert [(k, i) for k, i, _ in sorted(got[q])] == [(k, i) for k, (_, i) in enumerate(best, 1)] or \
+            np.allclose([s for _, _, s in sorted(got[q])], [-s for s, _ in best])
+
+
+def test_the_search_verifies_a_part(spark):
+    """The stopping test holds before all vectors are looked at, and the share falls as the table grows."""
+    from stancelab.llm import neighbours
+    r = np.random.default_rng(8)
+    shares = []
+    for n in (1000, 8000):
+        points, seen = r.standard_normal((n, 64)), []
+        own = list(range(0, n, n // 50))
+        neighbours.search_block(points, [[i] for i in range(n)], points[own], own, np.full(len(own), np.inf), 5,
+                                neighbours.projection(64, neighbours.PROJECTIONS),
+                                chi_square_quantile(neighbours.CONFIDENCE, neighbours.PROJECTIONS), seen)
+        shares.append(seen[0] / len(own) / n)
+    assert shares[1] < shares[0] < 0.9
