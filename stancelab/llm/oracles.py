@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from .licenses import KNOWN, SPELLINGS
+from .license_digests import DIGESTS
+from .licenses import KNOWN, SPELLINGS, WHOLE
 
 WORD = r"[^\x20\x09-\x0D]+"
 PLAIN_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -102,23 +103,37 @@ FROM o LEFT JOIN x ON o.source IS NOT DISTINCT FROM x.source"""
 
 
 def license_sql() -> str:
+    """The canonical form line by line, whole texts and listed digests among the known.
+
+    DuckDB's expressions cannot look around, so a copyright notice goes with its whole line here; one
+    that stands in a line with terms is cut out by the operator alone (tested against ``re``).
+    """
+    def spelt(x: str, pairs=SPELLINGS) -> str:
+        return reduce(lambda c, pair: f"replace({c}, '{pair[0]}', '{pair[1]}')", pairs, x)
+
     def canon(x: str) -> str:
-        spelt = reduce(lambda c, pair: f"replace({c}, '{pair[0]}', '{pair[1]}')", SPELLINGS, x)
-        return rf"trim(regexp_replace(regexp_replace({spelt}, '[!-/:-@\[-`{{-~]', ' ', 'g'), '[ \t\x0B\f]+', ' ', 'g'))"
+        return rf"trim(regexp_replace(regexp_replace({spelt(x)}, '[!-/:-@\[-`{{-~]', ' ', 'g'), '[ \t\x0B\f]+', ' ', 'g'))"
+
+    def quoted(rows) -> str:
+        return ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in rows)
 
-    known = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in KNOWN)
+    whole = spelt("array_to_string(lines, ' ')", [pair for pair in SPELLINGS if " " in pair[0]])
+    blank = r"<[^<>]*>|\[[^\[\]]*\]|\{{[^{{}}]*\}}".replace("{{", "{").replace("}}", "}")
+    notice = (r"^[\x00-\x20!-/:-@\[-`{-~]*(copyright[\s:,]*(\(c\)|©|(19|20)[0-9]{2}|" + blank
+              + r")|©|\(c\) *((19|20)[0-9]{2}|" + blank + r")|all rights reserved)")
     return rf"""
 WITH raw AS (
   SELECT 0 AS kind, doc_id::VARCHAR AS id, text FROM documents
-  UNION ALL SELECT 1, license_id, text FROM (VALUES {known}) v(license_id, text)),
+  UNION ALL SELECT 1, license_id, text FROM (VALUES {quoted(KNOWN + WHOLE)}) v(license_id, text)),
 l AS (
   SELECT kind, id, list_filter(list_transform(
-      list_filter(string_split_regex(lower(coalesce(text, '')), '\r\n|\n|\r'),
-                  lambda x: NOT regexp_matches(x, '^ *(copyright|\(c\)|©|all rights reserved)')),
+      list_filter(string_split_regex(lower(coalesce(text, '')), '\r\n|\n|\r'), lambda x: NOT regexp_matches(x, '{notice}')),
       lambda x: {canon('x')}), lambda x: x <> '') AS lines FROM raw),
 known AS (
-  SELECT sha256(array_to_string(lines, ' ')) AS digest, min(id) AS license_id FROM l WHERE kind = 1 GROUP BY 1),
-d AS (SELECT id::BIGINT AS doc_id, sha256(array_to_string(lines, ' ')) AS text_digest, lines FROM l WHERE kind = 0),
+  SELECT digest, min(id) AS license_id FROM (
+    SELECT sha256({whole}) AS digest, id FROM l WHERE kind = 1
+    UNION ALL SELECT digest, license_id FROM (VALUES {quoted(DIGESTS)}) v(license_id, digest)) GROUP BY 1),
+d AS (SELECT id::BIGINT AS doc_id, sha256({whole}) AS text_digest, lines FROM l WHERE kind = 0),
 u AS (SELECT doc_id, sha256(unnest(lines)) AS digest FROM d),
 hit AS (
   SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS line_licenses

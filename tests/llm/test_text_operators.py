@@ -288,3 +288,25 @@ def test_whole_texts_of_the_usual_licenses(spark):
     table = spark.createDataFrame([(n, t) for n, (_, t) in enumerate(rows)], "doc_id long, text string")
     got = {r["doc_id"]: r["text_license"] for r in scan_licenses(table, known_digests(spark)).collect()}
     assert got == {n: i for n, (i, _) in enumerate(rows)}
+
+
+def test_license_sql_knows_whole_texts(spark, tmp_path):
+    """The SQL and the operator on rewrapped licence texts, which the given tables do not hold."""
+    import textwrap
+
+    import duckdb
+
+    from stancelab.llm import oracles
+    from stancelab.llm.licenses import UNTITLED
+    from stancelab.llm.queries import op5_license_scan
+    texts = [t for text in UNTITLED.values() for width in (60, 72, 100) for t in
+             ["\n\n".join(textwrap.fill(" ".join(p.split()), width) for p in text.strip().split("\n\n"))]]
+    rows = [(i, t) for i, t in enumerate([*texts, None, "", "prose\nReleased under the MIT License.\nmore", "Copyright (c) 2020 X"])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    names = "doc_id, text_digest, text_license, line_licenses"
+    want = con.execute(f"SELECT {names} FROM ({oracles.license_sql()}) ORDER BY doc_id").fetchall()
+    got = sorted(map(tuple, op5_license_scan(spark, str(tmp_path)).select(*names.split(", ")).collect()))
+    assert got == want
+    assert [r[2] for r in got[:len(texts)]] == [i for i in UNTITLED for _ in range(3)]
