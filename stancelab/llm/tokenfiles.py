@@ -23,6 +23,7 @@ import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .idlists import IdLists
 from .scratch import Scratch
 from .words import batches, text_bytes
 
@@ -119,8 +121,37 @@ class TokenFile:
 
 #: Encoded words that a worker keeps between batches, about 200 bytes each.
 WORDS_KEPT = 1_000_000
+IDS_KEPT = 1 << 23
 #: A word of ASCII or Latin-1 letters, and the punctuation that may end it.
-_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?]*)")
+_PLAIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+_ENDS = b".,;:!?"
+
+
+def words_are_pieces(path: str) -> bool:
+    """Whether a tokenizer file is of the kind that ``Encoder`` may encode word by word.
+
+    It composes characters, makes white space one blank and lower-cases, nothing else; then it cuts
+    out runs of letters, single digits and runs of other characters, dropping white space; and
+    merges byte-level, with a mark for a piece's end.
+    """
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+
+    def steps(part: str, inner: str) -> list[dict]:
+        own = spec.get(part) or {}
+        return own.get(inner, []) if own.get("type") == "Sequence" else [own]
+
+    def pattern(step: dict) -> str | None:
+        return (step.get("pattern") or {}).get("Regex")
+
+    normal, cuts = steps("normalizer", "normalizers"), steps("pre_tokenizer", "pretokenizers")
+    return (spec["model"].get("type") == "BPE" and bool(spec["model"].get("end_of_word_suffix")) and not spec["model"].get("dropout")
+            and [n.get("type") for n in normal] == ["NFC", "Replace", "Lowercase"]
+            and pattern(normal[1]) == r"\s+" and normal[1].get("content") == " "
+            and [c.get("type") for c in cuts] == ["Split", "ByteLevel"]
+            and cuts[0].get("invert") is True and cuts[0].get("behavior") == "Removed"
+            and (pattern(cuts[0]) or "").endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+            and not cuts[1].get("add_prefix_space") and not cuts[1].get("use_regex"))
 
 
 class Encoder:
@@ -130,15 +161,16 @@ class Encoder:
     from punctuation before merging: a text's ids then are those of its words end to end.  Words
     end at ASCII white space.  A word of plain letters goes, lower-cased and without the
     punctuation that ends it, through the same merges without the normalizer and the pattern,
-    many at a time; all other words go through the whole tokenizer.  Otherwise whole texts do.
+    many at a time; all other words go through the whole tokenizer.  Otherwise, and with a file that
+    is not of this kind (:func:`words_are_pieces`), whole texts do.
     """
 
     def __init__(self, path: str, by_piece: bool = True):
         from tokenizers import Tokenizer
         self._tokenizer = Tokenizer.from_file(path)
+        by_piece = by_piece and words_are_pieces(path)
         self._by_piece = by_piece
-        self._kept: dict[bytes, bytes] = {}
-        self._stems: dict[bytes, bytes] = {}
+        self._forget()
         if by_piece:
             with open(path, encoding="utf-8") as f:
                 spec = json.load(f)
@@ -146,47 +178,64 @@ class Encoder:
                 "type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {
                     "type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
             self._merges = Tokenizer.from_str(json.dumps(spec))
+            # a piece's last token carries the mark for its end
+            mark, vocabulary = spec["model"]["end_of_word_suffix"], spec["model"]["vocab"]
+            self._last = np.zeros(max(vocabulary.values()) + 1, bool)
+            self._last[[i for t, i in vocabulary.items() if t.endswith(mark)]] = True
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if not self._by_piece:
             got = self._tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
             return [np.array(e.ids, "<u4") for e in got]
         split = [t.split() for t in texts]
-        kept = self._kept
-        missing = {w for ws in split for w in ws if w not in kept}
-        if len(kept) + len(missing) > WORDS_KEPT:
-            kept.clear()
-            self._stems.clear()
-            missing = {w for ws in split for w in ws}
+        words = set().union(*split)
+        missing = words.difference(self._kept)
+        if len(self._kept) + len(missing) > WORDS_KEPT or self._ids.used > IDS_KEPT:
+            self._forget()
+            missing = words
         self._learn(missing)
-        return [np.frombuffer(b"".join(map(kept.__getitem__, ws)), "<u4") for ws in split]
+        n = [len(ws) for ws in split]
+        at = np.fromiter(map(self._kept.__getitem__, chain.from_iterable(split)), np.int64, sum(n))
+        return self._ids.take(at, np.cumsum([0, *n]))
+
+    def _forget(self) -> None:
+        self._kept: dict[bytes, int] = {}
+        self._stems: dict[bytes, bytes] = {}
+        self._ids = IdLists()
+
+    def _keep(self, words: list[bytes], raw: list[bytes]) -> None:
+        """Ids of new words, as the bytes of unsigned 32-bit numbers."""
+        self._kept.update(zip(words, range(self._ids.count, self._ids.count + len(words))))
+        ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw))) // 4
+        self._ids.add(np.frombuffer(b"".join(raw), "<u4"), ends)
 
     def _learn(self, words: set[bytes]) -> None:
-        kept, stems, match = self._kept, self._stems, _PLAIN.fullmatch
-        parts, whole = [], set()
+        stems, plain = self._stems, _PLAIN.fullmatch
+        own, parts, tails, whole = [], [], [], set()
         for w in words:
-            m = match(w)
-            if m is None:
+            stem = w.rstrip(_ENDS)
+            if stem.isalpha() or plain(stem):  # bytes: isalpha is A-Z and a-z
+                own.append(w)
+                parts.append(stem)
+                tails.append(w[len(stem):])
+            else:
                 whole.add(w)
-                continue
-            stem, tail = m.groups()
-            # A-Z alone is lower-cased as bytes
-            parts.append((w, stem.lower() if stem.isascii() else stem.decode().lower().encode(), tail))
-            if tail:
-                whole.add(tail)
-        todo = [*{stem for _, stem, _ in parts if stem not in stems}]
+        parts = b" ".join(parts).decode().lower().encode().split(b" ") if own else []
+        todo = [*set(parts).difference(stems)]
         for at in range(0, len(todo), 500):
-            own = todo[at:at + 500]
-            got = self._merges.encode(b" ".join(own).decode(), add_special_tokens=False)
-            raw = np.array(got.ids, "<u4").tobytes()
-            cut = (np.searchsorted(np.array(got.word_ids), np.arange(len(own) + 1)) * 4).tolist()
-            stems.update((w, raw[x:y]) for w, x, y in zip(own, cut, cut[1:]))
-        rest = [w for w in whole if w not in kept]
+            some = todo[at:at + 500]
+            ids = np.array(self._merges.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
+            raw, cut = ids.tobytes(), ((np.flatnonzero(self._last[ids]) + 1) * 4).tolist()
+            stems.update(zip(some, [raw[x:y] for x, y in zip([0, *cut], cut)]))
+        ends = {t for t in set(tails) if t not in stems}
+        rest = [*whole.union(ends)]
         for at in range(0, len(rest), 20_000):
-            own = rest[at:at + 20_000]
-            for w, e in zip(own, self._tokenizer.encode_batch_fast([w.decode() for w in own], add_special_tokens=False)):
-                kept[w] = np.array(e.ids, "<u4").tobytes()
-        kept.update((w, stems[stem] + kept[tail] if tail else stems[stem]) for w, stem, tail in parts)
+            some = rest[at:at + 20_000]
+            got = self._tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
+            raw = [np.array(e.ids, "<u4").tobytes() for e in got]
+            self._keep([w for w in some if w in whole], [x for w, x in zip(some, raw) if w in whole])
+            stems.update((w, x) for w, x in zip(some, raw) if w in ends)
+        self._keep(own, [stems[x] + stems[t] if t else stems[x] for x, t in zip(parts, tails)])
 
 
 @lru_cache(maxsize=2)
