@@ -19,6 +19,7 @@ import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache, reduce
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -26,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .idlists import IdLists
 from .scratch import Scratch
 
 #: Bytes of the ranges that make a fragment each, and of the parts of a text that one task encodes.
@@ -33,9 +35,9 @@ RANGE_BYTES = 1 << 16
 SEGMENT_BYTES = 1 << 20
 #: Neighbouring fragments that one step composes.
 FAN_IN = 8
-#: Words that a worker keeps with their tokens, about 300 bytes each, and the longest of them.
-WORDS_KEPT = 200_000
-LONGEST_KEPT = 64
+#: Words that a worker keeps with their tokens, about 200 bytes each, and the ids of A they may have.
+WORDS_KEPT = 250_000
+IDS_KEPT = 1 << 22
 #: New words that are encoded together.
 JOINED_WORDS = 500
 #: Pairs of ids (17 bytes each) that are fetched and broadcast at a time; more pairs take more passes.
@@ -188,8 +190,8 @@ class Aligner:
                          and not rule.get("add_prefix_space") and self._b.encode("a") != self._b.encode(" a")
                          and not any("▁" in p.lstrip("▁") for p in pieces))
         self._sizes = tuple(np.array([len(t) for t in side], np.int64) for side in (self._a_bytes, self._b_bytes))
-        self._kept_a: dict[str, bytes] = {}
-        self._kept_b: dict[str, bytes] = {}
+        self._kept: dict[str, int] = {}
+        self._forget()
 
     def cut(self, text: str) -> list[str]:
         """The words of space + text, each without its first character, a space."""
@@ -201,49 +203,50 @@ class Aligner:
         """The ids of A and of B of each text; None if its bytes do not come back."""
         split = [self.cut(t) for t in texts]
         words = set().union(*split)
-        missing = words.difference(self._kept_a)
-        if len(self._kept_a) + len(missing) > WORDS_KEPT:
-            self._kept_a.clear()
-            self._kept_b.clear()
+        missing = words.difference(self._kept)
+        if len(self._kept) + len(missing) > WORDS_KEPT:
+            self._forget()
             missing = words
-        strange = self._learn(missing)
-        out = []
-        for ws in split:
-            out.append(None if strange and not strange.isdisjoint(ws) else tuple(
-                np.frombuffer(b"".join(map(kept.__getitem__, ws)), "<u4").astype(np.int64)
-                for kept in (self._kept_a, self._kept_b)))
-        for w in missing:
-            if len(w) > LONGEST_KEPT and w not in strange:
-                del self._kept_a[w], self._kept_b[w]
+        self._learn(missing)
+        n = [len(ws) for ws in split]
+        at = np.fromiter(map(self._kept.__getitem__, chain.from_iterable(split)), np.int64, sum(n))
+        sides = [side.take(at, np.cumsum([0, *n])) for side in self._sides]
+        strange = [False] * len(texts)
+        for i in np.flatnonzero(at < 0) if at.size and at.min() < 0 else ():
+            strange[int(np.searchsorted(np.cumsum(n), i, "right"))] = True
+        out = [None if bad else own for bad, own in zip(strange, zip(*sides))]
+        if self._sides[0].used > IDS_KEPT:  # very long words, too
+            self._forget()
         return out
 
-    def _learn(self, words: set[str]) -> set[str]:
-        """Keeps the ids of new words; returns those whose bytes do not come back.
+    def _forget(self) -> None:
+        self._kept.clear()
+        self._sides = (IdLists(), IdLists())
+
+    def _learn(self, words: set[str]) -> None:
+        """Keeps the ids of new words, -1 for those whose bytes do not come back.
 
         Words that may stand beside each other are encoded as one text and cut again where they end.
         """
         plain = [w for w in words if w and w[0] in _PLAIN and w[-1] in _PLAIN] if self._by_word else []
-        alone, strange = words.difference(plain), set()
+        alone = words.difference(plain)
         for at in range(0, len(plain), JOINED_WORDS):
             own = plain[at:at + JOINED_WORDS]
             joined = " ".join(own)
-            sides = self._ids(joined)
-            if sides is None:
+            ids = self._ids(joined)
+            if ids is None:
                 alone.update(own)
                 continue
             sizes = map(len, own) if joined.isascii() else (len(w.encode()) for w in own)
             ends = np.cumsum(np.fromiter(sizes, np.int64, len(own)) + 1)
-            for kept, ids, size in zip((self._kept_a, self._kept_b), sides, self._sizes):
-                to = ((np.searchsorted(np.cumsum(size[ids]), ends) + 1) * 4).tolist()
-                raw = ids.astype("<u4").tobytes()
-                kept.update((w, raw[x:y]) for w, x, y in zip(own, [0, *to], to))
+            self._kept.update(zip(own, range(self._sides[0].count, self._sides[0].count + len(own))))
+            for side, x, size in zip(self._sides, ids, self._sizes):
+                side.add(x, np.searchsorted(np.cumsum(size[x]), ends) + 1)
         for w in alone:
-            sides = self._ids(w)
-            if sides is None:
-                strange.add(w)
-            else:
-                self._kept_a[w], self._kept_b[w] = (ids.astype("<u4").tobytes() for ids in sides)
-        return strange
+            ids = self._ids(w)
+            self._kept[w] = -1 if ids is None else self._sides[0].count
+            for side, x in zip(self._sides, ids or ()):
+                side.add(x, np.array([len(x)]))
 
     def _ids(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         raw = b" " + text.encode()
