@@ -122,9 +122,9 @@ class TokenFile:
 #: Encoded words that a worker keeps between batches, about 200 bytes each.
 WORDS_KEPT = 1_000_000
 IDS_KEPT = 1 << 23
-#: A word of ASCII or Latin-1 letters, and the punctuation that may end it.
+#: A word of ASCII or Latin-1 letters, and a mark between one and a blank.
 _PLAIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
-_ENDS = b".,;:!?"
+_MARK = re.compile(rb"(?<=[a-z])([.,]) ")
 
 
 def words_are_pieces(path: str) -> bool:
@@ -187,7 +187,8 @@ class Encoder:
         if not self._by_piece:
             got = self._tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
             return [np.array(e.ids, "<u4") for e in got]
-        split = [t.split() for t in texts]
+        # in lower case and with a blank before the mark that ends a word, there are fewer different words
+        split = [_MARK.sub(rb" \1 ", t.lower()).split() for t in texts]
         words = set().union(*split)
         missing = words.difference(self._kept)
         if len(self._kept) + len(missing) > WORDS_KEPT or self._ids.used > IDS_KEPT:
@@ -200,42 +201,24 @@ class Encoder:
 
     def _forget(self) -> None:
         self._kept: dict[bytes, int] = {}
-        self._stems: dict[bytes, bytes] = {}
         self._ids = IdLists()
 
-    def _keep(self, words: list[bytes], raw: list[bytes]) -> None:
-        """Ids of new words, as the bytes of unsigned 32-bit numbers."""
+    def _keep(self, words: list[bytes], ids: np.ndarray, ends: np.ndarray) -> None:
         self._kept.update(zip(words, range(self._ids.count, self._ids.count + len(words))))
-        ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw))) // 4
-        self._ids.add(np.frombuffer(b"".join(raw), "<u4"), ends)
+        self._ids.add(ids, ends)
 
     def _learn(self, words: set[bytes]) -> None:
-        stems, plain = self._stems, _PLAIN.fullmatch
-        own, parts, tails, whole = [], [], [], set()
-        for w in words:
-            stem = w.rstrip(_ENDS)
-            if stem.isalpha() or plain(stem):  # bytes: isalpha is A-Z and a-z
-                own.append(w)
-                parts.append(stem)
-                tails.append(w[len(stem):])
-            else:
-                whole.add(w)
-        parts = b" ".join(parts).decode().lower().encode().split(b" ") if own else []
-        todo = [*set(parts).difference(stems)]
-        for at in range(0, len(todo), 500):
-            some = todo[at:at + 500]
-            ids = np.array(self._merges.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
-            raw, cut = ids.tobytes(), ((np.flatnonzero(self._last[ids]) + 1) * 4).tolist()
-            stems.update(zip(some, [raw[x:y] for x, y in zip([0, *cut], cut)]))
-        ends = {t for t in set(tails) if t not in stems}
-        rest = [*whole.union(ends)]
+        plain = [w for w in words if w.isalpha() or _PLAIN.fullmatch(w)]  # bytes: isalpha is A-Z and a-z
+        for at in range(0, len(plain), 500):
+            some = plain[at:at + 500]
+            got = self._merges.encode_batch_fast([b" ".join(some).decode().lower()], add_special_tokens=False)[0]
+            ids = np.array(got.ids, np.int64)
+            self._keep(some, ids, np.flatnonzero(self._last[ids]) + 1)
+        rest = [*words.difference(plain)]
         for at in range(0, len(rest), 20_000):
             some = rest[at:at + 20_000]
-            got = self._tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-            raw = [np.array(e.ids, "<u4").tobytes() for e in got]
-            self._keep([w for w in some if w in whole], [x for w, x in zip(some, raw) if w in whole])
-            stems.update((w, x) for w, x in zip(some, raw) if w in ends)
-        self._keep(own, [stems[x] + stems[t] if t else stems[x] for x, t in zip(parts, tails)])
+            got = [e.ids for e in self._tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)]
+            self._keep(some, np.fromiter(chain.from_iterable(got), np.int64), np.cumsum([len(x) for x in got]))
 
 
 @lru_cache(maxsize=2)
