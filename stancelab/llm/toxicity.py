@@ -128,11 +128,11 @@ def _subset(t, first: np.ndarray, length: np.ndarray):
 
 
 def _threshold(score: np.ndarray, toxic: np.ndarray) -> float:
-    """Middle of the widest gap among the cuts with the fewest weighted errors."""
+    """Middle of the widest gap among the cuts with the fewest errors: where little is known, the common label wins."""
     order = np.argsort(score, kind="stable")
     s, y = score[order], toxic[order] == 1
-    below_bad = np.concatenate([[0], np.cumsum(y)]) / max(1, y.sum())
-    above_good = ((~y).sum() - np.concatenate([[0], np.cumsum(~y)])) / max(1, (~y).sum())
+    below_bad = np.concatenate([[0], np.cumsum(y)])
+    above_good = (~y).sum() - np.concatenate([[0], np.cumsum(~y)])
     wrong = below_bad + above_good
     edges = np.concatenate([[s[0] - 2], s, [s[-1] + 2]])
     gap = np.diff(edges)
