@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stancelab.llm.decontam import decontaminate
+from stancelab.llm.idfilter import mark_suspects
 from stancelab.llm.mixing import mix_sources, repeat_documents
 from stancelab.llm.neardup import near_duplicates
 from stancelab.llm.others import packed, unpacked
@@ -30,10 +31,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays (5-word shingles, similarity 0.8)."""
-    kept = near_duplicates(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias("_kept"))
-    rows = packed(docs, "doc_id", "text").join(kept.distinct(), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return unpacked(rows, docs.columns)
+    """One document of each group of near copies stays (5-word shingles, similarity 0.8).
+
+    A row goes if no row of its doc_id is kept.  Only rows that may have an id with a row to drop are
+    joined with the kept ids; the others stay where they are.
+    """
+    found = Scratch(spark, "copies").table(near_duplicates(docs.select("doc_id", "text")).select("doc_id", "kept"))
+    rows = mark_suspects(packed(docs, "doc_id", "text"), "doc_id", found.where("NOT kept").select("doc_id"))
+    kept = found.where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    asked = rows.where("_suspect").join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return unpacked(rows.where("NOT _suspect").unionByName(asked).drop("_suspect"), docs.columns)
 
 
 def drop_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -138,19 +138,22 @@ def mix_sources(docs: DataFrame, weights=cyclic_weights, share: float = 1.5, max
     targets = scratch.table(water_fill(scratch.table(weights(sources), "sources"), share, max_epochs, scratch)
                             .select(F.col("source").alias("_source"), "source_size", "target"), "targets")
 
-    def placed(rows: DataFrame) -> DataFrame:
-        """Rows with their place among those of their slice, and what is wanted of their source."""
+    def wanted(rows: DataFrame) -> DataFrame:
+        """Rows with what is wanted of their source."""
         at = rows.join(targets, F.col("source").eqNullSafe(F.col("_source")))
-        slice_ = Window.partitionBy("_source", F.substring("_key", 1, SLICE_DIGITS)).orderBy("_key")
         whole = F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-        return at.withColumns({"_nth": F.row_number().over(slice_), "_whole": whole,
-                               "_rest": F.col("target") - whole * F.col("source_size")})
+        return at.withColumns({"_whole": whole, "_rest": F.col("target") - whole * F.col("source_size")})
+
+    def numbered(rows: DataFrame) -> DataFrame:
+        """Rows with their number among those of their source and key."""
+        return rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_source", "_key").orderBy("_key")))
 
     def before_stop(r: Column) -> Column:
         return r["_stop_key"].isNull() | (F.col("_key") < r["_stop_key"]) | (
             (F.col("_key") == r["_stop_key"]) & (F.col("_nth") < r["_stop_nth"]))
 
-    rounds = scratch.table(_rounds(placed(narrow), scratch), "rounds")
+    thin = scratch.table(numbered(wanted(narrow)), "numbered")
+    rounds = scratch.table(_rounds(thin, scratch), "rounds")
     # the gap of the round in which a document's turn comes; null: behind the last stop
     gap = F.get(F.filter("_rounds", before_stop), F.lit(0))["_gap"]
     fits = F.coalesce(F.col("size") <= gap, F.lit(False))
@@ -159,12 +162,24 @@ def mix_sources(docs: DataFrame, weights=cyclic_weights, share: float = 1.5, max
     miss = F.abs(left - F.col("size"))
     by_source = F.col("_source").eqNullSafe(F.col("_from"))
     picks = scratch.table(
-        placed(narrow).join(rounds, by_source, "left").where(~taken & (F.col("_rest") > 0) & (miss < left))
+        thin.join(rounds, by_source, "left").where(~taken & (F.col("_rest") > 0) & (miss < left))
         .groupBy(F.col("_source").alias("_of")).agg(F.min(F.struct(miss.alias("m"), "_key", "_nth")).alias("_pick"))
         .select("_of", F.col("_pick._key").alias("_pick_key"), F.col("_pick._nth").alias("_pick_nth")), "picks")
     extra = taken | F.coalesce(
         (F.col("_key") == F.col("_pick_key")) & (F.col("_nth") == F.col("_pick_nth")), F.lit(False))
-    done = (placed(sized).join(rounds, by_source, "left").join(picks, F.col("_source").eqNullSafe(F.col("_of")), "left")
+    # a number decides only between rows of one key, and only at a stop or a pick: whole texts are
+    # shuffled for those alone
+    turns = rounds.select("_from", F.explode("_rounds._stop_key").alias("_turn")).union(
+        picks.select("_of", "_pick_key")).where("_turn IS NOT NULL").distinct()
+    at_turn = F.col("_source").eqNullSafe(F.col("_from")) & (F.col("_key") == F.col("_turn"))
+    several = scratch.table(turns.join(thin.where("_nth = 2"), at_turn, "left_semi"), "several")
+    rows = wanted(sized)
+    if several.isEmpty():
+        rows = rows.withColumn("_nth", F.lit(1))
+    else:
+        rows = rows.join(several, at_turn, "left_anti").withColumn("_nth", F.lit(1)).unionByName(
+            numbered(rows.join(several, at_turn, "left_semi")))
+    done = (rows.join(rounds, by_source, "left").join(picks, F.col("_source").eqNullSafe(F.col("_of")), "left")
             .withColumn("times", (F.col("_whole") + F.when(extra, 1).otherwise(0)).cast("long"))
             .withColumn("taken", F.col("times") * F.col("size")))
     kept = done.select(*base.columns, "size", "source_size", "target", "times", "taken")

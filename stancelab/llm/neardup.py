@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
+from .idfilter import mark_suspects
 from .scratch import Scratch
 from .sketch import band_keys, sketches
 from .words import LOWER_CASE, SPACE_WORDS, Words, batches, grams, split_words
@@ -199,6 +200,8 @@ class _Linker:
         self.near = scratch.table(classes.join(members.select("cls").distinct(), "cls", "left_semi"), "near")
         wanted = self.near.select(F.col("doc_id").alias("_rep"), F.col("cls").alias("_cls"))
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        # only texts that may be asked for are shuffled
+        texts = mark_suspects(texts, "doc_id", wanted.select("_rep")).where("_suspect").drop("_suspect")
         texts = texts.join(wanted.select("_rep"), F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
         # a doc_id may stand for several texts: what counts is the text's own class
         texts = texts.select("text").mapInArrow(_digester(k), "cls binary, text string")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stancelab.llm import licenses
 from stancelab.llm.decontam import SuffixAutomaton, decontaminate, find_overlaps
+from stancelab.llm.idfilter import mark_suspects
 from stancelab.llm.licenses import KNOWN, known_digests, scan_licenses
 from stancelab.llm.mixing import mix_sources, repeat_documents
 from stancelab.llm.neardup import near_duplicates
@@ -202,6 +203,45 @@ def test_mix_weights_and_repetition(spark, empty):
     assert mix_sources(empty).count() == 0
 
 
+def test_mix_numbers_rows_of_one_key_without_moving_texts(spark, docs):
+    """Whole texts are in no window, unless a stop falls between rows of one doc_id and text."""
+    plan = mix_sources(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
+    rows = [(1, "a b c", "x")] * 7 + [(i, "d e", "x") for i in range(2, 4)] + [(9, "q", None)] * 5
+    table = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], f"{SCHEMA}, n int").repartition(3)
+    got = mix_sources(table, lambda s: s.withColumn("weight", F.lit(1.0)), share=0.6, max_epochs=1.0).collect()
+    assert sorted(r["n"] for r in got) == list(range(len(rows)))
+    for source, size in (("x", 25), (None, 5)):
+        own = [r for r in got if r["source"] == source]
+        target = own[0]["target"]
+        assert own[0]["source_size"] == size and abs(sum(r["taken"] for r in own) - target) <= 1.5
+    assert {r["times"] for r in got if r["doc_id"] == 1} == {0, 1}
+
+
+def test_suspects(spark):
+    rows = spark.createDataFrame([(i if i else None, f"t{i}") for i in range(2000)], "doc_id long, text string")
+    ids = spark.createDataFrame([(i,) for i in range(500, 600)] + [(None,), (7,), (7,)], "of long")
+    got = {r["text"]: r["_suspect"] for r in mark_suspects(rows, "doc_id", ids).collect()}
+    wanted = {f"t{i}" for i in [0, 7, *range(500, 600)]}
+    assert len(got) == 2000 and all(got[t] for t in wanted)
+    assert sum(got.values()) - len(wanted) <= 3
+    assert not any(r["_suspect"] for r in mark_suspects(rows, "doc_id", ids.limit(0)).collect())
+
+
+def test_near_copies_are_dropped_by_id(spark):
+    """Only rows whose id may have a row to drop are joined; repeated and null ids share their fate."""
+    import corpus_pipeline
+    base = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, base, "x"), (2, base + " more", "x"), (2, base, "y"), (3, "quite another text of some words", None),
+            (None, base, "z"), (None, "of its own, with five words", "z"), (4, None, "z"), (5, base, "x"), (5, "only this one is kept", "x")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    out = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert "bitmap_construct_agg" in out._jdf.queryExecution().optimizedPlan().toString()
+    kept = {r["doc_id"] for r in near_duplicates(docs).where("kept").collect()}
+    assert kept == {1, 3, None, 4, 5}
+    assert as_is([tuple(r) for r in out.collect()]) == as_is([r for r in rows if r[0] in kept])
+
+
 def test_shards_are_gapless_stable_and_near_even(spark, docs, empty):
     got = shard_documents(docs, 6).collect()
     assert len(got) == len(ROWS) and "spans" in got[0].asDict()
