@@ -42,6 +42,8 @@ WIDE_BAND = 48
 #: candidates: a linked pair fails this with probability under 1e-6.
 DEVIATIONS = 5.2
 BITS = 4
+#: Rows of an Arrow batch: they hold one or two whole texts each.
+TEXT_ROWS = 1000
 
 
 def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -207,7 +209,7 @@ class _Linker:
         texts = texts.select("text").mapInArrow(_digester(k), "cls binary, text string")
         self.texts = scratch.table(
             texts.join(wanted.select(F.col("_cls").alias("cls")), "cls", "left_semi")
-            .groupBy("cls").agg(F.first("text").alias("text")), "texts")
+            .groupBy("cls").agg(F.first("text").alias("text")), "texts", batch_rows=TEXT_ROWS)
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """The rows of ``pairs``, all binary columns, whose a and b reach the threshold on full sets."""
@@ -256,7 +258,7 @@ class _Linker:
         lab = self.scratch.table(lab.join(main.select("key", F.col("top.root").alias("main")), "key"), "apart")
         info = self.near.select("cls", "n", "bands", "bits")
         a = (lab.where("root <> main").join(info, "cls")
-             .join(self.scratch.table(self.private(lab), "private"), "cls", "left").alias("a"))
+             .join(self.scratch.table(self.private(lab), "private", batch_rows=TEXT_ROWS), "cls", "left").alias("a"))
         b = lab.join(info, "cls").alias("b")
         need = (F.col("a.n") + F.col("b.n")) * F.lit(s)
         most = (F.col("a.n") - F.coalesce("a.private", F.lit(0))) * F.lit(100 + s)
@@ -275,7 +277,8 @@ class _Linker:
         that classes are connected, and only classes of unequal labels are compared further."""
         seeded = self.members.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "cls"), "cls")).alias("lead"))
         pairs = self.members.join(seeded.select("key", F.col("lead.cls").alias("leader")), "key")
-        first = self.scratch.table(self.star(pairs.where("cls <> leader").select("cls", "leader")), "star1")
+        first = self.scratch.table(self.star(pairs.where("cls <> leader").select("cls", "leader")), "star1",
+                                   batch_rows=TEXT_ROWS)
         # a class is linked to its leader, and that to its own
         labels = self.near.select("cls").join(first.select(F.col("a").alias("cls"), F.col("b").alias("to")), "cls", "left")
         labels = labels.select("cls", F.coalesce("to", "cls").alias("to")).join(
@@ -286,11 +289,13 @@ class _Linker:
         lead = lab.join(chosen, "cls", "left").groupBy("key").agg(
             F.max(F.struct(F.coalesce("votes", F.lit(0)), "cls", "root")).alias("top"))
         pairs = lab.join(lead.select("key", F.col("top.cls").alias("leader"), F.col("top.root").alias("lead_root")), "key")
-        second = self.scratch.table(self.star(pairs.where("root <> lead_root").select("cls", "leader")), "star2")
+        second = self.scratch.table(self.star(pairs.where("root <> lead_root").select("cls", "leader")), "star2",
+                                    batch_rows=TEXT_ROWS)
         into = second.join(labels.withColumnsRenamed({"cls": "a"}), "a").join(
             labels.withColumnsRenamed({"cls": "b", "root": "into"}), "b").groupBy("root").agg(F.min("into").alias("into"))
         merged = labels.join(into, "root", "left").select("cls", F.coalesce("into", "root").alias("root"))
-        return first.union(second).union(self.scratch.table(self.apart(self.labelled(merged)), "apart-links"))
+        return first.union(second).union(
+            self.scratch.table(self.apart(self.labelled(merged)), "apart-links", batch_rows=TEXT_ROWS))
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
@@ -309,7 +314,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "neardup")
-    rows = scratch.table(sketch_documents(docs, shingle_words), "sketches")
+    rows = scratch.table(sketch_documents(docs, shingle_words), "sketches", batch_rows=TEXT_ROWS)
     linker = _Linker(docs, rows, shingle_words, percent, scratch)
     roots = components(linker.links(), scratch)
     by_class = linker.classes.select("cls", "doc_id").join(

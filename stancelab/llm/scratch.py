@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +25,21 @@ def ready(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join([*parts, _ROOT])
 
 
+@contextmanager
+def _batches_of(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """The session's limit of rows a batch, lowered to ``rows`` meanwhile."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if rows is None or 0 < int(before) <= rows:
+        yield
+        return
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Scratch:
     """Tables of one run under ``spark.checkpoint.dir``; each survives the loss of any executor."""
 
@@ -32,11 +49,16 @@ class Scratch:
         self.root = f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
 
-    def table(self, df: DataFrame, tag: str = "t", compression: str = "snappy") -> DataFrame:
-        """Write ``df`` and read it back: one job, a plan cut, sizes known to the planner."""
+    def table(self, df: DataFrame, tag: str = "t", compression: str = "snappy",
+              batch_rows: int | None = None) -> DataFrame:
+        """Write ``df`` and read it back: one job, a plan cut, sizes known to the planner.
+
+        ``batch_rows``: rows of an Arrow batch in this job, at most; for rows that hold whole texts.
+        """
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{tag}"
-        df.write.parquet(path, compression=compression)
+        with _batches_of(self.spark, batch_rows):
+            df.write.parquet(path, compression=compression)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

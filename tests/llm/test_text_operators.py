@@ -228,6 +228,24 @@ def test_suspects(spark):
     assert not any(r["_suspect"] for r in mark_suspects(rows, "doc_id", ids.limit(0)).collect())
 
 
+def test_texts_go_to_python_in_small_batches(spark):
+    import pyarrow as pa
+
+    from stancelab.llm.scratch import Scratch
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+
+    def rows_of(frames):
+        for b in frames:
+            yield pa.record_batch({"n": pa.array([b.num_rows], pa.int64())})
+
+    sizes = spark.range(0, 2500, 1, 1).mapInArrow(rows_of, "n long")
+    scratch = Scratch(spark, "test-batches")
+    assert [r["n"] for r in scratch.table(sizes, batch_rows=1000).collect()] == [1000, 1000, 500]
+    assert spark.conf.get(name) == before
+    assert [r["n"] for r in scratch.table(sizes).collect()] == [2500]
+
+
 def test_near_copies_are_dropped_by_id(spark):
     """Only rows whose id may have a row to drop are joined; repeated and null ids share their fate."""
     import corpus_pipeline
