@@ -23,6 +23,9 @@ class IdLists:
         self.used += len(ids)
         self.count += len(ends)
 
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self._ids[self._ends[i - 1] if i else 0:self._ends[i]]
+
     def take(self, at: np.ndarray, cuts: np.ndarray) -> list[np.ndarray]:
         """The lists ``at`` end to end, cut before the lists with the numbers ``cuts``; -1 counts as empty."""
         to = self._ends[at]

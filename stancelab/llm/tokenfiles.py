@@ -21,9 +21,10 @@ import re
 import struct
 import uuid
 import zlib
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -122,9 +123,10 @@ class TokenFile:
 #: Encoded words that a worker keeps between batches, about 200 bytes each.
 WORDS_KEPT = 1_000_000
 IDS_KEPT = 1 << 23
-#: A word of ASCII or Latin-1 letters, and a mark between one and a blank.
+#: A word of ASCII or Latin-1 letters; such runs, digits and runs of ASCII marks but the apostrophe.
 _PLAIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
-_MARK = re.compile(rb"(?<=[a-z])([.,]) ")
+_RUN = re.compile(_PLAIN.pattern + rb"|[0-9]|[!-&(-/:-@\[-`{-~]+")
+_LETTERS = r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def words_are_pieces(path: str) -> bool:
@@ -150,10 +152,23 @@ def words_are_pieces(path: str) -> bool:
             and pattern(normal[1]) == r"\s+" and normal[1].get("content") == " "
             and [c.get("type") for c in cuts] == ["Split", "ByteLevel"]
             and cuts[0].get("invert") is True and cuts[0].get("behavior") == "Removed"
-            and (pattern(cuts[0]) or "").endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+            and (pattern(cuts[0]) or "").endswith(_LETTERS)
             and not cuts[1].get("add_prefix_space") and not cuts[1].get("use_regex"))
 
 
+def _blank_before_marks(texts: list[bytes]) -> list[bytes]:
+    """The texts in lower case (A-Z), with a blank before a full stop or comma that ends a word after a-z."""
+    joined = b"".join([t + b"\n" for t in texts]).lower()
+    data = np.frombuffer(joined, np.uint8)
+    mark, after = data[1:-1], data[2:]
+    marks = np.flatnonzero(((mark == 0x2E) | (mark == 0x2C)) & ((after == 0x20) | (after == 0x0A))
+                           & (data[:-2] - np.uint8(0x61) < 26)) + 1
+    off = np.cumsum([0, *[len(t) + 1 for t in texts]])
+    off += np.searchsorted(marks, off)
+    joined = np.insert(data, marks, 0x20).tobytes()
+    return [joined[x:y] for x, y in zip(off, off[1:])]
+
+
 class Encoder:
     """Token ids of whole texts, encoding each distinct word once.
 
@@ -161,7 +176,8 @@ class Encoder:
     from punctuation before merging: a text's ids then are those of its words end to end.  Words
     end at ASCII white space.  A word of plain letters goes, lower-cased and without the
     punctuation that ends it, through the same merges without the normalizer and the pattern,
-    many at a time; all other words go through the whole tokenizer.  Otherwise, and with a file that
+    many at a time; one of several runs of plain letters, digits and ASCII marks has the ids of its
+    runs end to end; all other words go through the whole tokenizer.  Otherwise, and with a file that
     is not of this kind (:func:`words_are_pieces`), whole texts do.
     """
 
@@ -174,6 +190,10 @@ class Encoder:
         if by_piece:
             with open(path, encoding="utf-8") as f:
                 spec = json.load(f)
+            self._added = [t["content"].encode() for t in spec.get("added_tokens") or []]
+            # what the pattern looks for before letters must begin with an apostrophe, which no run has
+            cuts = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].removesuffix(_LETTERS)
+            self._by_run = all(c.startswith("'") for c in cuts.split("|"))
             spec |= {"normalizer": None, "added_tokens": [], "post_processor": None, "pre_tokenizer": {
                 "type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {
                     "type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
@@ -187,38 +207,58 @@ class Encoder:
         if not self._by_piece:
             got = self._tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
             return [np.array(e.ids, "<u4") for e in got]
-        # in lower case and with a blank before the mark that ends a word, there are fewer different words
-        split = [_MARK.sub(rb" \1 ", t.lower()).split() for t in texts]
-        words = set().union(*split)
-        missing = words.difference(self._kept)
-        if len(self._kept) + len(missing) > WORDS_KEPT or self._ids.used > IDS_KEPT:
+        if len(self._kept) > WORDS_KEPT or self._ids.used > IDS_KEPT:
             self._forget()
-            missing = words
-        self._learn(missing)
+        # in lower case and with a blank before the mark that ends a word, there are fewer different words
+        split = [t.split() for t in _blank_before_marks(texts)]
         n = [len(ws) for ws in split]
-        at = np.fromiter(map(self._kept.__getitem__, chain.from_iterable(split)), np.int64, sum(n))
+        try:
+            # a word not seen before gets the next number
+            at = np.fromiter(map(self._kept.__getitem__, chain.from_iterable(split)), np.int64, sum(n))
+            self._learn()
+        except BaseException:
+            self._forget()  # else words would have numbers but no ids
+            raise
         return self._ids.take(at, np.cumsum([0, *n]))
 
     def _forget(self) -> None:
-        self._kept: dict[bytes, int] = {}
+        self._kept: defaultdict[bytes, int] = defaultdict(count().__next__)
         self._ids = IdLists()
 
-    def _keep(self, words: list[bytes], ids: np.ndarray, ends: np.ndarray) -> None:
-        self._kept.update(zip(words, range(self._ids.count, self._ids.count + len(words))))
-        self._ids.add(ids, ends)
-
-    def _learn(self, words: set[bytes]) -> None:
-        plain = [w for w in words if w.isalpha() or _PLAIN.fullmatch(w)]  # bytes: isalpha is A-Z and a-z
+    def _new(self) -> list[bytes]:
+        """The words that have a number but no ids yet, in order."""
+        return [*islice(reversed(self._kept), len(self._kept) - self._ids.count)][::-1]
+
+    def _learn(self) -> None:
+        """Gives every numbered word its ids."""
+        first, runs = self._ids.count, {}
+        for number, w in enumerate(self._new(), first):
+            if self._by_run and not w.isalpha():  # bytes: isalpha is A-Z and a-z
+                own = _RUN.findall(w)
+                if len(own) > 1 and sum(map(len, own)) == len(w) and not any(t in w for t in self._added):
+                    runs[number] = [self._kept[r] for r in own]
+        new = self._new()
+        if not new:
+            return
+        ids: list[np.ndarray] = [np.zeros(0, np.int64)] * len(new)
+        plain = [i for i, w in enumerate(new) if w.isalpha() or _PLAIN.fullmatch(w)]
         for at in range(0, len(plain), 500):
             some = plain[at:at + 500]
-            got = self._merges.encode_batch_fast([b" ".join(some).decode().lower()], add_special_tokens=False)[0]
-            ids = np.array(got.ids, np.int64)
-            self._keep(some, ids, np.flatnonzero(self._last[ids]) + 1)
-        rest = [*words.difference(plain)]
+            got = self._merges.encode_batch_fast([b" ".join([new[i] for i in some]).decode().lower()], add_special_tokens=False)[0]
+            all_ids = np.array(got.ids, np.int64)
+            ends = (np.flatnonzero(self._last[all_ids]) + 1).tolist()
+            for i, x, y in zip(some, [0, *ends[:-1]], ends, strict=True):
+                ids[i] = all_ids[x:y]
+        known = {*plain, *[n - first for n in runs]}
+        rest = [i for i in range(len(new)) if i not in known]
         for at in range(0, len(rest), 20_000):
             some = rest[at:at + 20_000]
-            got = [e.ids for e in self._tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)]
-            self._keep(some, np.fromiter(chain.from_iterable(got), np.int64), np.cumsum([len(x) for x in got]))
+            got = self._tokenizer.encode_batch_fast([new[i].decode() for i in some], add_special_tokens=False)
+            for i, e in zip(some, got):
+                ids[i] = np.array(e.ids, np.int64)
+        for number, own in runs.items():
+            ids[number - first] = np.concatenate([ids[r - first] if r >= first else self._ids[r] for r in own])
+        self._ids.add(np.concatenate(ids), np.cumsum([len(x) for x in ids]))
 
 
 @lru_cache(maxsize=2)

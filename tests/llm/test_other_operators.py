@@ -168,6 +168,32 @@ def test_token_file_round_trip_and_damage():
     assert len(TokenFile(sink, len(sink.getvalue()))) == 0
 
 
+def test_words_of_several_runs_are_encoded_by_run():
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    from stancelab.llm.tokenfiles import Encoder
+    path = public.path("word_bpe_49k.json")
+    encoder, plain, asked = Encoder(path), Tokenizer.from_file(path), []
+
+    class Whole:
+        def encode_batch_fast(self, words, **options):
+            asked.extend(words)
+            return plain.encode_batch_fast(words, **options)
+
+    encoder._tokenizer = Whole()
+    texts = ["Alpha*** beta,### gamma. Delta.", "555-3382 x@y.z (naïve) É.É", "don't 'tis a's. o'&", "", ".", "a.",
+             "½. a.\u0301 e\u0301. 日本, ß.ÿ", "a<|endoftext|>b <|endoftext|> <|x|>", "alpha*** zeta%%% 5. 6, ..., a. \ta,\nb."]
+    for _ in range(2):
+        got = encoder.encode([t.encode() for t in texts])
+        assert [list(x) for x in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(asked) == len(set(asked))
+    # letters and ASCII marks are known by themselves; only what the pattern may cut otherwise goes through it whole
+    assert not any(w.isascii() and len(w) > 1 and any(c.isalnum() for c in w) for w in asked
+                   if "'" not in w and "<|endoftext|>" not in w)
+    assert {"don't", "***", "a<|endoftext|>b"} <= set(asked)
+
+
 def test_written_tokens(spark, tmp_path):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
