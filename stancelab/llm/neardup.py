@@ -6,10 +6,10 @@
 3. Classes that share a band are candidates.  A band's classes are never paired with one another:
    - two rounds of stars link each class to the leader it most likely belongs to (first a seeded
      leader per band, then, for classes still apart from it, the one most classes chose);
-   - what still lies apart within a band is compared exactly: classes outside the band's largest
-     component against all its classes, except pairs that a bound proves unlinked.  A pair can
-     reach the threshold s only if it shares s / (1 + s) * (|A| + |B|) shingles, and it cannot
-     share those that no other component has.
+   - what still lies apart within a narrow band is compared exactly: classes outside the band's
+     largest component against all its classes;
+   - wide bands with the same largest component are searched together, by the differences of their
+     classes to one class of it, the pivot (:meth:`_Linker.across`).
    So every linked pair that shares a band ends in one component.  With 32 bands of 4 rows a pair
    at similarity 0.85 is missed with probability 5e-11 (0.80: 5e-8).
 4. Every link is confirmed on the full shingle sets.
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,7 +35,7 @@ _U = np.uint64
 
 COORDINATES = 128
 ROWS = 4
-#: Bands with more classes use the bound on shared shingles; a matter of cost, not of results.
+#: Bands with more classes are searched by differences to a pivot; a matter of cost, not of results.
 WIDE_BAND = 48
 #: Four bits of each coordinate are kept; they agree with probability q = s + (1 - s) / 16.  Pairs that
 #: agree in fewer coordinates than so many deviations below the mean at the threshold are no
@@ -131,29 +131,20 @@ def _confirmer(k: int, percent: int):
     return run
 
 
-def _shingle_roots(k: int):
-    """Each shingle of a batch once, with the least and greatest component that has it there."""
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for f in batches(frames, "text", 16 << 20):
-            g, bounds = shingle_sets(split_words(f.column("text"), SPACE_WORDS, LOWER_CASE), k)
-            root, at = np.unique(np.array(f.column("root").to_pylist(), dtype=object), return_inverse=True)
-            owner = np.repeat(at, np.diff(bounds))
-            order = np.lexsort((owner, g))
-            g, owner = g[order], owner[order]
-            heads = np.flatnonzero(np.diff(g, prepend=g[:1] + _U(1))) if len(g) else np.zeros(0, np.int64)
-            tails = np.append(heads[1:], len(g)) - 1
-            yield pa.record_batch({"shingle": pa.array(g[heads].view(np.int64)),
-                                   "r0": pa.array(root[owner[heads]].tolist(), pa.binary()),
-                                   "r1": pa.array(root[owner[tails]].tolist(), pa.binary())})
-    return run
-
-
-def _shingle_rows(k: int):
+def _differences(k: int):
+    """For each class the sizes of its own and its pivot's shingle set, and what only one of them has."""
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for f in batches(frames, "text"):
-            g, bounds = shingle_sets(split_words(f.column("text"), SPACE_WORDS, LOWER_CASE), k)
-            yield pa.record_batch({"cls": f.column("cls").take(pa.array(np.repeat(np.arange(f.num_rows), np.diff(bounds)))),
-                                   "shingle": pa.array(g.view(np.int64))})
+            v, o = shingle_sets(split_words(f.column("text"), SPACE_WORDS, LOWER_CASE), k)
+            _, heads, at = np.unique(np.array(f.column("pivot").to_pylist(), dtype=object),
+                                     return_index=True, return_inverse=True)
+            pv, po = shingle_sets(split_words(f.column("pivot_text").take(pa.array(heads)), SPACE_WORDS, LOWER_CASE), k)
+            apart = [np.setxor1d(v[o[i]:o[i + 1]], pv[po[j]:po[j + 1]], assume_unique=True) for i, j in enumerate(at)]
+            off = np.cumsum([0, *[len(x) for x in apart]]).astype(np.int32)
+            yield pa.record_batch({
+                "main": f.column("main"), "cls": f.column("cls"), "root": f.column("root"),
+                "n": pa.array(np.diff(o).astype(np.int64)), "m": pa.array(np.diff(po)[at].astype(np.int64)),
+                "items": pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(apart).view(np.int64)))})
     return run
 
 
@@ -234,19 +225,53 @@ class _Linker:
         """The members with their classes' labels."""
         return self.scratch.table(self.members.join(labels, "cls"), "labelled")
 
-    def private(self, lab: DataFrame) -> DataFrame:
-        """(cls, private): shingles of the classes to compare that no other component has.
-
-        Only for classes in wide bands, where many pairs are to be ruled out."""
-        wide = lab.where(F.col("size") > WIDE_BAND)
-        texts = wide.select("cls", "root").distinct().join(self.texts, "cls").select("root", "text")
-        alone = texts.mapInArrow(_shingle_roots(self.k), "shingle long, r0 binary, r1 binary").groupBy("shingle").agg(
-            F.min("r0").alias("r0"), F.max("r1").alias("r1")).where("r0 = r1").select("shingle")
-        asked = wide.where("root <> main").select("cls").distinct().join(self.texts, "cls").select("cls", "text")
-        return asked.mapInArrow(_shingle_rows(self.k), "cls binary, shingle long").join(
-            alone, "shingle", "left_semi").groupBy("cls").agg(F.count(F.lit(1)).alias("private"))
-
-    def apart(self, lab: DataFrame) -> DataFrame:
+    def across(self, wide: DataFrame, pivots: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """What may be linked in wide bands: (a, b) labels found linked, (a, b, ra, rb) pairs to confirm.
+
+        Let D(X) be the shingles that only one of X and the pivot P has.  X and Y are linked if
+        |D(X) ^ D(Y)| <= c (|X| + |Y|), c = (100 - percent) / (100 + percent).  All X with
+        |D(X)| <= c (|X| + |P|) are linked to P and thus one component.  Any other X is linked to Y only
+        if D(X) and D(Y) share (|D(X)| + |D(Y)| - c (|X| + |Y|)) / 2 items.  That is more than
+        (|D(X)| - c (|X| + |P|)) / 2 and more than (|D(Y)| - c (|Y| - |P|)) / 2.  So with the items of
+        each in one order, rarest first, a linked pair shares one of the first that leave fewer than
+        this; where its first shared item stands bounds what it can share.  Items of one component
+        alone count as rarest.
+        """
+        plus, minus = F.lit(100 + self.percent), F.lit(100 - self.percent)
+        rows = (wide.select("main", "cls", "root").distinct().join(pivots, "main")
+                .join(self.texts.select(F.col("cls").alias("pivot"), F.col("text").alias("pivot_text")), "pivot")
+                .join(self.texts, "cls").select("main", "cls", "root", "pivot", "text", "pivot_text"))
+        diffs = self.scratch.table(rows.mapInArrow(
+            _differences(self.k), "main binary, cls binary, root binary, n long, m long, items array<long>"),
+            "differences", batch_rows=TEXT_ROWS)
+        over = F.size("items") * plus - (F.col("n") + F.col("m")) * minus
+        diffs = diffs.withColumns({"d": F.size("items").cast("long"), "rest": over > 0})
+        diffs = diffs.withColumn("side", F.when(F.col("rest"), F.col("root")).otherwise(F.col("main")))
+        linked = diffs.where("NOT rest AND root <> main").select(F.col("root").alias("a"), F.col("main").alias("b"))
+        sides = diffs.groupBy("main").agg(F.min("side").alias("lo"), F.max("side").alias("hi"))
+        diffs = diffs.join(sides.where("lo <> hi").select("main"), "main", "left_semi")
+        items = diffs.select("main", "cls", "side", "n", "m", "d", "rest", F.explode("items").alias("item"))
+        shared = items.groupBy("main", "item").agg(
+            F.count(F.lit(1)).alias("often"), F.min("side").alias("lo"), F.max("side").alias("hi"))
+        own = Window.partitionBy("main", "cls")
+        ranked = items.join(shared.where("lo <> hi").select("main", "item", "often"), ["main", "item"]).withColumn(
+            "rank", F.col("d") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("often", "item")))
+        # items that a linked pair shares at least, told by one of the two
+        first = F.ceil((F.col("d") * plus - (F.col("n") + F.col("m")) * minus) / (2 * plus))
+        other = F.ceil((F.col("d") * plus - (F.col("n") - F.col("m")) * minus) / (2 * plus))
+        ranked = ranked.withColumn("left", F.col("d") - F.col("rank")).withColumns({
+            "as_first": F.col("rest") & (F.col("left") + 1 >= first),
+            "as_other": F.col("left") + 1 >= F.greatest(F.lit(1), other, F.when(F.col("rest"), first))})
+        ranked = self.scratch.table(ranked.where("as_first OR as_other"), "ranked")
+        a, b = ranked.where("as_first").alias("a"), ranked.where("as_other").alias("b")
+        need = (F.col("a.d") + F.col("b.d")) * plus - (F.col("a.n") + F.col("b.n")) * minus
+        pairs = a.join(b, (F.col("a.main") == F.col("b.main")) & (F.col("a.item") == F.col("b.item"))
+                       & (F.col("a.side") != F.col("b.side")) & (~F.col("b.rest") | (F.col("a.cls") < F.col("b.cls")))
+                       & ((F.least("a.left", "b.left") + 1) * 2 * plus >= need))
+        return linked, pairs.select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b"),
+                                    F.col("a.side").alias("ra"), F.col("b.side").alias("rb")).distinct()
+
+    def apart(self, lab: DataFrame, pivots: DataFrame) -> DataFrame:
         """Links between the labels of classes that still share a band, each pair of labels once.
 
         A label is a class that its classes are known to be connected to, so this links whole
@@ -256,25 +281,22 @@ class _Linker:
         main = per.groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"),
                                       F.count(F.lit(1)).alias("parts")).where("parts > 1")
         lab = self.scratch.table(lab.join(main.select("key", F.col("top.root").alias("main")), "key"), "apart")
-        info = self.near.select("cls", "n", "bands", "bits")
-        a = (lab.where("root <> main").join(info, "cls")
-             .join(self.scratch.table(self.private(lab), "private", batch_rows=TEXT_ROWS), "cls", "left").alias("a"))
-        b = lab.join(info, "cls").alias("b")
-        need = (F.col("a.n") + F.col("b.n")) * F.lit(s)
-        most = (F.col("a.n") - F.coalesce("a.private", F.lit(0))) * F.lit(100 + s)
+        narrow = lab.where(F.col("size") <= WIDE_BAND).join(self.near.select("cls", "n", "bands", "bits"), "cls")
+        a, b = narrow.where("root <> main").alias("a"), narrow.alias("b")
         pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root"))
                        & ((F.col("b.root") == F.col("b.main")) | (F.col("a.cls") < F.col("b.cls")))
                        & (F.col("a.n") * 100 >= F.col("b.n") * s) & (F.col("b.n") * 100 >= F.col("a.n") * s)
-                       & ((F.col("a.size") <= WIDE_BAND) | (most >= need))
                        & (_agreement("a", "b") >= self.least_bits)
                        & (_first_shared_band("a", "b") == F.col("a.band")))
+        linked, wide = self.across(lab.where(F.col("size") > WIDE_BAND), pivots)
         found = self.confirm(pairs.select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b"),
-                                          F.col("a.root").alias("ra"), F.col("b.root").alias("rb")))
-        return found.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+                                          F.col("a.root").alias("ra"), F.col("b.root").alias("rb")).union(wide))
+        return found.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).union(linked).distinct()
 
     def links(self) -> DataFrame:
-        """All confirmed links.  Labels on the way need not be whole components: equal labels say
-        that classes are connected, and only classes of unequal labels are compared further."""
+        """Links with the components of all confirmed ones.  Equal labels say that classes are
+        connected, and only classes of unequal labels are compared further.  In the first round
+        labels need not be whole components."""
         seeded = self.members.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "cls"), "cls")).alias("lead"))
         pairs = self.members.join(seeded.select("key", F.col("lead.cls").alias("leader")), "key")
         first = self.scratch.table(self.star(pairs.where("cls <> leader").select("cls", "leader")), "star1",
@@ -283,19 +305,23 @@ class _Linker:
         labels = self.near.select("cls").join(first.select(F.col("a").alias("cls"), F.col("b").alias("to")), "cls", "left")
         labels = labels.select("cls", F.coalesce("to", "cls").alias("to")).join(
             first.select(F.col("a").alias("to"), F.col("b").alias("next")), "to", "left")
-        labels = self.scratch.table(labels.select("cls", F.coalesce("next", "to").alias("root")), "labels")
-        lab = self.labelled(labels)
+        lab = self.labelled(self.scratch.table(labels.select("cls", F.coalesce("next", "to").alias("root")), "labels"))
         chosen = first.groupBy(F.col("b").alias("cls")).agg(F.count(F.lit(1)).alias("votes"))
         lead = lab.join(chosen, "cls", "left").groupBy("key").agg(
             F.max(F.struct(F.coalesce("votes", F.lit(0)), "cls", "root")).alias("top"))
         pairs = lab.join(lead.select("key", F.col("top.cls").alias("leader"), F.col("top.root").alias("lead_root")), "key")
         second = self.scratch.table(self.star(pairs.where("root <> lead_root").select("cls", "leader")), "star2",
                                     batch_rows=TEXT_ROWS)
-        into = second.join(labels.withColumnsRenamed({"cls": "a"}), "a").join(
-            labels.withColumnsRenamed({"cls": "b", "root": "into"}), "b").groupBy("root").agg(F.min("into").alias("into"))
-        merged = labels.join(into, "root", "left").select("cls", F.coalesce("into", "root").alias("root"))
-        return first.union(second).union(
-            self.scratch.table(self.apart(self.labelled(merged)), "apart-links", batch_rows=TEXT_ROWS))
+        found = components(first.union(second), self.scratch).select(F.col("node").alias("cls"), "root")
+        labels = self.scratch.table(self.near.select("cls").join(found, "cls", "left").select(
+            "cls", F.coalesce("root", "cls").alias("root")), "merged")
+        # of each label the class that most classes chose
+        pivots = labels.join(chosen, "cls", "left").groupBy(F.col("root").alias("main")).agg(
+            F.max(F.struct(F.coalesce("votes", F.lit(0)), "cls")).alias("top"))
+        known = labels.where("cls <> root").select(F.col("cls").alias("a"), F.col("root").alias("b"))
+        return known.union(self.scratch.table(
+            self.apart(self.labelled(labels), pivots.select("main", F.col("top.cls").alias("pivot"))), "apart-links",
+            batch_rows=TEXT_ROWS))
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:

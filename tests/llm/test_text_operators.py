@@ -73,6 +73,32 @@ def test_near_duplicates(docs, k, percent):
     assert len({c for _, _, c in want}) < len(ROWS) - 5
 
 
+def test_near_duplicates_of_a_large_group_alike_but_apart(spark, monkeypatch):
+    """What is compared within a group of texts that are all alike does not grow with its square."""
+    from stancelab.llm import neardup
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(400):
+        own = list(base)
+        for at in rng.sample(range(150), rng.randint(0, 9)):
+            own[at] = f"x{rng.randrange(10 ** 6)}"
+        rows.append((i * 7 % 400, " ".join(own)))
+    compared, confirm = [], neardup._Linker.confirm
+
+    def counted(self, pairs):
+        compared.append(pairs.count())
+        return confirm(self, pairs)
+
+    monkeypatch.setattr(neardup._Linker, "confirm", counted)
+    got = listed(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85),
+                 "doc_id", "n_shingles", "component_id", "kept")
+    want = brute.near(rows, 3, 85)
+    assert got == as_is((d, n, c, d == c) for d, n, c in want)
+    assert 100 < len({c for _, _, c in want}) < 300
+    assert max(compared) <= 3 * len(rows), compared
+
+
 def test_near_duplicates_null_ids_and_empty(spark, empty):
     rows = [(None, "a b c d"), (None, "a b c d"), (7, "a b c d"), (None, "other words here"), (None, None)]
     got = listed(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85),
