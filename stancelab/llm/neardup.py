@@ -250,7 +250,9 @@ class _Linker:
         linked = diffs.where("NOT rest AND root <> main").select(F.col("root").alias("a"), F.col("main").alias("b"))
         sides = diffs.groupBy("main").agg(F.min("side").alias("lo"), F.max("side").alias("hi"))
         diffs = diffs.join(sides.where("lo <> hi").select("main"), "main", "left_semi")
-        items = diffs.select("main", "cls", "side", "n", "m", "d", "rest", F.explode("items").alias("item"))
+        # a row for each item, once; dealt by class, so that no task gets all items of a large group
+        items = self.scratch.table(diffs.repartition("main", "cls").select(
+            "main", "cls", "side", "n", "m", "d", "rest", F.explode("items").alias("item")), "items")
         shared = items.groupBy("main", "item").agg(
             F.count(F.lit(1)).alias("often"), F.min("side").alias("lo"), F.max("side").alias("hi"))
         own = Window.partitionBy("main", "cls")

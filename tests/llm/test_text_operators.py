@@ -99,6 +99,45 @@ def test_near_duplicates_of_a_large_group_alike_but_apart(spark, monkeypatch):
     assert max(compared) <= 3 * len(rows), compared
 
 
+def test_near_duplicates_cuts_a_large_group_into_items_once_and_in_many_tasks(spark, monkeypatch):
+    """The items of a group grow as its texts do, each is a row once, and no task has most of them."""
+    from pyspark.sql import functions as F
+
+    from stancelab.llm import neardup
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(300):
+        own = list(base)
+        for at in rng.sample(range(150), rng.randint(6, 9)):
+            own[at] = f"x{rng.randrange(10 ** 6)}"
+        rows.append((i, " ".join(own)))
+    cuts, table = [], neardup.Scratch.table
+
+    def watched(self, df, tag="t", **how):
+        if n := df._jdf.queryExecution().optimizedPlan().toString().count("Generate explode(items"):
+            tasks = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+            cuts.append((n, sum(tasks), max(tasks)))
+        return table(self, df, tag, **how)
+
+    monkeypatch.setattr(neardup.Scratch, "table", watched)
+    monkeypatch.setattr(neardup, "WIDE_BAND", 4)  # all but the smallest bands are searched by differences
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        for n in (150, 300):
+            near_duplicates(spark.createDataFrame(rows[:n], "doc_id long, text string"), 3, 85)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [c[0] for c in cuts] == [1, 1], cuts
+    few, many = (c[1] for c in cuts)
+    assert 0 < many <= 3 * few, cuts
+    assert cuts[1][2] <= many / 3, cuts
+
+
 def test_near_duplicates_null_ids_and_empty(spark, empty):
     rows = [(None, "a b c d"), (None, "a b c d"), (7, "a b c d"), (None, "other words here"), (None, None)]
     got = listed(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85),
