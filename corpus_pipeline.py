@@ -16,7 +16,7 @@ from stancelab.llm.idfilter import mark_suspects
 from stancelab.llm.mixing import mix_sources, repeat_documents
 from stancelab.llm.neardup import near_duplicates
 from stancelab.llm.others import packed, unpacked
-from stancelab.llm.scratch import Scratch
+from stancelab.llm.scratch import TEXT_ROWS, Scratch
 from stancelab.llm.shards import shard_documents
 from stancelab.llm.toxicity import score_documents, train
 
@@ -24,10 +24,21 @@ SHARDS = 24
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier calls toxic go; it is fitted on the labelled rows of ``docs``."""
+    """Documents that the classifier calls toxic go; it is fitted on the labelled rows of ``docs``.
+
+    What it calls toxic is noted first, by doc_id and digest of the text, so texts go to Python a few
+    rows at a time and none comes back.  Only rows that may have a noted id are joined with the notes;
+    the others stay where they are.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    scored = score_documents(packed(docs, "doc_id", "text"), train(docs, labels))
-    return unpacked(scored.where("predicted = 0").drop("score", "predicted"), docs.columns)
+    digest = F.sha2(F.col("text").cast("string"), 256)
+    scored = score_documents(docs.select("doc_id", "text", digest.alias("_digest")), train(docs, labels), keep_text=False)
+    noted = scored.where("predicted = 1").select(F.col("doc_id").alias("_id"), "_digest")
+    noted = Scratch(spark, "toxic").table(noted, batch_rows=TEXT_ROWS)
+    rows = mark_suspects(packed(docs, "doc_id", "text"), "doc_id", noted.select("_id"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (digest == F.col("_digest"))
+    asked = rows.where("_suspect").join(noted, same, "left_anti")
+    return unpacked(rows.where("NOT _suspect").unionByName(asked).drop("_suspect"), docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

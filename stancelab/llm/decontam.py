@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .others import packed, unpacked
-from .scratch import Scratch
+from .scratch import TEXT_ROWS, Scratch
 from .words import ALNUM_WORDS, LOWER_CASE, batches, split_words, text_bytes
 
 #: Words of benchmark items per automaton: about 300 bytes a word on every executor.
@@ -278,7 +278,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep_
                                T.StructField("items", T.ArrayType(T.StringType()))])
         rows = rows.mapInArrow(_scanner(shared, columns), schema)
         if not last:
-            rows = scratch.table(rows.drop("n_words"), "block")
+            rows = scratch.table(rows.drop("n_words"), "block", batch_rows=TEXT_ROWS)
             shared.destroy()
     signed = F.transform("spans", lambda at, i: F.when(i % 2 == 1, at).otherwise(-at))
     n_hit = F.aggregate(signed, F.lit(0).cast("long"), lambda total, at: total + at)
@@ -301,7 +301,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, cover
     columns = docs.columns
     found = find_overlaps(docs, benchmark, window, keep_text=True, block_words=block_words)
     mostly = F.col("n_hit") >= F.lit(coverage) * F.col("n_words")
-    hit = scratch.table(found.where((F.col("n_hit") == 0) | ~mostly), "found")
+    hit = scratch.table(found.where((F.col("n_hit") == 0) | ~mostly), "found", batch_rows=TEXT_ROWS)
     clean = hit.where("n_hit = 0").select(*columns)
     while True:
         dirty = hit.where("n_hit > 0")
@@ -312,5 +312,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, cover
         cut = dirty.mapInArrow(_cutter, T.StructType([dirty.schema[c] for c in order])).select(*columns)
         if "n_chars" in columns:
             cut = cut.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-        hit = scratch.table(find_overlaps(cut, benchmark, window, keep_text=True, block_words=block_words), "cut")
+        cut = scratch.table(cut, "left", batch_rows=TEXT_ROWS)  # else each task would hold two Python workers
+        hit = scratch.table(find_overlaps(cut, benchmark, window, keep_text=True, block_words=block_words), "cut",
+                            batch_rows=TEXT_ROWS)
         clean = clean.union(hit.where("n_hit = 0").select(*columns))

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from .components import components
 from .idfilter import mark_suspects
-from .scratch import Scratch
+from .scratch import TEXT_ROWS, Scratch
 from .sketch import band_keys, sketches
 from .words import LOWER_CASE, SPACE_WORDS, Words, batches, grams, split_words
 
@@ -42,8 +42,6 @@ WIDE_BAND = 48
 #: candidates: a linked pair fails this with probability under 1e-6.
 DEVIATIONS = 5.2
 BITS = 4
-#: Rows of an Arrow batch: they hold one or two whole texts each.
-TEXT_ROWS = 1000
 
 
 def shingle_sets(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:

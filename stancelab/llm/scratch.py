@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import checkpoint_dir
 
+#: Rows of an Arrow batch in jobs whose rows hold one or two whole texts each.
+TEXT_ROWS = 1000
+
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 

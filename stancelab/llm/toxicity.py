@@ -146,8 +146,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> BiGru:
     return fit([r["text"] for r in sample], np.array([r["toxic"] for r in sample]))
 
 
-def score_documents(docs: DataFrame, model: BiGru) -> DataFrame:
-    """``docs`` plus score (0 to 1) and predicted (score >= 0.5), from the text alone.
+def score_documents(docs: DataFrame, model: BiGru, keep_text: bool = True) -> DataFrame:
+    """``docs`` (text only with ``keep_text``) plus score (0 to 1) and predicted (score >= 0.5), from the text alone.
 
     Every window of every whole text is scored.  Null and empty texts, and texts without letters
     or digits, get the fixed score NO_WORDS.  Columns named score or predicted are replaced.
@@ -155,11 +155,13 @@ def score_documents(docs: DataFrame, model: BiGru) -> DataFrame:
     spark = docs.sparkSession
     ready(spark)
     every, docs = docs.columns, packed(docs, "doc_id", "text").withColumn("text", F.col("text").cast("string"))
+    kept = [c for c in docs.columns if c != "text" or keep_text]
     shared = spark.sparkContext.broadcast(model)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(frames, "text"):
-            yield b.append_column("score", pa.array(shared.value.scores(b.column("text"))))
+            yield b.select(kept).append_column("score", pa.array(shared.value.scores(b.column("text"))))
 
-    scored = docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField("score", T.DoubleType())]))
-    return unpacked(scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int")), every, "score", "predicted")
+    scored = docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in kept), T.StructField("score", T.DoubleType())]))
+    return unpacked(scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int")),
+                    [c for c in every if c != "text" or keep_text], "score", "predicted")
